@@ -13,7 +13,7 @@ def local_session(name: str = "termsheet", cores: str | int = "*",
     """A local session for tests and the benchmark; clusters bring their own session."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(name)
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
