@@ -8,12 +8,26 @@ from pyspark.sql import Column, functions as F
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once.
+
+    A Column used twice is evaluated twice inside a CASE branch; for a chain of regular
+    expressions that adds up.  Binding it to a lambda variable avoids that.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE_SPACE, "")
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return let(c, lambda x: F.when(x != "", x))
+
+
+def first_match(c: Column, pattern: str, group: int = 0) -> Column:
+    """First match of a pattern, null if there is none."""
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def strip_footnotes(c: Column) -> Column:
@@ -25,11 +39,14 @@ def strip_footnotes(c: Column) -> Column:
 
 
 def normalise_label(c: Column) -> Column:
-    """Lookup key of a table label: case, spacing, tail marks, ``(1)``, colon (L1)."""
+    """Lookup key of a table label: case, spacing, tail marks, ``(1)``, colon (L1).
+
+    Each tail pattern takes the white space before it along, so one outer strip is enough.
+    """
     c = F.regexp_replace(F.lower(strip(c)), r"(?U)\s+", " ")
-    c = strip(F.regexp_replace(c, r"(?U)[\s*†‡§¶]+$", ""))
-    c = strip(F.regexp_replace(c, r"(?U)\s*\(\d+\)$", ""))
-    return strip(F.regexp_replace(c, ":+$", ""))
+    c = F.regexp_replace(c, r"(?U)[\s*†‡§¶]+$", "")
+    c = F.regexp_replace(c, r"(?U)\s*\(\d+\)$", "")
+    return F.regexp_replace(c, r"(?U)\s*:+$", "")
 
 
 def normalise_accession(c: Column) -> Column:
@@ -63,8 +80,8 @@ def drop_code_fences(c: Column) -> Column:
 
 def json_string(c: Column) -> Column:
     """A string Column as a JSON string literal; null stays null."""
-    wrapped = F.to_json(F.array(c))
-    return F.when(c.isNotNull(), F.substring(wrapped, F.lit(2), F.length(wrapped) - 2))
+    return let(F.to_json(F.array(c)), lambda j: F.when(
+        j != "[null]", F.substring(j, F.lit(2), F.length(j) - 2)))
 
 
 def literal_map(pairs: dict) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 
 from termsheet import config
 from termsheet.functions.text import (
-    blank_to_null, json_string, literal_map, strip, strip_footnotes)
+    blank_to_null, first_match, json_string, let, literal_map, strip, strip_footnotes)
 
 _NUMBER = r"(?U)[\d,]+\.?\d*"
 _PERCENT = r"(?iU)([\d,]+\.?\d*)\s*%"
@@ -20,27 +20,24 @@ def _to_double(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
 
 
-def _first(text: Column, pattern: str, group: int = 0) -> Column:
-    return blank_to_null(F.regexp_extract(text, pattern, group))
-
-
 def text_value(raw: Column) -> Column:
     return blank_to_null(strip_footnotes(raw))
 
 
 def date_value(raw: Column) -> Column:
     """ISO text, else the first ``Month D, YYYY``, else ``YYYY/MM/DD``; not calendar-checked."""
-    text = strip_footnotes(raw)
     words = r"(?U)\b([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})\b"
-    month = F.try_element_at(literal_map(config.MONTHS), F.lower(F.regexp_extract(text, words, 1)))
-    spelled = F.when(month.isNotNull(), F.concat_ws(
-        "-", F.regexp_extract(text, words, 3), F.lpad(month.cast("string"), 2, "0"),
-        F.lpad(F.regexp_extract(text, words, 2), 2, "0")))
-    digits = r"(?U)\b(\d{4})[/\-](\d{2})[/\-](\d{2})\b"
-    numeric = F.when(text.rlike(digits), F.concat_ws(
-        "-", *[F.regexp_extract(text, digits, i) for i in (1, 2, 3)]))
-    iso = F.when(text.rlike(r"(?U)^\d{4}-\d{2}-\d{2}$"), text)
-    return F.coalesce(iso, spelled, numeric)
+    digits = r"(?U)\b\d{4}[/\-]\d{2}[/\-]\d{2}\b"
+
+    def spelled(phrase: Column) -> Column:           # "March 21, 2029"; null month -> null
+        month = F.try_element_at(literal_map(config.MONTHS), F.lower(F.regexp_extract(phrase, words, 1)))
+        return F.concat(F.substring(phrase, -4, 4), F.lit("-"), F.lpad(month.cast("string"), 2, "0"),
+                        F.lit("-"), F.lpad(F.regexp_extract(phrase, words, 2), 2, "0"))
+
+    return let(strip_footnotes(raw), lambda text: F.coalesce(
+        F.when(text.rlike(r"(?U)^\d{4}-\d{2}-\d{2}$"), text),
+        let(first_match(text, words), spelled),
+        F.translate(first_match(text, digits), "/", "-")))
 
 
 def rate_value(raw: Column) -> Column:
@@ -48,17 +45,15 @@ def rate_value(raw: Column) -> Column:
 
     A figure of at most 1 is kept as it stands (``0.875%`` -> 0.875).
     """
-    def fraction(number: Column) -> Column:
-        value = _to_double(number)
-        return F.round(F.when(value > 1.0, value / 100.0).otherwise(value), 6)
-
-    yearly = fraction(F.regexp_extract(
+    yearly = _to_double(first_match(
         raw, _PERCENT + r"\s*(?:per\s+annum|p\.a\.|per\s+year|annually)\b", 1))
     found = F.regexp_extract_all(
         raw, F.lit(r"(?iU)[\d,]+\.?\d*\s*%(?:\s*(?:per\s+month|monthly)\b)?"), F.lit(0))
-    plain = F.filter(found, lambda m: m.endswith("%"))
-    last = F.coalesce(F.try_element_at(plain, F.lit(-1)), F.try_element_at(found, F.lit(-1)))
-    return F.coalesce(yearly, fraction(F.regexp_extract(last, _NUMBER, 0)))
+    last = let(found, lambda all_: F.coalesce(
+        F.try_element_at(F.filter(all_, lambda m: m.endswith("%")), F.lit(-1)),
+        F.try_element_at(all_, F.lit(-1))))
+    number = F.coalesce(yearly, _to_double(F.regexp_extract(last, _NUMBER, 0)))
+    return let(number, lambda n: F.round(F.when(n > 1.0, n / 100.0).otherwise(n), 6))
 
 
 def amount_value(raw: Column) -> Column:
@@ -76,47 +71,47 @@ def plain_number(raw: Column) -> Column:
 
 
 def cusip_value(raw: Column) -> Column:
-    return _first(strip_footnotes(raw), r"(?U)\b([A-Z0-9]{9})\b", 1)
+    return first_match(strip_footnotes(raw), r"(?U)\b[A-Z0-9]{9}\b")
 
 
 def isin_value(raw: Column) -> Column:
-    return _first(strip_footnotes(raw), r"(?U)\b([A-Z]{2}[A-Z0-9]{10})\b", 1)
+    return first_match(strip_footnotes(raw), r"(?U)\b[A-Z]{2}[A-Z0-9]{10}\b")
 
 
 def currency_value(raw: Column) -> Column:
-    text = F.upper(strip(raw))
-    code = _first(text, r"(?U)\b(" + "|".join(config.CURRENCY_CODES) + r")\b", 1)
-    spelled = F.lit(False)
-    for spelling in config.DOLLAR_SPELLINGS:
-        spelled = spelled | text.contains(spelling)
-    return F.coalesce(code, F.when(spelled, F.lit("USD")))
+    codes = r"(?U)\b(?:" + "|".join(config.CURRENCY_CODES) + r")\b"
+    spelled = "|".join(s.replace(".", r"\.") for s in config.DOLLAR_SPELLINGS)
+    return let(F.upper(raw), lambda text: F.coalesce(
+        first_match(text, codes), F.when(text.rlike(spelled), F.lit("USD"))))
 
 
-def _keyword(text: Column, table: list[tuple[str, list[str]]]) -> Column:
+def _keyword(raw: Column, table: list[tuple[str, list[str]]]) -> Column:
     """Name of the first table row any of whose words occurs in the text."""
-    rows = []
-    for name, words in table:
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | text.contains(word)
-        rows.append(F.when(hit, F.lit(name)))
-    return F.coalesce(*rows)
+    def pick(text: Column) -> Column:
+        rows = []
+        for name, words in table:
+            hit = F.lit(False)
+            for word in words:
+                hit = hit | text.contains(word)
+            rows.append(F.when(hit, F.lit(name)))
+        return F.coalesce(*rows)
+    return let(F.lower(raw), pick)
 
 
 def frequency_value(raw: Column) -> Column:
-    return _keyword(F.lower(raw), config.FREQUENCY_WORDS)
+    return _keyword(raw, config.FREQUENCY_WORDS)
 
 
 def observation_value(raw: Column) -> Column:
-    return _keyword(F.lower(raw), config.OBSERVATION_WORDS)
+    return _keyword(raw, config.OBSERVATION_WORDS)
 
 
 def _numeric_json(value: Column) -> Column:
-    return F.when(value.isNotNull(), value.cast("string"))
+    return value.cast("string")
 
 
 def _tagged_json(name: Column) -> Column:
-    return F.when(name.isNotNull(), F.concat(F.lit('{"$type":"'), name, F.lit('"}')))
+    return F.concat(F.lit('{"$type":"'), name, F.lit('"}'))
 
 
 # kind -> (expression, how its value is written as JSON)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from termsheet import config, schemas
+from termsheet.functions.jsonvalues import (
+    flatten_object, json_text, members, object_or_empty, scalar_text)
 from termsheet.functions.text import blank_to_null, drop_code_fences, json_string, strip
 from termsheet.functions.values import typed_json
 
@@ -54,3 +56,271 @@ def issuer_fill_rate(fields: DataFrame, filings_by_issuer: DataFrame, expected:
             .agg(F.count("*").alias("filings"), F.sum(F.coalesce("found", F.lit(0))).alias("fields_found"))
             .withColumn("fill_rate_pct",
                         F.round(F.col("fields_found") / (F.col("filings") * expected) * 100, 2)))
+
+
+# ---- model answers ------------------------------------------------------------------------
+
+_SIDE_KEYS = ("model", "_confidence", "_excerpts")
+
+
+def parse_answers(responses: DataFrame, tool: str = "submit_extraction",
+                  data_key: str = "data") -> DataFrame:
+    """Answer payloads as three objects: ``data``, ``confidences``, ``excerpts``.
+
+    A row whose ``tool_name`` is the expected tool holds the three parts side by side; each
+    part that is not an object becomes ``{}``.  A row without a tool name is plain text: code
+    fences are dropped and the whole object is the data (flattening skips the side maps in it);
+    text that is not JSON gives three empty objects, as does another tool's answer.
+    """
+    empty = F.parse_json(F.lit("{}"))
+    is_tool = F.coalesce(F.col("tool_name") == tool, F.lit(False))
+    is_text = F.col("tool_name").isNull()
+    body = F.when(is_tool, F.try_parse_json("payload")).when(
+        is_text, F.try_parse_json(drop_code_fences(strip(F.col("payload")))))
+    parsed = responses.withColumn("body", body)
+
+    def part(key: str) -> Column:
+        return object_or_empty(F.try_variant_get("body", f"$.{key}", "variant"))
+
+    data = F.when(is_tool, part(data_key)).when(is_text, object_or_empty(F.col("body"))).otherwise(empty)
+    side = {c: F.when(is_tool | is_text, part(k)).otherwise(empty)
+            for c, k in (("confidences", "_confidence"), ("excerpts", "_excerpts"))}
+    return (parsed.withColumns({"data": data, **side}).drop("body", "payload", "tool_name"))
+
+
+def flatten_answers(answers: DataFrame) -> DataFrame:
+    """E5: one row per answered field path, with its confidence and excerpt still as answered."""
+    keys = [c for c in answers.columns if c not in ("data", "confidences", "excerpts")]
+    leaves = answers.select(
+        *keys, F.inline(F.transform(
+            flatten_object(F.col("data"), _SIDE_KEYS),
+            lambda leaf: F.struct(
+                leaf["path"].alias("field_path"), leaf["value"].alias("value"),
+                F.try_element_at(members(F.col("confidences")), leaf["path"]).alias("raw_confidence"),
+                F.try_element_at(members(F.col("excerpts")), leaf["path"]).alias("raw_excerpt")))))
+    return leaves.withColumn("value_json", json_text(F.col("value"))).drop("value")
+
+
+def clamp_confidence(raw: Column, default: Column | float) -> Column:
+    """A number, or text that is one, cut to [0, 1]; anything else gives the default."""
+    number = strip(raw).try_cast("double")
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)) + F.lit(0.0)
+    return F.coalesce(clamped, default if isinstance(default, Column) else F.lit(float(default)))
+
+
+def variant_number_text(v: Column) -> Column:
+    """Text of a variant confidence: ``true`` counts as 1 and ``false`` as 0."""
+    return (F.when(F.schema_of_variant(v) == "BOOLEAN",
+                   F.when(F.try_variant_get(v, "$", "boolean"), F.lit("1")).otherwise(F.lit("0")))
+            .otherwise(F.try_variant_get(v, "$", "string")))
+
+
+def answer_fields(flat: DataFrame) -> DataFrame:
+    """Flattened answers with clamped confidence and the excerpt cut to 500 characters."""
+    default = F.when(F.col("value_json").isNotNull(), F.lit(0.5)).otherwise(F.lit(0.0))
+    excerpt = F.substring(F.coalesce(F.try_variant_get("raw_excerpt", "$", "string"), F.lit("")),
+                          1, config.EXCERPT_CHARS)
+    return (flat.withColumns({
+        "confidence": clamp_confidence(variant_number_text(F.col("raw_confidence")), default),
+        "excerpt": excerpt}).drop("raw_confidence", "raw_excerpt"))
+
+
+def merge_sections(sections: DataFrame, delta: float = config.SECTION_MERGE_DELTA) -> DataFrame:
+    """Fold section answers per (filing, path) in section order.
+
+    The first non-null value stands until a later one is at least ``delta`` more confident;
+    its excerpt goes with it.  A missing confidence counts as 0.5.
+
+    Only the first row of each distinct confidence can ever win (the standing value is always
+    at least as confident as everything before it), so rows are first reduced to one per
+    (filing, path, confidence) by a partial aggregate.  The fold then sees distinct confidences
+    only, whatever the number of answers.  Below zero every next row replaces the standing one;
+    such rows matter only when no row is at or above zero, and then the last one wins.
+    """
+    conf = F.coalesce("confidence", F.lit(0.5)).cast("double") + F.lit(0.0)
+    rows = (sections.filter("value_json IS NOT NULL").withColumn("confidence", conf)
+            .withColumn("level", F.when(F.col("confidence") >= 0, F.col("confidence"))))
+    row = F.struct("ord", "confidence", "value_json", "excerpt")
+    reduced = rows.groupBy("filing_id", "field_path", "level").agg(
+        F.when(F.col("level").isNull(), F.max_by(row, "ord")).otherwise(F.min_by(row, "ord")).alias("row"))
+    per_field = reduced.groupBy("filing_id", "field_path").agg(
+        F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.col("row")))).alias("levels"),
+        F.max(F.when(F.col("level").isNull(), F.col("row"))).alias("negative"))
+    better = lambda held, new: F.when(                                             # noqa: E731
+        held.isNull() | (new["confidence"] - held["confidence"] >= F.lit(delta)), new).otherwise(held)
+    nothing = F.lit(None).cast(per_field.schema["levels"].dataType.elementType)
+    winner = F.coalesce(F.aggregate("levels", nothing, better), F.col("negative"))
+    return (per_field.select("filing_id", "field_path", winner.alias("w"))
+            .select("filing_id", "field_path", "w.value_json", "w.confidence",
+                    F.coalesce("w.excerpt", F.lit("")).alias("excerpt")))
+
+
+# ---- tiers, coverage, validation ----------------------------------------------------------
+
+_FIELD = ["filing_id", "field_path", "value_json", "confidence", "excerpt", "source"]
+
+
+def _tiers(registry: DataFrame, table: DataFrame, answered: DataFrame) -> DataFrame:
+    ranked = [(table, 0), (registry, 1), (answered.withColumn("source", F.lit("llm")), 2)]
+    parts = [t.select(*_FIELD, F.lit(rank).alias("rank")) for t, rank in ranked]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def merge_tiers(registry: DataFrame, table: DataFrame, answered: DataFrame) -> DataFrame:
+    """One value per (filing, path): document table over registry over model answer."""
+    best = F.min_by(F.struct(*_FIELD[2:]), "rank").alias("b")
+    return _tiers(registry, table, answered).groupBy("filing_id", "field_path").agg(best).select(
+        "filing_id", "field_path", "b.*")
+
+
+def tier_conflicts(registry: DataFrame, table: DataFrame, answered: DataFrame) -> DataFrame:
+    """Paths where tiers disagree: table against registry, and either against the model."""
+    def of(rank: int) -> Column:
+        return F.max(F.when(F.col("rank") == rank, F.col("value_json")))
+    values = _tiers(registry, table, answered).groupBy("filing_id", "field_path").agg(
+        of(0).alias("table_value"), of(1).alias("registry_value"), of(2).alias("model_value"))
+    trusted = F.coalesce("table_value", "registry_value")
+    kinds = F.array(
+        F.when(F.col("table_value") != F.col("registry_value"), F.struct(
+            F.lit("table_over_registry").alias("kind"), F.col("table_value").alias("kept"),
+            F.col("registry_value").alias("dropped"))),
+        F.when(trusted != F.col("model_value"), F.struct(
+            F.lit("trusted_over_model").alias("kind"), trusted.alias("kept"),
+            F.col("model_value").alias("dropped"))))
+    return values.select("filing_id", "field_path", F.inline(F.array_compact(kinds)))
+
+
+def extractable(filings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Filings with a real model, and the rejected rest."""
+    ok = F.col("model").isNotNull() & (F.col("model") != "") & (F.col("model") != "unknown")
+    reason = F.lit("filing must be classified before extraction")
+    return filings.filter(ok), filings.filter(~ok | F.col("model").isNull()).withColumn("reason", reason)
+
+
+def cover_all(filings: DataFrame, descriptors: DataFrame, values: DataFrame) -> DataFrame:
+    """A row for every described path of the filing's model and every path found.
+
+    ``descriptors`` is small and is broadcast by its size; the one shuffle is the outer join on
+    (filing, path).
+    """
+    expected = (filings.select("filing_id", "model")
+                .join(descriptors.select("model", "field_path"), "model").select("filing_id", "field_path"))
+    found = values.join(filings.select("filing_id"), "filing_id", "left_semi")
+    return expected.join(found, ["filing_id", "field_path"], "full_outer").select(
+        "filing_id", "field_path", "value_json", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("excerpt", F.lit("")).alias("excerpt"), F.coalesce("source", F.lit("llm")).alias("source"),
+        F.col("value_json").isNull().alias("not_found"))
+
+
+def check_enums(fields: DataFrame, filings: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """Values outside a descriptor's allowed list get an error, confidence 0 and schema_error."""
+    rules = descriptors.filter(F.size("enum_values") > 0).select("model", "field_path", "enum_values")
+    text = scalar_text(F.col("value_json"))
+    bad = (F.col("value_json").isNotNull() & F.col("enum_values").isNotNull()
+           & ~F.array_contains("enum_values", text))
+    message = F.concat(F.lit("Schema violation: '"), text, F.lit("' is not a valid value. Allowed: ['"),
+                       F.array_join("enum_values", "', '"), F.lit("']"))
+    joined = (fields.join(filings.select("filing_id", "model"), "filing_id", "left")
+              .join(rules, ["model", "field_path"], "left"))
+    flagged = F.coalesce(bad, F.lit(False))
+    return (joined.withColumns({
+        "validation_error": F.when(flagged, message),
+        "confidence": F.when(flagged, F.lit(0.0)).otherwise(F.col("confidence")),
+        "review_status": F.when(flagged, F.lit("schema_error")).otherwise(F.lit("pending"))})
+        .select(*fields.columns, "validation_error", "review_status"))
+
+
+def extraction_summary(fields: DataFrame, mode: str = "single") -> DataFrame:
+    """Counts per filing."""
+    return fields.groupBy("filing_id").agg(
+        F.count("*").alias("field_count"), F.count_if(~F.col("not_found")).alias("fields_found"),
+        F.count_if(F.col("not_found")).alias("fields_null")).withColumn("extraction_mode", F.lit(mode))
+
+
+# ---- requests -----------------------------------------------------------------------------
+
+def section_table(spark: SparkSession, sections: dict = config.SECTIONS) -> DataFrame:
+    rows = [(name, s["schema_keys"], s["search_headers"], s["max_chars"], s.get("note", ""))
+            for name, s in sections.items()]
+    return spark.createDataFrame(
+        rows, "name STRING, schema_keys ARRAY<STRING>, search_headers ARRAY<STRING>, max_chars INT, note STRING")
+
+
+def route_sections(filings: DataFrame, routes: dict[str, list[str]] = config.MODEL_SECTIONS,
+                   default: list[str] = config.ALL_SECTIONS,
+                   defined: list[str] | None = None) -> DataFrame:
+    """(filing, section, ord) in run order; an unrouted model runs all sections."""
+    defined = list(config.SECTIONS) if defined is None else defined
+
+    def names(route: list[str]) -> Column:
+        return F.array(*[F.lit(s) for s in route if s in defined])
+    chosen = F.coalesce(*[F.when(F.col("model") == m, names(r)) for m, r in routes.items()], names(default))
+    return filings.select("filing_id", "model", F.posexplode(chosen).alias("ord", "section"))
+
+
+def section_descriptors(descriptors: DataFrame, sections: DataFrame) -> DataFrame:
+    """The descriptors each section asks for, matched on the path's top segment."""
+    keys = sections.select(F.col("name").alias("section"), F.explode("schema_keys").alias("top"))
+    top = F.substring_index("field_path", ".", 1)
+    return (descriptors.withColumn("top", top).join(keys, "top")
+            .select("model", "section", "field_path", "data_type", "required"))
+
+
+def hint_blocks(issuers: DataFrame, field_hints: DataFrame, shared_rules: DataFrame,
+                guide: list[str]) -> DataFrame:
+    """One text block per issuer: output rules, shared field rules, issuer guidance.
+
+    Limits: 6 headings, 800 characters of notes, 150 of format, 100 of location.
+    """
+    def bullet(label: str, c: Column) -> Column:
+        return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+
+    def lines(df: DataFrame, keys: list[str], line: Column) -> DataFrame:
+        kept = df.withColumn("line", line).filter("line IS NOT NULL")
+        return kept.groupBy(*keys).agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("field_path", "line"))), lambda r: r["line"]), "\n").alias("block"))
+
+    def rule(prefix: str, parts: list[Column]) -> Column:
+        text = F.concat_ws(" | ", *parts)
+        return F.when(text != "", F.concat(F.lit(prefix), F.col("field_path"), F.lit(": "), text))
+
+    shared = lines(shared_rules, [], rule("- ", [
+        blank_to_null(F.col("description")), bullet("synonyms: ", F.col("synonyms")),
+        bullet("format: ", F.col("value_format")), bullet("caution: ", F.col("caution"))]))
+    own = lines(field_hints, ["issuer_key"], rule("  - ", [
+        bullet("synonyms: ", F.col("synonyms")), bullet("label: ", F.col("label_in_doc")),
+        bullet("format: ", F.substring("format", 1, 150)),
+        bullet("location: ", F.substring("location", 1, 100))])).withColumnRenamed("block", "own_block")
+    head = "\n".join(["## Output rules", *guide, ""]) if guide else None
+    about = F.concat_ws("\n", F.lit("## Issuer guidance"),
+                        bullet("Key terms: ", F.col("key_terms_position")),
+                        bullet("Layout: ", F.col("document_structure")),
+                        bullet("Headings: ", F.array_join(F.slice("section_headings", 1, 6), ", ")),
+                        bullet("Notes: ", F.substring("general_notes", 1, 800)),
+                        bullet("Field aliases:\n", F.col("own_block")))
+    shared_text = shared.select(F.concat(F.lit("## Shared field rules\n"), F.col("block"))).scalar()
+    return (issuers.join(own, "issuer_key", "left")
+            .select("issuer_key", F.concat_ws("\n", F.lit(head), shared_text, about).alias("hints_block")))
+
+
+EMPTY_SLICE = "[No matching section in this filing: answer null for every field]"
+REQUEST_TEMPLATE = ("Extract the fields of the schema below from the filing text.\nModel: {model}\n"
+                    "Section: {section}\nInstruction: {note}\nSchema:\n{schema}\n{hints}")
+
+
+def extraction_requests(slices: DataFrame, schemas_text: DataFrame, hints: DataFrame,
+                        sections: DataFrame, template: str = REQUEST_TEMPLATE) -> DataFrame:
+    """The batch-inference input: a preamble shared by issuer and model, and the filing text.
+
+    ``slices`` is (filing_id, model, section, issuer_key, slice); the wording is the caller's.
+    """
+    joined = (slices.join(schemas_text, ["model", "section"], "left")
+              .join(hints, "issuer_key", "left")
+              .join(sections.selectExpr("name AS section", "note"), "section", "left"))
+    text = F.lit(template)
+    for name, c in (("model", F.col("model")), ("section", F.col("section")), ("note", F.col("note")),
+                    ("schema", F.col("schema_text")), ("hints", F.col("hints_block"))):
+        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(c, F.lit("")))
+    body = F.when(F.col("slice") == "", F.lit(EMPTY_SLICE)).otherwise(F.col("slice"))
+    return joined.select("filing_id", "section", text.alias("preamble"),
+                         F.concat(F.lit("FILING TEXT:\n"), body).alias("filing_part"))

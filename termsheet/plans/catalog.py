@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from termsheet.plans import label_queries, usage_queries  # noqa: F401
+from termsheet.plans import extract_queries, label_queries, usage_queries  # noqa: F401
 from termsheet.plans.registry import ORACLES, QUERIES  # noqa: F401

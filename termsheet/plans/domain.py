@@ -10,6 +10,8 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
+from termsheet.sources.readers import read_parquet
+
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -174,13 +176,67 @@ SELECT cast(l_orderkey AS string) || '-' || cast(l_linenumber % 2 AS string) AS
   cast(l_orderkey AS string) AS filing_id,
   cast(cast(max(l_shipdate) AS date) AS string) || 'T10:00:00' AS extracted_at,
   CASE WHEN l_linenumber % 2 = 0 THEN 'single' ELSE 'sectioned' END AS extraction_mode,
-  count(*) AS field_count, sum(CASE WHEN l_tax > 0 THEN 1 ELSE 0 END) AS fields_found
+  CASE l_orderkey % 4 WHEN 0 THEN 'yieldEnhancementCoupon' WHEN 1 THEN 'yieldEnhancementAutocall'
+    WHEN 2 THEN 'equityShare' ELSE 'index' END AS model,
+  count(*) AS field_count, cast(sum(CASE WHEN l_tax > 0 THEN 1 ELSE 0 END) AS bigint) AS fields_found
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber % 2
 """
 
 
 
 
+_TWELVE = """CASE {c} % 12 WHEN 0 THEN 'identifiers.cusip' WHEN 1 THEN 'identifiers.isin'
+  WHEN 2 THEN 'coupon.rate' WHEN 3 THEN 'coupon.frequency'
+  WHEN 4 THEN 'structuredProductsGeneral.notional' WHEN 5 THEN 'structuredProductsGeneral.maturityDate'
+  WHEN 6 THEN 'barrier.triggerDetails.triggerLevel'
+  WHEN 7 THEN 'barrier.triggerDetails.observationType' WHEN 8 THEN 'autocall.callLevel'
+  WHEN 9 THEN 'parties.issuer.name' WHEN 10 THEN 'product.denomination'
+  ELSE 'parties.guarantor.name' END"""
+
+# Section-level model answers, already flattened.
+TABLES["section_values"] = f"""
+SELECT cast(l_orderkey AS string) AS filing_id,
+  (cast(l_linenumber AS bigint) * 1000000 + l_partkey) * 10000 + l_suppkey AS ord,
+  {_TWELVE.format(c="l_partkey")} AS field_path,
+  CASE WHEN l_tax = 0 THEN NULL WHEN l_partkey % 5 = 0 THEN '"' || l_returnflag || '"'
+    WHEN l_partkey % 5 = 1 THEN 'true' ELSE cast(cast(l_quantity AS bigint) AS string) END AS value_json,
+  CASE WHEN l_suppkey % 13 = 0 THEN -0.2 WHEN l_suppkey % 11 = 0 THEN NULL
+    ELSE cast(l_discount * 10 + 0 AS double) END AS confidence,
+  'excerpt ' || cast(l_suppkey AS string) AS excerpt
+FROM {{lineitem}}"""
+
+# Model answers as the payload text a batch inference run returns.
+_GOOD_PAYLOAD = ("""'{{"_confidence":{{"coupon.rate":' || CASE l_linenumber % 4 WHEN 0 THEN '0.75' WHEN 1 THEN '1.5' """
+    """WHEN 2 THEN '-0.3' ELSE 'null' END || ',"flag":true,"identifiers.cusip":" 0.8 ","schedule":"high"}},"""
+    """"_excerpts":{{"coupon.rate":"at ' || cast(l_linenumber AS string) || '.25%"}},"data":{{"coupon":{{"frequency":{{"$type":"monthly"}},"""
+    """"rate":' || cast(l_linenumber AS string) || '.25}},"empty":{{}},"flag":true,"identifiers":{{"cusip":"Q' || cast(l_partkey AS string) """
+    """|| '","isin":null}},"list":[{{"a":1}}],"model":"m","schedule":{{"2024-01-01T00:00:00Z":{{"a":1}}}}}}}}'""")
+TABLES["answers"] = f"""
+SELECT cast(l_orderkey AS string) AS filing_id,
+  (cast(l_linenumber AS bigint) * 1000000 + l_partkey) * 10000 + l_suppkey AS ord,
+  CASE l_partkey % 8 WHEN 7 THEN NULL WHEN 6 THEN 'other_tool' ELSE 'submit_extraction' END AS tool_name,
+  CASE l_partkey % 8 WHEN 4 THEN '{{{{"_confidence":null,"_excerpts":[],"data":""}}}}'
+    WHEN 5 THEN '{{{{"data": {{{{'
+    WHEN 7 THEN '```json' || chr(10) || '{{{{"_confidence":{{{{"a.b":2}}}},"_excerpts":{{{{"c":"see ' || cast(l_suppkey AS string)
+      || '"}}}},"a":{{{{"b":"x"}}}},"c":' || cast(l_suppkey AS string) || '}}}}' || chr(10) || '```'
+    ELSE {_GOOD_PAYLOAD} END AS payload
+FROM {{lineitem}}"""
+
+# Field descriptors per model; allowed values are comma-separated text here.
+TABLES["descriptors"] = f"""
+SELECT model, field_path, max(p_type) AS label, 'string' AS data_type, max(p_name) AS description,
+  model = 'index' AND field_path = 'identifiers.cusip' OR model LIKE '%Coupon' AND field_path = 'coupon.rate'
+    OR max(p_size) = 50 AND field_path LIKE '%.%.%.%' AS required,
+  CASE WHEN min(p_size) % 2 = 0 THEN 'A,' || min(p_brand) || ',True,' || cast(min(p_size) AS string) END AS enum_text
+FROM (SELECT *, CASE p_partkey % 9 WHEN 0 THEN 'yieldEnhancementCoupon' WHEN 1 THEN 'yieldEnhancementBarrierCoupon'
+    WHEN 2 THEN 'yieldEnhancementAutocallCoupon' WHEN 3 THEN 'yieldEnhancementAutocallBarrierCoupon'
+    WHEN 4 THEN 'yieldEnhancementAutocall' WHEN 5 THEN 'forwardKoStripEquity' WHEN 6 THEN 'equityShare'
+    WHEN 7 THEN 'index' ELSE 'depositaryReceipt' END AS model,
+  CASE WHEN p_size % 3 > 0 THEN {_TWELVE.format(c="p_size")}
+    ELSE lower(p_type) || '.' || replace(p_name, ' ', '.') END AS field_path FROM {{part}}) t
+GROUP BY model, field_path"""
+
+
 # Tables only the SQL checks use (Spark gets the same facts as literals or arguments).
 CHECK_TABLES: dict[str, str] = {
     # Prices in units of 1e-4 USD per million tokens, so that sums are whole numbers.
@@ -208,17 +264,19 @@ def check_sql(name: str) -> str:
     return CHECK_TABLES.get(name) or TABLES[name]
 
 
-def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Text-heavy inputs: spread over the cores by these near-unique keys when the file has too few splits.
+_SPREAD = {"documents": ["doc_id"], "pages": ["page_id"],
+           "label_values": ["l_orderkey", "l_partkey"], "answers": ["l_orderkey", "l_partkey"]}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread_keys: list[str] = ()) -> DataFrame:
     """A domain table, or a test table by its own name."""
+    keys = spread_keys or _SPREAD.get(name, ())
     if name in BASE_TABLES:
-        return base(spark, sf_dir, name)
+        return read_parquet(spark, f"{sf_dir}/{name}.parquet", *keys)
     sql = TABLES[name]
     used = {n for _, n, _, _ in string.Formatter().parse(sql) if n}
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in used})
+    return spark.sql(sql, **{n: table(spark, sf_dir, n, keys) for n in used})
 
 
 def usd(units: str, digits: int) -> str:

@@ -1,0 +1,24 @@
+"""Table and document readers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a file that cannot be split (one row group) enough partitions for the cores.
+
+    Text work is CPU-bound, so one big row group would keep a single core busy.  Tables with
+    at least as many splits as cores, and tables under a megabyte per core, are left alone.
+    ``keys`` should be a near-unique key, so that no partition can run hot.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, size // _SPREAD_BYTES)
+    return df.repartition(int(wanted), *keys) if df.rdd.getNumPartitions() < wanted else df
+
+
+def read_parquet(spark: SparkSession, path: str, *spread_keys: str) -> DataFrame:
+    df = spark.read.parquet(path)
+    return spread(df, *spread_keys) if spread_keys else df
