@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from termsheet.functions.text import json_string
 
-MAX_SEGMENTS = 8
-
 
 def decode_json(text: Column) -> Column:
     """Stored JSON text as JSON text; text that is not JSON becomes a JSON string."""
@@ -87,32 +85,37 @@ def export_audit(exported: DataFrame, at: str) -> DataFrame:
                            F.lit("exported").alias("action"), F.lit(at).alias("edited_at"))
 
 
-def unflatten(values: DataFrame, models: DataFrame | None = None,
-              max_segments: int = MAX_SEGMENTS) -> DataFrame:
+def unflatten(values: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Dot paths back to one nested JSON object per filing; nulls dropped, ``model`` added.
 
-    Levels are rolled up from the deepest: rows at the current depth are grouped under their
-    parent, rows above it pass through as their own group.  The data is partitioned by filing
-    once, and every level groups on (filing, path), so no level shuffles again.  Paths deeper
-    than ``max_segments`` keep their tail as one dotted key.
+    One grouping per filing sorts the leaves by path; each leaf then only has to close the
+    objects it does not share with the leaf before it and open its own.  The group is one
+    filing's fields, which its single output row holds anyway.
     """
-    segments = F.split("field_path", r"\.", max_segments)
+    segments = F.split("field_path", r"\.")
     rows = values.filter("value_json IS NOT NULL AND value_json <> 'null'").select(
-        "filing_id", segments.alias("segments"), F.col("value_json").alias("json"))
+        "filing_id", segments.alias("path"), F.col("value_json").alias("json"))
     if models is not None:
         tag = models.filter("model IS NOT NULL").select(
-            "filing_id", F.array(F.lit("model")).alias("segments"), json_string(F.col("model")).alias("json"))
+            "filing_id", F.array(F.lit("model")).alias("path"), json_string(F.col("model")).alias("json"))
         rows = rows.join(models.select("filing_id"), "filing_id", "left_semi").unionByName(tag)
-    rows = rows.repartition("filing_id")
-    for depth in range(max_segments, 0, -1):
-        here = F.size("segments") == depth
-        parent = F.when(here, F.slice("segments", 1, depth - 1)).otherwise(F.col("segments"))
-        key = F.when(here, F.element_at("segments", -1))
-        grouped = rows.groupBy("filing_id", parent.alias("segments")).agg(
-            F.array_sort(F.collect_list(F.when(here, F.struct(key.alias("key"), "json")))).alias("children"),
-            F.first(F.when(~here, F.col("json")), ignorenulls=True).alias("kept"))
-        built = F.concat(F.lit("{"), F.array_join(F.transform("children", lambda c: F.concat(
-            json_string(c["key"]), F.lit(":"), c["json"])), ","), F.lit("}"))
-        rows = grouped.select("filing_id", "segments", F.when(F.size("children") > 0, built)
-                              .otherwise(F.col("kept")).alias("json"))
-    return rows.select("filing_id", F.col("json").alias("nested_json"))
+    grouped = rows.groupBy("filing_id").agg(
+        F.array_sort(F.collect_list(F.struct("path", "json"))).alias("leaves"))
+
+    def piece(leaf: Column, i: Column) -> Column:
+        path = leaf["path"]
+        before = F.when(i > 0, F.get(F.col("leaves"), i - 1)["path"])
+        nested = F.least(F.size(before), F.size(path)) - 1          # parents that could be shared
+        shared = F.when((i > 0) & (nested > 0), F.size(F.filter(
+            F.sequence(F.lit(1), F.greatest(nested, F.lit(1))),
+            lambda n: F.slice(before, F.lit(1), n) == F.slice(path, F.lit(1), n)))).otherwise(0)
+        opened = F.transform(F.slice(path, shared + 1, F.size(path) - 1 - shared),
+                             lambda s: F.concat(json_string(s), F.lit(":{")))
+        return F.concat(
+            F.when(i > 0, F.concat(F.repeat(F.lit("}"), F.size(before) - 1 - shared), F.lit(",")))
+            .otherwise(F.lit("{")),
+            F.array_join(opened, ""), json_string(F.element_at(path, -1)), F.lit(":"), leaf["json"])
+
+    tail = F.repeat(F.lit("}"), F.size(F.element_at("leaves", -1)["path"]))
+    return grouped.select("filing_id", F.concat(
+        F.array_join(F.transform("leaves", piece), ""), tail).alias("nested_json"))

@@ -176,7 +176,7 @@ SELECT cast(l_orderkey AS string) || '-' || cast(l_linenumber % 2 AS string) AS
   cast(l_orderkey AS string) AS filing_id,
   cast(cast(max(l_shipdate) AS date) AS string) || 'T10:00:00' AS extracted_at,
   CASE WHEN l_linenumber % 2 = 0 THEN 'single' ELSE 'sectioned' END AS extraction_mode,
-  CASE l_orderkey % 4 WHEN 0 THEN 'yieldEnhancementCoupon' WHEN 1 THEN 'yieldEnhancementAutocall'
+  CASE cast(floor(l_orderkey / 8) AS bigint) % 4 WHEN 0 THEN 'yieldEnhancementCoupon' WHEN 1 THEN 'yieldEnhancementAutocall'
     WHEN 2 THEN 'equityShare' ELSE 'index' END AS model,
   count(*) AS field_count, cast(sum(CASE WHEN l_tax > 0 THEN 1 ELSE 0 END) AS bigint) AS fields_found
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber % 2
@@ -226,14 +226,14 @@ FROM {{lineitem}}"""
 TABLES["descriptors"] = f"""
 SELECT model, field_path, max(p_type) AS label, 'string' AS data_type, max(p_name) AS description,
   model = 'index' AND field_path = 'identifiers.cusip' OR model LIKE '%Coupon' AND field_path = 'coupon.rate'
-    OR max(p_size) = 50 AND field_path LIKE '%.%.%.%' AS required,
+    OR max(p_size) = 50 AND field_path LIKE '%.blue' AND model = 'index' AS required,
   CASE WHEN min(p_size) % 2 = 0 THEN 'A,' || min(p_brand) || ',True,' || cast(min(p_size) AS string) END AS enum_text
 FROM (SELECT *, CASE p_partkey % 9 WHEN 0 THEN 'yieldEnhancementCoupon' WHEN 1 THEN 'yieldEnhancementBarrierCoupon'
     WHEN 2 THEN 'yieldEnhancementAutocallCoupon' WHEN 3 THEN 'yieldEnhancementAutocallBarrierCoupon'
     WHEN 4 THEN 'yieldEnhancementAutocall' WHEN 5 THEN 'forwardKoStripEquity' WHEN 6 THEN 'equityShare'
     WHEN 7 THEN 'index' ELSE 'depositaryReceipt' END AS model,
   CASE WHEN p_size % 3 > 0 THEN {_TWELVE.format(c="p_size")}
-    ELSE lower(p_type) || '.' || replace(p_name, ' ', '.') END AS field_path FROM {{part}}) t
+    ELSE lower(p_type) || '.' || split_part(p_name, ' ', 1) END AS field_path FROM {{part}}) t
 GROUP BY model, field_path"""
 
 
