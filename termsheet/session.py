@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,13 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="termsheet-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a written table, in the shared folder the cluster names."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="termsheet-work-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
