@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from termsheet.functions.text import let
+
 MAX_DEPTH = 8
 
 
@@ -38,16 +40,18 @@ def flatten_object(v: Column, skip: tuple[str, ...] = (), max_depth: int = MAX_D
         kept = F.filter(F.map_entries(m), lambda e: ~e["key"].isin(*skip)) if skip else F.map_entries(m)
         return F.transform(kept, lambda e: F.struct(
             (F.concat(prefix, F.lit("."), e["key"]) if prefix is not None else e["key"]).alias("path"),
-            e["value"].alias("value")))
+            e["value"].alias("value"),
+            let(members(e["value"]), lambda m: F.when(~_is_schedule(m), m)).alias("inner")))
 
-    def deeper(leaf: Column) -> Column:
-        m = members(leaf["value"])
-        return F.when(m.isNotNull() & ~_is_schedule(m), children(m, leaf["path"])).otherwise(F.array(leaf))
+    def deeper(leaves: Column) -> Column:
+        return F.when(F.exists(leaves, lambda leaf: leaf["inner"].isNotNull()), F.flatten(F.transform(
+            leaves, lambda leaf: F.when(leaf["inner"].isNotNull(), children(leaf["inner"], leaf["path"]))
+            .otherwise(F.array(leaf))))).otherwise(leaves)
 
     out = children(members(v), None)
     for _ in range(max_depth - 1):
-        out = F.flatten(F.transform(out, deeper))
-    return out
+        out = let(out, deeper)
+    return F.transform(out, lambda leaf: F.struct(leaf["path"].alias("path"), leaf["value"].alias("value")))
 
 
 def scalar_text(json: Column) -> Column:

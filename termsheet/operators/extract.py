@@ -7,14 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from termsheet import config, schemas
 from termsheet.functions.jsonvalues import (
     flatten_object, json_text, members, object_or_empty, scalar_text)
-from termsheet.functions.text import blank_to_null, drop_code_fences, json_string, strip
+from termsheet.functions.text import blank_to_null, drop_code_fences, json_string, let, strip
 from termsheet.functions.values import typed_json
+from termsheet.session import small_table
 
 
 def parser_registry(spark: SparkSession, aliases: bool = False) -> DataFrame:
     """Field path -> value kind; ``aliases`` adds the typed rows for the Generic paths."""
     kinds = {**config.PARSER_KINDS, **(config.PARSER_KIND_ALIASES if aliases else {})}
-    return spark.createDataFrame(sorted(kinds.items()), schemas.REGISTRY)
+    return small_table(spark, sorted(kinds.items()), schemas.REGISTRY)
 
 
 def registry_fields(filings: DataFrame) -> DataFrame:
@@ -91,21 +92,24 @@ def parse_answers(responses: DataFrame, tool: str = "submit_extraction",
 def flatten_answers(answers: DataFrame) -> DataFrame:
     """E5: one row per answered field path, with its confidence and excerpt still as answered."""
     keys = [c for c in answers.columns if c not in ("data", "confidences", "excerpts")]
-    leaves = answers.select(
+    # The side maps are opened once per answer, not once per field.
+    opened = answers.withColumns({"confidences": members(F.col("confidences")), "excerpts": members(F.col("excerpts"))})
+    leaves = opened.select(
         *keys, F.inline(F.transform(
             flatten_object(F.col("data"), _SIDE_KEYS),
             lambda leaf: F.struct(
                 leaf["path"].alias("field_path"), leaf["value"].alias("value"),
-                F.try_element_at(members(F.col("confidences")), leaf["path"]).alias("raw_confidence"),
-                F.try_element_at(members(F.col("excerpts")), leaf["path"]).alias("raw_excerpt")))))
+                F.try_element_at(F.col("confidences"), leaf["path"]).alias("raw_confidence"),
+                F.try_element_at(F.col("excerpts"), leaf["path"]).alias("raw_excerpt")))))
     return leaves.withColumn("value_json", json_text(F.col("value"))).drop("value")
 
 
 def clamp_confidence(raw: Column, default: Column | float) -> Column:
     """A number, or text that is one, cut to [0, 1]; anything else gives the default."""
-    number = strip(raw).try_cast("double")
-    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)) + F.lit(0.0)
-    return F.coalesce(clamped, default if isinstance(default, Column) else F.lit(float(default)))
+    # least/greatest skip nulls, so text that is no number has to be told apart first.
+    fallback = default if isinstance(default, Column) else F.lit(float(default))
+    return let(strip(raw).try_cast("double"), lambda n: F.when(n.isNull(), fallback).otherwise(
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), n)) + F.lit(0.0)))
 
 
 def variant_number_text(v: Column) -> Column:
@@ -242,7 +246,7 @@ def extraction_summary(fields: DataFrame, mode: str = "single") -> DataFrame:
 def section_table(spark: SparkSession, sections: dict = config.SECTIONS) -> DataFrame:
     rows = [(name, s["schema_keys"], s["search_headers"], s["max_chars"], s.get("note", ""))
             for name, s in sections.items()]
-    return spark.createDataFrame(
+    return small_table(spark, 
         rows, "name STRING, schema_keys ARRAY<STRING>, search_headers ARRAY<STRING>, max_chars INT, note STRING")
 
 

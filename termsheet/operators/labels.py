@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from termsheet import config, schemas
 from termsheet.functions.text import blank_to_null, normalise_label, slug, strip
+from termsheet.session import small_table
 
 
 def label_table(spark: SparkSession, user: list[tuple[str, str]] = (),
@@ -14,7 +15,7 @@ def label_table(spark: SparkSession, user: list[tuple[str, str]] = (),
     rows = [(1, None, i, label, path) for i, (label, path) in enumerate(config.shared_label_rows())]
     rows += [(2, None, i, label, path) for i, (label, path) in enumerate(user)]
     rows += [(3, key, i, label, path) for i, (key, label, path) in enumerate(issuer)]
-    return spark.createDataFrame(rows, schemas.LABELS)
+    return small_table(spark, rows, schemas.LABELS)
 
 
 def merge_layers(labels: DataFrame) -> DataFrame:

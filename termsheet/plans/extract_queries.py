@@ -69,7 +69,8 @@ def e5(spark, sf):
 
 @query("e6_clamp_confidence", """
 SELECT filing_id, ord, field_path, value_json, CASE WHEN conf = 'true' THEN 1.0::double
-  ELSE coalesce(least(1, greatest(0, try_cast(trim(conf) AS double))), CASE WHEN value_json IS NULL THEN 0 ELSE 0.5 END) END
+  WHEN try_cast(trim(conf) AS double) IS NULL THEN CASE WHEN value_json IS NULL THEN 0 ELSE 0.5 END
+  ELSE least(1, greatest(0, try_cast(trim(conf) AS double))) END
   AS confidence, substr(coalesce(exc, ''), 1, 500) AS excerpt FROM {flat_answers}""")
 def e6(spark, sf):
     return ops.answer_fields(flat(spark, sf))

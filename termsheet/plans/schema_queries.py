@@ -337,9 +337,8 @@ def g3b(spark, sf):
 domain.TABLES["run_calls"] = """
 SELECT filing_id, issuer_name, phase, CASE WHEN n % 17 = 0 THEN 'timeout' END AS error, status, model, confidence,
   CASE WHEN phase = 'extract' THEN CASE n % 5 WHEN 0 THEN 'Classification Confidence 0.5 is low' WHEN 1 THEN 'blocked by GATE' WHEN 2 THEN 'bad request' END END AS message
-FROM (SELECT f.*, p.phase, o_orderkey + o_custkey AS n FROM (SELECT * FROM {filings}) f
-  JOIN {orders} o ON f.filing_id = cast(o.o_orderkey AS string)
-  JOIN (SELECT 'classify' AS phase UNION ALL SELECT 'extract' AS phase) p ON p.phase <> f.status) t"""
+FROM (SELECT *, 'classify' AS phase, cast(accession_raw AS bigint) + cast(cik AS bigint) AS n FROM {filings}
+  UNION ALL SELECT *, 'extract' AS phase, cast(accession_raw AS bigint) * 3 + cast(cik AS bigint) AS n FROM {filings}) t"""
 _CLASSIFY = """CASE WHEN error IS NOT NULL THEN 'failed' WHEN status = 'classified' AND confidence >= 0.8::double THEN 'ok'
   WHEN status = 'needs_review' THEN 'needs_review' WHEN model = 'unknown' THEN 'unknown' ELSE 'ok' END"""
 

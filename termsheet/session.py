@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(name: str = "termsheet", cores: str | int = "*",
@@ -28,6 +31,30 @@ def local_session(name: str = "termsheet", cores: str | int = "*",
     return spark
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators count on; all of them may be changed on a live session.
+
+    One key may hold a third of a table.  Adaptive execution then splits the hot partition of a
+    join, also where that costs a later aggregate a shuffle of its already reduced rows.
+    """
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                "spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.sql.adaptive.coalescePartitions.enabled"):
+        spark.conf.set(key, "true")
+    return spark
+
+
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A configuration table whose size the optimizer knows.
+
+    Rows handed over as Arrow become a local relation with exact statistics, so joins broadcast
+    it by its size; a plain Python list would have none and would cost the large side a shuffle.
+    """
+    schema = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([row[i] for row in rows], type=field.type) for i, field in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 

@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from termsheet import schemas
+from termsheet.session import small_table
 
 try:
     import yaml
@@ -33,7 +34,7 @@ def read_labels(spark: SparkSession, shared: str, user: str | None = None, hints
     if hints_dir:
         for block in issuer_blocks(hints_dir):
             rows += [(3, block["issuer_key"], i, a, b) for i, (a, b) in enumerate(_strings(block.get("table_labels")))]
-    return spark.createDataFrame(rows, schemas.LABELS)
+    return small_table(spark, rows, schemas.LABELS)
 
 
 def issuer_blocks(hints_dir: str) -> list[dict]:
@@ -56,9 +57,9 @@ def read_issuer_hints(spark: SparkSession, hints_dir: str) -> tuple[DataFrame, D
                 b.get("document_structure"), b.get("general_notes")) for b in blocks]
     hints = [(b["issuer_key"], path, ", ".join(h.get("synonyms") or []), h.get("label_in_doc"), h.get("format"),
               h.get("typical_location")) for b in blocks for path, h in (b.get("field_hints") or {}).items()]
-    return (spark.createDataFrame(issuers, "issuer_key STRING, section_headings ARRAY<STRING>, key_terms_position STRING, "
+    return (small_table(spark, issuers, "issuer_key STRING, section_headings ARRAY<STRING>, key_terms_position STRING, "
                                            "document_structure STRING, general_notes STRING"),
-            spark.createDataFrame(hints, "issuer_key STRING, field_path STRING, synonyms STRING, label_in_doc STRING, "
+            small_table(spark, hints, "issuer_key STRING, field_path STRING, synonyms STRING, label_in_doc STRING, "
                                          "format STRING, location STRING"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from termsheet.functions.text import (
     accession_folder, blank_to_null, drop_leading_zeros, normalise_accession, strip)
+from termsheet.session import small_table
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +75,7 @@ def cusip_map(rows: DataFrame, order: str) -> DataFrame:
     """The mapping sheet: header names in any case, cells trimmed, blanks dropped, last row wins."""
     named = {c.strip().lower(): c for c in rows.columns}
     if "cusip" not in named or "spectrum" not in named:
-        return rows.sparkSession.createDataFrame([], "cusip STRING, model STRING, source_url STRING")
+        return small_table(rows.sparkSession, [], "cusip STRING, model STRING, source_url STRING")
 
     def cell(name: str) -> Column:
         return strip(F.coalesce(F.col(f"`{named[name]}`").cast("string"), F.lit(""))) if name in named else F.lit("")
@@ -135,5 +136,5 @@ def usage_rows(calls: DataFrame) -> DataFrame:
 
 def migrated(table: DataFrame, ddl: str) -> DataFrame:
     """An older table in today's schema: missing columns are null, extra ones stay."""
-    empty = table.sparkSession.createDataFrame([], ddl)
+    empty = small_table(table.sparkSession, [], ddl)
     return empty.unionByName(table, allowMissingColumns=True)
