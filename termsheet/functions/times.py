@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from termsheet.functions.text import let
-
 
 def wall_clock(c: Column) -> Column:
     """ISO text as a zone-less timestamp; null where it is not a timestamp."""
@@ -19,12 +17,12 @@ def week_label(ts: Column) -> Column:
 
 
 def bucket_label(ts: Column, granularity: str) -> Column:
-    """Day, week or month label of a timestamp, which is evaluated once."""
+    """Day, week or month label of a timestamp column."""
     labels = {"day": lambda t: F.date_format(t, "yyyy-MM-dd"), "month": lambda t: F.date_format(t, "yyyy-MM"),
               "week": week_label}
     if granularity not in labels:
         raise ValueError(f"granularity must be day, week or month, not {granularity!r}")
-    return let(ts, labels[granularity])
+    return labels[granularity](ts)
 
 
 def seconds_between(start: Column, end: Column) -> Column:

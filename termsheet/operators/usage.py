@@ -224,9 +224,8 @@ def model_comparison(costed: DataFrame, pricing: list[dict]) -> DataFrame:
 def timeline(costed: DataFrame, granularity: str = "week") -> DataFrame:
     """Spend per day, week or month, split into classify and extract; bad times skipped."""
     is_classify = F.coalesce(F.col("call_type"), F.lit("")).startswith("classify")
-    label = bucket_label(wall_clock(F.col("called_at")), granularity)
-    return (costed.withColumn("label", label).filter(F.col("label").isNotNull())
-            .groupBy("label").agg(
+    timed = costed.withColumn("at", wall_clock(F.col("called_at"))).filter(F.col("at").isNotNull())
+    return (timed.groupBy(bucket_label(F.col("at"), granularity).alias("label")).agg(
                 _sum_units(F.when(is_classify, F.col("cost_units")), "classify"),
                 _sum_units(F.when(~is_classify, F.col("cost_units")), "extract"),
                 _sum_units("savings_units", "savings"), F.count("*").alias("calls"))
