@@ -38,7 +38,7 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
     started = time.time()
     df = catalog.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
-    mine = Counter(tuple(plain(v) for v in row) for row in df.select(*[f"`{c}`" for c in columns]).toLocalIterator())
+    mine = Counter(tuple(plain(v) for v in row) for row in df.select(*[f"`{c}`" for c in columns]).collect())
     took = time.time() - started
     if name not in catalog.ORACLES:
         return True, f"{sum(mine.values())} rows, no SQL check, {took:.1f}s"
