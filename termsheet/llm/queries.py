@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termsheet.llm import common, rules, shards
-from termsheet.session import tune
+from termsheet.llm import common, rules, shards, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -13,7 +12,7 @@ ORACLES = {}
 
 def query(name: str, oracle: str | None = None):
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(common.tune(spark), sf_dir)
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
@@ -33,3 +32,13 @@ def op7_interleave(spark, sf_dir):
 def op9_quality_rules(spark, sf_dir):
     judged = rules.risk_controlled(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
+@query("op5_simhash_trie")
+def op5_simhash_trie(spark, sf_dir):
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    return toxicity.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))

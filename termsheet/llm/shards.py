@@ -13,7 +13,7 @@ OUTPUT = ("shard", "slot")
 
 
 def interleave(df: DataFrame, shards: int = 24, stratum: str = "source", key: str = "doc_id",
-               seed: str = "interleave", rows_per_bucket: int = 50_000) -> DataFrame:
+               seed: str = "interleave") -> DataFrame:
     """Deals all rows to ``shards`` shards of equal row counts that each hold the sources in proportion.
 
     Within a source, rows are ordered by the MD5 of seed and key: a seeded shuffle.  Row r (from 0) of
@@ -21,7 +21,8 @@ def interleave(df: DataFrame, shards: int = 24, stratum: str = "source", key: st
     so that many small sources do not all meet at one place.  All rows sorted by fractional rank are cut
     into consecutive shards whose counts differ by at most one; ``slot`` counts a shard's rows from 0.
 
-    Ranks are taken in buckets of the hash and of the fractional rank, so a source that holds a third of
+    Ranks are taken in buckets of the hash and of the fractional rank, as many as the root of the row
+    count and each as large, so a source that holds a third of
     all rows is spread over many tasks.  Null sources are a source of their own, ordered last; a null key
     counts as empty text.  Rows with equal keys are ordered by a hash of the whole row; rows equal in
     everything are interchangeable.  Columns named ``shard`` or ``slot`` are replaced; an empty table
@@ -30,7 +31,7 @@ def interleave(df: DataFrame, shards: int = 24, stratum: str = "source", key: st
     df = df.drop(*[c for c in df.columns if c.lower() in OUTPUT])
     columns = df.columns
     n = df.count()
-    buckets = max(1, math.ceil(n / rows_per_bucket))
+    buckets = max(1, math.isqrt(n))
     name = {c: common.fresh(df, f"_il_{c}") for c in
             ("none", "stratum", "digest", "bucket", "tie", "rank", "size", "part", "cut", "place", "all")}
     col = {c: F.col(v) for c, v in name.items()}
