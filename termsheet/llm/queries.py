@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termsheet.llm import common, rules, shards, simhash, toxicity
+from termsheet.llm import common, decontam, mixture, rules, shards, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -42,3 +42,13 @@ def op5_simhash_trie(spark, sf_dir):
 @query("op10_toxicity")
 def op10_toxicity(spark, sf_dir):
     return toxicity.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+@query("op1_decontaminate")
+def op1_decontaminate(spark, sf_dir):
+    return decontam.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_mixture")
+def op8_mixture(spark, sf_dir):
+    return mixture.taken(common.table(spark, sf_dir, "documents"))
