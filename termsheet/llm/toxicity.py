@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termsheet.llm import common
+from termsheet.session import work_folder
 
 #: Words that name groups of people.  Words of one line can stand for each other.
 IDENTITY_TERMS = [
@@ -132,21 +133,21 @@ def fit(rows: list, size: int, penalty: float = 1.0, ridge: float = 0.02, steps:
 def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, max_rows: int = 20_000, size: int = 4096) -> tuple[dict[str, float], float]:
     """Word weights and offset, learnt from labelled texts whose crc32(doc_id) mod 5 is not 0.
 
-    The vocabulary rests on all of these texts; weights are fitted to at most ``max_rows`` of them, a
-    seeded sample, which with ``size`` bounds what the driver holds.  Ids with contradicting labels count
-    as not toxic; each distinct text counts once.
+    The classifier is fitted to a seeded sample of at most ``max_rows`` labelled ids; this bounds the
+    broadcast ids, the texts that are moved and, with ``size``, what the driver holds.  Ids with
+    contradicting labels count as not toxic; each distinct text of the sample counts once.
     """
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
              .agg(F.min(F.col("toxic").cast("int")).alias("toxic")))
-    learnt = known.where(common.id_remainder(F.col("doc_id"), 5) != 0)
-    labelled = docs.select("doc_id", "text").join(learnt, "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(
-        F.min_by("text", "doc_id").alias("text"), F.min_by("toxic", "doc_id").alias("toxic"))
-    from termsheet.session import reliable_checkpoint
-    labelled = reliable_checkpoint(labelled)
+    learnt = known.where(common.id_remainder(F.col("doc_id"), 5) != 0).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
+    folder = work_folder(docs.sparkSession, "toxicity-sample")
+    (docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(learnt), "doc_id")
+     .groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).write.parquet(folder))
+    labelled = docs.sparkSession.read.schema("h BIGINT, text STRING, toxic INT").parquet(folder)
     total, toxic = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     words = vocabulary(labelled, total, toxic, size)
-    sample = labelled.orderBy(F.md5(F.col("h").cast("string")), "h").limit(max_rows)
-    weights, offset = fit(_rows(sample, words).collect(), len(words), penalty)
+    rows = _rows(labelled.orderBy("h").limit(max_rows), words).collect()
+    weights, offset = fit(sorted(rows, key=lambda r: (r["toxic"], r["ids"], r["swaps"])), len(words), penalty)
     return {w: float(x) for w, x in zip(words, weights, strict=True) if x}, offset
 
 
