@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from termsheet.llm import common, decontam, mixture, rules, shards, simhash, toxicity
+from termsheet.llm import common, decontam, mixture, rules, shards, simhash, spans, tokens, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -52,3 +53,17 @@ def op1_decontaminate(spark, sf_dir):
 @query("op8_mixture")
 def op8_mixture(spark, sf_dir):
     return mixture.taken(common.table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark, sf_dir):
+    counted = tokens.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query("op6_sentence_spans")
+def op6_sentence_spans(spark, sf_dir):
+    found = spans.dedup(common.table(spark, sf_dir, "documents"))
+    size = lambda c: F.octet_length(c).cast("long")
+    return found.select("doc_id", size("text").alias("n_bytes"), (size("text") - size("kept")).alias("n_removed"),
+                        F.col("n_removed").cast("long").alias("n_removed_sentences"), F.sha2("kept", 256).alias("kept_sha256"))
