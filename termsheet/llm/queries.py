@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from termsheet.llm import common, decontam, mixture, rules, shards, simhash, spans, tokens, toxicity
+from termsheet.llm import common, decontam, langid, mixture, rules, shards, simhash, spans, tokens, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -67,3 +67,8 @@ def op6_sentence_spans(spark, sf_dir):
     size = lambda c: F.octet_length(c).cast("long")
     return found.select("doc_id", size("text").alias("n_bytes"), (size("text") - size("kept")).alias("n_removed"),
                         F.col("n_removed").cast("long").alias("n_removed_sentences"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_language")
+def op4_language(spark, sf_dir):
+    return langid.classify(common.table(spark, sf_dir, "documents"))
