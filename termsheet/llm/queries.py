@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from termsheet.llm import common, decontam, langid, mixture, rules, shards, simhash, spans, tokens, toxicity
+from termsheet.llm import common, decontam, langid, mixture, rules, shards, simhash, spans, suffixes, tokens, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -72,3 +72,11 @@ def op6_sentence_spans(spark, sf_dir):
 @query("op4_language")
 def op4_language(spark, sf_dir):
     return langid.classify(common.table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf_dir):
+    found = suffixes.dedup(common.table(spark, sf_dir, "documents"))
+    size = lambda c: F.octet_length(c).cast("long")
+    return found.select("doc_id", size("text").alias("n_bytes"), (size("text") - size("kept")).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
