@@ -149,7 +149,8 @@ def mix(docs: DataFrame, block: int = 64, shards: int = 64, seed: int = 42, weig
     lo = F.greatest(F.col("block") * block - F.col("at"), F.lit(0))
     hi = F.least((F.col("block") + 1) * block - F.col("at"), F.col("size"))
     spans = spans.withColumn("lo", lo).withColumn("hi", hi).drop("source_size")
-    pieces = spans.join(slots, ["none", "stratum", "block"])
+    # Exploded slots look as small as the rows they come from; without the hint they would be broadcast.
+    pieces = spans.join(slots.hint("merge"), ["none", "stratum", "block"])
     wanted = spark.createDataFrame([(r["none"], r["stratum"], w) for r, w in sources], "none BOOLEAN, stratum STRING, target DOUBLE")
     return pieces, stream.join(F.broadcast(wanted), ["none", "stratum"])
 
