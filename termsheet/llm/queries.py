@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from termsheet.llm import common, decontam, langid, mixture, rules, shards, simhash, spans, suffixes, tokens, toxicity
+from termsheet.llm import common, decontam, langid, mixture, oracles, rules, shards, simhash, spans, suffixes, tokens, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -20,7 +20,7 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-@query("op7_interleave")
+@query("op7_interleave", oracles.OP7)
 def op7_interleave(spark, sf_dir):
     text = common.text_or_empty().cast("binary")
     rows = common.table(spark, sf_dir, "documents").select(
@@ -29,7 +29,7 @@ def op7_interleave(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op9_quality_rules")
+@query("op9_quality_rules", oracles.op9())
 def op9_quality_rules(spark, sf_dir):
     judged = rules.risk_controlled(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
@@ -61,7 +61,7 @@ def op2_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-@query("op6_sentence_spans")
+@query("op6_sentence_spans", oracles.op6())
 def op6_sentence_spans(spark, sf_dir):
     found = spans.dedup(common.table(spark, sf_dir, "documents"))
     size = lambda c: F.octet_length(c).cast("long")
