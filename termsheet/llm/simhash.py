@@ -145,7 +145,7 @@ def links(distinct: DataFrame, budget: int = 4, subtrie: int = 1 << 14) -> DataF
              .withColumn("q", F.col("p").bitwiseXOR(F.col("q")))
              .select("view", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "fp"))
 
-    def walk(key, group: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         view, a, b = (int(x) for x in key)
         values = np.sort(group["fp"].to_numpy().view(np.uint64))
         forest = _Forest(len(values))

@@ -77,26 +77,30 @@ def vocabulary(labelled: DataFrame, total: int, toxic: int, size: int = 4096, ch
 
 
 def _rows(labelled: DataFrame, words: list[str]) -> DataFrame:
-    """(toxic, ids, swaps): the known words of a text, and for its sentences that name a group the pairs
-    [word, word put in its place] as they alternate in ``swaps``."""
+    """(toxic, ids, swaps): the known features of a text, and for every sentence that names a group and every
+    word that can stand in its place the features that come (id + 1) and go (-id - 1)."""
     index = {w: i for i, w in enumerate(words)}
     partners = _partners()
 
+    def swapped(named: set[str], out: str, put: str) -> tuple[int, ...]:
+        before, after = features(" ".join(named)), features(" ".join(named - {out} | {put}))
+        return tuple(sorted([index[f] + 1 for f in after - before if f in index] + [-index[f] - 1 for f in before - after if f in index]))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, swaps = [], []
             for text in batch["text"]:
                 found = features(text)
                 ids.append(sorted(index[w] for w in found if w in index))
-                pairs = []
+                changes = set()
                 if any(w in partners for w in found):
                     for sentence in _SENTENCE.findall((text or "").lower()):
                         named = tokens(sentence)
-                        pairs += [(index[w], index[x]) for w in sorted(named) for x in partners.get(w, ()) if x not in named]
-                swaps.append([i for pair in sorted(set(pairs)) for i in pair])
+                        changes |= {swapped(named, w, x) for w in named for x in partners.get(w, ()) if x not in named}
+                swaps.append([list(c) for c in sorted(changes) if c])
             yield pd.DataFrame({"toxic": batch["toxic"], "ids": ids, "swaps": swaps})
 
-    return labelled.select("toxic", "text").mapInPandas(run, "toxic INT, ids ARRAY<INT>, swaps ARRAY<INT>")
+    return labelled.select("toxic", "text").mapInPandas(run, "toxic INT, ids ARRAY<INT>, swaps ARRAY<ARRAY<INT>>")
 
 
 def fit(rows: list, size: int, penalty: float = 1.0, ridge: float = 0.02, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -109,7 +113,10 @@ def fit(rows: list, size: int, penalty: float = 1.0, ridge: float = 0.02, steps:
     lengths = np.array([len(r["ids"]) for r in rows], int)
     ids = np.array([i for r in rows for i in r["ids"]], int)
     of = np.repeat(np.arange(len(rows)), lengths)
-    swaps = np.array([i for r in rows for i in r["swaps"]], int).reshape(-1, 2)
+    changes = [c for r in rows for c in r["swaps"]]
+    signed = np.array([i for c in changes for i in c], int)
+    moved, sign = np.abs(signed) - 1, np.sign(signed).astype(float)
+    swap = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
     offset = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5)))
     weights = np.zeros(size)
     if not 0 < y.sum() < len(y):
@@ -119,9 +126,9 @@ def fit(rows: list, size: int, penalty: float = 1.0, ridge: float = 0.02, steps:
         z = offset + np.bincount(of, weights[ids], len(y))
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
         grad = np.bincount(ids, error[of], size) + ridge * weights / size
-        if len(swaps):
-            change = (weights[swaps[:, 1]] - weights[swaps[:, 0]]) * (2 * penalty / len(swaps))
-            grad += np.bincount(swaps[:, 1], change, size) - np.bincount(swaps[:, 0], change, size)
+        if changes:
+            change = np.bincount(swap, sign * weights[moved], len(changes)) * (2 * penalty / len(changes))
+            grad += np.bincount(moved, sign * change[swap], size)
         speed, square = 0.9 * speed + 0.1 * grad, 0.99 * square + 0.01 * grad ** 2
         weights -= 0.1 * (speed / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-6)
         b = error.sum()
