@@ -28,8 +28,7 @@ class Items:
         split = [_WORD.findall((t or "").lower()) for t in texts]
         self.numbers = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split for w in ws), 1)}
         self.words = [np.array([self.numbers[w] for w in ws], np.int64) for ws in split]
-        rows = [(g, i, p) for i, ws in enumerate(self.words) for p, g in enumerate(map(tuple, np.lib.stride_tricks.sliding_window_view(ws, n))) ] if n and any(
-            len(w) >= n for w in self.words) else []
+        rows = [(tuple(ws[p:p + n].tolist()), i, p) for i, ws in enumerate(self.words) for p in range(len(ws) - n + 1)]
         self.grams = {g: k for k, g in enumerate(dict.fromkeys(g for g, _, _ in rows))}
         self.at = [(self.grams[g], i, p) for g, i, p in rows]
         self.seeds: dict[int, list[tuple[int, int]]] = {}
