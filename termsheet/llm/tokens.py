@@ -24,17 +24,24 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _pieces(text: str) -> list[bytes]:
+    """The text between white space.  Tokens are of lower-cased text, but special strings are looked for before."""
+    data = text.encode("utf-8", "surrogatepass")
+    return data.split() if b"<|" in data else data.lower().split()
+
+
 def _counter(path: str):
     """A column function from texts to token counts.
 
     White space separates tokens whatever stands around it, so a text's tokens are those of the pieces
-    between; equal pieces are encoded once in a task, as long as the memory of them stays small.
+    between; pieces equal but for the case of ASCII letters are encoded once in a task, as long as the memory
+    of them stays small.
     """
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode, known = tokenizer(path), {}
         for texts in batches:
-            split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+            split = [_pieces(t) for t in texts]
             new = list({w for ws in split for w in ws if w not in known})
             for at in range(0, len(new), 10_000):
                 part = new[at:at + 10_000]
@@ -125,9 +132,8 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = 32_768, overlap: int =
     """doc_id, n_bytes and n_tokens of every row of ``docs`` (doc_id, text), as the tokenizer file at ``path`` counts.
 
     The file's library counts whole texts: special strings count as it takes them, no special tokens are
-    added, nothing is cut off or padded.  Texts of more than ``chunk`` characters, which only sit on one
-    task otherwise, are encoded in overlapping chunks (:func:`huge_counts`), each distinct text once.  This holds for tokenizers
-    that drop white space, so that no token spans it.  Null and empty texts have no tokens; repeated rows
+    added, nothing is cut off or padded.  The file must drop white space and case, and write special strings as <|...|>.  Texts of more than ``chunk`` characters, which only sit on one
+    task otherwise, are encoded in overlapping chunks (:func:`huge_counts`), each distinct text once.   Null and empty texts have no tokens; repeated rows
     and null ids are counted like others; extra columns are not looked at; an empty table gives an empty result.
     """
     spark = docs.sparkSession
