@@ -106,8 +106,20 @@ def observation_value(raw: Column) -> Column:
     return _keyword(raw, config.OBSERVATION_WORDS)
 
 
-def _numeric_json(value: Column) -> Column:
-    return value.cast("string")
+def number_text(value: Column) -> Column:
+    """A double as JSON text: shortest digits, at least one decimal, an exponent only from 1e16 up and below 1e-4."""
+    def text(n: Column) -> Column:
+        digits = n.cast("string")
+        plain = F.regexp_replace(digits.cast("decimal(38,20)").cast("string"), "0+$", "")
+        power = F.substring_index(digits, "E", -1).cast("int")
+        scientific = F.concat(F.regexp_replace(F.substring_index(digits, "E", 1), r"\.0$", ""), F.lit("e"),
+                              F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
+                              F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
+        return (F.when(~digits.contains("E"), digits)
+                .when((F.abs(n) >= 1e-4) & (F.abs(n) < 1e16), F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain))
+                .otherwise(scientific))
+
+    return let(value, text)
 
 
 def _tagged_json(name: Column) -> Column:
@@ -118,9 +130,9 @@ def _tagged_json(name: Column) -> Column:
 _KINDS = {
     "text": (text_value, json_string),
     "date": (date_value, json_string),
-    "percentage": (rate_value, _numeric_json),
-    "amount": (amount_value, _numeric_json),
-    "number": (number_value, _numeric_json),
+    "percentage": (rate_value, number_text),
+    "amount": (amount_value, number_text),
+    "number": (number_value, number_text),
     "cusip": (cusip_value, json_string),
     "isin": (isin_value, json_string),
     "currency": (currency_value, json_string),

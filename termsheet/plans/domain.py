@@ -116,9 +116,12 @@ SELECT cast(l_orderkey AS string) AS filing_id,
       WHEN 0 THEN cast(l_linenumber AS string) || '.50% per annum or 0.25% per month'
       WHEN 1 THEN '$8.75 per $1,000, ' || cast(l_linenumber AS string) || '.125% (0.875% monthly)'
       ELSE 'at least ' || cast(l_linenumber * 10 AS string) || '.00% of face, 0.5% per month' END
-    WHEN 3 THEN CASE WHEN l_tax = 0 THEN 'N/A' ELSE 'US$ ' || cast(l_linenumber AS string) || ','
+    WHEN 3 THEN CASE WHEN l_tax = 0 THEN 'N/A' WHEN l_tax = 0.01 THEN 'US$ ' || cast(l_linenumber AS string) || '5,000,000'
+      WHEN l_tax = 0.02 THEN cast(l_linenumber AS string) || ',234,567,890.25' WHEN l_tax = 0.03 THEN '$0.000' || cast(l_linenumber AS string)
+      WHEN l_tax = 0.04 THEN '$' || cast(l_linenumber AS string) || '0,000,000,000' ELSE 'US$ ' || cast(l_linenumber AS string) || ','
       || lpad(cast(l_partkey % 1000 AS string), 3, '0') || '.50 per note' END
-    WHEN 4 THEN '$' || cast(l_linenumber AS string) || ',' || lpad(cast(l_partkey % 1000 AS string), 3, '0') || '.25'
+    WHEN 4 THEN CASE WHEN l_tax = 0.01 THEN '$' || cast(l_linenumber AS string) || '5,000,000.' WHEN l_tax = 0.02 THEN '0.000' || cast(l_linenumber AS string) ELSE
+      '$' || cast(l_linenumber AS string) || ',' || lpad(cast(l_partkey % 1000 AS string), 3, '0') || '.25' END
     WHEN 5 THEN CASE l_linenumber % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'U.S. dollars'
       WHEN 2 THEN 'Pesos' ELSE ' eur (Euro) ' END
     WHEN 6 THEN CASE l_linenumber WHEN 1 THEN 'Monthly' WHEN 2 THEN 'every six months'

@@ -67,3 +67,10 @@ def test_registry_kinds_are_known(spark):
 def test_generic_paths_stay_text_without_alias(one):
     assert one(lambda c: values.typed_json(F.lit(None).cast("string"), c), " March 1, 2030 ") == '"March 1, 2030"'
     assert one(lambda c: values.typed_json(F.lit("date"), c), " March 1, 2030 ") == '"2030-03-01"'
+
+
+def test_number_text_is_plain(spark):
+    numbers = [25_000_000.0, 1_234_567_890.0, 0.0005, 0.00001234, 0.0001, 1e15, 9999999999999998.0, 1e16, 1.5e300, 2.5e-7, 0.0, 100000.5,
+               0.1 + 0.2, 12345678.901234567, -3e7, 1e7]
+    df = spark.createDataFrame([(n,) for n in numbers], "n DOUBLE")
+    assert [r[0] for r in df.select(values.number_text(df.n)).collect()] == [repr(n) for n in numbers]
