@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,32 +40,39 @@ def runs(text: str | None, sentences: int, min_words: int) -> list[tuple[int, in
 
 
 def span_table(docs: DataFrame, sentences: int, min_words: int) -> DataFrame:
-    """doc_id, tie, first, last, h1, h2 of every run of every row of ``docs`` (doc_id, tie, text)."""
+    """document, h1, h2, again for every different run of every row of ``docs`` (document, text); ``again``
+    tells whether the text holds it more than once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):              # few texts at once: their runs outnumber them
                 part = batch.slice(at, 100)
-                each = [runs(t, sentences, min_words) for t in part.column("text").to_pylist()]
+                each = [Counter(r[2:] for r in runs(t, sentences, min_words)) for t in part.column("text").to_pylist()]
                 of = pa.array(np.repeat(np.arange(len(each)), [len(e) for e in each]))
-                rows = [r for e in each for r in e]
+                rows = [(h1, h2, n > 1) for e in each for (h1, h2), n in e.items()]
                 whole = lambda k: pa.array(np.array([r[k] for r in rows], np.uint64).view(np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(of), part.column("tie").take(of), pa.array([r[0] for r in rows], pa.int32()),
-                     pa.array([r[1] for r in rows], pa.int32()), whole(2), whole(3)],
-                    names=["doc_id", "tie", "first", "last", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([part.column("document").take(of), whole(0), whole(1), pa.array([r[2] for r in rows], pa.bool_())],
+                                                 names=["document", "h1", "h2", "again"])
 
-    return docs.select("doc_id", "tie", "text").mapInArrow(run, "doc_id BIGINT, tie BIGINT, first INT, last INT, h1 BIGINT, h2 BIGINT")
+    return docs.select("document", "text").mapInArrow(run, "document BIGINT, h1 BIGINT, h2 BIGINT, again BOOLEAN")
 
 
-def _remover():
-    """A column function from a text and its repeated spans to what is kept and how many sentences went."""
+def _remover(sentences: int, min_words: int):
+    """A column function from a text and the hashes of its repeated runs to what is kept and how many sentences went."""
     @F.pandas_udf("struct<kept:string,n_removed:int>")
     def remove(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans in batches:
+        for texts, repeated in batches:
             kept, removed = [], []
-            for text, covered in zip(texts, spans, strict=True):
-                parts = _SENTENCE.findall(text)
-                out = {k for s in covered for k in range(s["first"], s["last"] + 1) if parts[k].split()}
+            for text, found in zip(texts, repeated, strict=True):
+                if text is None:
+                    kept.append(None)
+                    removed.append(0)
+                    continue
+                gone = {(r["h1"] % 2 ** 64, r["h2"] % 2 ** 64): r["first_too"] for r in found}
+                out, seen, parts = set(), set(), _SENTENCE.findall(text)
+                for first, last, *key in runs(text, sentences, min_words):
+                    if gone.get(tuple(key), False) or tuple(key) in gone and tuple(key) in seen:
+                        out |= {k for k in range(first, last + 1) if parts[k].encode("utf-8", "surrogatepass").split()}
+                    seen.add(tuple(key))
                 kept.append("".join(p for k, p in enumerate(parts) if k not in out))
                 removed.append(len(out))
             yield pd.DataFrame({"kept": kept, "n_removed": removed})
@@ -77,28 +85,27 @@ def dedup(docs: DataFrame, sentences: int = 2, min_words: int = 20) -> DataFrame
 
     A span is a run of consecutive sentences: from every sentence on, the shortest run of at least
     ``sentences`` sentences and ``min_words`` words (short sentences alone repeat by chance).  Spans are
-    equal if their lower-cased words are, sentence by sentence; 128-bit hashes stand for them.  Of equal spans, in one
-    document or many, the first stays: the one with the smallest id (null last), then text hash, then place.
-    Sentences with words that any other of them covers are removed, n_removed of them.
-
-    Spans are counted by half of their hash; those that occur more than once are looked up, by the whole
-    hash, for their first place.  Joins can split a hot hash; lists are only of one document's spans.  A null text counts as empty and is returned as such;
-    rows equal in id and text are one document, so each gets the same result.  Extra columns are not looked at, an empty table
-    gives an empty result.
+    equal if their lower-cased words are, sentence by sentence; 128-bit hashes stand for them.  Of equal
+    spans the first stays: the first in the document with the smallest id.  Sentences with words that any
+    other of them covers are removed, n_removed of them.
+
+    Every document sends each of its spans' hashes once; a hash's smallest document is found by sums that start before
+    the shuffle, and the join that brings it back can split a hot hash.  Lists are only of one document's
+    spans.  Documents with a null id come after all others, ordered by a hash of their text, and so do not need one; rows
+    that share an id are one document in this order, so spans that only they share stay.  Null texts count as
+    empty and are returned so.  Extra columns are not looked at, an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "first")
+    late = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    rows = rows.withColumn("document", F.coalesce("doc_id", late))
     table = span_table(rows, sentences, min_words)
-    often = table.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
-    again = reliable_checkpoint(table.join(often, "h1"))
-    firsts = again.groupBy("h1", "h2").agg(F.min(place).alias("p"))
-    other = again.join(firsts, ["h1", "h2"]).where(
-        "NOT doc_id <=> p.doc_id OR tie <> p.tie OR first <> p.first").select("doc_id", "tie", "first", "last").distinct()
-    covered = other.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "tie").agg(
-        F.collect_list(F.struct("first", "last")).alias("spans"))
-    found = (rows.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
-             .join(covered, ["_id", "_none", "tie"], "left"))
-    touched = found.where("spans IS NOT NULL").withColumn("r", _remover()("text", "spans")).select(
-        "doc_id", "text", "r.kept", "r.n_removed")
-    return touched.unionByName(found.where("spans IS NULL").select("doc_id", "text", F.col("text").alias("kept"), F.lit(0).alias("n_removed")))
+    # Written out, so that both sides of the join are plain shuffles, of which a hot one can be split.
+    firsts = reliable_checkpoint(
+        table.groupBy("h1", "h2").agg(F.min("document").alias("least"), F.max("document").alias("most"), F.max("again").alias("twice"))
+        .where("least <> most OR twice").select("h1", "h2", "least"))
+    repeated = table.join(firsts, ["h1", "h2"]).withColumn("first_too", F.col("document") != F.col("least")).where("first_too OR again")
+    covered = repeated.groupBy("document").agg(F.collect_list(F.struct("h1", "h2", "first_too")).alias("spans"))
+    found = rows.join(covered, "document", "left")
+    touched = F.when(F.col("spans").isNotNull(), F.col("text"))   # only these go to Python
+    found = found.withColumn("r", _remover(sentences, min_words)(touched, "spans"))
+    return found.select("doc_id", "text", F.coalesce("r.kept", "text").alias("kept"), F.coalesce("r.n_removed", F.lit(0)).alias("n_removed"))
