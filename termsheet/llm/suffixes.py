@@ -358,6 +358,10 @@ def _cutter():
         for texts, ranges in batches:
             kept, spans = [], []
             for text, found in zip(texts, ranges, strict=True):
+                if text is None:
+                    kept.append(None)
+                    spans.append(None)
+                    continue
                 data, merged = text.encode("utf-8", "surrogatepass"), []
                 for start, end in sorted((r["start"], r["end"]) for r in found):
                     if merged and start <= merged[-1][1]:
@@ -404,7 +408,7 @@ def dedup(docs: DataFrame, length: int = 400, range_bytes: int = 16 << 20) -> Da
     ranges = repeat_table(runs, length).groupBy(F.col("doc_id").alias("_id"), F.col("none").alias("_none"), "tie").agg(
         F.collect_list(F.struct("start", "end")).alias("ranges"))
     found = keyed.join(ranges, on, "left")
-    cut = found.where("ranges IS NOT NULL").withColumn("r", _cutter()("text", "ranges")).select("doc_id", "text", "r.kept", "r.spans")
-    whole = found.where("ranges IS NULL").select("doc_id", "text", F.col("text").cast("binary").alias("kept"),
-                                                 F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    return cut.unionByName(whole)
+    touched = F.when(F.col("ranges").isNotNull(), F.col("text"))  # only these go to Python
+    found = found.withColumn("r", _cutter()(touched, "ranges"))
+    return found.select("doc_id", "text", F.coalesce(F.col("r.kept"), F.col("text").cast("binary")).alias("kept"),
+                        F.coalesce(F.col("r.spans"), F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
