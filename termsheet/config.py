@@ -311,6 +311,7 @@ LOG_LEVELS = {"DEBUG": 0, "INFO": 1, "WARNING": 2, "ERROR": 3, "CRITICAL": 4}
 
 # ---- fixed values: review and lifecycle states -------------------------------------------
 DONE_STATES = ["extracted", "approved", "exported"]
+FILING_STATES = ["ingested", "classified", "needs_classification_review", "needs_review", "extracting", *DONE_STATES]
 
 
 def shared_label_rows():

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from termsheet import config
 from termsheet.functions.ordered import previous_known
 from termsheet.operators.export import decode_json, latest_extraction
-from termsheet.session import reliable_checkpoint
 
-_STATE = "struct<status:string,model:string,confidence:double>"
+_STATE_TYPES = {"status": "string", "model": "string", "confidence": "double"}
+_STATE = "struct<" + ",".join(f"{c}:{t}" for c, t in _STATE_TYPES.items()) + ">"
 
 
 def _decide(state: Column, act: Column, models: list[str]) -> Column:
@@ -25,7 +27,7 @@ def _decide(state: Column, act: Column, models: list[str]) -> Column:
       approve    from extracted/needs_review;  unapprove and export from approved
     """
     status, model, conf = state["status"], state["model"], state["confidence"]
-    name = act["action"]
+    name = F.coalesce(act["action"], F.lit("null"))
     present = F.coalesce(model, F.lit("unknown"))
     target = F.coalesce(F.when(act["model"] != "", act["model"]), present)
     confident = F.coalesce(conf, F.lit(0.0)) >= config.GATE_CONFIDENCE
@@ -46,7 +48,8 @@ def _decide(state: Column, act: Column, models: list[str]) -> Column:
              .otherwise(result(ok, F.lit("extracting"))))
     again = F.when(confident, result(ok, F.lit("extracting"))).otherwise(result(low, F.lit("classified")))
     return (
-        F.when(name == "confirm", F.when(status != "needs_classification_review", result(wrong))
+        F.when(status.isNull(), result(F.lit("filing has no status")))
+        .when(name == "confirm", F.when(status != "needs_classification_review", result(wrong))
                .when(~target.isin([*models, "unknown"]), result(F.concat(F.lit("unknown model "), target)))
                .otherwise(result(ok, F.lit("classified"), target, F.lit(1.0))))
         .when(name == "override", only(~status.isin("approved", "exported"), wrong, result(
@@ -63,24 +66,82 @@ def _decide(state: Column, act: Column, models: list[str]) -> Column:
         .otherwise(result(F.concat(F.lit("no such action "), name))))
 
 
-def _apply_slice(filings: DataFrame, actions: DataFrame, models: list[str]) -> tuple[DataFrame, DataFrame]:
-    per_filing = actions.groupBy("filing_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "action", "model"))).alias("todo"))
-    current = filings.select("filing_id", F.struct("status", "model", "confidence").alias("now"))
-    joined = per_filing.join(current, "filing_id", "left")
+# A block of actions maps every state it may start from to the state it ends in.  What it keeps of the start is
+# written with these marks: the status of a filing in none of the known ones, a model that confirm accepts or
+# not, and a confidence above or below the gate.
+_OTHER, _LISTED, _UNLISTED = "\u0001other", "\u0001listed", "\u0001unlisted"
+_HIGH, _LOW = 2.0, -1.0
+_STARTS = [(s, m, c) for s in [*config.FILING_STATES, _OTHER] for m in (_LISTED, _UNLISTED, None) for c in (_HIGH, _LOW)]
+
+
+def _stepped(state: Column, act: Column, models: list[str]) -> Column:
+    decided = _decide(state, act, models)
+    return F.struct(*[decided[c].alias(c) for c in ("status", "model", "confidence")])
+
+
+def _block_table(todo: Column, models: list[str]) -> Column:
+    """The end state of a block for every state of ``_STARTS``, in that order."""
+    starts = F.from_json(F.lit(json.dumps([dict(zip(("status", "model", "confidence"), s)) for s in _STARTS])), f"array<{_STATE}>")
+    return F.transform(starts, lambda s: F.aggregate(todo, s, lambda state, act: _stepped(state, act, [*models, _LISTED])))
+
+
+def _after_block(table: Column, now: Column, models: list[str]) -> Column:
+    """The state after a block: its table at the present state, with what is kept filled in."""
+    known = [*config.FILING_STATES]
+    at_status = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), now["status"]), F.lit(0)), F.lit(len(known) + 1)) - 1
+    at_model = F.when(now["model"].isNull(), 2).when(now["model"].isin([*models, "unknown"]), 0).otherwise(1)
+    at_confidence = F.when(F.coalesce(now["confidence"], F.lit(0.0)) >= config.GATE_CONFIDENCE, 0).otherwise(1)
+    end = F.get(table, (at_status * 6 + at_model * 2 + at_confidence).cast("int"))
+    return F.when(now["status"].isNull(), now).otherwise(F.struct(
+        F.when(end["status"] == _OTHER, now["status"]).otherwise(end["status"]).alias("status"),
+        F.when(end["model"].isin(_LISTED, _UNLISTED), now["model"]).otherwise(end["model"]).alias("model"),
+        F.when(end["confidence"].isin(_HIGH, _LOW), now["confidence"]).otherwise(end["confidence"]).alias("confidence")))
+
+
+def apply_actions(filings: DataFrame, actions: DataFrame, models: list[str] = config.MODELS, block: int = 256,
+                  stretch: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """W0 (C12-C14, W1, W2, W6): replay actions in order on the filings' states.
+
+    ``actions`` is (filing_id, seq, action, model); ``seq`` is a whole number, unique per filing.  Returns
+    the filings after the batch and one outcome row per action, whose ``reason`` is null when it was
+    accepted.  A filing without a status accepts nothing, nor is a null action accepted.
+
+    Actions are numbered in stretches of the sequence and cut into blocks, so a filing with any number
+    of them is spread over many tasks.  Only of filings with several blocks, each block is reduced to the
+    table of its possible start and end states; a pass over those tables, one row per block, gives every block
+    its start, and all blocks are replayed side by side.
+    """
+    number = F.row_number().over(Window.partitionBy("filing_id", "_stretch").orderBy("seq"))
+    blocks = (
+        actions.select("filing_id", "seq", "action", "model", F.floor(F.col("seq") / stretch).alias("_stretch"))
+        .withColumn("_part", F.floor((number - 1) / block)).groupBy("filing_id", "_stretch", "_part")
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "action", "model"))).alias("todo")))
+    now = filings.select("filing_id", F.struct(*[F.col(c).cast(t).alias(c) for c, t in _STATE_TYPES.items()]).alias("now"))
+
+    several = blocks.groupBy("filing_id").agg(F.count("*").alias("n")).filter("n > 1").select("filing_id")
+    tables = (blocks.join(several, "filing_id", "left_semi")
+              .select("filing_id", F.struct("_stretch", "_part", _block_table(F.col("todo"), models).alias("table")).alias("b"))
+              .groupBy("filing_id").agg(F.array_sort(F.collect_list("b")).alias("blocks")).join(now, "filing_id"))
+    empty = F.array().cast(f"array<struct<_stretch:bigint,_part:bigint,start:{_STATE}>>")
+
+    def onward(acc: Column, b: Column) -> Column:
+        start = F.struct(b["_stretch"].alias("_stretch"), b["_part"].alias("_part"), acc["now"].alias("start"))
+        return F.struct(_after_block(b["table"], acc["now"], models).alias("now"), F.concat(acc["starts"], F.array(start)).alias("starts"))
+
+    starts = tables.select("filing_id", F.inline(F.aggregate(
+        "blocks", F.struct(F.col("now"), empty.alias("starts")), onward, lambda acc: acc["starts"])))
 
     def step(acc: Column, act: Column) -> Column:
         decided = _decide(acc["now"], act, models)
-        entry = F.struct(act["seq"].alias("seq"), act["action"].alias("action"),
-                         acc["now"].alias("before"), decided.alias("after"))
-        after = F.struct(decided["status"].alias("status"), decided["model"].alias("model"),
-                         decided["confidence"].alias("confidence"))
+        entry = F.struct(act["seq"].alias("seq"), act["action"].alias("action"), acc["now"].alias("before"), decided.alias("after"))
+        after = F.struct(*[decided[c].alias(c) for c in _STATE_TYPES])
         return F.struct(after.alias("now"), F.concat(acc["log"], F.array(entry)).alias("log"))
 
-    log_type = ("array<struct<seq:bigint,action:string,before:" + _STATE + ",after:struct<reason:string,"
+    log_type = (f"array<struct<seq:bigint,action:string,before:{_STATE},after:struct<reason:string,"
                 "status:string,model:string,confidence:double>>>")
-    start = F.struct(F.col("now").cast(_STATE).alias("now"), F.array().cast(log_type).alias("log"))
-    folded = joined.filter("now IS NOT NULL").select("filing_id", F.aggregate("todo", start, step).alias("r"))
+    joined = blocks.join(now, "filing_id", "left").join(starts, ["filing_id", "_stretch", "_part"], "left")
+    first = F.struct(F.coalesce("start", "now").alias("now"), F.array().cast(log_type).alias("log"))
+    folded = joined.filter("now IS NOT NULL").select("filing_id", "_stretch", "_part", F.aggregate("todo", first, step).alias("r"))
     missing = (joined.filter("now IS NULL").select("filing_id", F.inline("todo"))
                .select("filing_id", "seq", "action", F.lit("filing not found").alias("reason")))
     outcomes = (folded.select("filing_id", F.inline("r.log"))
@@ -88,37 +149,13 @@ def _apply_slice(filings: DataFrame, actions: DataFrame, models: list[str]) -> t
                         F.col("before.status").alias("old_status"), F.col("after.status").alias("new_status"),
                         F.col("before.model").alias("old_model"), F.col("after.model").alias("new_model"))
                 .unionByName(missing, allowMissingColumns=True))
-    ended = folded.select("filing_id", F.col("r.now").alias("ended"))
+    ended = folded.groupBy("filing_id").agg(F.max_by("r.now", F.struct("_stretch", "_part")).alias("ended"))
     moved = filings.join(ended, "filing_id", "left")
-    for c in ("status", "model", "confidence"):
+    for c in _STATE_TYPES:
         moved = moved.withColumn(c, F.when(F.col("ended").isNotNull(), F.col(f"ended.{c}")).otherwise(F.col(c)))
     return moved.drop("ended"), outcomes
 
 
-def apply_actions(filings: DataFrame, actions: DataFrame, models: list[str] = config.MODELS,
-                  max_per_filing: int = 1_000) -> tuple[DataFrame, DataFrame]:
-    """W0 (C12-C14, W1, W2, W6): replay actions in order on the filings' states.
-
-    ``actions`` is (filing_id, seq, action, model).  Returns the filings after the batch and one
-    outcome row per action, whose ``reason`` is null when it was accepted.  A filing's actions
-    are folded in one row; a filing with more than ``max_per_filing`` is taken in slices of that
-    size, the state carried from slice to slice, so no row grows without bound.
-    """
-    counted = actions.groupBy("filing_id").count().agg(F.max("count")).first()[0] or 0
-    slices = -(-counted // max_per_filing) or 1
-    if slices == 1:
-        return _apply_slice(filings, actions, models)
-    rank = F.row_number().over(Window.partitionBy("filing_id").orderBy("seq"))
-    cut = reliable_checkpoint(actions.withColumn("_slice", F.floor((rank - 1) / max_per_filing)))
-    outcomes = None
-    for i in range(slices):
-        todo = cut.filter(F.col("_slice") == i).drop("_slice")
-        filings, part = _apply_slice(filings, todo, models)
-        filings, part = reliable_checkpoint(filings), reliable_checkpoint(part)
-        outcomes = part if outcomes is None else outcomes.unionByName(part)
-    return filings, outcomes
-
-
 def feedback_rows(outcomes: DataFrame, actions: DataFrame, at: str) -> DataFrame:
     """Feedback rows of accepted confirmations and overrides."""
     done = outcomes.filter("reason IS NULL AND action IN ('confirm', 'override')")
@@ -157,7 +194,7 @@ def accept_pending(fields: DataFrame, extractions: DataFrame, approved: DataFram
     joined = fields.join(latest, "extraction_id", "left")
     accept = F.coalesce(F.col("hit") & (F.col("review_status") == "pending"), F.lit(False))
     return joined.withColumns({
-        "reviewed_at": F.when(accept, F.lit(at)),
+        "reviewed_at": F.when(accept, F.lit(at)).otherwise(F.col("reviewed_at")),
         "review_status": F.when(accept, F.lit("accepted")).otherwise(F.col("review_status"))}).drop("hit")
 
 
@@ -180,16 +217,16 @@ def review_fields(fields: DataFrame, reviews: DataFrame) -> tuple[DataFrame, Dat
     known = fields.select("field_id", F.col("filing_id").alias("owner"), "field_path", "value_json",
                           F.col("reviewed_json").alias("first_reviewed"))
     judged = reviews.join(known, "field_id", "left").withColumn(
-        "problem", F.when(~F.col("review_status").isin("accepted", "corrected", "rejected"),
+        "problem", F.when(~F.coalesce(F.col("review_status").isin("accepted", "corrected", "rejected"), F.lit(False)),
                           F.lit("review_status must be accepted | corrected | rejected"))
-        .when(F.col("owner").isNull() | (F.col("owner") != F.col("filing_id")), F.lit("field result not found")))
+        .when(~F.col("owner").eqNullSafe(F.col("filing_id")) | F.col("owner").isNull(), F.lit("field result not found")))
     good = judged.filter("problem IS NULL").withColumn("new_value", F.coalesce("reviewed_json", "value_json"))
     latest = good.groupBy("field_id").agg(F.max_by(
         F.struct("new_value", "review_status", "reviewed_at"), "seq").alias("r"))
     updated = fields.join(latest, "field_id", "left").withColumns({
         "reviewed_json": F.when(F.col("r").isNotNull(), F.col("r.new_value")).otherwise(F.col("reviewed_json")),
         "review_status": F.coalesce("r.review_status", "review_status"),
-        "reviewed_at": F.col("r.reviewed_at")}).drop("r")
+        "reviewed_at": F.when(F.col("r").isNotNull(), F.col("r.reviewed_at")).otherwise(F.col("reviewed_at"))}).drop("r")
     with_old = previous_known(good, ["field_id"], "seq", F.struct("new_value"), "before")
     audit = with_old.select(
         "filing_id", "field_path", "seq",

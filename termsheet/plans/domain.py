@@ -159,6 +159,7 @@ SELECT filing_id || '-' || cast(run AS string) || '-' || field_path AS field_id,
   CASE flag WHEN 'A' THEN 'pending' WHEN 'R' THEN CASE WHEN path_no % 5 = 0 THEN 'rejected' ELSE 'corrected' END
     ELSE CASE WHEN path_no % 7 = 0 THEN 'schema_error' WHEN path_no % 7 = 1 THEN NULL ELSE 'accepted' END
     END AS review_status,
+  CASE WHEN flag = 'R' OR path_no % 4 = 1 THEN '2000-01-0' || cast(1 + path_no % 9 AS string) END AS reviewed_at,
   CASE WHEN path_no % 6 = 0 THEN NULL WHEN path_no % 6 = 1 THEN 'html_table' ELSE 'llm' END AS source
 FROM (
   SELECT cast(l_orderkey AS string) AS filing_id, l_linenumber % 2 AS run, l_partkey % 12 AS path_no,

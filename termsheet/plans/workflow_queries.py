@@ -228,9 +228,9 @@ def c6(spark, sf):
 
 domain.TABLES["actions"] = """
 SELECT CASE WHEN event_id % 53 = 0 THEN 'none-' ELSE '' END || cast(user_id AS string) AS filing_id, event_id AS seq,
-  CASE event_id % 12 WHEN 0 THEN 'confirm' WHEN 1 THEN 'override' WHEN 2 THEN 'reset' WHEN 3 THEN 'extract' WHEN 4 THEN 'reextract'
+  CASE WHEN event_id % 97 = 0 THEN NULL ELSE CASE event_id % 12 WHEN 0 THEN 'confirm' WHEN 1 THEN 'override' WHEN 2 THEN 'reset' WHEN 3 THEN 'extract' WHEN 4 THEN 'reextract'
     WHEN 5 THEN 'finish' WHEN 6 THEN 'fail' WHEN 7 THEN 'approve' WHEN 8 THEN 'unapprove' WHEN 9 THEN 'export' WHEN 10 THEN 'finish'
-    ELSE 'archive' END AS action,
+    ELSE 'archive' END END AS action,
   CASE cast(floor(event_id / 12) AS bigint) % 4 WHEN 0 THEN 'index' WHEN 1 THEN 'legacyNote' WHEN 2 THEN '' ELSE 'equityShare' END AS model,
   CASE WHEN event_id % 2 = 0 THEN '' ELSE 'why ' || event_type END AS reason
 FROM {events}"""
@@ -269,7 +269,7 @@ WITH RECURSIVE r AS (
       WHEN 'approve' THEN CASE WHEN s.status NOT IN ('extracted', 'needs_review') THEN {_WRONG} END
       WHEN 'unapprove' THEN CASE WHEN s.status <> 'approved' THEN {_WRONG} END
       WHEN 'export' THEN CASE WHEN s.status <> 'approved' THEN {_WRONG} END
-      ELSE 'no such action ' || a.action END AS reason
+      ELSE 'no such action ' || coalesce(a.action, 'null') END AS reason
     FROM r s JOIN {{numbered_actions}} a ON s.filing_id = a.filing_id AND a.n = s.n + 1) x),
 out AS (SELECT filing_id, seq, action, reason, old_status, status AS new_status, old_model, model AS new_model FROM r WHERE n > 0
   UNION ALL SELECT filing_id, seq, action, 'filing not found', NULL, NULL, NULL, NULL FROM {{actions}} a
@@ -296,8 +296,7 @@ def w0b(spark, sf):
 SELECT filing_id, arg_max(status, n) AS status, arg_max_null(model, n) AS model, arg_max_null(confidence, n) AS confidence FROM r GROUP BY 1""")
 def w0c(spark, sf):
     todo = table(spark, sf, "actions").drop("reason")
-    most = todo.groupBy("filing_id").count().agg(F.max("count")).first()[0]
-    moved, _ = ops.apply_actions(table(spark, sf, "filings"), todo, max_per_filing=-(-most // 2))
+    moved, _ = ops.apply_actions(table(spark, sf, "filings"), todo, block=3, stretch=700)
     return moved.select("filing_id", "status", "model", "confidence")
 
 
@@ -338,7 +337,7 @@ def w6(spark, sf):
 
 @query("w6_accept_pending", """
 SELECT field_id, CASE WHEN hit AND review_status = 'pending' THEN 'accepted' ELSE review_status END AS review_status,
-  CASE WHEN hit AND review_status = 'pending' THEN '2001-06-15T00:00:00' END AS reviewed_at
+  CASE WHEN hit AND review_status = 'pending' THEN '2001-06-15T00:00:00' ELSE reviewed_at END AS reviewed_at
 FROM (SELECT f.*, f.extraction_id IN (SELECT extraction_id FROM {latest} WHERE filing_id IN (
   SELECT filing_id FROM {filings} WHERE status = 'approved')) AS hit FROM {fields} f) t""")
 def w6b(spark, sf):
@@ -364,13 +363,13 @@ SELECT cast(l_orderkey AS string) AS filing_id,
   CASE WHEN l_suppkey % 29 = 0 THEN 'x' ELSE '' END || cast(l_orderkey AS string) || '-' || cast(l_linenumber % 2 AS string) || '-' ||
   CASE l_partkey % 3 WHEN 0 THEN 'coupon.rate' WHEN 1 THEN 'identifiers.cusip' ELSE 'parties.issuer.name' END AS field_id,
   (cast(l_linenumber AS bigint) * 1000000 + l_partkey) * 10000 + l_suppkey AS seq,
-  CASE l_suppkey % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'corrected' WHEN 2 THEN 'rejected' WHEN 3 THEN 'pending' ELSE 'accepted' END AS review_status,
+  CASE l_suppkey % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'corrected' WHEN 2 THEN 'rejected' WHEN 3 THEN 'pending' ELSE CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE 'accepted' END END AS review_status,
   CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE '"' || l_returnflag || cast(l_suppkey AS string) || '"' END AS reviewed_json,
   cast(cast(l_shipdate AS date) AS string) AS reviewed_at
 FROM {lineitem}"""
 _REVIEWED = """
 WITH j AS (SELECT r.*, f.field_path, f.value_json, f.reviewed_json AS first_reviewed, CASE
-    WHEN r.review_status NOT IN ('accepted', 'corrected', 'rejected') THEN 'review_status must be accepted | corrected | rejected'
+    WHEN coalesce(r.review_status, '') NOT IN ('accepted', 'corrected', 'rejected') THEN 'review_status must be accepted | corrected | rejected'
     WHEN f.filing_id IS NULL OR f.filing_id <> r.filing_id THEN 'field result not found' END AS problem
   FROM {reviews} r LEFT JOIN {fields} f ON r.field_id = f.field_id),
 g AS (SELECT *, coalesce(reviewed_json, value_json) AS new_value, lag(1) OVER w AS has, lag(coalesce(reviewed_json, value_json)) OVER w AS before
@@ -384,7 +383,7 @@ def _reviewed(spark, sf):
 
 @query("w5_reviewed_fields", _REVIEWED + """
 SELECT f.field_id, CASE WHEN l.field_id IS NULL THEN f.reviewed_json ELSE l.new_value END AS reviewed_json,
-  coalesce(l.review_status, f.review_status) AS review_status, l.reviewed_at
+  coalesce(l.review_status, f.review_status) AS review_status, CASE WHEN l.field_id IS NULL THEN f.reviewed_at ELSE l.reviewed_at END AS reviewed_at
 FROM {fields} f LEFT JOIN (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY field_id ORDER BY seq DESC) = 1) l ON f.field_id = l.field_id""")
 def w5(spark, sf):
     return _reviewed(spark, sf)[0].select("field_id", "reviewed_json", "review_status", "reviewed_at")

@@ -37,17 +37,34 @@ def test_action_rules(spark, args, want):
     assert _act(spark, *args) == want
 
 
-def test_slices_give_the_same_result(spark):
+def test_blocks_give_the_same_result(spark):
     rng = random.Random(5)
-    names = ["confirm", "override", "reset", "extract", "finish", "approve", "unapprove", "export", "reextract", "fail"]
-    filings = spark.createDataFrame([(str(i), "classified", "index", 0.9) for i in range(5)], "filing_id STRING, status STRING, model STRING, confidence DOUBLE")
-    acts = [(str(0 if rng.random() < 0.6 else rng.randint(1, 6)), i, rng.choice(names), rng.choice(["", "index", "bad"])) for i in range(120)]
+    names = ["confirm", "override", "reset", "extract", "finish", "approve", "unapprove", "export", "reextract", "fail", None]
+    start = [("classified", "index", 0.9), ("needs_classification_review", "odd", 0.3), ("odd", None, None), (None, "index", 0.9), ("extracting", "index", 0.8)]
+    filings = spark.createDataFrame([(str(i), *s) for i, s in enumerate(start)], "filing_id STRING, status STRING, model STRING, confidence DOUBLE")
+    acts = [(str(rng.choice([0, 0, 1, 2, 3, 4, 9])), i, rng.choice(names), rng.choice(["", "index", "bad", None])) for i in range(400)]
     actions = spark.createDataFrame(acts, "filing_id STRING, seq BIGINT, action STRING, model STRING")
-    whole, sliced = workflow.apply_actions(filings, actions), workflow.apply_actions(filings, actions, max_per_filing=20)
-    for a, b in zip(whole, sliced):
+    whole, blocks = workflow.apply_actions(filings, actions), workflow.apply_actions(filings, actions, block=3, stretch=50)
+    for a, b in zip(whole, blocks):
         assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(a.columns).collect()), key=str)
 
 
+def test_many_actions_of_one_filing(spark):
+    filings = spark.createDataFrame([("f", "classified", "index", 0.9)], "filing_id STRING, status STRING, model STRING, confidence DOUBLE")
+    names = F.array(*map(F.lit, ["extract", "finish", "approve", "unapprove", "extract", "fail", "override"]))
+    actions = spark.range(100_000).select(F.lit("f").alias("filing_id"), F.col("id").alias("seq"),
+                                          F.get(names, (F.col("id") % 7).cast("int")).alias("action"), F.lit("index").alias("model"))
+    moved, outcomes = workflow.apply_actions(filings, actions)
+    assert outcomes.filter("reason IS NULL").count() == 100_000
+    assert moved.first()["status"] == ["extracting", "extracted", "approved", "extracted", "extracting", "classified", "classified"][99_999 % 7]
+
+
+@pytest.mark.parametrize("status,action,reason", [
+    (None, "approve", "filing has no status"), (None, None, "filing has no status"), ("extracted", None, "no such action null")])
+def test_nulls_are_not_accepted(spark, status, action, reason):
+    assert _act(spark, status, action) == (status, "index", 0.9, reason)
+
+
 def test_previous_known_across_blocks(spark):
     rng = random.Random(1)
     rows = [(rng.choice("ab"), i, rng.choice([None, None, i])) for i in range(400)]
@@ -69,15 +86,16 @@ def test_log_folding(spark):
 
 
 def test_field_reviews_and_audit(spark):
-    fields = spark.createDataFrame([("x", "f", "p", '"v"', None, "pending")],
-                                   "field_id STRING, filing_id STRING, field_path STRING, value_json STRING, reviewed_json STRING, review_status STRING")
+    fields = spark.createDataFrame([("x", "f", "p", '"v"', None, "pending", "t0"), ("y", "f", "q", '"v"', None, "accepted", "t0")],
+                                   "field_id STRING, filing_id STRING, field_path STRING, value_json STRING, reviewed_json STRING, review_status STRING, reviewed_at STRING")
     reviews = spark.createDataFrame([("f", "x", 1, "corrected", '"a"', "t1"), ("f", "x", 2, "accepted", None, "t2"), ("g", "x", 3, "accepted", None, "t3"),
-                                     ("f", "x", 4, "maybe", None, "t4")],
+                                     ("f", "x", 4, "maybe", None, "t4"), ("f", "x", 5, None, '"z"', "t5"), (None, "x", 6, "accepted", None, "t6")],
                                     "filing_id STRING, field_id STRING, seq BIGINT, review_status STRING, reviewed_json STRING, reviewed_at STRING")
     updated, audit, rejected = workflow.review_fields(fields, reviews)
-    assert updated.select("reviewed_json", "review_status", "reviewed_at").first() == ('"v"', "accepted", "t2")
+    got = [tuple(r) for r in updated.orderBy("field_id").select("reviewed_json", "review_status", "reviewed_at").collect()]
+    assert got == [('"v"', "accepted", "t2"), (None, "accepted", "t0")]
     assert [(r["old_value"], r["new_value"], r["action"]) for r in audit.orderBy("seq").collect()] == [(None, '"a"', "corrected"), ('"a"', '"v"', "accepted")]
-    assert sorted(r["seq"] for r in rejected.collect()) == [3, 4]
+    assert sorted(r["seq"] for r in rejected.collect()) == [3, 4, 5, 6]
 
 
 @pytest.mark.parametrize("payload,want", [
