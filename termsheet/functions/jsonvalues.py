@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import itertools
+import json
+import re
+import sys
 
-from termsheet.functions.text import let
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, functions as F, types as T
 
-MAX_DEPTH = 8
+# The functions below travel to the executors with the job, so no install is needed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_TIMESTAMP = re.compile(r"\d{4}-\d{2}-\d{2}T", re.ASCII)
 
 
 def json_text(v: Column) -> Column:
@@ -23,35 +31,45 @@ def object_or_empty(v: Column) -> Column:
     return F.when(members(v).isNotNull(), v).otherwise(F.parse_json(F.lit("{}")))
 
 
-def _is_schedule(m: Column) -> Column:
-    """Objects keyed by timestamps are kept whole.  Variant keys have no insertion order, so
-    the three smallest keys are looked at."""
-    keys = F.slice(F.array_sort(F.map_keys(m)), 1, 3)
-    return (F.size(keys) > 0) & F.forall(keys, lambda k: k.rlike(r"^\d{4}-\d{2}-\d{2}T"))
-
+def _is_schedule(keys: list[str]) -> bool:
+    """Objects keyed by timestamps are kept whole: the first three keys, as written, tell."""
+    return bool(keys) and all(_TIMESTAMP.match(k) for k in keys[:3])
+
+
+def _leaves(text: str | None, skip: frozenset[str]) -> list[dict]:
+    if text is None:
+        return []
+    found, stack = [], [("", iter(json.loads(text).items()))]
+    while stack:                                                  # no recursion, so depth is not limited
+        prefix, items = stack[-1]
+        for key, value in items:
+            if key in skip:
+                continue
+            if isinstance(value, dict) and not _is_schedule(list(itertools.islice(value, 3))):
+                stack.append((f"{prefix}{key}.", iter(value.items())))
+                break
+            found.append({"path": prefix + key, "value_json": None if value is None else
+                          json.dumps(value, ensure_ascii=False, separators=(",", ":"))})
+        else:
+            stack.pop()
+    return found
+
+
+def flatten_json(text: Column, skip: tuple[str, ...] = ()) -> Column:
+    """array<struct<path, value_json>> of a JSON object's leaves (dot paths), in the order they are written.
+
+    Lists and timestamp-keyed objects are leaves; an empty object yields nothing; a JSON null is a leaf
+    without value; depth is not limited.  Variants sort their keys and shorten numbers, so this reads the text
+    itself, in Arrow batches; numbers are written as ``1.0`` and ``10000000.0``.
+    """
+    skipped = frozenset(skip)
+    row = T.StructType([T.StructField("path", T.StringType()), T.StructField("value_json", T.StringType())])
 
-def flatten_object(v: Column, skip: tuple[str, ...] = (), max_depth: int = MAX_DEPTH) -> Column:
-    """array<struct<path, value>> of an object's leaves (dot paths).
+    @F.pandas_udf(T.ArrayType(row))
+    def leaves(texts: pd.Series) -> pd.Series:
+        return pd.Series([_leaves(t, skipped) for t in texts], dtype=object)
 
-    Lists and timestamp-keyed objects are leaves; an empty object yields nothing; a JSON null
-    is a leaf.  Objects nested deeper than ``max_depth`` come out whole, never dropped.
-    """
-    def children(m: Column, prefix: Column | None) -> Column:
-        kept = F.filter(F.map_entries(m), lambda e: ~e["key"].isin(*skip)) if skip else F.map_entries(m)
-        return F.transform(kept, lambda e: F.struct(
-            (F.concat(prefix, F.lit("."), e["key"]) if prefix is not None else e["key"]).alias("path"),
-            e["value"].alias("value"),
-            let(members(e["value"]), lambda m: F.when(~_is_schedule(m), m)).alias("inner")))
-
-    def deeper(leaves: Column) -> Column:
-        return F.when(F.exists(leaves, lambda leaf: leaf["inner"].isNotNull()), F.flatten(F.transform(
-            leaves, lambda leaf: F.when(leaf["inner"].isNotNull(), children(leaf["inner"], leaf["path"]))
-            .otherwise(F.array(leaf))))).otherwise(leaves)
-
-    out = children(members(v), None)
-    for _ in range(max_depth - 1):
-        out = let(out, deeper)
-    return F.transform(out, lambda leaf: F.struct(leaf["path"].alias("path"), leaf["value"].alias("value")))
+    return leaves(text)
 
 
 def scalar_text(json: Column) -> Column:

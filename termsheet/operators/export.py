@@ -8,9 +8,8 @@ from termsheet.functions.text import json_string
 
 
 def decode_json(text: Column) -> Column:
-    """Stored JSON text as JSON text; text that is not JSON becomes a JSON string."""
-    parsed = F.try_parse_json(text)
-    return F.when(parsed.isNotNull(), F.to_json(parsed)).otherwise(json_string(text))
+    """Stored JSON text as it is, numbers as written; text that is not JSON becomes a JSON string."""
+    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(json_string(text))
 
 
 def latest_extraction(extractions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from termsheet import config, schemas
 from termsheet.functions.jsonvalues import (
-    flatten_object, json_text, members, object_or_empty, scalar_text)
+    flatten_json, members, object_or_empty, scalar_text)
 from termsheet.functions.text import blank_to_null, drop_code_fences, json_string, let, strip
 from termsheet.functions.values import typed_json
 from termsheet.session import small_table
@@ -66,7 +66,8 @@ _SIDE_KEYS = ("model", "_confidence", "_excerpts")
 
 def parse_answers(responses: DataFrame, tool: str = "submit_extraction",
                   data_key: str = "data") -> DataFrame:
-    """Answer payloads as three objects: ``data``, ``confidences``, ``excerpts``.
+    """Answer payloads as three objects: ``data``, ``confidences``, ``excerpts``, and ``data_text``,
+    the data as written, with its order of keys.
 
     A row whose ``tool_name`` is the expected tool holds the three parts side by side; each
     part that is not an object becomes ``{}``.  A row without a tool name is plain text: code
@@ -76,9 +77,8 @@ def parse_answers(responses: DataFrame, tool: str = "submit_extraction",
     empty = F.parse_json(F.lit("{}"))
     is_tool = F.coalesce(F.col("tool_name") == tool, F.lit(False))
     is_text = F.col("tool_name").isNull()
-    body = F.when(is_tool, F.try_parse_json("payload")).when(
-        is_text, F.try_parse_json(drop_code_fences(strip(F.col("payload")))))
-    parsed = responses.withColumn("body", body)
+    written = F.when(is_tool, F.col("payload")).when(is_text, drop_code_fences(strip(F.col("payload"))))
+    parsed = responses.withColumn("written", written).withColumn("body", F.try_parse_json("written"))
 
     def part(key: str) -> Column:
         return object_or_empty(F.try_variant_get("body", f"$.{key}", "variant"))
@@ -86,22 +86,21 @@ def parse_answers(responses: DataFrame, tool: str = "submit_extraction",
     data = F.when(is_tool, part(data_key)).when(is_text, object_or_empty(F.col("body"))).otherwise(empty)
     side = {c: F.when(is_tool | is_text, part(k)).otherwise(empty)
             for c, k in (("confidences", "_confidence"), ("excerpts", "_excerpts"))}
-    return (parsed.withColumns({"data": data, **side}).drop("body", "payload", "tool_name"))
+    given = F.when(is_tool, F.try_variant_get("body", f"$.{data_key}", "variant")).otherwise(F.col("body"))
+    text = F.when(members(given).isNotNull(), F.when(is_tool, F.get_json_object("written", f"$['{data_key}']"))
+                  .otherwise(F.get_json_object("written", "$")))
+    return parsed.withColumns({"data": data, "data_text": text, **side}).drop("body", "written", "payload", "tool_name")
 
 
 def flatten_answers(answers: DataFrame) -> DataFrame:
     """E5: one row per answered field path, with its confidence and excerpt still as answered."""
-    keys = [c for c in answers.columns if c not in ("data", "confidences", "excerpts")]
+    keys = [c for c in answers.columns if c not in ("data", "data_text", "confidences", "excerpts")]
     # The side maps are opened once per answer, not once per field.
-    opened = answers.withColumns({"confidences": members(F.col("confidences")), "excerpts": members(F.col("excerpts"))})
-    leaves = opened.select(
-        *keys, F.inline(F.transform(
-            flatten_object(F.col("data"), _SIDE_KEYS),
-            lambda leaf: F.struct(
-                leaf["path"].alias("field_path"), leaf["value"].alias("value"),
-                F.try_element_at(F.col("confidences"), leaf["path"]).alias("raw_confidence"),
-                F.try_element_at(F.col("excerpts"), leaf["path"]).alias("raw_excerpt")))))
-    return leaves.withColumn("value_json", json_text(F.col("value"))).drop("value")
+    opened = answers.select(*keys, members(F.col("confidences")).alias("confidences"), members(F.col("excerpts")).alias("excerpts"),
+                            flatten_json(F.col("data_text"), _SIDE_KEYS).alias("leaves"))
+    return opened.select(*keys, "confidences", "excerpts", F.inline("leaves")).select(
+        *keys, F.col("path").alias("field_path"), F.try_element_at("confidences", "path").alias("raw_confidence"),
+        F.try_element_at("excerpts", "path").alias("raw_excerpt"), "value_json")
 
 
 def clamp_confidence(raw: Column, default: Column | float) -> Column:

