@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,8 +16,7 @@ from pyspark.sql import functions as F
 from termsheet.llm import common
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_BUCKETS = 1 << 16
-_MOST_WORDS = 300_000
+_MOST_WORDS = 400_000
 UNKNOWN = "und"
 
 
@@ -27,39 +25,46 @@ def split(text: str | None) -> list[str]:
     return _LETTERS.findall((text or "").lower())
 
 
+def features(word: str) -> list[str]:
+    """Affixes of one to three letters, letter pairs and triples, and the word itself, for the lexicon."""
+    edged = f"^{word}$"
+    names = [f"{word[:1]}-", f"{word[:2]}-", f"{word[:3]}-", f"-{word[-1:]}", f"-{word[-2:]}", f"-{word[-3:]}", edged]
+    names += [edged[i:i + 2] for i in range(len(edged) - 1)]
+    names += [edged[i:i + 3] for i in range(len(edged) - 2)]
+    return names
+
+
 @dataclass
 class Crf:
-    """Weights: of hashed features (feature, language), of transitions, and of the languages at the start."""
+    """Weights: of features (feature, language), of transitions, and of the languages at the start."""
 
     languages: list[str]
-    lexicon: dict[str, int]
+    index: dict[str, int]
     weights: np.ndarray
     moves: np.ndarray
     start: np.ndarray
     _known: dict[str, int] = field(default_factory=dict)
     _scores: list[np.ndarray] = field(default_factory=list)
 
-    def features(self, word: str) -> list[int]:
-        """Affixes of one to three letters, letter pairs and triples, and the word itself if the lexicon has it."""
-        edged = f"^{word}$"
-        names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-        names += [edged[i:i + k] for k in (2, 3) for i in range(len(edged) - k + 1)]
-        found = [zlib.crc32(n.encode("utf-8", "surrogatepass")) % _BUCKETS for n in names]
-        place = self.lexicon.get(word)
-        return found if place is None else [*found, _BUCKETS + place]
+    def ids(self, word: str) -> list[int]:
+        """The known features of a word; the first row of the weights stands for all others and stays zero."""
+        get = self.index.get
+        return [0, *(i for i in map(get, features(word)) if i)]
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """The features' score of every word for every language; equal words are scored once."""
         if len(self._known) > _MOST_WORDS:
             self._known.clear()
             self._scores.clear()
-        known, scores = self._known, self._scores
-        for w in words:
-            if w not in known:
-                known[w] = len(scores)
-                scores.append(self.weights[self.features(w)].sum(0))
-        table = np.array(scores, np.float32).reshape(-1, len(self.languages))
-        return table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+        known = self._known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            ids = [self.ids(w) for w in new]
+            starts = np.cumsum([0, *map(len, ids[:-1])])
+            self._scores.append(np.add.reduceat(self.weights[np.array([i for part in ids for i in part])], starts, axis=0))
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self._scores = [np.concatenate(self._scores)]
+        return self._scores[0][np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
 
 def posteriors(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,30 +124,33 @@ def _sequences(rows: list[tuple[str, list[str]]], index: dict[str, int], rng: np
 
 
 def fit(rows: list[tuple[str, list[str]]], epochs: int = 6, lexicon_size: int = 300, seed: int = 42, ridge: float = 1e-4) -> Crf:
-    """A CRF fitted to (language, words) segments by the gradient of the conditional likelihood (Adagrad)."""
+    """A CRF fitted to (language, words) segments by the gradient of the conditional likelihood (Adagrad).
+
+    Features that one word alone of the segments has are left out; of whole words the lexicon holds each
+    language's ``lexicon_size`` most frequent ones.
+    """
     rows = sorted(r for r in rows if r[1])
     languages = sorted({lang for lang, _ in rows})
-    index = {lang: i for i, lang in enumerate(languages)}
-    common_words = [sorted(Counter(w for lang, ws in rows if lang == one for w in ws).items(), key=lambda x: (-x[1], x[0]))[:lexicon_size]
-                    for one in languages]
-    lexicon = {w: i for i, w in enumerate(sorted({w for top in common_words for w, _ in top}))}
+    number = {lang: i for i, lang in enumerate(languages)}
+    lexicon = {f"^{w}$" for one in languages for w, _ in sorted(
+        Counter(w for lang, ws in rows if lang == one for w in ws).items(), key=lambda x: (-x[1], x[0]))[:lexicon_size]}
+    seen_in = Counter(f for w in {w for _, ws in rows for w in ws} for f in set(features(w)) if len(f) <= 4 or f in lexicon)
+    index = {f: i for i, f in enumerate(sorted(f for f, n in seen_in.items() if n > 1 or f in lexicon), 1)}
     k = len(languages)
-    crf = Crf(languages, lexicon, np.zeros((_BUCKETS + len(lexicon), k), np.float32), np.zeros((k, k)), np.zeros(k))
+    crf = Crf(languages, index, np.zeros((1 + len(index), k), np.float32), np.zeros((k, k)), np.zeros(k))
     if k < 2:
         return crf
-    cache: dict[str, list[int]] = {}
+    cache = {w: crf.ids(w) for w in {w for _, ws in rows for w in ws}}
     square, move_square = np.full_like(crf.weights, 1e-3), np.full((k, k), 1e-3)
     for epoch in range(epochs):
-        sequences = _sequences(rows, index, np.random.default_rng(seed + epoch))
+        sequences = _sequences(rows, number, np.random.default_rng(seed + epoch))
         for at in range(0, len(sequences), 64):
             part = sequences[at:at + 64]
-            words = [w for ws, _ in part for w in ws]
             gold = np.concatenate([y for _, y in part])
             lengths = np.array([len(ws) for ws, _ in part])
-            ids = [cache.setdefault(w, crf.features(w)) if w not in cache else cache[w] for w in words]
+            ids = [cache[w] for ws, _ in part for w in ws]
             flat, of = np.array([f for fs in ids for f in fs]), np.repeat(np.arange(len(ids)), [len(fs) for fs in ids])
-            scores = np.zeros((len(words), k), np.float32)
-            np.add.at(scores, of, crf.weights[flat])
+            scores = np.add.reduceat(crf.weights[flat], np.cumsum([0, *map(len, ids[:-1])]), axis=0)
             marginal, expected = posteriors(scores, lengths, crf.moves, crf.start)
             error = marginal
             error[np.arange(len(gold)), gold] -= 1
@@ -152,6 +160,7 @@ def fit(rows: list[tuple[str, list[str]]], epochs: int = 6, lexicon_size: int =
             grad = grad / len(part) + ridge * crf.weights[touched]
             square[touched] += grad ** 2
             crf.weights[touched] -= 0.3 * grad / np.sqrt(square[touched])
+            crf.weights[0] = 0
             inner = np.ones(len(gold), bool)
             inner[np.cumsum(lengths)[:-1]] = False
             seen = np.zeros((k, k))
