@@ -6,10 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from termsheet.functions.text import camel_label, let
+from termsheet.session import reliable_checkpoint
 
 _DESCRIPTOR_LEVELS = 6          # properties of nested objects are followed this deep
-_DIFF_LEVELS = 12
-_REF_DOUBLINGS = 4              # reference chains up to 16 links
+_LEVELS_AT_ONCE = 4             # the diff looks this many levels further before it asks whether any are left
+_POINTER = r'"\$ref"\s*:\s*"(#/[^"]*)"'
 
 # What a schema node says about itself.
 _PARTS = {
@@ -21,10 +22,14 @@ _PARTS = {
 }
 
 
+def _ref(v: Column) -> Column:
+    """The pointer that a node refers to."""
+    return let(F.try_variant_get(v, '$["$ref"]', "string"), lambda r: F.when(r.startswith("#/"), r))
+
+
 def _node(v: Column) -> Column:
-    """Struct of a node's own parts and the definition it refers to."""
-    ref = F.regexp_extract(F.coalesce(F.try_variant_get(v, '$["$ref"]', "string"), F.lit("")), r"^#/\$defs/(.+)$", 1)
-    return F.struct(F.when(ref != "", ref).alias("ref"),
+    """Struct of a node's own parts and the pointer it refers to."""
+    return F.struct(_ref(v).alias("ref"),
                     *[F.try_variant_get(v, path, kind).alias(name) for name, (path, kind) in _PARTS.items()])
 
 
@@ -48,19 +53,27 @@ def _text(v: Column) -> Column:
         F.try_variant_get(v, "$", "string"))
 
 
+def _at_pointer(doc: Column, pointer: Column) -> Column:
+    """The node at a ``#/a/b`` pointer; null if there is none."""
+    return F.aggregate(F.split(F.substring(pointer, F.lit(3), F.length(pointer)), "/"), doc,
+                       lambda v, name: F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), name))
+
+
 def documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, json text) to (doc_id, doc VARIANT, defs) with definition references resolved.
+    """(doc_id, json text) to (doc_id, doc VARIANT, defs) with references resolved.
 
-    Chains of references are shortened by following every definition's reference at once, four
-    times over.
+    ``defs`` holds the node of every pointer that the document refers to.  Chains of references are
+    shortened by following every node's reference at once, as often as it takes for the longest chain
+    that as many pointers can form; references in a circle stay unresolved.
     """
-    out = docs.withColumn("doc", F.try_parse_json("json")).drop("json")
-    raw = F.coalesce(F.try_variant_get("doc", '$["$defs"]', "map<string,variant>"),
-                     F.create_map().cast("map<string,variant>"))
-    out = out.withColumn("defs", F.transform_values(raw, lambda _, v: _node(v)))
-    for _ in range(_REF_DOUBLINGS):
-        out = out.withColumn("defs", F.transform_values("defs", lambda _, n: _resolved(n, F.col("defs"))))
-    return out
+    out = docs.withColumn("doc", F.try_parse_json("json"))
+    pointers = F.array_distinct(F.regexp_extract_all("json", F.lit(_POINTER), F.lit(1)))
+    found = F.filter(F.transform(pointers, lambda p: F.struct(p.alias("p"), _at_pointer(F.col("doc"), p).alias("v"))), lambda e: e["v"].isNotNull())
+    out = out.withColumn("defs", F.coalesce(F.map_from_entries(F.transform(found, lambda e: F.struct(e["p"], _node(e["v"])))),
+                                            F.map_from_arrays(F.array().cast("array<string>"), F.transform(F.array().cast("array<string>"), lambda _: _node(F.col("doc"))))))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("defs") + 1)).cast("int"))
+    shorter = lambda defs, _: F.transform_values(defs, lambda _, n: _resolved(n, defs))
+    return out.withColumn("defs", F.aggregate(rounds, F.col("defs"), shorter)).drop("json")
 
 
 def model_entries(docs: DataFrame) -> DataFrame:
@@ -124,46 +137,68 @@ def _describe_for_diff(node: Column, defs: Column) -> Column:
     return let(_follow(node["items"], defs), view)
 
 
-def _properties(properties: Column, required: Column, prefix: Column | None, defs: Column, describe) -> Column:
-    """array of property views, references followed; the model discriminator is left out."""
+def _properties(properties: Column, required: Column, prefix: Column | None, defs: Column, describe, seen: Column) -> Column:
+    """array of property views, references followed; the model discriminator is left out.
+
+    ``seen`` are the pointers on the way here: a node that refers back to one of them is a leaf.
+    """
     kept = F.filter(F.map_entries(properties), lambda e: e["key"] != "model")
 
     def one(e: Column, node: Column) -> Column:
+        used = F.coalesce(_ref(e["value"]), _ref(node["items"]))
+        circle = F.coalesce(F.array_contains(seen, used), F.lit(False))
         path = F.concat(prefix, F.lit("."), e["key"]) if prefix is not None else e["key"]
         return let(describe(node, defs), lambda v: F.struct(
             path.alias("path"), e["key"].alias("key"), F.coalesce(node["description"], F.lit("")).alias("description"),
             F.coalesce(F.array_contains(required, e["key"]), F.lit(False)).alias("required"),
-            *[v[n].alias(n) for n in ("data_type", "is_dynamic", "enum_values", "suffix", "inner", "inner_required")]))
+            *[v[n].alias(n) for n in ("data_type", "is_dynamic", "enum_values", "suffix", "inner_required")],
+            F.when(~circle, v["inner"]).alias("inner"), F.when(used.isNull(), seen).otherwise(F.array_append(seen, used)).alias("seen")))
     return F.transform(kept, lambda e: let(_follow(e["value"], defs), lambda node: one(e, node)))
 
 
-def _walk(docs: DataFrame, levels: int, describe) -> DataFrame:
+def _walk(docs: DataFrame, describe, levels: int | None = None) -> DataFrame:
     """Leaf properties of every model, followed level by level.
 
     Each level is a projection over the rows before it: nodes with properties are replaced by
-    them, leaves stay.  Nodes still open after the last level are left out.
+    them, leaves stay.  With ``levels``, nodes still open after them are left out; without, the
+    walk goes on until none is open.
     """
     entries = model_entries(docs).select("doc_id", "model", "defs", _follow(F.col("entry"), F.col("defs")).alias("root"))
+    none_seen = F.array().cast("array<string>")
     rows = entries.select("doc_id", "model", "defs", F.explode(_properties(
-        F.col("root.properties"), F.col("root.required"), None, F.col("defs"), describe)).alias("leaf"))
-    for _ in range(levels - 1):
-        deeper = _properties(F.col("leaf.inner"), F.col("leaf.inner_required"),
-                             F.concat("leaf.path", "leaf.suffix"), F.col("defs"), describe)
-        rows = rows.select("doc_id", "model", "defs", F.explode(
-            F.when(F.col("leaf.inner").isNotNull(), deeper).otherwise(F.array("leaf"))).alias("leaf"))
-    return rows.filter("leaf.inner IS NULL")
+        F.col("root.properties"), F.col("root.required"), None, F.col("defs"), describe, none_seen)).alias("leaf"))
+
+    deeper = _properties(F.col("leaf.inner"), F.col("leaf.inner_required"),
+                         F.concat("leaf.path", "leaf.suffix"), F.col("defs"), describe, F.col("leaf.seen"))
+    opened = F.explode(F.when(F.col("leaf.inner").isNotNull(), deeper).otherwise(F.array("leaf"))).alias("leaf")
+
+    def further(rows: DataFrame, n: int) -> DataFrame:
+        for _ in range(n):
+            rows = rows.select("doc_id", "model", "defs", opened)
+        return rows
+
+    if levels is not None:
+        return further(rows, levels - 1).filter("leaf.inner IS NULL")
+    done = None
+    while True:                                                   # schema documents are few and small
+        rows = reliable_checkpoint(further(rows, _LEVELS_AT_ONCE))
+        closed = rows.filter("leaf.inner IS NULL")
+        done = closed if done is None else done.unionByName(closed)
+        rows = rows.filter("leaf.inner IS NOT NULL")
+        if rows.isEmpty():
+            return done
 
 
 def descriptors(docs: DataFrame) -> DataFrame:
     """Field descriptors of every model of resolved schema documents."""
-    return _walk(docs, _DESCRIPTOR_LEVELS, _describe).select(
+    return _walk(docs, _describe, _DESCRIPTOR_LEVELS).select(
         "doc_id", "model", F.col("leaf.path").alias("field_path"), camel_label(F.col("leaf.key")).alias("label"),
         "leaf.data_type", "leaf.description", "leaf.required", "leaf.enum_values")
 
 
 def diff_fields(docs: DataFrame) -> DataFrame:
     """Fields as the diff sees them: list members as ``path[*].x``, dynamic objects flagged."""
-    return _walk(docs, _DIFF_LEVELS, _describe_for_diff).select(
+    return _walk(docs, _describe_for_diff).select(
         "doc_id", "model", F.col("leaf.path").alias("field_path"), "leaf.data_type", "leaf.description",
         "leaf.required", "leaf.enum_values", "leaf.is_dynamic")
 

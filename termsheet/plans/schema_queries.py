@@ -28,6 +28,10 @@ _DEFS = ('"linked":{"$ref":"#/$defs/choice","description":"sibling text"},'
          '"when":{"type":"string","description":"day"}}}')
 
 
+_FAR = '"far":{"$ref":"#/$defs/row/properties/when"}'
+_DEEP = '"deep":' + "".join(f'{{"type":"object","properties":{{"n{i}":' for i in range(1, 15)) + '{"type":"number","description":"down"}' + "}}" * 14
+
+
 def schema_json(spark, sf):
     """(doc_id, json): the schema text a product-schema file would hold."""
     text = json_string(F.col("description"))
@@ -52,7 +56,7 @@ def schema_json(spark, sf):
     body = F.concat(F.lit('{"type":"object","required":['), F.col("req"), F.lit('],"properties":{'), F.col("props"), F.lit("}}"))
     models = tops.groupBy("doc_id", "model").agg(joined(F.col("top"), body).alias("props"))
     entry = F.concat(F.lit('{"type":"object","required":["noteId"],"properties":{"model":{"const":'), json_string(F.col("model")),
-                     F.lit('},"noteId":{"type":"string","description":"id"},'), F.col("props"), F.lit("}}"))
+                     F.lit('},"noteId":{"type":"string","description":"id"},' + _FAR + "," + _DEEP + ","), F.col("props"), F.lit("}}"))
     docs = models.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(
         F.collect_list(F.struct("model", entry.alias("e")))), lambda r: r["e"]), ",").alias("entries"))
     return docs.select("doc_id", F.concat(F.lit('{"$id":"https://schemas.example.com/notes.v'), F.length("doc_id").cast("string"),
@@ -65,7 +69,10 @@ def docs(spark, sf):
 
 domain.CHECK_TABLES["note_ids"] = """
 SELECT DISTINCT doc_id, model, 'noteId' AS field_path, 'Note Id' AS label, 'string' AS data_type, 'id' AS description,
-  true AS required, '' AS enum_values FROM {schema_fields}"""
+  true AS required, '' AS enum_values FROM {schema_fields} UNION ALL
+SELECT DISTINCT doc_id, model, 'far', 'Far', 'string', 'day', false, '' FROM {schema_fields}"""
+_DEEP_ROW = """ UNION ALL SELECT DISTINCT doc_id, model, 'deep.""" + ".".join(f"n{i}" for i in range(1, 15)) + """', 'number', 'down', false, '', false
+FROM {schema_fields}"""
 
 
 @query("s13_descriptors", """
@@ -91,7 +98,7 @@ SELECT doc_id, model, top || '.' || leaf, CASE kind WHEN 1 THEN 'number' WHEN 2
   CASE kind WHEN 0 THEN 'x,' || word WHEN 2 THEN 'True' WHEN 3 THEN 'x,y' WHEN 5 THEN 'a,t' ELSE '' END, kind = 4
 FROM {schema_fields} WHERE kind <> 6 UNION ALL
 SELECT doc_id, model, top || '.' || leaf || '[*].' || m.name, m.kind, m.about, m.req, '', false FROM {schema_fields} JOIN (VALUES
-  ('amount', 'number', '', false), ('when', 'string', 'day', true)) m(name, kind, about, req) ON true WHERE schema_fields.kind = 6""")
+  ('amount', 'number', '', false), ('when', 'string', 'day', true)) m(name, kind, about, req) ON true WHERE schema_fields.kind = 6""" + _DEEP_ROW)
 def d1(spark, sf):
     return ops.diff_fields(docs(spark, sf)).withColumn("enum_values", F.array_join("enum_values", ","))
 

@@ -122,3 +122,17 @@ def test_greedy_renames(spark):
                                  ("m", "z.tier", "number", "", False, [])], ddl)
     got = [tuple(r) for r in schemas.rename_suggestions(old, new).collect()]
     assert got == [("m", "a.level", "x.level", 0.75)]
+
+
+def test_schema_pointers_chains_and_circles(spark):
+    chain = ",".join(f'"c{i}":{{"$ref":"#/$defs/c{i + 1}"}}' for i in range(30))
+    text = ('{"$defs":{' + chain + ',"c30":{"type":"number"},"A":{"properties":{"q":{"type":"integer"}}},"loop":{"$ref":"#/$defs/loop"},'
+            '"tree":{"type":"object","properties":{"v":{"type":"string"},"sub":{"$ref":"#/$defs/tree"}}}},"oneOf":[{"properties":{"model":{"const":"m"},'
+            '"far":{"$ref":"#/$defs/c0"},"inner":{"$ref":"#/$defs/A/properties/q"},"gone":{"$ref":"#/$defs/none"},"me":{"$ref":"#/$defs/loop"},'
+            '"t":{"$ref":"#/$defs/tree"}}}]}')
+    docs = schemas.documents(spark.createDataFrame([("d", text)], "doc_id STRING, json STRING"))
+    kinds = {"far": "number", "inner": "integer"}
+    got = {r["field_path"]: r["data_type"] for r in schemas.descriptors(docs).collect()}
+    assert {p: got[p] for p in kinds} == kinds and got["gone"] == "string" and got["t.v"] == "string"
+    got = {r["field_path"]: r["data_type"] for r in schemas.diff_fields(docs).collect()}
+    assert got == {**kinds, "gone": "any", "me": "any", "t.v": "string", "t.sub": "object"}
