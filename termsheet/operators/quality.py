@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from termsheet.operators.usage import _sum_units, _usd
 
 
-def nearest_variant(vectors: DataFrame, variants: list[tuple[str, str]], match: int = 2) -> DataFrame:
+def nearest_variant(vectors: DataFrame, variants: list[tuple[str, str]], match: int = 2, least: float = 0.60) -> DataFrame:
     """O2, O3: closest reference variant by Hamming distance of 0/1 texts, within the same family.
 
+    If less than the share ``least`` of the bits agree with the closest one, or the family has none, there is no match.
+
     The reference list is a short constant, so it is compared inside the row.
     """
     rows = F.array(*[F.struct(F.lit(family).alias("family"), F.lit(bits).alias("bits")) for family, bits in variants])
@@ -20,15 +22,16 @@ def nearest_variant(vectors: DataFrame, variants: list[tuple[str, str]], match:
     own = F.filter(rows, lambda v: v["family"] == F.col("family"))
     best = F.array_min(F.transform(own, lambda v: F.struct(distance(v["bits"]).alias("distance"), v["bits"].alias("variant"))))
     return (vectors.withColumn("best", best)
-            .select("item_id", "family", F.col("best.variant").alias("variant"), F.col("best.distance").alias("distance"))
-            .withColumn("verdict", F.when(F.col("distance") <= match, "match").otherwise("novel")))
+            .select("item_id", "family", F.col("best.variant").alias("variant"), F.col("best.distance").alias("distance"), "bits")
+            .withColumn("verdict", F.when(F.col("distance") <= match, "match")
+                        .when(F.coalesce(1 - F.col("distance") / F.length("bits"), F.lit(0.0)) < least, "no match").otherwise("novel"))
+            .drop("bits"))
 
 
 def vector_overlap(vectors: DataFrame) -> DataFrame:
     """Items per feature vector; a vector shared by several families is flagged."""
-    return vectors.groupBy("bits").agg(
-        F.count("*").alias("items"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
-        (F.countDistinct("family") > 1).alias("overlaps"))
+    found = vectors.groupBy("bits").agg(F.count("*").alias("items"), F.collect_set("family").alias("f"))
+    return found.select("bits", "items", F.array_join(F.array_sort("f"), ",").alias("families"), (F.size("f") > 1).alias("overlaps"))
 
 
 def fill_rate_drops(extractions: DataFrame, filings: DataFrame, drop: float = 10.0) -> DataFrame:
@@ -45,17 +48,26 @@ def fill_rate_drops(extractions: DataFrame, filings: DataFrame, drop: float = 10
             .select("issuer_name", "month", "fill_pct", "baseline_pct", "dropped"))
 
 
-def mode_comparison(extractions: DataFrame, costed: DataFrame) -> DataFrame:
-    """Single against sectioned extraction: fill rate, cost per filing, and the promotion rule."""
-    filled = extractions.groupBy("extraction_mode").agg(
-        F.sum("fields_found").alias("found"), F.sum("field_count").alias("total"))
+def mode_comparison(extractions: DataFrame, fields: DataFrame, costed: DataFrame, gain: float = 10.0, dearer: float = 1.8) -> DataFrame:
+    """Single against sectioned extraction: fill rate, schema errors, cost per filing, and whether to
+    promote the sectioned mode: fill rate up by ``gain`` points, no more errors per field, and cost per filing at most
+    ``dearer`` times as high."""
+    filled = extractions.groupBy("extraction_mode").agg(F.sum("fields_found").alias("found"), F.sum("field_count").alias("total"))
+    wrong = fields.filter("review_status = 'schema_error'").groupBy("extraction_id").agg(F.count("*").alias("n"))
+    errors = (extractions.select("extraction_id", "extraction_mode").join(wrong, "extraction_id", "left")
+              .groupBy("extraction_mode").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("errors")))
     mode = F.when(F.col("call_type") == "extract", "single").otherwise("sectioned")
     spent = (costed.filter("call_type LIKE 'extract%' AND filing_id IS NOT NULL")
              .groupBy(mode.alias("extraction_mode"), "filing_id").agg(_sum_units("cost_units", "u"))
              .groupBy("extraction_mode").agg(F.sum("u").alias("units"), F.count("*").alias("filings")))
-    both = filled.join(spent, "extraction_mode")
-    return both.select("extraction_mode", F.round(F.col("found") / F.col("total") * 100, 2).alias("fill_pct"),
-                       _usd("units", 6).alias("cost_usd"), "filings")
+    both = filled.join(errors, "extraction_mode").join(spent, "extraction_mode").withColumns({
+        "fill": F.col("found") / F.col("total") * 100, "wrong": F.col("errors") / F.col("total"),
+        "each": F.col("units").cast("double") / F.col("filings")})
+    single = lambda c: F.max(F.when(F.col("extraction_mode") == "single", F.col(c))).over(Window.partitionBy())  # noqa: E731  two rows
+    better = ((F.col("fill") - single("fill") >= gain) & (F.col("wrong") <= single("wrong")) & (F.col("each") <= dearer * single("each")))
+    return both.select(
+        "extraction_mode", F.round("fill", 2).alias("fill_pct"), _usd("units", 6).alias("cost_usd"), "filings", "errors",
+        F.round(F.col("each") / 1e10, 6).alias("cost_per_filing_usd"), F.when(F.col("extraction_mode") == "sectioned", better).alias("promote"))
 
 
 def mean_confidence(fields: DataFrame) -> DataFrame:

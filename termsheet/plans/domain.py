@@ -10,7 +10,6 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termsheet.sources.readers import read_parquet
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -148,6 +147,7 @@ TABLES["fields"] = """
 SELECT filing_id || '-' || cast(run AS string) || '-' || field_path AS field_id,
   filing_id || '-' || cast(run AS string) AS extraction_id, filing_id, field_path,
   CASE WHEN tax = 0 THEN NULL
+    WHEN path_no = 8 THEN CASE flag WHEN 'A' THEN 'true' ELSE 'false' END
     WHEN path_no % 4 = 0 THEN cast(cast(qty AS bigint) AS string)
     WHEN path_no % 4 = 1 THEN '"' || flag || '"'
     WHEN path_no % 4 = 2 THEN 'raw ' || flag
@@ -269,19 +269,13 @@ def check_sql(name: str) -> str:
     return CHECK_TABLES.get(name) or TABLES[name]
 
 
-# Text-heavy inputs: spread over the cores by these near-unique keys when the file has too few splits.
-_SPREAD = {"documents": ["doc_id"], "pages": ["page_id"],
-           "label_values": ["l_orderkey", "l_partkey"], "answers": ["l_orderkey", "l_partkey"]}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread_keys: list[str] = ()) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table, or a test table by its own name."""
-    keys = spread_keys or _SPREAD.get(name, ())
     if name in BASE_TABLES:
-        return read_parquet(spark, f"{sf_dir}/{name}.parquet", *keys)
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = TABLES[name]
     used = {n for _, n, _, _ in string.Formatter().parse(sql) if n}
-    return spark.sql(sql, **{n: table(spark, sf_dir, n, keys) for n in used})
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in used})
 
 
 def usd(units: str, digits: int) -> str:

@@ -138,30 +138,25 @@ def s17(spark, sf):
     return sinks.export_documents(*_approved(spark, sf), AS_OF)
 
 
-_FIELDS = ["coupon.rate", "identifiers.cusip", "parties.issuer.name", "coupon.frequency"]
+_FIELDS = ["identifiers.cusip", "identifiers.isin", "coupon.rate", "coupon.frequency", "structuredProductsGeneral.notional", "structuredProductsGeneral.maturityDate",
+           "barrier.triggerDetails.triggerLevel", "barrier.triggerDetails.observationType", "autocall.callLevel", "parties.issuer.name", "product.denomination", "parties.guarantor.name"]
 
 
 def _cell(path: str) -> str:
     return (f"coalesce(max(CASE WHEN field_path = '{path}' THEN CASE WHEN value_json LIKE '\"%' THEN json_extract_string(value_json, '$') "
-            f"ELSE value_json END END), '') AS {path.replace('.', '_')}")
+            f"WHEN value_json = 'true' THEN 'True' WHEN value_json = 'false' THEN 'False' ELSE nullif(value_json, 'null') END END), '') AS {path.replace('.', '_')}")
 
 
 @query("s18_flat_rows", f"""
 SELECT f.filing_id, f.cusip, l.model AS payout_type_id, f.schema_version, f.filing_date, {', '.join(_cell(p) for p in _FIELDS)}
 FROM {{filings}} f JOIN {{latest}} l ON f.filing_id = l.filing_id JOIN {{effective}} e ON e.extraction_id = l.extraction_id
-WHERE f.status = 'approved' AND l.model = 'equityShare' GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5"))
+WHERE f.status = 'approved' GROUP BY 1, 2, 3, 4, 5""")
 def s18(spark, sf):
     filings, latest, values = _approved(spark, sf)
-    rows = sinks.flat_rows(filings, latest.filter("model = 'equityShare'"), values, _FIELDS)
+    rows = sinks.flat_rows(filings, latest, values, _FIELDS)
     return rows.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in rows.columns])
 
 
-# The listing of the table folder itself; file sizes are not visible to the SQL check.
-@query("s19_list_files")
-def s19(spark, sf):
-    return ingest.list_files(spark, sf).select("filename", "size_bytes")
-
-
 domain.TABLES["snapshots"] = """
 SELECT filing_id, CASE cast(accession_raw AS bigint) % 5 WHEN 0 THEN '{{"images":["a.png"]}}' WHEN 1 THEN '{{"images":[]}}' WHEN 2 THEN '{{"cik":"1"}}'
   WHEN 3 THEN '{{broken' ELSE '{{"images":["a.png","b.png"]}}' END AS metadata_json FROM {filings} WHERE status <> 'ingested'"""
@@ -312,7 +307,7 @@ VARIANTS = [(f"family{i % 4}", format((i * 2654435761) % (1 << 22), "022b")) for
 @query("o2_nearest_variant", "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{b}')" for f, b in VARIANTS) + """) t(family, variant)),
 d AS (SELECT item_id, x.family, variant, length(replace(array_to_string(list_transform(range(1, 23), lambda i: CASE WHEN substr(bits, i, 1) = substr(variant, i, 1)
   THEN '' ELSE '1' END), ''), ' ', ''))::int AS distance FROM {vectors} x JOIN v ON x.family = v.family)
-SELECT *, CASE WHEN distance <= 2 THEN 'match' ELSE 'novel' END AS verdict FROM d
+SELECT *, CASE WHEN distance <= 2 THEN 'match' WHEN 1 - distance / 22.0::double < 0.6::double THEN 'no match' ELSE 'novel' END AS verdict FROM d
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY distance, variant) = 1""")
 def o2(spark, sf):
     return quality.nearest_variant(vectors(spark, sf), VARIANTS)
@@ -320,9 +315,9 @@ def o2(spark, sf):
 
 @query("o4_vector_overlap", """
 SELECT bits, count(*) AS items, string_agg(DISTINCT family, ',' ORDER BY family) AS families, count(DISTINCT family) > 1 AS overlaps
-FROM (SELECT family, substr(bits, 1, 6) AS bits FROM {vectors}) t GROUP BY 1""")
+FROM {vectors} GROUP BY 1""")
 def o4(spark, sf):
-    return quality.vector_overlap(vectors(spark, sf).withColumn("bits", F.substring("bits", 1, 6)))
+    return quality.vector_overlap(vectors(spark, sf))
 
 
 @query("o5_fill_rate_drops", """
@@ -336,12 +331,17 @@ def o5(spark, sf):
 
 
 @query("o6_mode_comparison", f"""
-WITH f AS (SELECT extraction_mode, round(sum(fields_found) / sum(field_count) * 100, 2) AS fill_pct FROM {{extractions}} GROUP BY 1),
+WITH f AS (SELECT extraction_mode, sum(fields_found) / sum(field_count) * 100 AS fill, sum(field_count) AS total FROM {{extractions}} GROUP BY 1),
+e AS (SELECT extraction_mode, count(*) FILTER (review_status = 'schema_error') AS errors
+  FROM {{extractions}} x LEFT JOIN {{fields}} v ON x.extraction_id = v.extraction_id GROUP BY 1),
 c AS (SELECT CASE call_type WHEN 'extract' THEN 'single' ELSE 'sectioned' END AS extraction_mode, sum(cost) AS u, count(DISTINCT filing_id) AS filings
-  FROM {{priced}} WHERE call_type LIKE 'extract%' AND filing_id IS NOT NULL GROUP BY 1)
-SELECT f.extraction_mode, fill_pct, {usd('u', 6)} AS cost_usd, filings FROM f JOIN c ON f.extraction_mode = c.extraction_mode""")
+  FROM {{priced}} WHERE call_type LIKE 'extract%' AND filing_id IS NOT NULL GROUP BY 1),
+j AS (SELECT *, u::double / filings AS each FROM f JOIN e USING (extraction_mode) JOIN c USING (extraction_mode))
+SELECT extraction_mode, round(fill, 2) AS fill_pct, {usd('u', 6)} AS cost_usd, filings, errors, round(each / 10000000000.0::double, 6) AS cost_per_filing_usd,
+  CASE WHEN extraction_mode = 'sectioned' THEN (SELECT j.fill - s.fill >= 10 AND j.errors / j.total <= s.errors / s.total AND j.each <= 1.8::double * s.each
+    FROM j s WHERE s.extraction_mode = 'single') END AS promote FROM j""")
 def o6(spark, sf):
-    return quality.mode_comparison(table(spark, sf, "extractions"), costed(spark, sf))
+    return quality.mode_comparison(table(spark, sf, "extractions"), table(spark, sf, "fields"), costed(spark, sf))
 
 
 @query("o7_mean_confidence", """

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from termsheet.functions.jsonvalues import scalar_text
+
 from termsheet.functions.text import json_string
 from termsheet.operators.export import unflatten
 
@@ -41,15 +43,14 @@ def write_documents(documents: DataFrame, path: str) -> None:
 
 
 def flat_rows(filings: DataFrame, extractions: DataFrame, values: DataFrame, field_paths: list[str]) -> DataFrame:
-    """One row per filing of one model; a column per field, sorted; missing values empty.
+    """One row per filing; a column per field, sorted; missing values empty, truth values ``True`` and ``False``.
 
     The columns are the model's field list, given, so no pass over the data is spent on finding
     them and the pivot is a single grouped aggregate.
     """
     def cell(path: str):
         raw = F.max(F.when(F.col("field_path") == path, F.col("value_json")))
-        scalar = F.when(raw.startswith('"'), F.try_variant_get(F.try_parse_json(raw), "$", "string")).otherwise(raw)
-        return F.coalesce(scalar, F.lit("")).alias(path)
+        return F.coalesce(F.when(raw != "null", scalar_text(raw)), F.lit("")).alias(path)
     wide = values.groupBy("filing_id").agg(*[cell(p) for p in sorted(field_paths)])
     about = filings.select("filing_id", F.coalesce("cusip", F.lit("UNKNOWN")).alias("cusip"), "schema_version",
                            F.coalesce("filing_date", F.lit("")).alias("filing_date"))
