@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -236,7 +237,7 @@ def run_table(found: DataFrame, ranges: int, length: int, run_bytes: int = 24 <<
         for batch in batches:
             for doc_id, tie, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text", "blocks")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                for b in {(b["anchor"], b["first"], b["last"], b["gram"]) for b in parts}:
+                for b in {(b["anchor"], b["first"], b["last"], b["gram"]) for b in parts if not b["hot"]}:
                     key = _key(data, *b, length)
                     places = held.setdefault(key, [])
                     places.append((doc_id is None, doc_id or 0, tie, b[0]))
@@ -351,6 +352,30 @@ def repeat_table(runs: DataFrame, length: int) -> DataFrame:
     return runs.groupBy("range").applyInPandas(resolve, "none BOOLEAN, doc_id BIGINT, tie BIGINT, start INT, end INT")
 
 
+def window_table(found: DataFrame, length: int) -> DataFrame:
+    """none, doc_id, tie, start, end: the repeated windows of hot blocks, counted one by one by their hashes.
+
+    Sums start before the shuffle and the join back can split a hot hash, so no task holds a hot gram.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, tie, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text", "blocks")), strict=True):
+                hot = sorted({(b["first"], b["last"]) for b in parts if b["hot"]})
+                if hot:
+                    data = text.encode("utf-8", "surrogatepass")
+                    starts = [p for first, last in hot for p in range(first, last + 1)]
+                    digests = [xxhash.xxh3_128_intdigest(data[p:p + length]) for p in starts]
+                    half = lambda shift: pa.array(np.array([d >> shift & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc_id] * len(starts), pa.int64()), pa.array([tie] * len(starts), pa.int64()), pa.array(starts, pa.int32()), half(64), half(0)],
+                        names=["doc_id", "tie", "start", "h1", "h2"])
+
+    windows = found.select("doc_id", "tie", "text", "blocks").mapInArrow(run, "doc_id BIGINT, tie BIGINT, start INT, h1 BIGINT, h2 BIGINT")
+    often = reliable_checkpoint(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
+    return windows.join(often, ["h1", "h2"]).select(
+        F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie", "start", (F.col("start") + length).alias("end"))
+
+
 def _cutter():
     """A column function from a text and its repeated ranges to the bytes kept and the maximal ranges removed."""
     @F.pandas_udf("struct<kept:binary,spans:array<struct<start:int,end:int>>>")
@@ -376,7 +401,7 @@ def _cutter():
     return cut.asNondeterministic()
 
 
-def dedup(docs: DataFrame, length: int = 400, range_bytes: int = 16 << 20) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, range_bytes: int = 16 << 20, hot: int = 100_000) -> DataFrame:
     """doc_id, text, kept (binary) and spans (start, end in bytes): every text without repeated strings.
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else too, in another text or in the
@@ -386,8 +411,9 @@ def dedup(docs: DataFrame, length: int = 400, range_bytes: int = 16 << 20) -> Da
     known prefix again, and reads the repeated windows off the neighbours' shared prefixes.
 
     Equal strings of a run travel once.  Ranges are as many as the suffixes need at ``range_bytes`` each, so the memory
-    of a task does not grow with the corpus; but all different suffixes with the same first 64 bytes meet in one
-    range.  Null texts count as empty; texts shorter than ``length`` are kept; rows equal in id and text count as
+    of a task does not grow with the corpus.  All different suffixes with the same first 64 bytes meet in one
+    range; where there are more than ``hot`` of them (a passage in very many different surroundings), their windows
+    are counted one by one instead, by 128-bit hashes in plain sums and joins.  Null texts count as empty; texts shorter than ``length`` are kept; rows equal in id and text count as
     two texts, so both go; null ids are treated like others.  Extra columns are not looked at; an empty table
     gives an empty result.
     """
@@ -401,11 +427,15 @@ def dedup(docs: DataFrame, length: int = 400, range_bytes: int = 16 << 20) -> Da
     block_table(rows, length).write.parquet(folder)
     table = spark.read.schema("doc_id BIGINT, tie BIGINT, anchor INT, first INT, last INT, gram BIGINT").parquet(folder)
     often = reliable_checkpoint(table.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
-    n = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    live = table.join(often.select("gram"), "gram").groupBy(*key).agg(F.collect_list(F.struct("anchor", "first", "last", "gram")).alias("blocks"))
+    n, most = often.agg(F.coalesce(F.sum(F.when(F.col("n") <= hot, F.col("n"))), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    live = (table.join(often.select("gram", (F.col("n") > hot).alias("hot")), "gram").groupBy(*key)
+            .agg(F.collect_list(F.struct("anchor", "first", "last", "gram", "hot")).alias("blocks")))
     keyed = rows.select("doc_id", "text", *key)
-    runs = run_table(keyed.join(live, on), max(1, -(-n * 600 // range_bytes)), length)
-    ranges = repeat_table(runs, length).groupBy(F.col("doc_id").alias("_id"), F.col("none").alias("_none"), "tie").agg(
+    found = keyed.join(live, on)
+    repeats = repeat_table(run_table(found, max(1, -(-n * 600 // range_bytes)), length), length)
+    if most > hot:
+        repeats = repeats.unionByName(window_table(found, length))
+    ranges = repeats.groupBy(F.col("doc_id").alias("_id"), F.col("none").alias("_none"), "tie").agg(
         F.collect_list(F.struct("start", "end")).alias("ranges"))
     found = keyed.join(ranges, on, "left")
     touched = F.when(F.col("ranges").isNotNull(), F.col("text"))  # only these go to Python

@@ -108,7 +108,8 @@ def removed(texts, length):
     return result
 
 
-def test_removes_exactly_the_repeated_bytes(spark, docs):
+@pytest.mark.parametrize("hot", [100_000, 20, 1])
+def test_removes_exactly_the_repeated_bytes(spark, docs, hot):
     rng = random.Random(5)
     text = lambda n, letters="abcdefgh é": "".join(rng.choice(letters) for _ in range(n))
     passage, other = text(150), text(90)
@@ -117,7 +118,7 @@ def test_removes_exactly_the_repeated_bytes(spark, docs):
     texts += [texts[0], text(40) + passage[:101] + text(40), passage[:100], passage[1:101], "x" + passage[:99] + "y"]
     for k in range(40):
         texts.append(text(rng.randrange(60)) + passage[rng.randrange(30):rng.randrange(100, 150)] + text(rng.randrange(80)))
-    found = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in suffixes.dedup(docs([(i, t) for i, t in enumerate(texts)]), 100, range_bytes=4000).collect()}
+    found = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in suffixes.dedup(docs([(i, t) for i, t in enumerate(texts)]), 100, range_bytes=4000, hot=hot).collect()}
     assert [found[i] for i in range(len(texts))] == removed(texts, 100)
 
 
@@ -250,6 +251,17 @@ def test_links_connect_what_brute_force_connects(spark, subtrie):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_dense_groups_are_connected_without_all_pairs():
+    rng = np.random.default_rng(12)
+    center = rng.integers(0, 2 ** 64, dtype=np.uint64)
+    flips = [np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, 2, replace=False).astype(np.uint64)) for _ in range(60_000)]
+    values = np.unique(center ^ np.array(flips, np.uint64))
+    many = np.unique(np.concatenate([values ^ np.uint64(1 << b) for b in range(0, 64, 8)]))
+    forest = simhash._Forest(len(many))
+    simhash.trie_links(many, forest, 0, (0, len(many)), (0, len(many)), 0, 4, 4)
+    assert len(set(forest.parent.tolist())) == 1
+
+
 def test_near_duplicate_query(spark):
     rows = queries.QUERIES["op5_simhash_trie"](spark, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
