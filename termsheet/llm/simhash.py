@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 class _Forest:
-    """Vectorised union-find over positions."""
+    """Vectorised union-find over positions of sorted values."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
@@ -70,30 +70,38 @@ class _Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
         self._flatten()
 
+    def joined(self, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> np.ndarray:
+        """Whether all positions of two ranges are connected already."""
+        changes = np.concatenate([[0], np.cumsum(self.parent[1:] != self.parent[:-1])])
+        return (changes[alo] == changes[ahi - 1]) & (changes[blo] == changes[bhi - 1]) & (self.parent[alo] == self.parent[blo])
+
 
 def _close(values: np.ndarray, a: np.ndarray, b: np.ndarray, half: int, budget: int) -> np.ndarray:
     differing = values[a] ^ values[b]
     return (np.bitwise_count(differing) <= budget) & (np.bitwise_count(differing >> np.uint64(32)) <= half)
 
 
-def trie_links(values: np.ndarray, depth: int, left: tuple[int, int], right: tuple[int, int], used: int,
-               half: int, budget: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of linked values below two trie nodes, found by walking both subtries together.
+def trie_links(values: np.ndarray, forest: _Forest, depth: int, left: tuple[int, int], right: tuple[int, int], used: int,
+               half: int, budget: int, most: int = 1 << 15) -> None:
+    """Links close values below two trie nodes in ``forest``, walking both subtries together.
 
     ``values`` are sorted, so a trie node is a range of positions that share ``depth`` leading bits;
     ``left`` and ``right`` are such ranges (the same one for a self-join) that differ in ``used`` bits.  A
     pair of nodes is split by its next bit into pairs of children; crossing pairs add a differing bit, and
-    a pair is dropped once it has more than ``half`` in the first 32 bits or ``budget`` in all.  Pairs with
-    few leaves are compared directly.  Pairs wait on a stack in blocks of at most ``most``, so memory stays
-    bounded whatever the number of pairs.
+    a pair is dropped once it has more than ``half`` in the first 32 bits or ``budget`` in all, or once
+    everything below it is connected: a dense group is walked until it hangs together, not pair by pair.
+    Pairs with few leaves are compared directly.  Pairs wait on a stack in blocks of at most ``most``, the deepest
+    first, so memory stays bounded whatever the number of pairs.
     """
     one = np.uint64(1)
     stack = [(depth, *(np.array([x], np.int64) for x in (*left, *right, used)))]
     while stack:
-        d, alo, ahi, blo, bhi, diff = stack.pop()
-        if len(alo) > most:
-            stack += [(d, *(x[cut] for x in (alo, ahi, blo, bhi, diff))) for cut in (slice(0, len(alo) // 2), slice(len(alo) // 2, None))]
+        d, *pairs = stack.pop()
+        if len(pairs[0]) > most:
+            stack += [(d, *(x[cut] for x in pairs)) for cut in (slice(0, len(pairs[0]) // 2), slice(len(pairs[0]) // 2, None))]
             continue
+        open_ = ~forest.joined(*pairs[:4])
+        alo, ahi, blo, bhi, diff = (x[open_] for x in pairs)
         leaves = (ahi - alo) * (bhi - blo)
         direct = (leaves <= 16) | (d >= BITS)
         if direct.any():
@@ -105,13 +113,12 @@ def trie_links(values: np.ndarray, depth: int, left: tuple[int, int], right: tup
             ordered = (a < b) | (alo[pair] != blo[pair])
             a, b = a[ordered], b[ordered]
             near = _close(values, a, b, half, budget)
-            if near.any():
-                yield a[near], b[near]
+            forest.link(a[near], b[near])
             alo, ahi, blo, bhi, diff = (x[~direct] for x in (alo, ahi, blo, bhi, diff))
         if not len(alo):
             continue
         shift = np.uint64(BITS - 1 - d)
-        middle = lambda lo: np.searchsorted(values, ((values[lo] >> shift) | one) << shift)
+        middle = lambda lo: np.searchsorted(values, ((values[lo] >> shift) | one) << shift)  # noqa: B023, E731
         amid, bmid = np.minimum(middle(alo), ahi), np.minimum(middle(blo), bhi)
         same = alo == blo
         children = []
@@ -152,8 +159,7 @@ def links(distinct: DataFrame, budget: int = 4, subtrie: int = 1 << 14) -> DataF
         cut = int(np.searchsorted(values, np.uint64(b << (BITS - depth)))) if a != b else 0
         left, right = ((0, cut), (cut, len(values))) if a != b else ((0, len(values)),) * 2
         if left[0] < left[1] and right[0] < right[1]:
-            for i, j in trie_links(values, depth, left, right, (a ^ b).bit_count(), half, budget):
-                forest.link(i, j)
+            trie_links(values, forest, depth, left, right, (a ^ b).bit_count(), half, budget)
         linked = np.flatnonzero(forest.parent != np.arange(len(values)))
         ends = [values[linked], values[forest.parent[linked]]]
         if view:
