@@ -310,6 +310,12 @@ STEP_LABELS = {
 LOG_LEVELS = {"DEBUG": 0, "INFO": 1, "WARNING": 2, "ERROR": 3, "CRITICAL": 4}
 
 # ---- fixed values: review and lifecycle states -------------------------------------------
+SCHEMA_VIOLATION = "Schema violation: '"
+SCHEMA_ALLOWED = "' is not a valid value. Allowed: ["
+NO_RESULTS = "No extraction results found"
+EXPORT_BLOCKED = "Export blocked — required fields are null: "
+CONFIRM_REASON = "human confirmation via classification review gate"
+OVERRIDE_REASON = "manual override via UI"
 DONE_STATES = ["extracted", "approved", "exported"]
 FILING_STATES = ["ingested", "classified", "needs_classification_review", "needs_review", "extracting", *DONE_STATES]
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from termsheet.functions.text import json_string
+from termsheet import config
+from termsheet.functions.text import json_string, let
 
 
 def decode_json(text: Column) -> Column:
@@ -39,31 +40,60 @@ def is_missing(value_json: Column) -> Column:
         F.coalesce(value_json.try_cast("double"), F.lit(1.0)) == 0.0)
 
 
-def missing_required(filings: DataFrame, values: DataFrame, descriptors: DataFrame) -> DataFrame:
-    """Filings blocked by required paths without a value, with the sorted list.
+def approved_runs(filings: DataFrame, extractions: DataFrame) -> DataFrame:
+    """The latest run of every approved filing: what X3, X4 and S17 read, narrowed before anything is grouped."""
+    approved = filings.filter("status = 'approved'").select("filing_id")
+    return latest_extraction(extractions.join(approved, "filing_id", "left_semi"))
+
+
+def run_values(fields: DataFrame, runs: DataFrame) -> DataFrame:
+    """X1 for the fields of the given runs."""
+    return effective_values(fields.join(runs.select("extraction_id"), "extraction_id", "left_semi"))
+
 
-    ``filings`` needs (filing_id, model); required descriptors are few and join by model.
+def judge_runs(runs: DataFrame, fields: DataFrame, descriptors: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """filing_id, run, missing_paths (required ones without a value, sorted) and clash of every run's filing.
+
+    Runs meet their fields once, by extraction, and one grouping by filing sets the paths held against the
+    few that its model requires.  ``others`` are filings to be listed without a run.
     """
-    needed = (filings.select("filing_id", "model")
-              .join(descriptors.filter("required").select("model", "field_path").distinct(), "model"))
-    held = values.select("filing_id", "field_path", "value_json")
-    return (needed.join(held, ["filing_id", "field_path"], "left")
-            .filter(is_missing(F.col("value_json")))
-            .groupBy("filing_id").agg(F.array_sort(F.collect_set("field_path")).alias("missing_paths")))
+    held = runs.select("extraction_id", "filing_id", "model").join(effective_values(fields).drop("filing_id"), "extraction_id", "left")
+    present = ~is_missing(F.col("value_json"))
+    written = F.col("value_json").isNotNull() & (F.col("value_json") != "null")
+    rows = held.select("filing_id", "extraction_id", "model", F.when(present, F.col("field_path")).alias("has"),
+                       F.when(written, F.col("field_path")).alias("leaf"))
+    if others is not None:
+        rows = rows.unionByName(others.select("filing_id"), allowMissingColumns=True)
+    held = rows.groupBy("filing_id").agg(F.max("extraction_id").alias("run"), F.max("model").alias("model"),
+                                         F.collect_set("has").alias("has"), F.collect_set("leaf").alias("leaf"))
+    needed = descriptors.filter("required").groupBy("model").agg(F.collect_set("field_path").alias("needed"))
+    missing = F.array_sort(F.array_except("needed", "has"))
+    return held.join(needed, "model", "left").select(
+        "filing_id", "run", F.when(F.size(missing) > 0, missing).alias("missing_paths"), _both_leaf_and_parent(F.col("leaf")).alias("clash"))
+
+
+def missing_required(runs: DataFrame, fields: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """Filings blocked by required paths without a value, with the sorted list."""
+    return judge_runs(runs, fields, descriptors).filter("missing_paths IS NOT NULL").select("filing_id", "missing_paths")
+
+
+def _both_leaf_and_parent(paths: Column) -> Column:
+    """The first path that is a value and the parent of another; such a filing cannot be nested."""
+    ordered = F.array_sort(F.transform(paths, lambda p: F.split(p, r"\.")))
+    return let(ordered, lambda o: F.get(F.transform(F.filter(
+        F.transform(o, lambda p, i: F.struct(p.alias("p"), F.get(o, i + 1).alias("next"))),
+        lambda e: F.coalesce(F.slice(e["next"], F.lit(1), F.size(e["p"])) == e["p"], F.lit(False))),
+        lambda e: F.array_join(e["p"], ".")), F.lit(0)))
 
 
 def batch_split(filings: DataFrame, extractions: DataFrame, fields: DataFrame,
                 descriptors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Approved filings split into exported ids and failures with their reason."""
-    approved = filings.filter("status = 'approved'").select("filing_id")
-    latest = latest_extraction(extractions).select("filing_id", "extraction_id", "model")
-    current = effective_values(fields).join(latest.select("extraction_id"), "extraction_id", "left_semi")
-    blocked = missing_required(latest.join(approved, "filing_id", "left_semi"), current, descriptors)
-    judged = (approved.join(latest.select("filing_id", "extraction_id"), "filing_id", "left")
-              .join(blocked, "filing_id", "left"))
-    reason = (F.when(F.col("extraction_id").isNull(), F.lit("No extraction results found"))
-              .when(F.col("missing_paths").isNotNull(), F.concat(
-                  F.lit("Export blocked — required fields are null: "), F.array_join("missing_paths", ", "))))
+    approved = filings.filter("status = 'approved'")
+    judged = judge_runs(approved_runs(filings, extractions), fields, descriptors, approved)
+    reason = (F.when(F.col("run").isNull(), F.lit(config.NO_RESULTS))
+              .when(F.col("missing_paths").isNotNull(), F.concat(F.lit(config.EXPORT_BLOCKED), F.array_join("missing_paths", ", ")))
+              .when(F.col("clash").isNotNull(), F.concat(F.lit("field path holds a value and other fields: "), F.col("clash"))))
     judged = judged.select("filing_id", reason.alias("reason"))
     return (judged.filter("reason IS NULL").select("filing_id"),
             judged.filter("reason IS NOT NULL"))
@@ -100,10 +130,15 @@ def unflatten(values: DataFrame, models: DataFrame | None = None) -> DataFrame:
         rows = rows.join(models.select("filing_id"), "filing_id", "left_semi").unionByName(tag)
     grouped = rows.groupBy("filing_id").agg(
         F.array_sort(F.collect_list(F.struct("path", "json"))).alias("leaves"))
+    return grouped.select("filing_id", nested("leaves").alias("nested_json"))
+
+
+def nested(name: str) -> Column:
+    """The JSON object of a column of sorted leaves (path, json)."""
 
     def piece(leaf: Column, i: Column) -> Column:
         path = leaf["path"]
-        before = F.when(i > 0, F.get(F.col("leaves"), i - 1)["path"])
+        before = F.when(i > 0, F.get(F.col(name), i - 1)["path"])
         nested = F.least(F.size(before), F.size(path)) - 1          # parents that could be shared
         shared = F.when((i > 0) & (nested > 0), F.size(F.filter(
             F.sequence(F.lit(1), F.greatest(nested, F.lit(1))),
@@ -115,6 +150,5 @@ def unflatten(values: DataFrame, models: DataFrame | None = None) -> DataFrame:
             .otherwise(F.lit("{")),
             F.array_join(opened, ""), json_string(F.element_at(path, -1)), F.lit(":"), leaf["json"])
 
-    tail = F.repeat(F.lit("}"), F.size(F.element_at("leaves", -1)["path"]))
-    return grouped.select("filing_id", F.concat(
-        F.array_join(F.transform("leaves", piece), ""), tail).alias("nested_json"))
+    tail = F.repeat(F.lit("}"), F.size(F.element_at(name, -1)["path"]))
+    return F.concat(F.array_join(F.transform(name, piece), ""), tail)

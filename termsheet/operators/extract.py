@@ -200,37 +200,73 @@ def extractable(filings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return filings.filter(ok), filings.filter(~ok | F.col("model").isNull()).withColumn("reason", reason)
 
 
-def cover_all(filings: DataFrame, descriptors: DataFrame, values: DataFrame) -> DataFrame:
-    """A row for every described path of the filing's model and every path found.
+_EXPECTED = 9                                                     # ranks after every tier
+
+
+def covered_fields(filings: DataFrame, descriptors: DataFrame, registry: DataFrame, table: DataFrame,
+                   answered: DataFrame) -> DataFrame:
+    """E8 and E10 in one grouping: a row for every path described for the filing's model or found.
 
-    ``descriptors`` is small and is broadcast by its size; the one shuffle is the outer join on
-    (filing, path).
+    Described paths join the tiers as the last rank and bring their allowed values along (``enum_values``, for E11), so
+    the best tier, the coverage and the rule come from one pass over (filing, path).  ``descriptors``
+    is small and is broadcast by its size.
     """
-    expected = (filings.select("filing_id", "model")
-                .join(descriptors.select("model", "field_path"), "model").select("filing_id", "field_path"))
-    found = values.join(filings.select("filing_id"), "filing_id", "left_semi")
-    return expected.join(found, ["filing_id", "field_path"], "full_outer").select(
-        "filing_id", "field_path", "value_json", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        F.coalesce("excerpt", F.lit("")).alias("excerpt"), F.coalesce("source", F.lit("llm")).alias("source"),
-        F.col("value_json").isNull().alias("not_found"))
+    return _covered(_tiers(registry, table, answered), filings, descriptors)
+
+
+def complete_fields(filings: DataFrame, descriptors: DataFrame, registry: DataFrame, table: DataFrame,
+                    answered: DataFrame) -> DataFrame:
+    """Covered and checked fields."""
+    return _checked(covered_fields(filings, descriptors, registry, table, answered)).drop("enum_values")
+
+
+def cover_all(filings: DataFrame, descriptors: DataFrame, values: DataFrame) -> DataFrame:
+    """A row for every described path of the filing's model and every path found."""
+    return _covered(values.select(*_FIELD).withColumn("rank", F.lit(0)), filings, descriptors).drop("enum_values")
+
+
+def _covered(found: DataFrame, filings: DataFrame, descriptors: DataFrame) -> DataFrame:
+    rows = found.unionByName(_expected(filings, descriptors), allowMissingColumns=True)
+    # One shuffle by filing serves the join and the grouping; a semi-join would be pushed into every tier.
+    rows = rows.join(filings.select("filing_id"), "filing_id")
+    best = F.min_by(F.struct(*_FIELD[2:]), "rank").alias("b")
+    return rows.groupBy("filing_id", "field_path").agg(best, F.max("enum_values").alias("enum_values")).select(
+        "filing_id", "field_path", "b.value_json", F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("b.excerpt", F.lit("")).alias("excerpt"), F.coalesce("b.source", F.lit("llm")).alias("source"),
+        F.col("b.value_json").isNull().alias("not_found"), "enum_values")
+
+
+def _expected(filings: DataFrame, descriptors: DataFrame) -> DataFrame:
+    return (filings.select("filing_id", "model").join(descriptors.select("model", "field_path", "enum_values"), "model")
+            .select("filing_id", "field_path", "enum_values", F.lit(_EXPECTED).alias("rank")))
 
 
 def check_enums(fields: DataFrame, filings: DataFrame, descriptors: DataFrame) -> DataFrame:
     """Values outside a descriptor's allowed list get an error, confidence 0 and schema_error."""
-    rules = descriptors.filter(F.size("enum_values") > 0).select("model", "field_path", "enum_values")
-    text = scalar_text(F.col("value_json"))
-    bad = (F.col("value_json").isNotNull() & F.col("enum_values").isNotNull()
-           & ~F.array_contains("enum_values", text))
-    message = F.concat(F.lit("Schema violation: '"), text, F.lit("' is not a valid value. Allowed: ['"),
-                       F.array_join("enum_values", "', '"), F.lit("']"))
+    rules = descriptors.select("model", "field_path", "enum_values")
     joined = (fields.join(filings.select("filing_id", "model"), "filing_id", "left")
               .join(rules, ["model", "field_path"], "left"))
+    return _checked(joined).select(*fields.columns, "validation_error", "review_status")
+
+
+def _quoted(text: Column) -> Column:
+    """A text in single quotes, or in double ones if it holds single quotes alone."""
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    double = text.contains("'") & ~text.contains('"')
+    return F.when(double, F.concat(F.lit('"'), text, F.lit('"'))).when(text.contains("'"), F.concat(F.lit("'"), escaped, F.lit("'"))).otherwise(
+        F.concat(F.lit("'"), text, F.lit("'")))
+
+
+def _checked(fields: DataFrame) -> DataFrame:
+    text = scalar_text(F.col("value_json"))
+    bad = (F.col("value_json").isNotNull() & (F.size("enum_values") > 0) & ~F.array_contains("enum_values", text))
+    listed = F.array_join(F.transform("enum_values", _quoted), ", ")
+    message = F.concat(F.lit(config.SCHEMA_VIOLATION), text, F.lit(config.SCHEMA_ALLOWED), listed, F.lit("]"))
     flagged = F.coalesce(bad, F.lit(False))
-    return (joined.withColumns({
+    return fields.withColumns({
         "validation_error": F.when(flagged, message),
         "confidence": F.when(flagged, F.lit(0.0)).otherwise(F.col("confidence")),
         "review_status": F.when(flagged, F.lit("schema_error")).otherwise(F.lit("pending"))})
-        .select(*fields.columns, "validation_error", "review_status"))
 
 
 def extraction_summary(fields: DataFrame, mode: str = "single") -> DataFrame:

@@ -160,9 +160,9 @@ def feedback_rows(outcomes: DataFrame, actions: DataFrame, at: str) -> DataFrame
     """Feedback rows of accepted confirmations and overrides."""
     done = outcomes.filter("reason IS NULL AND action IN ('confirm', 'override')")
     why = actions.select("filing_id", "seq", F.col("reason").alias("given"))
-    default = F.when(F.col("action") == "confirm", F.lit("human confirmation via classification review gate")
+    default = F.when(F.col("action") == "confirm", F.lit(config.CONFIRM_REASON)
                      ).otherwise(F.coalesce(F.when(F.col("given") != "", F.col("given")),
-                                            F.lit("manual override via UI")))
+                                            F.lit(config.OVERRIDE_REASON)))
     return done.join(why, ["filing_id", "seq"], "left").select(
         "filing_id", "seq", F.coalesce("old_model", F.lit("unknown")).alias("original_model"),
         F.col("new_model").alias("corrected_model"), default.alias("reason"), F.lit(at).alias("corrected_at"))

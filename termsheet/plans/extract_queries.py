@@ -132,7 +132,7 @@ def e9(spark, sf):
 
 def covered(spark, sf):
     ready, _ = ops.extractable(table(spark, sf, "filings"))
-    return ready, ops.cover_all(ready, descriptors(spark, sf), ops.merge_tiers(*tiers(spark, sf)))
+    return ops.covered_fields(ready, descriptors(spark, sf), *tiers(spark, sf)).drop("enum_values")
 
 
 domain.CHECK_TABLES["ready"] = "SELECT filing_id, model FROM {filings} WHERE model IS NOT NULL AND model <> 'unknown'"
@@ -156,20 +156,20 @@ FROM (SELECT c.*, enum_text, CASE WHEN value_json LIKE '"%' THEN json_extract_st
 
 @query("e10_full_coverage", "SELECT * FROM {covered}")
 def e10(spark, sf):
-    return covered(spark, sf)[1]
+    return covered(spark, sf)
 
 
 @query("e11_enum_validation", "SELECT * EXCLUDE (enum_text, txt, bad) FROM {validated}")
 def e11(spark, sf):
-    ready, fields = covered(spark, sf)
-    return ops.check_enums(fields, ready, descriptors(spark, sf))
+    ready, _ = ops.extractable(table(spark, sf, "filings"))
+    return ops.complete_fields(ready, descriptors(spark, sf), *tiers(spark, sf))
 
 
 @query("e12_extraction_summary", """
 SELECT filing_id, count(*) AS field_count, count(*) FILTER (NOT not_found) AS fields_found,
   count(*) FILTER (not_found) AS fields_null, 'sectioned' AS extraction_mode FROM {covered} GROUP BY 1""")
 def e12(spark, sf):
-    return ops.extraction_summary(covered(spark, sf)[1], "sectioned")
+    return ops.extraction_summary(covered(spark, sf), "sectioned")
 
 
 @query("e13_excerpt_cut", """
@@ -251,9 +251,8 @@ def x2(spark, sf):
 
 @query("x3_required_gate", "SELECT filing_id, missing AS missing_paths FROM {blocked}")
 def x3(spark, sf):
-    ready = export.exportable(table(spark, sf, "filings"), table(spark, sf, "extractions")).select("filing_id")
-    latest = _latest(spark, sf).join(ready, "filing_id", "left_semi")
-    return (export.missing_required(latest, _current(spark, sf), descriptors(spark, sf))
+    runs = export.approved_runs(table(spark, sf, "filings"), table(spark, sf, "extractions"))
+    return (export.missing_required(runs, table(spark, sf, "fields"), descriptors(spark, sf))
             .withColumn("missing_paths", F.array_join("missing_paths", ", ")))
 
 

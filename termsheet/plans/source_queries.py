@@ -9,7 +9,7 @@ from termsheet.operators import export, htmlrows, quality, runs
 from termsheet.plans import domain
 from termsheet.plans.document_queries import _INDEX
 from termsheet.plans.domain import AS_OF, DEFAULT_MODEL, PRICING, table, usd
-from termsheet.plans.extract_queries import _NEST, _current, _latest
+from termsheet.plans.extract_queries import _NEST
 from termsheet.plans.registry import query
 from termsheet.plans.usage_queries import costed
 from termsheet.plans.workflow_queries import _REPLAY
@@ -119,10 +119,9 @@ def s16(spark, sf):
 
 
 def _approved(spark, sf):
-    filings = table(spark, sf, "filings").filter("status = 'approved'")
-    latest = _latest(spark, sf).join(filings.select("filing_id"), "filing_id", "left_semi")
-    values = _current(spark, sf).join(filings.select("filing_id"), "filing_id", "left_semi")
-    return filings, latest, values
+    filings = table(spark, sf, "filings")
+    runs = export.approved_runs(filings, table(spark, sf, "extractions"))
+    return filings, runs, export.run_values(table(spark, sf, "fields"), runs)
 
 
 @query("s17_export_documents", "WITH nested AS (" + _NEST + f"""),

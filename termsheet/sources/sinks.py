@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from termsheet.functions.jsonvalues import scalar_text
-
 from termsheet.functions.text import json_string
-from termsheet.operators.export import unflatten
+from termsheet.operators.export import nested
 
 _ABOUT = ["cusip", "accession_number", "issuer_name", "filing_date", "filing_url", "model", "schema_version", "extracted_at"]
 
@@ -17,9 +16,14 @@ def export_documents(filings: DataFrame, extractions: DataFrame, values: DataFra
 
     ``extractions`` is the latest run per exported filing, ``values`` its effective values.
     """
-    nested = unflatten(values, extractions.select("filing_id", "model"))
-    statuses = values.groupBy("filing_id").agg(F.array_sort(F.collect_list(
-        F.struct("field_path", "review_status"))).alias("s"))
+    tag = extractions.filter("model IS NOT NULL").select("filing_id", F.array(F.lit("model")).alias("path"), json_string(F.col("model")).alias("json"))
+    written = F.col("value_json").isNotNull() & (F.col("value_json") != "null")
+    rows = values.select("filing_id", "field_path", "review_status", F.when(written, F.split("field_path", r"\.")).alias("path"),
+                         F.col("value_json").alias("json")).unionByName(tag, allowMissingColumns=True)
+    grouped = rows.groupBy("filing_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "json")))).alias("leaves"),
+        F.array_sort(F.collect_list(F.when(F.col("field_path").isNotNull(), F.struct("field_path", "review_status")))).alias("s"))
+    fields = grouped.filter(F.size("leaves") > 0).select("filing_id", nested("leaves").alias("nested_json"), "s")
     about = (extractions.select("filing_id", "model", "extracted_at")
              .join(filings.select("filing_id", "cusip", "accession_number", "issuer_name", "filing_date",
                                   F.col("source_url").alias("filing_url"), "schema_version"), "filing_id"))
@@ -31,7 +35,7 @@ def export_documents(filings: DataFrame, extractions: DataFrame, values: DataFra
         json_string(r["field_path"]), F.lit(":"), json_string(r["review_status"]))), ","), F.lit("}"))
     name = F.concat_ws("_", F.regexp_replace("cusip", "[^A-Za-z0-9]", ""),
                        F.regexp_replace("model", "[^A-Za-z0-9_]", "_"), F.lit(at[:10]))
-    return (known.join(nested, "filing_id").join(statuses, "filing_id", "left").select(
+    return (known.join(fields, "filing_id").select(
         "filing_id", "model", name.alias("file_name"), F.concat(
             F.lit('{"export_metadata":'), stamped, F.lit(',"fields":'), F.col("nested_json"),
             F.lit(',"field_review_status":'), F.coalesce(review, F.lit("{}")), F.lit("}")).alias("document")))

@@ -125,3 +125,23 @@ def test_missing_in_the_reviewers_sense(spark):
     df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(cases)], "i INT, v STRING")
     got = {r["i"]: r["m"] for r in df.select("i", export.is_missing(F.col("v")).alias("m")).collect()}
     assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+
+
+def test_allowed_values_are_quoted_as_written(spark):
+    rules = spark.createDataFrame([("m", "a", ["it's", 'q"', "b\\c"])], "model STRING, field_path STRING, enum_values ARRAY<STRING>")
+    values = spark.createDataFrame([("f", "a", '"y"', 0.9, "", "llm")], "filing_id STRING, field_path STRING, value_json STRING, confidence DOUBLE, excerpt STRING, source STRING")
+    filings = spark.createDataFrame([("f", "m")], "filing_id STRING, model STRING")
+    got = extract.check_enums(values, filings, rules).first()["validation_error"]
+    assert got == "Schema violation: 'y' is not a valid value. Allowed: " + repr(["it's", 'q"']).rstrip("]") + ", 'b\\c']"
+
+
+def test_a_path_that_is_value_and_parent_fails_its_filing(spark):
+    filings = spark.createDataFrame([(f, "approved", "m") for f in "fgh"], "filing_id STRING, status STRING, model STRING")
+    runs = spark.createDataFrame([(f"{f}1", f, "m", "t") for f in "fg"], "extraction_id STRING, filing_id STRING, model STRING, extracted_at STRING")
+    fields = spark.createDataFrame([("f1", "f", "a", "1"), ("f1", "f", "a.b", "2"), ("g1", "g", "a", "1"), ("g1", "g", "aa.b", "2"), ("g1", "g", "aa", None)],
+                                   "extraction_id STRING, filing_id STRING, field_path STRING, value_json STRING")
+    fields = fields.withColumns({"reviewed_json": F.lit(None).cast("string"), "review_status": F.lit("accepted")})
+    rules = spark.createDataFrame([("m", "a", True)], "model STRING, field_path STRING, required BOOLEAN")
+    exported, failed = export.batch_split(filings, runs, fields, rules)
+    assert [r[0] for r in exported.collect()] == ["g"]
+    assert {tuple(r) for r in failed.collect()} == {("f", "field path holds a value and other fields: a"), ("h", "No extraction results found")}
