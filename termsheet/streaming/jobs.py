@@ -25,7 +25,8 @@ def unique_filings(requests: DataFrame, delay: str = "1 day") -> DataFrame:
 
 def live_spend(calls: DataFrame, pricing: list[dict], default_model: str, delay: str = "1 hour",
                width: str = "1 day") -> DataFrame:
-    """T2 (U12): spend per window and phase; calls later than the delay are dropped."""
+    """T2 (U12): spend per window and phase, for update or append mode; calls whose window ended more than the
+    delay before the latest call are dropped, and so is the state of those windows."""
     timed = call_cost(calls, pricing, default_model).withColumn(
         "at", wall_clock(F.col("called_at")).cast("timestamp")).filter("at IS NOT NULL")
     phase = F.when(F.coalesce("call_type", F.lit("")).startswith("classify"), "classify").otherwise("extract")
@@ -35,21 +36,30 @@ def live_spend(calls: DataFrame, pricing: list[dict], default_model: str, delay:
 
 
 def miss_counts(misses: DataFrame) -> DataFrame:
-    """T4 (L7): running number of filings, first and last time per unmapped label."""
+    """T4 (L7): running number of filings, first and last time per unmapped label, for update mode: a batch gives
+    the labels that it changed."""
     return misses.groupBy("label_norm").agg(
         F.count("*").alias("occurrences"), F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"))
 
 
-def follow_actions(actions: DataFrame, read_state: Callable[[], DataFrame], write_state: Callable[[DataFrame, int], None],
-                   write_outcomes: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+def follow_actions(actions: DataFrame, read_state: Callable[[], DataFrame], last_batch: Callable[[], int],
+                   write_state: Callable[[DataFrame, int], None], write_outcomes: Callable[[DataFrame, int], None],
+                   checkpoint: str, **trigger) -> StreamingQuery:
     """T3 (W0): apply each micro-batch of actions to the stored filing states.
 
-    State lives in the caller's table: ``read_state`` gives the last committed version and
-    ``write_state`` commits the next under the batch id, so a replayed batch can be recognised.
+    State lives in the caller's table: ``read_state`` gives the present state of all filings, ``last_batch`` the id of
+    the last batch committed to it (-1 for none), and ``write_state`` commits the filings that a batch
+    touched, and only those, under its id.  A batch that is replayed after it was committed is passed over;
+    outcomes are written first, under the same id, so a replay before that writes them again, not twice.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        moved, outcomes = apply_actions(read_state(), batch)
+        if batch_id <= last_batch():
+            return
+        batch.persist()
+        touched = batch.select("filing_id").distinct()
+        moved, outcomes = apply_actions(read_state().join(touched, "filing_id", "left_semi"), batch)
         write_outcomes(outcomes, batch_id)
         write_state(moved, batch_id)
+        batch.unpersist()
     return (actions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

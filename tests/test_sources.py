@@ -90,3 +90,29 @@ def test_stream_drops_repeated_filings(spark, tmp_path):
              .trigger(availableNow=True).start())
     query.awaitTermination()
     assert sorted(r["folder_path"] for r in spark.read.parquet(str(out)).collect()) == ["000114036124000001", "000114036124000002"]
+
+
+def test_a_replayed_batch_is_applied_once(spark, tmp_path):
+    from termsheet.streaming import jobs
+
+    ddl = "filing_id STRING, seq BIGINT, action STRING, model STRING"
+    written, outcomes = [], []
+    state = {"batch": -1, "rows": spark.createDataFrame([("f", "extracted", "index", 0.9), ("g", "extracted", "index", 0.9)],
+                                                        "filing_id STRING, status STRING, model STRING, confidence DOUBLE")}
+
+    def write_state(moved, batch_id):
+        written.append((batch_id, [tuple(r) for r in moved.collect()]))
+        if batch_id == 0 and state["batch"] < 0:
+            state.update(batch=batch_id, rows=spark.createDataFrame(written[-1][1], "filing_id STRING, status STRING, model STRING, confidence DOUBLE"))
+            raise RuntimeError("lost after the commit")
+
+    spark.createDataFrame([("f", 1, "approve", "")], ddl).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        actions = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
+        stream = jobs.follow_actions(actions, lambda: state["rows"], lambda: state["batch"], write_state,
+                                     lambda o, i: outcomes.append([r["reason"] for r in o.collect()]), str(tmp_path / "checkpoint"))
+        try:
+            stream.awaitTermination()
+        except Exception as lost:
+            assert "lost after the commit" in str(lost)
+    assert written == [(0, [("f", "approved", "index", 0.9)])] and outcomes == [[None]]
