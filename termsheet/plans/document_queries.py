@@ -57,31 +57,28 @@ def h5(spark, sf):
 def _slice_sql(name: str, i: int) -> str:
     spec = SECTIONS[name]
     if name == "identifiers":
-        return f"SELECT doc_id, '{name}' AS section, {i} AS ord, substr(text, 1, {spec['max_chars']}) AS slice FROM {{ascii_docs}}"
+        return f"SELECT doc_id, '{name}' AS section, {i} AS ord, substr(text, 1, {spec['max_chars']}) AS slice FROM {{documents}}"
     return f"""SELECT doc_id, '{name}' AS section, {i} AS ord,
   CASE WHEN pos IS NULL THEN '' ELSE substr(text, greatest(pos - 500, 1), {spec['max_chars']}) END AS slice
-FROM (SELECT doc_id, text, least({', '.join(_first_word(h) for h in spec['search_headers'])}) AS pos FROM {{ascii_docs}}) t"""
+FROM (SELECT doc_id, text, least({', '.join(_first_word(h) for h in spec['search_headers'])}) AS pos FROM {{documents}}) t"""
 
 
-def _first_word(header: str) -> str:
-    """Position of the first whole-word hit: length of the text before it plus one."""
-    return (f"CASE WHEN regexp_matches(text, '(?i)\\b{header}\\b') THEN "
-            f"length(string_split_regex(text, '(?i)\\b{header}\\b')[1]) + 1 END")
+# The check engine's \\b is ASCII; a word boundary is spelt by Unicode classes instead.
+_WORDLESS = r"[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]"
 
 
-# The check engine's \b is ASCII, so word-boundary queries run on text with other letters replaced.
-domain.TABLES["ascii_docs"] = """
-SELECT doc_id, lang, source, regexp_replace(text, '[^\\x00-\\x7F]', 'e', 'g') AS text FROM {documents}"""
-domain.CHECK_TABLES["doc_slices"] = " UNION ALL ".join(_slice_sql(n, i) for i, n in enumerate(SECTIONS))
+def _first_word(header: str) -> str:
+    """Position of the first whole-word hit: length of the text before it, and of the sign in front of it, plus one."""
+    hit = rf"(?i)(^|{_WORDLESS}){header}($|{_WORDLESS})"
+    return (f"CASE WHEN regexp_matches(text, '{hit}') THEN "
+            f"length(string_split_regex(text, '{hit}')[1]) + length(regexp_extract(text, '{hit}', 1)) + 1 END")
 
 
-def ascii_docs(spark, sf):
-    return (table(spark, sf, "documents")
-            .withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "e")).select("doc_id", "lang", "source", "text"))
+domain.CHECK_TABLES["doc_slices"] = " UNION ALL ".join(_slice_sql(n, i) for i, n in enumerate(SECTIONS))
 
 
 def slices(spark, sf):
-    return ops.section_slices(ascii_docs(spark, sf).select("doc_id", "text"), SECTIONS, routes=None)
+    return ops.section_slices(table(spark, sf, "documents").select("doc_id", "text"), SECTIONS, routes=None)
 
 
 @query("h6_section_slices", "SELECT doc_id, section, ord, slice FROM {doc_slices}")
@@ -89,6 +86,19 @@ def h6(spark, sf):
     return slices(spark, sf)
 
 
+# Every document gets a model; the last name is in no route, so it gets every section.
+_MODELS = [*config.MODEL_SECTIONS, "legacyNote"]
+_ROUTED = ", ".join(f"({i}, '{name}')" for i, m in enumerate(_MODELS) for name in SECTIONS if name in config.MODEL_SECTIONS.get(m, SECTIONS))
+
+
+@query("h6_routed_slices", f"""
+SELECT doc_id, s.section, ord, slice FROM {{doc_slices}} s JOIN (VALUES {_ROUTED}) r(n, section)
+  ON r.section = s.section AND r.n = doc_id % {len(_MODELS)}""")
+def h6b(spark, sf):
+    model = F.get(F.array(*map(F.lit, _MODELS)), (F.col("doc_id") % len(_MODELS)).cast("int"))
+    return ops.section_slices(table(spark, sf, "documents").select("doc_id", "text", model.alias("model")), SECTIONS).drop("model")
+
+
 @query("h7_slices_to_ask", "SELECT doc_id, section, length(slice)::int AS chars FROM {doc_slices} WHERE length(slice) >= 100")
 def h7(spark, sf):
     return ops.split_short_slices(slices(spark, sf))[0].select("doc_id", "section", F.length("slice").alias("chars"))
@@ -101,7 +111,7 @@ def h7b(spark, sf):
 
 # Interval view of the same rule: hit positions, windows, islands by running end, cap by running length.
 domain.CHECK_TABLES["targeted"] = f"""
-SELECT d.doc_id, coalesce(t.sections, '') AS targeted FROM {{ascii_docs}} d LEFT JOIN (
+SELECT d.doc_id, coalesce(t.sections, '') AS targeted FROM {{documents}} d LEFT JOIN (
   SELECT doc_id, string_agg(substr(chunk, 1, (8000 - before)::bigint), '\n\n[...]\n\n' ORDER BY s) AS sections FROM (
     SELECT doc_id, s, chunk, coalesce(sum(length(chunk)) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
     FROM (SELECT i.doc_id, i.s, {d_strip("substr(d.text, (i.s + 1)::bigint, (i.e - i.s)::bigint)")} AS chunk FROM (
@@ -114,15 +124,15 @@ SELECT d.doc_id, coalesce(t.sections, '') AS targeted FROM {{ascii_docs}} d LEFT
                 SELECT doc_id, length(text) AS total, unnest(range(1, len(h) + 1)) AS n,
                   length(p[unnest(range(1, len(h) + 1))]) AS part_len, length(h[unnest(range(1, len(h) + 1))]) AS hit_len FROM (
                   SELECT doc_id, text, regexp_extract_all(text, '(?i){'|'.join(WORDS)}') AS h,
-                    string_split_regex(text, '(?i){'|'.join(WORDS)}') AS p FROM {{ascii_docs}}) a) b
+                    string_split_regex(text, '(?i){'|'.join(WORDS)}') AS p FROM {{documents}}) a) b
               WINDOW w AS (PARTITION BY doc_id ORDER BY n)) c) d0) e0) f0 GROUP BY 1, 2) i
-    JOIN {{ascii_docs}} d ON i.doc_id = d.doc_id) g) k
+    JOIN {{documents}} d ON i.doc_id = d.doc_id) g) k
   WHERE before < 8000 GROUP BY 1) t ON d.doc_id = t.doc_id"""
 
 
 @query("h8_targeted_sections", "SELECT * FROM {targeted}")
 def h8(spark, sf):
-    return ascii_docs(spark, sf).select("doc_id", ops.targeted_sections(F.col("text"), WORDS).alias("targeted"))
+    return table(spark, sf, "documents").select("doc_id", ops.targeted_sections(F.col("text"), WORDS).alias("targeted"))
 
 
 # Excerpts of each document: verbatim, with altered white space, with an altered end, and absent.
@@ -323,9 +333,9 @@ SELECT doc_id::varchar AS filing_id, section, 'Extract the fields of the schema
   || 'Schema:' || chr(10) || CASE WHEN section <> 'parties' THEN lang || '/' || section ELSE '' END || chr(10)
   || coalesce(CASE WHEN source <> 'src0' THEN 'hints for ' || source END, '') AS preamble,
   'FILING TEXT:' || chr(10) || CASE slice WHEN '' THEN '[No matching section in this filing: answer null for every field]' ELSE slice END AS filing_part
-FROM {doc_slices} s JOIN {ascii_docs} d USING (doc_id)""")
+FROM {doc_slices} s JOIN {documents} d USING (doc_id)""")
 def e17(spark, sf):
-    docs = ascii_docs(spark, sf)
+    docs = table(spark, sf, "documents")
     asked = ops.section_slices(docs.selectExpr("cast(doc_id AS string) AS filing_id", "lang AS model",
                                                "source AS issuer_key", "text"), SECTIONS, routes=None)
     models = docs.select(F.col("lang").alias("model")).distinct()

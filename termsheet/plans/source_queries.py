@@ -363,12 +363,13 @@ def o7(spark, sf):
 
 @query("o8_series_filings", r"""
 SELECT doc_id, len(c)::int AS cusips, array_to_string(c, ',') AS codes FROM (
-  SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b[A-Z0-9]{{9}}\b'))) AS c FROM (
+  SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+'),
+    lambda w: regexp_full_match(w, '[A-Z0-9]{{9}}')))) AS c FROM (
     SELECT doc_id, text || ' Q' || lpad(doc_id::varchar, 8, '0') || CASE doc_id % 3 WHEN 0 THEN ' R' || lpad(doc_id::varchar, 8, '0') ELSE '' END AS text
-    FROM {ascii_docs}) a) t WHERE len(c) > 1""")
+    FROM {documents}) a) t WHERE len(c) > 1""")
 def o8(spark, sf):
     key = F.lpad(F.col("doc_id").cast("string"), 8, "0")
     docs = table(spark, sf, "documents").select("doc_id", F.concat(
-        F.regexp_replace("text", r"[^\x00-\x7F]", "e"), F.lit(" Q"), key,
+        "text", F.lit(" Q"), key,
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" R"), key)).otherwise(F.lit(""))).alias("text"))
     return quality.series_filings(docs)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termsheet import config
-from termsheet.operators import classify, workflow as ops
+from termsheet.operators import classify, documents, workflow as ops
 from termsheet.plans import domain
+from termsheet.plans.document_queries import WORDS
 from termsheet.plans.domain import AS_OF, table
 from termsheet.plans.label_queries import q
 from termsheet.plans.registry import query
@@ -41,10 +42,8 @@ FROM (SELECT *, json_extract_string(j, '$.payout_type_id') AS given, CASE WHEN j
 
 domain.CHECK_TABLES["stage1"] = _validated("class_answers").replace("{{{{}}}}", "{{}}")
 domain.CHECK_TABLES["stage2"] = _validated("class_answers_2").replace("{{{{}}}}", "{{}}")
-# Stand-in for the targeted text: documents of some sources have none.
 domain.CHECK_TABLES["stage1_with_text"] = """
-SELECT s.*, CASE WHEN d.source IN ('src1', 'src2') THEN '' ELSE substr(d.text, 1, 40) END AS targeted
-FROM {stage1} s JOIN {documents} d ON s.filing_id = d.doc_id::varchar"""
+SELECT s.*, t.targeted FROM {stage1} s JOIN {targeted} t ON s.filing_id = t.doc_id::varchar"""
 
 
 def stage1(spark, sf):
@@ -57,8 +56,7 @@ def stage2(spark, sf):
 
 def stage1_with_text(spark, sf):
     texts = table(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("filing_id"),
-        F.when(F.col("source").isin("src1", "src2"), "").otherwise(F.substring("text", 1, 40)).alias("targeted"))
+        F.col("doc_id").cast("string").alias("filing_id"), documents.targeted_sections(F.col("text"), WORDS).alias("targeted"))
     return stage1(spark, sf).join(texts, "filing_id")
 
 
@@ -214,14 +212,14 @@ def c5(spark, sf):
 @query("c6_stage2_requests", """
 SELECT s.filing_id, 'A first pass on the cover was not conclusive.' || chr(10) || hint_text || CASE WHEN product_features = '{{}}' THEN '' ELSE
   'Cover: type=' || (product_features->>'$.type') || ', features=' || (product_features->'$.features')::varchar || ', underlyings=[]. Reasoning: '
-    || reasoning || chr(10) END || chr(10) || 'Models:' || chr(10) || 'listed' || chr(10) || chr(10)
+    || reasoning || chr(10) END || chr(10) || 'Models:' || chr(10) || (SELECT model_list FROM {model_text}) || chr(10) || chr(10)
   || 'Answer as JSON: payout_type_id, confidence_score, reasoning, title_excerpt, product_features.' || chr(10) || chr(10) || 'COVER:' || chr(10)
   || substr(text, 1, 4000) || chr(10) || chr(10) || 'SECTIONS:' || chr(10) || targeted || chr(10) AS prompt
 FROM {stage1_with_text} s JOIN {documents} d ON s.filing_id = d.doc_id::varchar JOIN {hinted} h ON h.filing_id = s.filing_id
 WHERE confidence < 0.75::double AND targeted <> ''""")
 def c6(spark, sf):
     again = classify.escalate(stage1_with_text(spark, sf))[1].join(_covers(spark, sf), "filing_id")
-    return classify.stage2_requests(again, "listed")
+    return classify.stage2_requests(again, classify.model_list(described(spark, sf)).scalar())
 
 
 # ---- workflow ----------------------------------------------------------------------------
