@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from termsheet.functions.text import camel_label, let
 from termsheet.session import reliable_checkpoint
@@ -299,24 +299,33 @@ def _words(c: Column) -> Column:
 def rename_candidates(old: DataFrame, new: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Removed and added fields of one model and type that look alike.
 
-    A pair scores half the word overlap of descriptions and half that of last path segments.  A
-    score of one half needs a common word (or two empty texts), so candidates meet on words they
-    share instead of being paired all with all.
+    A pair scores half the word overlap of descriptions and half that of last path segments, so one of the
+    two overlaps must reach ``threshold``.  Sets that overlap that much share one of their rarest words: of
+    n words all but the n * threshold most frequent.  Only those are joined on, so words that nearly all
+    fields have bring no pairs together.  Two empty texts overlap wholly.
     """
     a = old.join(new.select("model", "field_path"), ["model", "field_path"], "left_anti")
     b = new.join(old.select("model", "field_path"), ["model", "field_path"], "left_anti")
 
-    def keyed(df: DataFrame, side: str) -> DataFrame:
+    def marked(df: DataFrame, side: str) -> DataFrame:
         segment = F.substring_index("field_path", ".", -1)
         words = df.select("model", "data_type", F.col("field_path").alias(f"{side}_path"), F.col("description").alias(f"{side}_description"),
                           _words(F.col("description")).alias(f"{side}_words"), _words(segment).alias(f"{side}_segment"))
-        marks = F.array_distinct(F.concat(
-            F.transform(f"{side}_words", lambda w: F.concat(F.lit("d:"), w)),
-            F.transform(f"{side}_segment", lambda w: F.concat(F.lit("s:"), w)),
-            F.when(F.size(f"{side}_words") == 0, F.array(F.lit("d:"))).otherwise(F.array().cast("array<string>"))))
-        return words.withColumn("mark", F.explode(marks))
+        kinds = F.array(F.struct(F.lit("d:").alias("kind"), F.col(f"{side}_words").alias("w")), F.struct(F.lit("s:").alias("kind"), F.col(f"{side}_segment").alias("w")))
+        return words.withColumn("k", F.explode(kinds)).withColumn("word", F.explode(
+            F.when(F.size("k.w") > 0, F.col("k.w")).otherwise(F.array(F.lit("")))))
 
-    met = (keyed(a, "old").join(keyed(b, "new"), ["model", "data_type", "mark"]).drop("mark")
+    sides = marked(a, "old"), marked(b, "new")
+    seen = sides[0].select("k.kind", "word").unionByName(sides[1].select("k.kind", "word")).groupBy("kind", "word").agg(F.count("*").alias("n"))
+
+    def rarest(df: DataFrame, side: str) -> DataFrame:
+        size = F.greatest(F.size("k.w"), F.lit(1))
+        kept = size - F.ceil(size * (threshold - 0.005)) + 1      # scores are rounded to two digits
+        order = Window.partitionBy("model", "data_type", f"{side}_path", "kind").orderBy("n", "word")
+        rows = df.withColumn("kind", F.col("k.kind")).join(seen, ["kind", "word"]).withColumn("place", F.row_number().over(order))
+        return rows.filter(F.col("place") <= kept).drop("k", "n", "place")
+
+    met = (rarest(sides[0], "old").join(rarest(sides[1], "new"), ["model", "data_type", "kind", "word"]).drop("kind", "word")
            .dropDuplicates(["model", "data_type", "old_path", "new_path"]))
     score = F.round(0.5 * word_overlap(F.col("old_words"), F.col("new_words"))
                     + 0.5 * word_overlap(F.col("old_segment"), F.col("new_segment")), 2)

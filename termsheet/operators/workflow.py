@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from termsheet import config
 from termsheet.functions.ordered import previous_known
 from termsheet.operators.export import decode_json, latest_extraction
+from termsheet.session import reliable_checkpoint
 
 _STATE_TYPES = {"status": "string", "model": "string", "confidence": "double"}
 _STATE = "struct<" + ",".join(f"{c}:{t}" for c, t in _STATE_TYPES.items()) + ">"
@@ -220,6 +221,8 @@ def review_fields(fields: DataFrame, reviews: DataFrame) -> tuple[DataFrame, Dat
         "problem", F.when(~F.coalesce(F.col("review_status").isin("accepted", "corrected", "rejected"), F.lit(False)),
                           F.lit("review_status must be accepted | corrected | rejected"))
         .when(~F.col("owner").eqNullSafe(F.col("filing_id")) | F.col("owner").isNull(), F.lit("field result not found")))
+    # All three results read this; without it the join of reviews and fields would run for each of them.
+    judged = reliable_checkpoint(judged.drop("owner"))
     good = judged.filter("problem IS NULL").withColumn("new_value", F.coalesce("reviewed_json", "value_json"))
     latest = good.groupBy("field_id").agg(F.max_by(
         F.struct("new_value", "review_status", "reviewed_at"), "seq").alias("r"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -55,6 +57,13 @@ def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
 
 
+def _own_folder(prefix: str) -> str:
+    """A folder of a local session's own, gone with the process."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 
@@ -68,7 +77,7 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="termsheet-checkpoint-")
+            folder = _own_folder("termsheet-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
@@ -79,5 +88,5 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="termsheet-work-")
+        shared = _own_folder("termsheet-work-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
