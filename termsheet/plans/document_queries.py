@@ -166,7 +166,7 @@ _PREFIXES = [t for k in range(6) for t in (
 SELECT doc_id, a.s::int AS start, a.l::int AS length FROM (SELECT doc_id, coalesce({', '.join(_PREFIXES)}) AS a FROM {{excerpts}}) t""")
 def h9(spark, sf):
     found = ops.anchor_excerpt(F.col("text"), F.col("excerpt"))
-    return table(spark, sf, "excerpts", ["doc_id"]).select("doc_id", found.alias("a")).select("doc_id", "a.start", "a.length")
+    return table(spark, sf, "excerpts").select("doc_id", found.alias("a")).select("doc_id", "a.start", "a.length")
 
 
 @query("h10_excerpt_anchor_loose", f"""
@@ -176,7 +176,7 @@ SELECT doc_id, a.s::int AS start, a.l::int AS length FROM (SELECT doc_id, CASE W
   FROM {{excerpts}}) t""")
 def h10(spark, sf):
     found = ops.anchor_excerpt_loose(F.col("text"), F.col("excerpt"))
-    return table(spark, sf, "excerpts", ["doc_id"]).select("doc_id", found.alias("a")).select("doc_id", "a.start", "a.length")
+    return table(spark, sf, "excerpts").select("doc_id", found.alias("a")).select("doc_id", "a.start", "a.length")
 
 
 _HISTORY = """
@@ -208,7 +208,7 @@ SELECT page_id, ord::int AS ord, image_name FROM (SELECT page_id, unnest(range(0
   unnest(['logo' || (page_id % 4) || '.GIF', 'chart.png', 'plan.svg', 'scan', 'b&w.jpeg', NULL]) AS image_name FROM {image_pages}) t
 WHERE image_name IS NOT NULL""")
 def s20(spark, sf):
-    pages = table(spark, sf, "image_pages", ["page_id"])
+    pages = table(spark, sf, "image_pages")
     base = F.concat(F.lit("https://docs.example.com/f/"), F.col("page_id").cast("string"), F.lit("/"))
     return ops.filing_images(pages, base)
 
@@ -232,7 +232,7 @@ FROM (SELECT page_id, unnest([{first}]) AS r FROM {pages} WHERE page_id % 6 <> 4
 
 
 def _key_rows(spark, sf):
-    return htmlrows.key_terms_rows(table(spark, sf, "filing_pages", ["page_id"]))
+    return htmlrows.key_terms_rows(table(spark, sf, "filing_pages"))
 
 
 @query("h2_key_terms_rows", """
@@ -284,7 +284,7 @@ WITH rows AS (SELECT page_id, r.* FROM (SELECT page_id, unnest([
 
 @query("s4_index_rows", _INDEX + "SELECT page_id, seq::bigint AS seq, sequence, description, name, url, type FROM rows")
 def s4(spark, sf):
-    return htmlrows.index_rows(table(spark, sf, "index_pages", ["page_id"]))
+    return htmlrows.index_rows(table(spark, sf, "index_pages"))
 
 
 # ---- request text ------------------------------------------------------------------------

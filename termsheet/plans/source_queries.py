@@ -43,7 +43,7 @@ def s2(spark, sf):
 SELECT page_id AS filing_id, seq::bigint AS seq, name, url, type FROM rows WHERE regexp_matches(name, '(?i)\\.html?$')
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN contains(lower(type), '424b2') THEN 0 ELSE 1 END, seq) = 1""")
 def s3(spark, sf):
-    index = htmlrows.index_rows(table(spark, sf, "index_pages", ["page_id"])).withColumnRenamed("page_id", "filing_id")
+    index = htmlrows.index_rows(table(spark, sf, "index_pages")).withColumnRenamed("page_id", "filing_id")
     return ingest.primary_documents(index)
 
 
