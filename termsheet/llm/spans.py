@@ -91,9 +91,9 @@ def dedup(docs: DataFrame, sentences: int = 2, min_words: int = 20) -> DataFrame
 
     Every document sends each of its spans' hashes once; a hash's smallest document is found by sums that start before
     the shuffle, and the join that brings it back can split a hot hash.  Lists are only of one document's
-    spans.  Documents with a null id come after all others, ordered by a hash of their text, and so do not need one; rows
-    that share an id are one document in this order, so spans that only they share stay.  Null texts count as
-    empty and are returned so.  Extra columns are not looked at, an empty table gives an empty result.
+    spans.  Rows with a null id come after all others, ordered by a hash of their text.  Rows that share an id
+    count as one document in this order, so spans that only they share stay in both.  Null texts count as
+    empty and come back empty.  Extra columns are not looked at; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     late = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
