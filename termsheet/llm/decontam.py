@@ -1,4 +1,4 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 1)."""
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment (operator 1)."""
 
 from __future__ import annotations
 
@@ -28,35 +28,33 @@ class Items:
         split = [_WORD.findall((t or "").lower()) for t in texts]
         self.numbers = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split for w in ws), 1)}
         self.words = [np.array([self.numbers[w] for w in ws], np.int64) for ws in split]
-        rows = [(tuple(ws[p:p + n].tolist()), i, p) for i, ws in enumerate(self.words) for p in range(len(ws) - n + 1)]
-        self.grams = {g: k for k, g in enumerate(dict.fromkeys(g for g, _, _ in rows))}
-        self.at = [(self.grams[g], i, p) for g, i, p in rows]
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
+        self.counts = [np.unique(ws, return_counts=True) for ws in self.words]
+        #: Every n-gram of an item is a seed, with the items and places that hold it.
+        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for i, ws in enumerate(self.words):
+            for p in range(len(ws) - n + 1):
+                self.seeds.setdefault(tuple(ws[p:p + n].tolist()), []).append((i, p))
 
     def numbered(self, text: str | None) -> np.ndarray:
         get = self.numbers.get
         return np.array([get(w, 0) for w in _WORD.findall((text or "").lower())], np.int64)
 
-    def hits(self, doc: np.ndarray) -> list[tuple[int, int]]:
-        """(position, n-gram) wherever a document holds an n-gram of an item."""
+    def hits(self, doc: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+        """(position, items and places) wherever a document holds an n-gram of an item."""
         n = self.n
         if len(doc) < n:
             return []
         known = doc > 0
         whole = reduce(np.logical_and, [known[k:len(doc) - n + 1 + k] for k in range(n)])
-        grams = self.grams
-        found = ((int(p), grams.get(tuple(doc[p:p + n].tolist()))) for p in np.flatnonzero(whole))
-        return [(p, g) for p, g in found if g is not None]
+        seeds = self.seeds
+        found = ((int(p), seeds.get(tuple(doc[p:p + n].tolist()))) for p in np.flatnonzero(whole))
+        return [(p, s) for p, s in found if s is not None]
 
-    def choose_seeds(self, frequency: dict[int, int], stretch: int) -> None:
-        """Seeds: in every ``stretch`` consecutive n-grams of an item, the one in the fewest documents."""
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        for g, i, p in self.at:
-            by_item.setdefault(i, []).append((p, g))
-        for i, grams in by_item.items():
-            chosen = {min(grams[k:k + stretch], key=lambda x: (frequency.get(x[1], 0), x[0])) for k in range(max(1, len(grams) - stretch + 1))}
-            for p, g in sorted(chosen):
-                self.seeds.setdefault(g, []).append((i, p))
+    def common(self, item: int, part: np.ndarray) -> int:
+        """Words that an item and a part of a document share, each as often as both hold it."""
+        words, counts = self.counts[item]
+        at = np.minimum(np.searchsorted(words, part), len(words) - 1)
+        return int(np.minimum(np.bincount(at[words[at] == part], minlength=len(words)), counts).sum())
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
@@ -88,10 +86,11 @@ def matches(items: Items, text: str | None, similarity: float) -> list[tuple]:
     """The items a text aligns with: (item, n_seeds, score, similarity, start_word, end_word), best place each."""
     doc = items.numbered(text)
     near: dict[int, list[tuple[int, int]]] = {}
-    for p, g in items.hits(doc):
-        for i, q in items.seeds.get(g, ()):
+    for p, seeds in items.hits(doc):
+        for i, q in seeds:
             size = len(items.words[i])
-            near.setdefault(i, []).append((max(0, p - q - size // 2), min(len(doc), p - q + size + size // 2)))
+            loose = math.ceil((1 - similarity) * MATCH * size)  # words that an alignment can add at most
+            near.setdefault(i, []).append((max(0, p - q - loose), min(len(doc), p - q + size + loose)))
     found = []
     for i, spans in sorted(near.items()):
         item = items.words[i]
@@ -99,7 +98,7 @@ def matches(items: Items, text: str | None, similarity: float) -> list[tuple]:
         best = None
         for lo, hi in _windows(spans):
             part = doc[lo:hi]
-            if MATCH * np.isin(part, item).sum() < need:          # the score cannot reach the limit here
+            if MATCH * items.common(i, part) < need:              # the score cannot reach the limit here
                 continue
             score, end = align(item, part)
             if score >= need and (best is None or score > best[0]):
@@ -110,22 +109,6 @@ def matches(items: Items, text: str | None, similarity: float) -> list[tuple]:
     return found
 
 
-def _frequencies(texts: DataFrame, items: Items) -> dict[int, int]:
-    """How many texts hold each n-gram of a block of items."""
-    shared = texts.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(shared.value.grams), np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                total[list({g for _, g in shared.value.hits(shared.value.numbered(text))})] += 1
-        held = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": held, "n": total[held]})
-
-    counts = texts.mapInPandas(count, "gram BIGINT, n BIGINT").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counts.collect()}
-
-
 def _matcher(items, similarity: float):
     """A column function from texts to their matches with the broadcast ``items``."""
     @F.pandas_udf(_FOUND)
@@ -136,16 +119,17 @@ def _matcher(items, similarity: float):
     return held
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 4, similarity: float = 0.5,
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, similarity: float = 0.5,
          block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document and benchmark item that it holds, copied, edited or paraphrased in part.
 
-    Words are lower-cased runs of letters, digits and underscores.  Every ``stretch`` consecutive word
-    n-grams of an item give one seed, the n-gram that the fewest documents hold; so a seed is rare among its
-    neighbours however often a passage was copied, and each ``n + stretch - 1`` words copied in a row hold
-    one.  Around the seeds of an item a document is aligned with it: +2 for an equal word, -1 for a
-    different, added or missing one.  It counts as held if the score reaches ``similarity`` of the item's
-    score with itself.  Whole texts are searched; they never leave their partition.
+    Words are lower-cased runs of letters, digits and underscores.  Every word n-gram of an item is a seed:
+    a choice among them by how many documents hold them would drop those that an edited copy still has.
+    Around the seeds of an item a document is aligned with it: +2 for an equal word, -1 for a different, added
+    or missing one; places whose words cannot reach the limit in any order are passed over.  An item counts as
+    held if the score reaches ``similarity`` of its score with itself.  So every alignment that reaches it and has
+    ``n`` equal words in a row is found; one without is not.  Whole texts are searched; they never
+    leave their partition.
 
     The items are the query set: blocks of about ``block_bytes`` of their text are broadcast in turn.
 
@@ -158,12 +142,10 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 4, si
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
-    texts = docs.select("text")
     parts = []
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         known = Items([r["text"] for r in rows], n)
-        known.choose_seeds(_frequencies(texts, known), stretch)
         held = _matcher(spark.sparkContext.broadcast(known), similarity)
         ids = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], "item INT, item_id BIGINT")
         found = docs.select("doc_id", F.explode(held("text")).alias("m")).select("doc_id", "m.*")

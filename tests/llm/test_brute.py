@@ -71,6 +71,23 @@ def test_finds_copies_and_edited_copies_only(spark, docs):
     assert all(49 <= r["start_word"] <= 51 and 78 <= r["end_word"] <= 82 for r in found)
 
 
+@pytest.mark.parametrize("every", [4, 5, 6])
+@pytest.mark.parametrize("exact_too", [False, True])
+def test_finds_copies_with_every_few_words_changed(spark, docs, every, exact_too):
+    rng = random.Random(every)
+    items = {i: words(rng, 60, 4000) for i in range(4)}
+    texts = []
+    for i, item in items.items():
+        copy = ["changed" if at % every == every - 1 else w for at, w in enumerate(item)]
+        long = item[:30] + words(rng, 45, 4000) + item[30:]
+        texts += [words(rng, 50) + c + words(rng, 50) for c in (copy, long, item[:25], *([item] * 3 if exact_too else []))]
+    found = decontam.find(docs([(k, " ".join(t)) for k, t in enumerate(texts)]),
+                          spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id BIGINT, text STRING")).collect()
+    brute = {(k, i): smith_waterman(w, t) for k, t in enumerate(texts) for i, w in items.items()}
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found} == {p: s for p, s in brute.items() if s >= 0.5 * 2 * 60}
+    assert len(found) == (20 if exact_too else 8)
+
+
 def test_blocks_of_items_change_nothing(spark, docs):
     rng = random.Random(3)
     items = spark.createDataFrame([(i, " ".join(words(rng, 12))) for i in range(20)], "item_id BIGINT, text STRING")
