@@ -62,8 +62,8 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Where pseudorandom permutations of 0..size-1, one for each key, put the indices.
+def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """Where pseudorandom permutations of 0..size-1, one for each key, put the indices; ``back``: where from.
 
     Four Feistel rounds on the smallest even number of bits that holds the size; results beyond it
     are permuted again until they fall inside.
@@ -75,40 +75,65 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     todo = np.arange(len(x))
     while len(todo):
         b, m, k = bits[todo], mask[todo], key[todo]
+        mixed = lambda half, turn: _mix64(half + k + np.uint64((turn + 1) * 0xD1B54A32D192ED03 % 2 ** 64)) & m  # noqa: B023, E731
         left, right = x[todo] >> b, x[todo] & m
-        for turn in range(4):
-            left, right = right, left ^ (_mix64(right + k + np.uint64((turn + 1) * 0xD1B54A32D192ED03 % 2 ** 64)) & m)
+        for turn in reversed(range(4)) if back else range(4):
+            left, right = (right ^ mixed(left, turn), left) if back else (right, left ^ mixed(right, turn))
         x[todo] = (left << b) | right
         todo = todo[x[todo] >= size[todo]]
     return x.astype(np.int64)
 
 
+def _key(epoch, source, seed: int):
+    """The key of the permutation that orders a source's blocks in an epoch."""
+    return epoch * 1_000_003 + source * 7_919 + seed
+
+
+def quotas(sizes: list[int], wanted: list[float], block: int, seed: int) -> list[tuple[int, int]]:
+    """Slots of each source and the words that its last slot takes, so that all take the wanted words (rounded).
+
+    Whole epochs come first; then blocks in the order of the last epoch's permutation until the words that
+    are left are reached, the last block cut to them.  One block of a source may be shorter than the others.
+    """
+    size, words = np.array(sizes, np.int64), np.array([round(w) for w in wanted], np.int64)
+    blocks = -(-size // block)
+    epochs, rest = np.divmod(words, np.maximum(size, 1))
+    place = permuted(np.maximum(blocks - 1, 0), np.maximum(blocks, 1), _key(epochs, np.arange(len(size)), seed), back=True)
+    short = blocks * block - size                                 # words that the last block lacks
+    slots = -(-rest // block)
+    slots += (place < slots) & (slots * block - short < rest)
+    last = rest - (slots - 1) * block + np.where(place < slots - 1, short, 0)
+    return [(int(e * b + n), int(x) if n else block) for e, b, n, x in zip(epochs, blocks, slots, last, strict=True)]
+
+
 def plan(sizes: DataFrame, block: int, shards: int, seed: int, weights: tuple[float, ...], cap: float) -> tuple[list, DataFrame]:
     """The sources (one row each is brought to the driver) and the table of drawn slots.
 
-    ``sizes``: none, stratum, size.  Slots: shard, none, stratum, epoch, block; an epoch draws each block of
-    a source at most once, and there are at most ``cap`` of them.
+    ``sizes``: none, stratum, size.  Slots: shard, none, stratum, epoch, block, words (that it takes of the block at
+    most); an epoch draws each block of a source at most once, and there are at most ``cap`` of them, rounded up.
     """
     spark = sizes.sparkSession
     sources = sorted(sizes.collect(), key=lambda r: (r["none"], r["stratum"]))
     wanted = targets([r["size"] for r in sources], weights, cap)
     blocks = [-(-r["size"] // block) for r in sources]
-    counts = draw([min(round(w / block), int(cap) * b) for w, b in zip(wanted, blocks, strict=True)], shards, seed)
+    quota = quotas([r["size"] for r in sources], wanted, block, seed)
+    counts = draw([n for n, _ in quota], shards, seed)
     first = np.cumsum(counts, axis=0) - counts
-    rows = [(k, i, r["none"], r["stratum"], int(first[k, i]), int(counts[k, i]), blocks[i])
+    rows = [(k, i, r["none"], r["stratum"], int(first[k, i]), int(counts[k, i]), blocks[i], *quota[i])
             for k in range(shards) for i, r in enumerate(sources) if counts[k, i]]
-    drawn = spark.createDataFrame(rows, "shard INT, source INT, none BOOLEAN, stratum STRING, first BIGINT, n BIGINT, blocks BIGINT")
+    drawn = spark.createDataFrame(rows, "shard INT, source INT, none BOOLEAN, stratum STRING, first BIGINT, n BIGINT, blocks BIGINT, slots BIGINT, last BIGINT")
 
     @F.pandas_udf("bigint")
     def place(slot: pd.Series, size: pd.Series, source: pd.Series) -> pd.Series:
         at, n = slot.to_numpy(), size.to_numpy()
-        return pd.Series(permuted(at % n, n, (at // n) * 1_000_003 + source.to_numpy() * 7_919 + seed))
+        return pd.Series(permuted(at % n, n, _key(at // n, source.to_numpy(), seed)))
 
     cut = drawn.withColumn("lo", F.explode(F.expr(f"sequence(0L, n - 1, {_CHUNK}L)")))
     cut = cut.repartition(F.col("shard"), F.col("source"), F.col("lo"))
     slots = cut.withColumn("slot", F.explode(F.expr(f"sequence(first + lo, first + least(lo + {_CHUNK}, n) - 1)")))
     slots = slots.withColumn("epoch", F.expr("slot DIV blocks").cast("int")).withColumn("block", place("slot", "blocks", "source"))
-    return list(zip(sources, wanted, strict=True)), slots.select("shard", "none", "stratum", "epoch", "block")
+    slots = slots.withColumn("words", F.expr(f"IF(slot = slots - 1, last, {block}L)"))
+    return list(zip(sources, wanted, strict=True)), slots.select("shard", "none", "stratum", "epoch", "block", "words")
 
 
 def _stream(docs: DataFrame, seed: int, key: str, stratum: str, size) -> DataFrame:
@@ -128,8 +153,9 @@ def mix(docs: DataFrame, block: int = 64, shards: int = 64, seed: int = 42, weig
     ``block`` words (the last may be shorter).  Sources ordered by code point, null last, get ``weights`` in
     turn; :func:`targets` gives each its words, and :func:`draw` the blocks of each output shard.  The k-th
     slot of a source takes the block at the k-th place of a pseudorandom permutation; once all blocks were
-    taken the next epoch permutes them anew.  So a block is taken at most ``cap`` times, and a source misses
-    its target by a block or so.  Streams and slots are joined by source and block number.
+    taken the next epoch permutes them anew.  The last slot takes the words that its source still lacks, from the start
+    of its block.  So a word is taken at most ``cap`` times (rounded up), and a source meets its target to the word.
+    Streams and slots are joined by source and block number.
 
     ``docs`` needs doc_id, source, size (words) and tie, a hash that tells rows of one id apart.  First result:
     none, stratum, at, doc_id, tie, size, shard, epoch, block, lo, hi: words lo to hi of the document stand
@@ -151,6 +177,8 @@ def mix(docs: DataFrame, block: int = 64, shards: int = 64, seed: int = 42, weig
     spans = spans.withColumn("lo", lo).withColumn("hi", hi).drop("source_size")
     # Exploded slots look as small as the rows they come from; without the hint they would be broadcast.
     pieces = spans.join(slots.hint("merge"), ["none", "stratum", "block"])
+    cut = F.least("hi", F.col("block") * block + F.col("words") - F.col("at"))
+    pieces = pieces.withColumn("hi", cut).where("lo < hi").drop("words")
     wanted = spark.createDataFrame([(r["none"], r["stratum"], w) for r, w in sources], "none BOOLEAN, stratum STRING, target DOUBLE")
     return pieces, stream.join(F.broadcast(wanted), ["none", "stratum"])
 

@@ -334,6 +334,38 @@ def test_mix_follows_targets_and_texts(spark):
     assert mixed == Counter({r["doc_id"]: r["taken"] for r in rows if r["taken"]})
 
 
+def test_quotas_meet_the_targets_to_the_word():
+    for block in (4, 64):
+        for seed in (0, 42):
+            sizes = list(range(1, 201))
+            wanted = [size * share for size in sizes for share in (0, 0.3, 1, 1.7, 2, 2.95, 3)]
+            sizes = [size for size in sizes for _ in range(7)]
+            for i, (size, w, (slots, last)) in enumerate(zip(sizes, wanted, mixture.quotas(sizes, wanted, block, seed), strict=True)):
+                blocks = -(-size // block)
+                at, n = np.arange(slots), np.full(slots, blocks)
+                order = mixture.permuted(at % n, n, mixture._key(at // n, np.full(slots, i), seed))
+                held = [min(block, size - block * b) for b in order.tolist()]
+                assert not held or 0 < last and sum(held[:-1]) < round(w) <= 3 * size
+                assert sum(held[:-1]) + min(last, *held[-1:], block) * bool(held) == round(w)
+
+
+def test_small_sources_meet_their_targets(spark, docs):
+    rows = [(1000 * size + k, " ".join(f"w{size}_{i}" for i in range(k, size, 3)), "en", f"s{size:03}")
+            for size in range(1, 201) for k in range(3)]
+    table = docs([*rows, (1, " ".join(f"big{i}" for i in range(40_000)), "en", "t")])
+    source, total, target = {r["doc_id"]: r["source"] for r in table.collect()}, Counter(), {}
+    for r in mixture.taken(table).collect():
+        total[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert len(target) == 201 and all(abs(total[s] - target[s]) <= 0.5 for s in target)
+    assert {"s001", "s010", "s130"} <= {s for s in target if s != "t" and target[s] == 3 * int(s[1:])}
+    mixed = Counter()
+    for r in mixture.remix(table).collect():
+        mixed[r["source"]] += len(r["text"].split())
+    assert mixed == +total
+
+
 # Quality rules
 
 def test_exact_binomial_tail(spark):
