@@ -140,20 +140,25 @@ def fit(rows: list, size: int, penalty: float = 1.0, ridge: float = 0.02, steps:
 def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, max_rows: int = 20_000, size: int = 4096) -> tuple[dict[str, float], float]:
     """Word weights and offset, learnt from labelled texts whose crc32(doc_id) mod 5 is not 0.
 
-    The classifier is fitted to a seeded sample of at most ``max_rows`` labelled ids; this bounds the
-    broadcast ids, the texts that are moved and, with ``size``, what the driver holds.  Ids with
-    contradicting labels count as not toxic; each distinct text of the sample counts once.
+    The vocabulary is chosen by counts over all of these texts; the weights are fitted to a sample of at most
+    ``max_rows`` of them, by the hash of the text, which with ``size`` bounds what the driver holds.  Ids with
+    contradicting labels count as not toxic, as do texts; each distinct text counts once.  Texts are moved once, to meet
+    their label by hash, copies within a task as one.
     """
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
              .agg(F.min(F.col("toxic").cast("int")).alias("toxic")))
-    learnt = known.where(common.id_remainder(F.col("doc_id"), 5) != 0).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
-    folder = work_folder(docs.sparkSession, "toxicity-sample")
-    (docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(learnt), "doc_id")
-     .groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).write.parquet(folder))
+    learnt = known.where(common.id_remainder(F.col("doc_id"), 5) != 0)
+    hashed = docs.select("doc_id", common.text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
+    by_text = hashed.select("doc_id", "h").join(learnt, "doc_id").groupBy("h").agg(F.min("toxic").alias("toxic"))
+    folder = work_folder(docs.sparkSession, "toxicity-labelled")
+    hashed.groupBy("h").agg(F.min("text").alias("text")).join(by_text, "h").write.parquet(folder)
     labelled = docs.sparkSession.read.schema("h BIGINT, text STRING, toxic INT").parquet(folder)
     total, toxic = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     words = vocabulary(labelled, total, toxic, size)
-    rows = _rows(labelled.orderBy("h").limit(max_rows), words).collect()
+    sample = labelled
+    if total > max_rows:
+        sample = labelled.where(F.col("h") <= labelled.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0])
+    rows = _rows(sample, words).collect()
     weights, offset = fit(sorted(rows, key=lambda r: (r["toxic"], r["ids"], r["swaps"])), len(words), penalty)
     return {w: float(x) for w, x in zip(words, weights, strict=True) if x}, offset
 

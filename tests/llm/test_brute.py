@@ -411,6 +411,16 @@ def test_held_out_toxicity(spark):
     assert np.mean([r["predicted"] for r in rows if not r["toxic"]]) < 0.01
 
 
+def test_vocabulary_counts_all_labelled_texts(spark, docs, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, " ".join(words(rng, 20, 300) + (["vile"] if i % 2 else []) + (["rarest"] if i % 40 == 1 else [])), "en", "a") for i in range(2400)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(2400)], "doc_id BIGINT, quality INT, toxic INT")
+    fitted, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *a: fitted.append(len(rows)) or fit(rows, *a))
+    weights, _ = toxicity.train(docs(rows), labels, max_rows=300)
+    assert weights["vile"] > 0 and weights["rarest"] > 0 and fitted == [300]
+
+
 def test_penalty_closes_the_gap_between_groups(spark, docs):
     rng = random.Random(11)
     rows, marks = [], []
