@@ -82,3 +82,40 @@ def running_sums(df: DataFrame, group: list[str], bucket: str, order: list[Colum
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.join(per_bucket, [*group, bucket])
     return joined.withColumn(before, F.col(before) + F.coalesce(F.sum(w).over(inside), F.lit(0))).drop(w)
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str, total: str) -> DataFrame:
+    """Adds a row's place in its group (from 0) and the rows of the group; written to the checkpoint folder on the way.
+
+    Rows are dealt out by ranges of (group, order), so that one group, however large, is spread over many
+    tasks; a group's rows of a range are counted and the counts summed along the ranges.  Rows that tie get places
+    of their own, in no stated order.  Group columns must not be null.
+    """
+    spread, at, part, shift = (fresh(df, n) for n in ("_spread", "_at", "_part", "_shift"))
+    keys = [*[F.col(g) for g in group], *order, F.col(spread)]
+    rows = df.withColumn(spread, F.rand(42)).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(spread)
+    rows = rows.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33))
+    rows = session.reliable_checkpoint(rows)
+    along = Window.partitionBy(*group)
+    before = F.sum("n").over(along.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    runs = rows.groupBy(*group, part).agg(F.min(at).alias("first"), F.count("*").alias("n")).select(
+        *group, part, (F.coalesce(before, F.lit(0)) - F.col("first")).alias(shift), F.sum("n").over(along).alias(total))
+    return rows.join(runs, [*group, part]).withColumn(rank, F.col(at) + F.col(shift)).drop(at, part, shift)
+
+
+def running(df: DataFrame, group: list[str], at: str, values: dict, back: bool = False, block: int = 4096) -> DataFrame:
+    """Adds aggregates over the rows of a group up to and with each row, in the order of the whole number ``at``.
+
+    ``values``: name -> (aggregate, column, how to put two results together).  ``back`` runs from the last row on.  Blocks of
+    places are aggregated first, so that a group is never in one task.  Group columns must not be null.
+    """
+    cut, ends = fresh(df, "_block"), {name: fresh(df, f"_{name}") for name in values}
+    df = df.withColumn(cut, F.expr(f"`{at}` DIV {block}"))
+    order = (lambda c: F.col(c).desc()) if back else (lambda c: F.col(c).asc())
+    blocks = df.groupBy(*group, cut).agg(*[fn(column).alias(ends[name]) for name, (fn, column, _) in values.items()])
+    earlier = Window.partitionBy(*group).orderBy(order(cut)).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*group, cut, *[fn(ends[name]).over(earlier).alias(ends[name]) for name, (fn, _, _) in values.items()])
+    inside = Window.partitionBy(*group, cut).orderBy(order(at)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = df.join(blocks, [*group, cut])
+    both = {name: join(F.col(ends[name]), fn(column).over(inside)) for name, (fn, column, join) in values.items()}
+    return own.withColumns(both).drop(cut, *ends.values())

@@ -9,9 +9,11 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda p: ('0x' || p)::BIGINT),
     lambda c, b: xor(c >> 8, crc_table.t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"""
 
+_CRC_TABLE = """crc_table AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, x: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t)"""
+
 OP7 = f"""
-WITH crc_table AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
-        lambda c, x: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+WITH {_CRC_TABLE},
 d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {_CRC32.format("coalesce(text, '')")} AS text_crc32,
         source IS NULL AS none, coalesce(source, '') AS stratum, md5('interleave:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents, crc_table),
 r AS (SELECT *, row_number() OVER (PARTITION BY none, stratum ORDER BY digest) - 1 AS rank, count(*) OVER (PARTITION BY none, stratum) AS n FROM d),
@@ -70,3 +72,32 @@ kept AS (SELECT n.row, coalesce(string_agg(n.s, '' ORDER BY n.i) FILTER (gone.i
 SELECT doc_id, octet_length(encode(t))::BIGINT AS n_bytes, (octet_length(encode(t)) - octet_length(encode(coalesce(kept, ''))))::BIGINT AS n_removed,
        coalesce(n_removed_sentences, 0)::BIGINT AS n_removed_sentences, sha256(coalesce(kept, '')) AS kept_sha256
 FROM t LEFT JOIN kept USING (row)"""
+
+
+def op13(fanout: int = 8) -> str:
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+    known = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    up = (f"SELECT tree, k + 1, i // {fanout}, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + {fanout - 1}) // {fanout}"
+          f" FROM {{0}} WHERE n > 1 GROUP BY tree, k, i // {fanout}")
+    sides = (f"coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < p.i), '') AS l, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > p.i), '') AS r"
+             f" FROM {{0}} p JOIN {{1}} s ON s.tree = p.tree AND s.k = p.k AND s.i // {fanout} = p.i // {fanout}")
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '') AS tree, sha256({known} || {field.format("text")}) AS leaf,
+        CASE WHEN doc_id IS NOT NULL AND {_CRC32.format("doc_id::VARCHAR")} % 3 = 0 THEN sha256({known} || {field.format(lower)}) END AS bad FROM documents, crc_table),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+up(tree, k, i, h, n) AS (SELECT tree, 0, i, leaf, n FROM o UNION ALL {up.format("up")}),
+sub AS MATERIALIZED (SELECT tree AS of, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top(tree, k, i, h, n) AS (SELECT 0, 0, i, h, n FROM sub UNION ALL {up.format("top")}),
+own(row, tree, k, i) AS (SELECT row, tree, up.k, o.i // ({fanout} ** up.k)::BIGINT FROM o JOIN (SELECT DISTINCT tree, k FROM up WHERE n > 1) up USING (tree)),
+over(of, tree, k, i) AS (SELECT of, 0, top.k, sub.i // ({fanout} ** top.k)::BIGINT FROM sub, (SELECT DISTINCT k FROM top WHERE n > 1) top),
+step AS (SELECT p.row, p.k, {sides.format("own", "up")} GROUP BY p.row, p.k, p.i
+  UNION ALL SELECT o.row, 1000 + x.k, x.l, x.r FROM o JOIN (SELECT p.of, p.k, {sides.format("over", "top")} GROUP BY p.of, p.k, p.i) x ON x.of = o.tree),
+turn AS MATERIALIZED (SELECT row, l, r, row_number() OVER (PARTITION BY row ORDER BY k) - 1 AS k, count(*) OVER (PARTITION BY row) AS n FROM step),
+proof AS (SELECT row, string_agg(l || r, '' ORDER BY k) AS proof FROM turn GROUP BY row),
+fold(row, k, h) AS (SELECT row, 0, coalesce(bad, leaf) FROM o UNION ALL SELECT fold.row, fold.k + 1, sha256(l || h || r) FROM fold JOIN turn ON turn.row = fold.row AND turn.k = fold.k),
+last AS (SELECT row, arg_max(h, k) AS folded_root FROM fold GROUP BY row)
+SELECT doc_id, leaf, sub.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+       folded_root = (SELECT h FROM top WHERE n = 1) AS verified
+FROM o JOIN sub ON sub.of = o.tree JOIN last USING (row) LEFT JOIN proof USING (row)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from termsheet.llm import common, decontam, langid, mixture, oracles, rules, shards, simhash, spans, suffixes, tokens, toxicity
+from termsheet.llm import common, decontam, langid, merkle, mixture, oracles, rules, shards, simhash, spans, suffixes, tokens, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -80,3 +80,9 @@ def op3_suffix_dedup(spark, sf_dir):
     size = lambda c: F.octet_length(c).cast("long")
     return found.select("doc_id", size("text").alias("n_bytes"), (size("text") - size("kept")).alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_merkle", oracles.op13())
+def op13_merkle(spark, sf_dir):
+    return merkle.manifest(common.table(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
