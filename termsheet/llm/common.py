@@ -103,8 +103,8 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str, tota
     return rows.join(runs, [*group, part]).withColumn(rank, F.col(at) + F.col(shift)).drop(at, part, shift)
 
 
-def running(df: DataFrame, group: list[str], at: str, values: dict, back: bool = False, block: int = 4096) -> DataFrame:
-    """Adds aggregates over the rows of a group up to and with each row, in the order of the whole number ``at``.
+def running(df: DataFrame, group: list[str], at: str, values: dict, back: bool = False, own: bool = True, block: int = 4096) -> DataFrame:
+    """Adds aggregates over the rows of a group up to each row (with it if ``own``), in the order of the whole number ``at``.
 
     ``values``: name -> (aggregate, column, how to put two results together).  ``back`` runs from the last row on.  Blocks of
     places are aggregated first, so that a group is never in one task.  Group columns must not be null.
@@ -115,7 +115,7 @@ def running(df: DataFrame, group: list[str], at: str, values: dict, back: bool =
     blocks = df.groupBy(*group, cut).agg(*[fn(column).alias(ends[name]) for name, (fn, column, _) in values.items()])
     earlier = Window.partitionBy(*group).orderBy(order(cut)).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*group, cut, *[fn(ends[name]).over(earlier).alias(ends[name]) for name, (fn, _, _) in values.items()])
-    inside = Window.partitionBy(*group, cut).orderBy(order(at)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = df.join(blocks, [*group, cut])
+    inside = Window.partitionBy(*group, cut).orderBy(order(at)).rowsBetween(Window.unboundedPreceding, Window.currentRow if own else -1)
+    known = df.join(blocks, [*group, cut])
     both = {name: join(F.col(ends[name]), fn(column).over(inside)) for name, (fn, column, join) in values.items()}
-    return own.withColumns(both).drop(cut, *ends.values())
+    return known.withColumns(both).drop(cut, *ends.values())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from termsheet.llm import common, decontam, langid, merkle, mixture, oracles, rules, shards, simhash, spans, suffixes, tokens, toxicity
+from termsheet.llm import common, decontam, langid, merkle, mixture, oracles, pii, rules, shards, simhash, spans, suffixes, tokens, toxicity, trie
 
 QUERIES = {}
 ORACLES = {}
@@ -86,3 +86,16 @@ def op3_suffix_dedup(spark, sf_dir):
 def op13_merkle(spark, sf_dir):
     return merkle.manifest(common.table(spark, sf_dir, "documents")).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op11_pii")
+def op11_pii(spark, sf_dir):
+    found = pii.find(common.table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+                        pii.listed(F.sort_array(F.concat("base", "added"))).alias("spans"))
+
+
+@query("op12_trie")
+def op12_trie(spark, sf_dir):
+    return trie.nodes(common.table(spark, sf_dir, "conversations"))
