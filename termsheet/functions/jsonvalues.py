@@ -1,23 +1,10 @@
-"""JSON values held as VARIANT: objects, flattening, truthiness, text form."""
+"""JSON values: objects held as VARIANT or as maps, text form."""
 
 from __future__ import annotations
 
-import itertools
-import json
-import re
-import sys
+from pyspark.sql import Column, functions as F
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F, types as T
-
-from termsheet.functions.text import let
-
-# The functions below travel to the executors with the job, so no install is needed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_dumps = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
-_TIMESTAMP = re.compile(r"\d{4}-\d{2}-\d{2}T", re.ASCII)
+from termsheet.functions.text import json_string
 
 
 def json_text(v: Column) -> Column:
@@ -30,49 +17,10 @@ def members(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def object_or_empty(v: Column) -> Column:
-    return F.when(members(v).isNotNull(), v).otherwise(F.parse_json(F.lit("{}")))
-
-
-def _is_schedule(keys: list[str]) -> bool:
-    """Objects keyed by timestamps are kept whole: the first three keys, as written, tell."""
-    return bool(keys) and all(_TIMESTAMP.match(k) for k in keys[:3])
-
-
-def _leaves(text: str | None, skip: frozenset[str]) -> list[str | None]:
-    """Path and value of every leaf in turn; a flat list of texts crosses to Spark far faster than rows do."""
-    if text is None:
-        return []
-    found, stack = [], [("", iter(json.loads(text).items()))]
-    while stack:                                                  # no recursion, so depth is not limited
-        prefix, items = stack[-1]
-        for key, value in items:
-            if key in skip:
-                continue
-            if isinstance(value, dict) and not _is_schedule(list(itertools.islice(value, 3))):
-                stack.append((f"{prefix}{key}.", iter(value.items())))
-                break
-            found += (prefix + key, None if value is None else _dumps(value))
-        else:
-            stack.pop()
-    return found
-
-
-def flatten_json(text: Column, skip: tuple[str, ...] = ()) -> Column:
-    """array<struct<path, value_json>> of a JSON object's leaves (dot paths), in the order they are written.
-
-    Lists and timestamp-keyed objects are leaves; an empty object yields nothing; a JSON null is a leaf
-    without value; depth is not limited.  Variants sort their keys and shorten numbers, so this reads the text
-    itself, in Arrow batches; numbers are written as ``1.0`` and ``10000000.0``.
-    """
-    skipped = frozenset(skip)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def leaves(texts: pd.Series) -> pd.Series:
-        return pd.Series([_leaves(t, skipped) for t in texts], dtype=object)
-
-    return let(leaves(text), lambda flat: F.transform(
-        F.filter(flat, lambda _, i: i % 2 == 0), lambda p, i: F.struct(p.alias("path"), F.get(flat, 2 * i + 1).alias("value_json"))))
+def object_text(parts: Column) -> Column:
+    """JSON text of an object held as a map from key to JSON text."""
+    pairs = F.transform(F.map_entries(parts), lambda e: F.concat(json_string(e["key"]), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
 def scalar_text(json: Column) -> Column:

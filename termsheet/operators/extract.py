@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from termsheet import config, schemas
-from termsheet.functions.jsonvalues import (
-    flatten_json, members, object_or_empty, scalar_text)
+from termsheet.functions.answers import answer_leaves, answer_parts
+from termsheet.functions.jsonvalues import scalar_text
 from termsheet.functions.text import blank_to_null, drop_code_fences, json_string, let, strip
 from termsheet.functions.values import typed_json
 from termsheet.session import small_table
@@ -61,46 +61,33 @@ def issuer_fill_rate(fields: DataFrame, filings_by_issuer: DataFrame, expected:
 
 # ---- model answers ------------------------------------------------------------------------
 
-_SIDE_KEYS = ("model", "_confidence", "_excerpts")
+def _written(tool: str) -> tuple[Column, Column]:
+    """The text of an answer, null where there is none to read, and whether it came from the tool."""
+    is_tool, is_text = F.coalesce(F.col("tool_name") == tool, F.lit(False)), F.col("tool_name").isNull()
+    return F.when(is_tool, F.col("payload")).when(is_text, drop_code_fences(strip(F.col("payload")))), is_tool
 
 
-def parse_answers(responses: DataFrame, tool: str = "submit_extraction",
-                  data_key: str = "data") -> DataFrame:
-    """Answer payloads as three objects: ``data``, ``confidences``, ``excerpts``, and ``data_text``,
-    the data as written, with its order of keys.
+def parse_answers(responses: DataFrame, tool: str = "submit_extraction", data_key: str = "data") -> DataFrame:
+    """Answer payloads as three objects, ``data``, ``confidences`` and ``excerpts``: maps from key to JSON text.
 
     A row whose ``tool_name`` is the expected tool holds the three parts side by side; each
-    part that is not an object becomes ``{}``.  A row without a tool name is plain text: code
+    part that is not an object becomes empty.  A row without a tool name is plain text: code
     fences are dropped and the whole object is the data (flattening skips the side maps in it);
     text that is not JSON gives three empty objects, as does another tool's answer.
     """
-    empty = F.parse_json(F.lit("{}"))
-    is_tool = F.coalesce(F.col("tool_name") == tool, F.lit(False))
-    is_text = F.col("tool_name").isNull()
-    written = F.when(is_tool, F.col("payload")).when(is_text, drop_code_fences(strip(F.col("payload"))))
-    parsed = responses.withColumn("written", written).withColumn("body", F.try_parse_json("written"))
-
-    def part(key: str) -> Column:
-        return object_or_empty(F.try_variant_get("body", f"$.{key}", "variant"))
-
-    data = F.when(is_tool, part(data_key)).when(is_text, object_or_empty(F.col("body"))).otherwise(empty)
-    side = {c: F.when(is_tool | is_text, part(k)).otherwise(empty)
-            for c, k in (("confidences", "_confidence"), ("excerpts", "_excerpts"))}
-    given = F.when(is_tool, F.try_variant_get("body", f"$.{data_key}", "variant")).otherwise(F.col("body"))
-    text = F.when(members(given).isNotNull(), F.when(is_tool, F.get_json_object("written", f"$['{data_key}']"))
-                  .otherwise(F.get_json_object("written", "$")))
-    return parsed.withColumns({"data": data, "data_text": text, **side}).drop("body", "written", "payload", "tool_name")
-
-
-def flatten_answers(answers: DataFrame) -> DataFrame:
-    """E5: one row per answered field path, with its confidence and excerpt still as answered."""
-    keys = [c for c in answers.columns if c not in ("data", "data_text", "confidences", "excerpts")]
-    # The side maps are opened once per answer, not once per field.
-    opened = answers.select(*keys, members(F.col("confidences")).alias("confidences"), members(F.col("excerpts")).alias("excerpts"),
-                            flatten_json(F.col("data_text"), _SIDE_KEYS).alias("leaves"))
-    return opened.select(*keys, "confidences", "excerpts", F.inline("leaves")).select(
-        *keys, F.col("path").alias("field_path"), F.try_element_at("confidences", "path").alias("raw_confidence"),
-        F.try_element_at("excerpts", "path").alias("raw_excerpt"), "value_json")
+    parsed = responses.withColumn("parts", answer_parts(*_written(tool), data_key))
+    keys = [c for c in responses.columns if c not in ("payload", "tool_name")]
+    return parsed.select(*keys, "parts.*")
+
+
+def flatten_answers(responses: DataFrame, tool: str = "submit_extraction", data_key: str = "data") -> DataFrame:
+    """E5: one row per answered field path, with its confidence and excerpt still as answered.
+
+    A payload is read once, whatever it holds (:func:`parse_answers` tells which part is the data).
+    """
+    keys = [c for c in responses.columns if c not in ("payload", "tool_name")]
+    opened = responses.select(*keys, answer_leaves(*_written(tool), data_key).alias("leaves")).select(*keys, F.inline("leaves"))
+    return opened.select(*keys, F.col("path").alias("field_path"), "raw_confidence", "raw_excerpt", "value_json")
 
 
 def clamp_confidence(raw: Column, default: Column | float) -> Column:
@@ -111,21 +98,12 @@ def clamp_confidence(raw: Column, default: Column | float) -> Column:
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), n)) + F.lit(0.0)))
 
 
-def variant_number_text(v: Column) -> Column:
-    """Text of a variant confidence: ``true`` counts as 1 and ``false`` as 0."""
-    return (F.when(F.schema_of_variant(v) == "BOOLEAN",
-                   F.when(F.try_variant_get(v, "$", "boolean"), F.lit("1")).otherwise(F.lit("0")))
-            .otherwise(F.try_variant_get(v, "$", "string")))
-
-
 def answer_fields(flat: DataFrame) -> DataFrame:
     """Flattened answers with clamped confidence and the excerpt cut to 500 characters."""
     default = F.when(F.col("value_json").isNotNull(), F.lit(0.5)).otherwise(F.lit(0.0))
-    excerpt = F.substring(F.coalesce(F.try_variant_get("raw_excerpt", "$", "string"), F.lit("")),
-                          1, config.EXCERPT_CHARS)
-    return (flat.withColumns({
-        "confidence": clamp_confidence(variant_number_text(F.col("raw_confidence")), default),
-        "excerpt": excerpt}).drop("raw_confidence", "raw_excerpt"))
+    excerpt = F.substring(F.coalesce("raw_excerpt", F.lit("")), 1, config.EXCERPT_CHARS)
+    return (flat.withColumns({"confidence": clamp_confidence(F.col("raw_confidence"), default), "excerpt": excerpt})
+            .drop("raw_confidence", "raw_excerpt"))
 
 
 def merge_sections(sections: DataFrame, delta: float = config.SECTION_MERGE_DELTA) -> DataFrame:

@@ -216,11 +216,18 @@ _GOOD_PAYLOAD = ("""'{{"_confidence":{{"coupon.rate":' || CASE l_linenumber % 4
     """"rate":' || cast(l_linenumber AS string) || '.25}},"empty":{{}},"flag":true,"identifiers":{{"cusip":"Q' || cast(l_partkey AS string) """
     """|| '","isin":null}},"list":[{{"a":1}}],"model":"m","named":{{"note":1.50,"2024-01-01T00:00:00Z":1e7,"2024-02-01T00:00:00Z":1.0,"2024-03-01T00:00:00Z":[2.0,1E3]}},"""
     """"schedule":{{"2024-01-01T00:00:00Z":{{"a":1}}}},""" + "".join(f'"k{i}":{{{{' for i in range(1, 12)) + """"k12":-0.00005""" + "}}" * 11 + """}}}}'""")
+# Answers that a strict reader refuses, by the key that comes first: half a surrogate pair, equal keys, 1,500 levels, 5,000 digits, NaN.
+ODD_ANSWERS = {
+    1: r"""'{{"odd1":0,"data":{{"s":"a' || chr(92) || 'ud83db"}}}}'""", 2: """'{{"odd2":0,"data":{{"a":1,"b":3,"a":2}},"_confidence":{{"a":0.25}}}}'""",
+    3: """'{{"odd3":0,"data":' || repeat('{{"x":', 1500) || '1' || repeat('}}', 1500) || '}}'""",
+    4: """'{{"odd4":0,"data":{{"n":' || repeat('9', 5000) || '}}}}'""", 5: """'{{"odd5":0,"data":{{"n":NaN,"m":1}}}}'"""}
 TABLES["answers"] = f"""
 SELECT cast(l_orderkey AS string) AS filing_id,
   (cast(l_linenumber AS bigint) * 1000000 + l_partkey) * 10000 + l_suppkey AS ord,
   CASE l_partkey % 8 WHEN 7 THEN NULL WHEN 6 THEN 'other_tool' ELSE 'submit_extraction' END AS tool_name,
-  CASE l_partkey % 8 WHEN 4 THEN '{{{{"_confidence":null,"_excerpts":[],"data":""}}}}'
+  CASE CASE WHEN l_partkey % 8 = 5 AND l_suppkey % 100 BETWEEN 1 AND 5 THEN l_suppkey % 100 + 10 ELSE l_partkey % 8 END
+    {" ".join(f"WHEN {k + 10} THEN {text}" for k, text in ODD_ANSWERS.items())}
+    WHEN 4 THEN '{{{{"_confidence":null,"_excerpts":[],"data":""}}}}'
     WHEN 5 THEN '{{{{"data": {{{{'
     WHEN 7 THEN '```json' || chr(10) || '{{{{"_confidence":{{{{"a.b":2}}}},"_excerpts":{{{{"c":"see ' || cast(l_suppkey AS string)
       || '"}}}},"a":{{{{"b":"x"}}}},"c":' || cast(l_suppkey AS string) || '}}}}' || chr(10) || '```'

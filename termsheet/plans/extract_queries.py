@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termsheet import config
+from termsheet.functions.jsonvalues import object_text
 from termsheet.operators import export, extract as ops
 from termsheet.plans import domain
 from termsheet.plans.domain import table
@@ -17,12 +18,13 @@ def descriptors(spark, sf):
 
 
 def flat(spark, sf):
-    return ops.flatten_answers(ops.parse_answers(table(spark, sf, "answers")))
+    return ops.flatten_answers(table(spark, sf, "answers"))
 
 
-# A payload counts as good (three parts), text (fenced) or empty.
+# A payload counts as good (three parts), text (fenced), odd (what a strict reader refuses) or empty.
 domain.CHECK_TABLES["judged_answers"] = """
-SELECT filing_id, ord, CASE WHEN tool_name = 'submit_extraction' AND json_valid(payload) THEN payload::json END AS good,
+SELECT filing_id, ord, CASE WHEN payload LIKE '{{"odd%' THEN substr(payload, 6, 1)::int END AS odd,
+  CASE WHEN tool_name = 'submit_extraction' AND payload NOT LIKE '{{"odd%' AND json_valid(payload) THEN payload::json END AS good,
   CASE WHEN tool_name IS NULL THEN replace(replace(payload, '```json' || chr(10), ''), chr(10) || '```', '')::json END AS txt
 FROM {answers}"""
 
@@ -35,16 +37,27 @@ _DATA = "coalesce(good->'data', txt)"
 _PARTS = ("coupon", "identifiers", "list", "schedule", "a", "c")
 
 
+def _odd(values: dict) -> str:
+    return " ".join(f"WHEN {k} THEN {v}" for k, v in values.items())
+
+
+# Fields of the odd answers: kind, path, value, confidence.
+_ODD_FIELDS = [(1, "'s'", "'\"a?b\"'", "NULL"), (2, "'a'", "'2'", "'0.25'"), (2, "'b'", "'3'", "NULL"), (3, "repeat('x.', 1499) || 'x'", "'1'", "NULL"),
+               (4, "'n'", "repeat('9', 5000)", "NULL"), (5, "'n'", "'NaN'", "NULL"), (5, "'m'", "'1'", "NULL")]
+
+
 @query("e3_answer_parts", f"""
-SELECT filing_id, ord, CASE WHEN json_type({_DATA}) = 'OBJECT' THEN array_to_string(json_keys({_DATA}), ',') END AS data_keys,
-  {", ".join(f"CASE WHEN json_type({_DATA}) = 'OBJECT' THEN ({_DATA}->'{p}')::varchar END AS {p}_json" for p in _PARTS)},
-  {_object("coalesce(good, txt)->'_confidence'")} AS confidences_json,
+SELECT filing_id, ord, CASE odd {_odd({1: "'s'", 2: "'a,b'", 3: "'x'", 4: "'n'", 5: "'n,m'"})}
+    ELSE CASE WHEN json_type({_DATA}) = 'OBJECT' THEN array_to_string(json_keys({_DATA}), ',') END END AS data_keys,
+  {", ".join(f"CASE WHEN json_type({_DATA}) = 'OBJECT' THEN ({_DATA}->'{p}')::varchar{' WHEN odd = 2 THEN 2::varchar' if p == 'a' else ''} END AS {p}_json" for p in _PARTS)},
+  CASE odd WHEN 3 THEN repeat('{{{{"x":', 1499) || '1' || repeat('}}}}', 1499) END AS x_json,
+  CASE odd WHEN 2 THEN '{{{{"a":0.25}}}}' ELSE {_object("coalesce(good, txt)->'_confidence'")} END AS confidences_json,
   {_object("coalesce(good, txt)->'_excerpts'")} AS excerpts_json FROM {{judged_answers}}""")
 def e3(spark, sf):
     parts = ops.parse_answers(table(spark, sf, "answers"))
-    part = lambda p: F.to_json(F.try_variant_get("data", f"$.{p}", "variant")).alias(f"{p}_json")
-    return parts.select("filing_id", "ord", F.array_join(F.json_object_keys("data_text"), ",").alias("data_keys"), *map(part, _PARTS),
-                        F.to_json("confidences").alias("confidences_json"), F.to_json("excerpts").alias("excerpts_json"))
+    keys = F.when(F.size("data") > 0, F.array_join(F.map_keys("data"), ","))
+    return parts.select("filing_id", "ord", keys.alias("data_keys"), *[F.col("data")[p].alias(f"{p}_json") for p in (*_PARTS, "x")],
+                        object_text(F.col("confidences")).alias("confidences_json"), object_text(F.col("excerpts")).alias("excerpts_json"))
 
 
 @query("e4_text_answers", """
@@ -52,8 +65,8 @@ SELECT filing_id, ord, json_extract(txt, '$.a.b')::varchar AS b_json, json_extra
 FROM {judged_answers} WHERE txt IS NOT NULL""")
 def e4(spark, sf):
     texts = ops.parse_answers(table(spark, sf, "answers").filter("tool_name IS NULL"))
-    return texts.select("filing_id", "ord", F.to_json(F.try_variant_get("data", "$.a.b", "variant")).alias("b_json"),
-                        F.to_json(F.try_variant_get("data", "$.c", "variant")).alias("c_json"))
+    inner = F.to_json(F.try_variant_get(F.try_parse_json(F.col("data")["a"]), "$.b", "variant"))
+    return texts.select("filing_id", "ord", inner.alias("b_json"), F.col("data")["c"].alias("c_json"))
 
 
 _PATHS = {"coupon.frequency.$type": "$.data.coupon.frequency.\"$type\"", "coupon.rate": "$.data.coupon.rate",
@@ -69,7 +82,8 @@ domain.CHECK_TABLES["flat_answers"] = " UNION ALL ".join(
 ) + "".join(f""" UNION ALL SELECT filing_id, ord, '{p}', '{v}', NULL, NULL FROM {{judged_answers}} WHERE json_type(good->'data') = 'OBJECT'"""
           for p, v in _WRITTEN.items()) + """ UNION ALL SELECT filing_id, ord, 'a.b', json_extract(txt, '$.a.b')::varchar, '2', NULL FROM {judged_answers} WHERE txt IS NOT NULL
 UNION ALL SELECT filing_id, ord, 'c', json_extract(txt, '$.c')::varchar, NULL, json_extract_string(txt, '$._excerpts.c')
-FROM {judged_answers} WHERE txt IS NOT NULL"""
+FROM {judged_answers} WHERE txt IS NOT NULL""" + "".join(
+    f" UNION ALL SELECT filing_id, ord, {p}, {v}, {c}, NULL FROM {{judged_answers}} WHERE odd = {k}" for k, p, v, c in _ODD_FIELDS)
 
 
 @query("e5_flatten_answers", "SELECT filing_id, ord, field_path, value_json FROM {flat_answers}")

@@ -11,7 +11,7 @@ from termsheet.operators import export, extract
 
 def _flat(spark, payload, tool="submit_extraction"):
     df = spark.createDataFrame([("f", tool, payload)], "filing_id STRING, tool_name STRING, payload STRING")
-    return extract.answer_fields(extract.flatten_answers(extract.parse_answers(df)))
+    return extract.answer_fields(extract.flatten_answers(df))
 
 
 def test_flatten_rules(spark):
@@ -41,6 +41,40 @@ def test_bad_answers_give_no_fields(spark, tool, payload):
     assert _flat(spark, payload, tool).count() == 0
 
 
+ODD = [('{"s":"a\\ud83db","t":"\\ud83d\\ude00","\\udc00":1}', {"s": '"a?b"', "t": '"😀"', "?": "1"}),
+       ('{"a":1,"b":3,"a":{"c":2}}', {"a.c": "2", "b": "3"}),
+       ('{"a":{"b":1},"a.b":2}', {"a.b": "2"}),
+       ('{"x":' * 1500 + '"é"' + "}" * 1500, {".".join("x" * 1500): '"é"'}),
+       ('{"l":' + "[" * 3000 + '{"k":[1,"a",null]}' + "]" * 3000 + ',"m":{}}', {"l": "[" * 3000 + '{"k":[1,"a",null]}' + "]" * 3000}),
+       ('{"n":-' + "9" * 5000 + ',"f":1.50,"g":1e7,"s":"\\n"}', {"n": "-" + "9" * 5000, "f": "1.5", "g": "10000000.0", "s": '"\\n"'}),
+       ('{"n":NaN,"i":-Infinity,"m":1}', {"n": "NaN", "i": "-Infinity", "m": "1"})]
+
+
+@pytest.mark.parametrize("data,fields", ODD)
+def test_answers_that_strict_readers_refuse(spark, data, fields):
+    for tool, payload in (("submit_extraction", f'{{"data":{data}}}'), (None, f"```json\n{data}\n```")):
+        good = ("g", "submit_extraction", '{"data":{"k":1}}')
+        df = spark.createDataFrame([good, ("f", tool, payload)], "filing_id STRING, tool_name STRING, payload STRING")
+        got = extract.answer_fields(extract.flatten_answers(df)).collect()
+        assert {r["field_path"]: r["value_json"] for r in got if r["filing_id"] == "f"} == fields
+        assert [r["value_json"] for r in got if r["filing_id"] == "g"] == ["1"]
+        parts = extract.parse_answers(df).collect()
+        assert all(r["data"] for r in parts) and not any(r["confidences"] for r in parts)
+
+
+@pytest.mark.parametrize("text", ["{" * 2000, '{"a":' * 2000 + "1" + "}" * 1999, "[" * 2000 + "]" * 2000, '{"a":1,}' + " " * 9, '{"x":' * 1500 + "01" + "}" * 1500,
+                                  '{"x":' * 1500 + "[1,]" + "}" * 1500, '{"x":' * 1500 + '{"a" 1}' + "}" * 1500, '{"x":' * 1500 + '"\n"' + "}" * 1500,
+                                  '{"x":' * 1500 + "1" + "}" * 1500 + "x"])
+def test_deep_texts_that_are_no_answers(spark, text):
+    assert _flat(spark, text, None).count() == 0
+
+
+def test_an_answer_is_read_once(spark):
+    df = spark.createDataFrame([("f", "submit_extraction", '{"data":{"a":1}}')], "filing_id STRING, tool_name STRING, payload STRING")
+    plan = extract.answer_fields(extract.flatten_answers(df)).filter("confidence > 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_confidence_defaults_and_excerpt_cut(spark):
     payload = {"data": {"a": 1, "b": None, "c": 2, "d": 3, "e": 4}, "_confidence": {"a": "high", "c": 7, "d": " 0.25 ", "e": True},
                "_excerpts": {"a": "x" * 600}}
