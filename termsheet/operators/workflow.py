@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from termsheet import config
 from termsheet.functions.ordered import previous_known
+from termsheet.functions.text import let
 from termsheet.operators.export import decode_json, latest_extraction
-from termsheet.session import reliable_checkpoint
+from termsheet.session import reliable_checkpoint, small_table
 
 _STATE_TYPES = {"status": "string", "model": "string", "confidence": "double"}
 _STATE = "struct<" + ",".join(f"{c}:{t}" for c, t in _STATE_TYPES.items()) + ">"
@@ -76,8 +77,7 @@ _STARTS = [(s, m, c) for s in [*config.FILING_STATES, _OTHER] for m in (_LISTED,
 
 
 def _stepped(state: Column, act: Column, models: list[str]) -> Column:
-    decided = _decide(state, act, models)
-    return F.struct(*[decided[c].alias(c) for c in ("status", "model", "confidence")])
+    return let(_decide(state, act, models), lambda decided: F.struct(*[decided[c].alias(c) for c in _STATE_TYPES]))
 
 
 def _block_table(todo: Column, models: list[str]) -> Column:
@@ -92,15 +92,53 @@ def _after_block(table: Column, now: Column, models: list[str]) -> Column:
     at_status = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), now["status"]), F.lit(0)), F.lit(len(known) + 1)) - 1
     at_model = F.when(now["model"].isNull(), 2).when(now["model"].isin([*models, "unknown"]), 0).otherwise(1)
     at_confidence = F.when(F.coalesce(now["confidence"], F.lit(0.0)) >= config.GATE_CONFIDENCE, 0).otherwise(1)
-    end = F.get(table, (at_status * 6 + at_model * 2 + at_confidence).cast("int"))
-    return F.when(now["status"].isNull(), now).otherwise(F.struct(
-        F.when(end["status"] == _OTHER, now["status"]).otherwise(end["status"]).alias("status"),
-        F.when(end["model"].isin(_LISTED, _UNLISTED), now["model"]).otherwise(end["model"]).alias("model"),
-        F.when(end["confidence"].isin(_HIGH, _LOW), now["confidence"]).otherwise(end["confidence"]).alias("confidence")))
+    return F.when(now["status"].isNull(), now).otherwise(let(
+        F.get(table, (at_status * 6 + at_model * 2 + at_confidence).cast("int")), lambda end: F.struct(
+            F.when(end["status"] == _OTHER, now["status"]).otherwise(end["status"]).alias("status"),
+            F.when(end["model"].isin(_LISTED, _UNLISTED), now["model"]).otherwise(end["model"]).alias("model"),
+            F.when(end["confidence"].isin(_HIGH, _LOW), now["confidence"]).otherwise(end["confidence"]).alias("confidence"))))
+
+
+def _in_turn(tables: Column, first: Column, models: list[str]) -> Column:
+    """The state before each of some blocks that follow one another (at, table): array of (at, start)."""
+    none = F.array().cast(f"array<struct<at:bigint,start:{_STATE}>>")
+
+    def onward(acc: Column, b: Column) -> Column:
+        start = F.struct(b["at"].alias("at"), acc["now"].alias("start"))
+        return F.struct(_after_block(b["table"], acc["now"], models).alias("now"), F.concat(acc["starts"], F.array(start)).alias("starts"))
+
+    return F.aggregate(tables, F.struct(first.alias("now"), none.alias("starts")), onward, lambda acc: acc["starts"])
+
+
+def _block_starts(blocks: DataFrame, now: DataFrame, models: list[str], fan: int) -> DataFrame | None:
+    """filing_id, at, start: the state before each block of the filings that have several; None if no filing has.
+
+    A prefix scan in levels.  Upwards, the tables of ``fan`` neighbouring blocks become one, level by level, until a
+    filing has one left; downwards, each table's start gives those of the tables it was made of.  No
+    row holds more than ``fan`` tables.  Each level is written before the next is made.
+    """
+    several = blocks.groupBy("filing_id").agg(F.count("*").alias("n")).filter("n > 1").select("filing_id")
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))       # by number, as few bytes make much work
+    level = reliable_checkpoint(blocks.join(several, "filing_id", "left_semi").repartition(tasks, "filing_id", "at")
+                                .select("filing_id", "at", _block_table(F.col("todo"), models).alias("table")))
+    if level.isEmpty():
+        return None
+    levels = []
+    then = lambda known: lambda so_far, b: F.transform(so_far, lambda end: _after_block(b["table"], end, known))
+    while not level.groupBy("filing_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        inside = level.groupBy("filing_id", F.expr(f"at DIV {fan}").alias("above")).agg(
+            F.array_sort(F.collect_list(F.struct("at", "table"))).alias("inside"))
+        levels.append(reliable_checkpoint(inside.withColumnRenamed("above", "at").withColumn("table", F.aggregate(
+            F.slice("inside", 2, fan), F.get("inside", F.lit(0))["table"], then([*models, _LISTED])))))
+        level = levels[-1].select("filing_id", "at", "table")
+    starts = level.select("filing_id", "at").join(now.withColumnRenamed("now", "start"), "filing_id")
+    for upper in reversed(levels):
+        starts = upper.join(starts, ["filing_id", "at"]).select("filing_id", F.inline(_in_turn(F.col("inside"), F.col("start"), models)))
+    return starts
 
 
 def apply_actions(filings: DataFrame, actions: DataFrame, models: list[str] = config.MODELS, block: int = 256,
-                  stretch: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+                  stretch: int = 1_000_000, fan: int = 64) -> tuple[DataFrame, DataFrame]:
     """W0 (C12-C14, W1, W2, W6): replay actions in order on the filings' states.
 
     ``actions`` is (filing_id, seq, action, model); ``seq`` is a whole number, unique per filing.  Returns
@@ -109,40 +147,33 @@ def apply_actions(filings: DataFrame, actions: DataFrame, models: list[str] = co
 
     Actions are numbered in stretches of the sequence and cut into blocks, so a filing with any number
     of them is spread over many tasks.  Only of filings with several blocks, each block is reduced to the
-    table of its possible start and end states; a pass over those tables, one row per block, gives every block
-    its start, and all blocks are replayed side by side.
+    table of its possible start and end states; :func:`_block_starts` gives every block its start, and all blocks are
+    replayed side by side.  Blocks are written once, as whether there are such filings decides the plan.
     """
     number = F.row_number().over(Window.partitionBy("filing_id", "_stretch").orderBy("seq"))
-    blocks = (
+    at = F.col("_stretch") * -(-stretch // block) + F.col("_part")
+    blocks = reliable_checkpoint(
         actions.select("filing_id", "seq", "action", "model", F.floor(F.col("seq") / stretch).alias("_stretch"))
         .withColumn("_part", F.floor((number - 1) / block)).groupBy("filing_id", "_stretch", "_part")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "action", "model"))).alias("todo")))
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "action", "model"))).alias("todo"))
+        .select("filing_id", at.alias("at"), "todo"))
     now = filings.select("filing_id", F.struct(*[F.col(c).cast(t).alias(c) for c, t in _STATE_TYPES.items()]).alias("now"))
-
-    several = blocks.groupBy("filing_id").agg(F.count("*").alias("n")).filter("n > 1").select("filing_id")
-    tables = (blocks.join(several, "filing_id", "left_semi")
-              .select("filing_id", F.struct("_stretch", "_part", _block_table(F.col("todo"), models).alias("table")).alias("b"))
-              .groupBy("filing_id").agg(F.array_sort(F.collect_list("b")).alias("blocks")).join(now, "filing_id"))
-    empty = F.array().cast(f"array<struct<_stretch:bigint,_part:bigint,start:{_STATE}>>")
-
-    def onward(acc: Column, b: Column) -> Column:
-        start = F.struct(b["_stretch"].alias("_stretch"), b["_part"].alias("_part"), acc["now"].alias("start"))
-        return F.struct(_after_block(b["table"], acc["now"], models).alias("now"), F.concat(acc["starts"], F.array(start)).alias("starts"))
-
-    starts = tables.select("filing_id", F.inline(F.aggregate(
-        "blocks", F.struct(F.col("now"), empty.alias("starts")), onward, lambda acc: acc["starts"])))
+    starts = _block_starts(blocks, now, models, fan)
 
     def step(acc: Column, act: Column) -> Column:
-        decided = _decide(acc["now"], act, models)
-        entry = F.struct(act["seq"].alias("seq"), act["action"].alias("action"), acc["now"].alias("before"), decided.alias("after"))
-        after = F.struct(*[decided[c].alias(c) for c in _STATE_TYPES])
-        return F.struct(after.alias("now"), F.concat(acc["log"], F.array(entry)).alias("log"))
+        def entry(decided: Column) -> Column:
+            return F.struct(act["seq"].alias("seq"), act["action"].alias("action"), acc["now"].alias("before"), decided.alias("after"))
+
+        return let(_decide(acc["now"], act, models), lambda decided: F.struct(
+            F.struct(*[decided[c].alias(c) for c in _STATE_TYPES]).alias("now"), F.concat(acc["log"], F.array(entry(decided))).alias("log")))
 
     log_type = (f"array<struct<seq:bigint,action:string,before:{_STATE},after:struct<reason:string,"
                 "status:string,model:string,confidence:double>>>")
-    joined = blocks.join(now, "filing_id", "left").join(starts, ["filing_id", "_stretch", "_part"], "left")
-    first = F.struct(F.coalesce("start", "now").alias("now"), F.array().cast(log_type).alias("log"))
-    folded = joined.filter("now IS NOT NULL").select("filing_id", "_stretch", "_part", F.aggregate("todo", first, step).alias("r"))
+    joined = blocks.join(now, "filing_id", "left")
+    if starts is not None:
+        joined = joined.join(starts, ["filing_id", "at"], "left").withColumn("now", F.coalesce("start", "now")).drop("start")
+    first = F.struct("now", F.array().cast(log_type).alias("log"))
+    folded = joined.filter("now IS NOT NULL").select("filing_id", "at", F.aggregate("todo", first, step).alias("r"))
     missing = (joined.filter("now IS NULL").select("filing_id", F.inline("todo"))
                .select("filing_id", "seq", "action", F.lit("filing not found").alias("reason")))
     outcomes = (folded.select("filing_id", F.inline("r.log"))
@@ -150,13 +181,57 @@ def apply_actions(filings: DataFrame, actions: DataFrame, models: list[str] = co
                         F.col("before.status").alias("old_status"), F.col("after.status").alias("new_status"),
                         F.col("before.model").alias("old_model"), F.col("after.model").alias("new_model"))
                 .unionByName(missing, allowMissingColumns=True))
-    ended = folded.groupBy("filing_id").agg(F.max_by("r.now", F.struct("_stretch", "_part")).alias("ended"))
+    if starts is None:
+        ended = folded.select("filing_id", F.col("r.now").alias("ended"))
+    else:
+        ended = folded.groupBy("filing_id").agg(F.max_by("r.now", "at").alias("ended"))
     moved = filings.join(ended, "filing_id", "left")
     for c in _STATE_TYPES:
         moved = moved.withColumn(c, F.when(F.col("ended").isNotNull(), F.col(f"ended.{c}")).otherwise(F.col(c)))
     return moved.drop("ended"), outcomes
 
 
+# ---- the same rules, one action at a time ---------------------------------------------------
+
+_NAMES = ["confirm", "override", "reset", "extract", "reextract", "finish", "fail", "approve", "unapprove", "export"]
+_ODD_NAME, _GIVEN_LISTED, _GIVEN_UNLISTED = "\u0001odd", "\u0001given listed", "\u0001given unlisted"
+
+
+class Rules:
+    """All decisions of :func:`_decide` as a table, for code that holds one filing's state in Python.
+
+    States and actions are told apart as in block tables; what a decision takes from them is filled in.
+    """
+
+    def __init__(self, spark: SparkSession, models: list[str] = config.MODELS):
+        self.listed = {*models, "unknown"}
+        cases = [(s, m, c, a, g) for s, m, c in [*_STARTS, (None, None, _LOW)] for a in [*_NAMES, _ODD_NAME, None]
+                 for g in (None, "", _GIVEN_LISTED, _GIVEN_UNLISTED)]
+        table = small_table(spark, cases, "status STRING, model STRING, confidence DOUBLE, action STRING, given STRING")
+        decided = _decide(F.struct("status", "model", "confidence"), F.struct("action", F.col("given").alias("model")), [*models, _LISTED, _GIVEN_LISTED])
+        self.decided = {tuple(r[:5]): tuple(r["d"]) for r in table.withColumn("d", decided).collect()}
+
+    def _kind(self, model: str | None, listed: str, unlisted: str) -> str | None:
+        return None if model is None else listed if model in self.listed else unlisted
+
+    def __call__(self, state: tuple, action: str | None, given: str | None) -> tuple[str | None, tuple]:
+        """The reason of refusal, if any, and the state after the action."""
+        status, model, confidence = state
+        sure = _HIGH if (confidence or 0.0) >= config.GATE_CONFIDENCE else _LOW
+        start = (None, None, _LOW) if status is None else (
+            status if status in config.FILING_STATES else _OTHER, self._kind(model, _LISTED, _UNLISTED), sure)
+        name = action if action is None or action in _NAMES else _ODD_NAME
+        wish = self._kind(given, _GIVEN_LISTED, _GIVEN_UNLISTED) if given else given
+        reason, *after = self.decided[(*start, name, wish)]
+        marks = {_OTHER: status, _LISTED: model, _UNLISTED: model, _GIVEN_LISTED: given, _GIVEN_UNLISTED: given, _ODD_NAME: action}
+        if reason is not None and "\u0001" in reason:
+            mark = reason[reason.index("\u0001"):]
+            reason = reason.replace(mark, marks[mark])
+        if status is None:
+            return reason, state
+        return reason, (marks.get(after[0], after[0]), marks.get(after[1], after[1]), confidence if after[2] in (_HIGH, _LOW) else after[2])
+
+
 def feedback_rows(outcomes: DataFrame, actions: DataFrame, at: str) -> DataFrame:
     """Feedback rows of accepted confirmations and overrides."""
     done = outcomes.filter("reason IS NULL AND action IN ('confirm', 'override')")

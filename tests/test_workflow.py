@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termsheet.functions.ordered import previous_known
 from termsheet.operators import classify, logs, schemas, workflow
+from termsheet.streaming import jobs
 
 
 def _act(spark, status, action, model="", confidence=0.9, present="index"):
@@ -50,13 +51,59 @@ def test_blocks_give_the_same_result(spark):
 
 
 def test_many_actions_of_one_filing(spark):
+    """A third of a million actions: more blocks than one level of the scan holds."""
+    size = 333_000
     filings = spark.createDataFrame([("f", "classified", "index", 0.9)], "filing_id STRING, status STRING, model STRING, confidence DOUBLE")
     names = F.array(*map(F.lit, ["extract", "finish", "approve", "unapprove", "extract", "fail", "override"]))
-    actions = spark.range(100_000).select(F.lit("f").alias("filing_id"), F.col("id").alias("seq"),
-                                          F.get(names, (F.col("id") % 7).cast("int")).alias("action"), F.lit("index").alias("model"))
+    actions = spark.range(size).select(F.lit("f").alias("filing_id"), F.col("id").alias("seq"),
+                                       F.get(names, (F.col("id") % 7).cast("int")).alias("action"), F.lit("index").alias("model"))
+    moved, outcomes = workflow.apply_actions(filings, actions, fan=16)
+    assert outcomes.filter("reason IS NULL").count() == size
+    assert moved.first()["status"] == ["extracting", "extracted", "approved", "extracted", "extracting", "classified", "classified"][(size - 1) % 7]
+
+
+def _random_actions(spark, n=400):
+    rng = random.Random(5)
+    names = ["confirm", "override", "reset", "extract", "finish", "approve", "unapprove", "export", "reextract", "fail", "odd", None]
+    start = [("classified", "index", 0.9), ("needs_classification_review", "odd", 0.3), ("odd", None, None), (None, "index", 0.9), ("extracting", "index", 0.8)]
+    filings = spark.createDataFrame([(str(i), *s) for i, s in enumerate(start)], "filing_id STRING, status STRING, model STRING, confidence DOUBLE")
+    acts = [(str(rng.choice([0, 0, 1, 2, 3, 4, 9])), i, rng.choice(names), rng.choice(["", "index", "unknown", "bad", None])) for i in range(n)]
+    return filings, spark.createDataFrame(acts, "filing_id STRING, seq BIGINT, action STRING, model STRING")
+
+
+@pytest.mark.parametrize("block,stretch,fan", [(1, 7, 2), (3, 50, 2), (2, 400, 5)])
+def test_levels_of_blocks_give_the_same_result(spark, block, stretch, fan):
+    filings, actions = _random_actions(spark)
+    for a, b in zip(workflow.apply_actions(filings, actions), workflow.apply_actions(filings, actions, block=block, stretch=stretch, fan=fan), strict=True):
+        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(a.columns).collect()), key=str)
+
+
+def test_rules_as_a_table_decide_like_the_batch(spark):
+    filings, actions = _random_actions(spark, 300)
+    _, outcomes = workflow.apply_actions(filings, actions)
+    want = {(r["filing_id"], r["seq"]): (r["reason"], r["new_status"], r["new_model"]) for r in outcomes.collect()}
+    rules, states = workflow.Rules(spark), {r["filing_id"]: tuple(r)[1:] for r in filings.collect()}
+    for r in sorted(actions.collect(), key=lambda r: r["seq"]):
+        if r["filing_id"] in states:
+            reason, states[r["filing_id"]] = rules(states[r["filing_id"]], r["action"], r["model"])
+            assert (reason, *states[r["filing_id"]][:2]) == want[r["filing_id"], r["seq"]]
+
+
+def test_a_stream_of_actions_goes_on_after_a_restart(spark, tmp_path):
+    """Stopped in mid-stream, with batches of one file: every action once, and the states of the batch."""
+    filings, actions = _random_actions(spark, 120)
+    for k in range(4):
+        actions.filter(f"seq BETWEEN {k * 30} AND {k * 30 + 29}").coalesce(1).write.mode("append").parquet(str(tmp_path / "actions"))
+        if k in (1, 3):
+            stream = spark.readStream.schema(actions.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "actions"))
+            run = (jobs.action_outcomes(stream, filings).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+                   .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start())
+            run.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
     moved, outcomes = workflow.apply_actions(filings, actions)
-    assert outcomes.filter("reason IS NULL").count() == 100_000
-    assert moved.first()["status"] == ["extracting", "extracted", "approved", "extracted", "extracting", "classified", "classified"][99_999 % 7]
+    assert sorted(map(tuple, got.select(outcomes.columns).collect()), key=str) == sorted(map(tuple, outcomes.collect()), key=str)
+    states = jobs.latest_states(filings, got)
+    assert sorted(map(tuple, states.collect()), key=str) == sorted(map(tuple, moved.collect()), key=str)
 
 
 @pytest.mark.parametrize("status,action,reason", [
