@@ -323,3 +323,18 @@ FILING_STATES = ["ingested", "classified", "needs_classification_review", "needs
 def shared_label_rows():
     """(label, field_path) rows of the shared label map."""
     return [(label, path) for path, labels in SHARED_LABELS.items() for label in labels]
+
+# ---- coupon schedules (O9); defaults that callers may replace ------------------------------
+
+#: Code of a frequency: unit of its step, and how many.
+SCHEDULE_FREQUENCIES = {"daily": ("day", 1), "weekly": ("day", 7), "monthly": ("month", 1), "quarterly": ("month", 3), "semiannual": ("month", 6), "annual": ("month", 12)}
+
+#: Spellings of conventions, in lower case, and their codes.
+SCHEDULE_SPELLINGS = {
+    "daily": "daily", "weekly": "weekly", "monthly": "monthly", "every month": "monthly", "quarterly": "quarterly", "every three months": "quarterly",
+    "semi-annual": "semiannual", "semi-annually": "semiannual", "semiannual": "semiannual", "semiannually": "semiannual", "annual": "annual", "annually": "annual",
+    "per annum": "annual", "act/360": "act/360", "actual/360": "act/360", "act/365": "act/365", "actual/365": "act/365", "30/360": "30/360",
+    "act/act": "act/act", "actual/actual": "act/act", "following": "following", "following business day": "following",
+    "following business day convention": "following", "modified following": "modified", "modified following business day convention": "modified",
+    "preceding": "preceding", "preceding business day convention": "preceding", "unadjusted": "unadjusted",
+}

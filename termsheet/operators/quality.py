@@ -1,4 +1,4 @@
-"""Quality reports over extractions and product features."""
+"""Quality reports over extractions and product features."""
 
 from __future__ import annotations
 
@@ -81,3 +81,38 @@ def series_filings(docs: DataFrame) -> DataFrame:
     codes = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Z0-9]{9}\b"), F.lit(0))))
     found = docs.select("doc_id", codes.alias("codes"))
     return found.filter(F.size("codes") > 1).select("doc_id", F.size("codes").alias("cusips"), F.array_join("codes", ",").alias("codes"))
+
+
+def profile_scores(items: DataFrame, features: DataFrame, profiles: DataFrame) -> DataFrame:
+    """O1: item_id, model, score, rank: how well each item's features fit each model's profile.
+
+    ``features``: item_id, feature, value, a row for each feature that is known of an item.  ``profiles``: model, kind (required, typical
+    or counter), feature, value, weight; an entry with several values, in a row each, is met by any of them
+    and has the largest of their weights.  A score
+    starts at 1: a required entry that is not met takes its weight away, a typical one that is met adds it, a counter one that is
+    met takes it away; it stays between 0 and 1.  Equal scores rank by model.
+
+    Only features that some profile names meet a row; what an item misses is counted by putting the weights of the required
+    entries into a row that every item meets, and giving them back where they are met.
+    """
+    entries = profiles.groupBy("model", "kind", "feature").agg(F.max("weight").alias("weight"))
+    missed = entries.groupBy("model").agg((1 - F.coalesce(F.sum(F.when(F.col("kind") == "required", F.col("weight"))), F.lit(0.0))).alias("weight"))
+    start = missed.select("model", F.lit("start").alias("kind"), F.lit("").alias("feature"), F.lit("").alias("value"), "weight")
+    rules = profiles.filter("feature <> ''").select("model", "kind", "feature", "value").join(entries, ["model", "kind", "feature"]).unionByName(start)
+    have = features.filter("feature <> ''").select("item_id", "feature", "value").unionByName(
+        items.select("item_id", F.lit("").alias("feature"), F.lit("").alias("value")))
+    met = have.join(rules, ["feature", "value"]).groupBy("item_id", "model").agg(F.sort_array(F.collect_set(F.struct(
+        "kind", "feature", F.when(F.col("kind") == "counter", -F.col("weight")).otherwise(F.col("weight")).alias("w")))).alias("met"))
+    total = F.round(F.aggregate("met", F.lit(0.0), lambda so_far, e: so_far + e["w"]), 6)
+    scored = met.select("item_id", "model", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("score"))
+    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "model")
+    return scored.withColumn("rank", F.row_number().over(best))
+
+
+def profile_bands(scores: DataFrame, sure: float = 0.80, likely: float = 0.60) -> DataFrame:
+    """O1: item_id, model, score, lead (over the next model), band: the best model of each item and what follows from its score."""
+    both = scores.filter("rank <= 2").groupBy("item_id").agg(
+        F.max(F.when(F.col("rank") == 1, F.struct("model", "score"))).alias("first"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("next"))
+    score = F.col("first.score")
+    band = F.when(score >= sure, "classified").when(score >= likely, "needs_classification_review").otherwise("needs_review")
+    return both.select("item_id", "first.model", "first.score", F.round(score - F.coalesce("next", F.lit(0.0)), 6).alias("lead"), band.alias("band"))
