@@ -11,23 +11,25 @@ from termsheet.functions.text import literal_map
 _LINE = r"(?U)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3})\s+(\w+)\s+(\S+)\s+(.*)"
 
 
-def parse_log(lines: DataFrame, block: int = 50_000) -> DataFrame:
+def parse_log(lines: DataFrame, block: int = 50_000, part_lines: int | None = None) -> DataFrame:
     """G1: log entries (file, line_no, ts, level, name, message) from raw lines.
 
     A line that does not look like an entry belongs to the entry before it; lines before the
     first entry are dropped.  The entry a line belongs to is found block by block, so one huge
     file is still shared out over many tasks.
+
+    A message is one text, however many lines go on.  With ``part_lines``, an entry of more lines goes on in further rows, so that
+    one that goes on for a third of the file is no row of its own: ``part`` counts them from 0.
     """
     is_head = F.col("line").rlike(_LINE)
-    marked = previous_known(lines.withColumn("is_head", is_head), ["file"], "line_no",
-                            F.when(is_head, F.col("line_no")), "before", block)
-    entry = F.when(F.col("is_head"), F.col("line_no")).otherwise(F.col("before"))
+    head = F.struct("line_no", *[F.regexp_extract("line", _LINE, i + 1).alias(n) for i, n in enumerate(("ts", "level", "name"))])
+    marked = previous_known(lines.withColumn("is_head", is_head), ["file"], "line_no", F.when(is_head, head), "before", block)
     text = F.when(F.col("is_head"), F.regexp_extract("line", _LINE, 4)).otherwise(F.col("line"))
-    head = F.when(F.col("is_head"), F.struct(*[F.regexp_extract("line", _LINE, i + 1).alias(n)
-                                               for i, n in enumerate(("ts", "level", "name"))]))
-    grouped = (marked.withColumn("entry", entry).filter("entry IS NOT NULL").groupBy("file", "entry").agg(
-        F.max(head).alias("h"), F.array_sort(F.collect_list(F.struct("line_no", text.alias("text")))).alias("parts")))
-    return grouped.select("file", F.col("entry").alias("line_no"), "h.ts", "h.level", "h.name",
+    told = marked.withColumn("h", F.when(F.col("is_head"), head).otherwise(F.col("before"))).filter("h IS NOT NULL")
+    part = [] if part_lines is None else [F.floor((F.col("line_no") - F.col("h.line_no")) / part_lines).cast("int").alias("part")]
+    grouped = told.groupBy("file", F.col("h.line_no").alias("entry"), *part).agg(
+        F.first("h").alias("h"), F.array_sort(F.collect_list(F.struct("line_no", text.alias("text")))).alias("parts"))
+    return grouped.select("file", F.col("entry").alias("line_no"), *(["part"] if part else []), "h.ts", "h.level", "h.name",
                           F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("message"))
 
 

@@ -201,6 +201,31 @@ def by_issuer(costed: DataFrame, filings: DataFrame) -> DataFrame:
     return by_filing_attribute(costed, filings, "issuer_name", "Unknown")
 
 
+def breakdowns(costed: DataFrame, filings: DataFrame, labels: dict[str, str] = config.STEP_LABELS) -> DataFrame:
+    """U6, U7, U8 at once: dimension (step, model, issuer), key, label, and calls, tokens, cost, savings, share and mean cost.
+
+    Grouping sets: the calls are read once and, where filings are small enough to be broadcast, shuffled once, already
+    summed.  Beyond that, the join moves calls; :func:`by_model` and :func:`by_issuer` then sum per filing first.
+    """
+    step = F.coalesce(F.col("call_type"), F.lit("unknown"))
+    named = with_filing(costed, filings).select(
+        step.alias("step"), F.col("filing_model").alias("model"), F.col("issuer_name").alias("issuer"), *_TOKENS, "cost_units", "savings_units")
+    dimensions = ["step", "model", "issuer"]
+    grouped = named.groupingSets([[d] for d in dimensions], *dimensions).agg(
+        F.grouping_id().alias("gid"), F.count("*").alias("calls"), _sum("prompt_tokens", "input_tokens"), _sum("completion_tokens", "output_tokens"),
+        _sum("cache_read_tokens", "cache_read_tokens"), _sum("cache_write_tokens", "cache_write_tokens"), _sum_units("cost_units", "raw_cost"),
+        _sum_units("savings_units", "raw_savings"))
+    # A bit is 0 where its column is grouped by: 011 for the first.
+    dimension = F.element_at(F.create_map(*[F.lit(x) for k, d in enumerate(dimensions) for x in (7 - (4 >> k), d)]), F.col("gid").cast("int"))
+    cost = _usd("raw_cost", 6)
+    total = F.sum("raw_cost").over(Window.partitionBy("dimension")).cast("double") / _UNITS_PER_USD
+    return grouped.withColumn("dimension", dimension).withColumn("key", F.coalesce(*dimensions)).select(
+        "dimension", "key", F.when(F.col("dimension") == "step", F.try_element_at(literal_map(labels), F.col("key"))).alias("label"),
+        "calls", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", cost.alias("cost_usd"),
+        _usd("raw_savings", 6).alias("cache_savings_usd"), F.when(total != 0, F.round(cost / total * 100, 1)).otherwise(0.0).alias("pct_of_total"),
+        F.round(cost / F.col("calls"), 6).alias("avg_cost_per_call")).withColumn("label", F.coalesce("label", "key"))
+
+
 def model_comparison(costed: DataFrame, pricing: list[dict]) -> DataFrame:
     """What all tokens would cost at each listed model's price, without the cache."""
     totals = costed.agg(_sum("prompt_tokens", "tokens_in"), _sum("completion_tokens", "tokens_out"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termsheet import config
+from termsheet.functions.excerpts import anchor_excerpts
 from termsheet.operators import documents as ops, extract, htmlrows, labels
 from termsheet.plans import domain
 from termsheet.plans.domain import table
@@ -179,6 +180,21 @@ def h10(spark, sf):
     return table(spark, sf, "excerpts").select("doc_id", found.alias("a")).select("doc_id", "a.start", "a.length")
 
 
+# Two dozen excerpts of each document: verbatim, with altered white space, with an altered end, and absent.
+_MANY = """CASE i % 4 WHEN 0 THEN substr(text, 41 + 7 * i, 130)
+  WHEN 1 THEN replace(replace(substr(text, 61 + 5 * i, 90), chr(10), ' '), ' ', '  ')
+  WHEN 2 THEN substr(text, 21 + 3 * i, 45) || ' but paraphrased from here on in other words' ELSE 'in no document at all ' || cast(i AS string) END"""
+
+
+@query("h9_excerpts_of_document", f"""
+SELECT doc_id, i, a.s::int AS start, a.l::int AS length FROM (SELECT doc_id, i, coalesce({', '.join(_PREFIXES)}) AS a
+  FROM (SELECT doc_id, text, i, {_MANY} AS excerpt FROM {{documents}}, (SELECT unnest(range(0, 24))::int AS i) n) x) t""")
+def h9_many(spark, sf):
+    many = F.expr(f"transform(sequence(0, 23), i -> {_MANY})")
+    found = table(spark, sf, "documents").select("doc_id", anchor_excerpts(F.col("text"), many).alias("found"))
+    return found.select("doc_id", F.posexplode("found").alias("i", "a")).select("doc_id", "i", "a.start", "a.length")
+
+
 _HISTORY = """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {{conversations}}),
 k AS (SELECT *, max(back) OVER (PARTITION BY conv_id) AS oldest FROM r WHERE back <= {n})

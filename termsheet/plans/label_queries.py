@@ -12,6 +12,8 @@ from termsheet.operators import extract, labels as ops
 from termsheet.plans import domain
 from termsheet.plans.domain import table
 from termsheet.plans.registry import query
+from termsheet.session import work_folder
+from termsheet.sources.versioned import MergedTable
 
 USER_LABELS = [("Observation Style", "barrier.triggerDetails.observationType"),
                ("Product  Maturity:", "structuredProductsGeneral.maturityDate"),
@@ -320,6 +322,17 @@ def l7(spark, sf):
     return _log_after(spark, sf)
 
 
+@query("l7_committed_upsert", "SELECT * FROM {miss_log_after}")
+def l7_committed(spark, sf):
+    """The same through the stored table: the log as first batch, the misses as second, and that one delivered twice."""
+    log = table(spark, sf, "miss_log")
+    stored = MergedTable(spark, work_folder(spark, "miss-log"), "label_norm", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema), 16).create()
+    stored.merge(0, log.withColumn("sample_value", F.nullif("sample_value", F.lit(""))), lambda _, rows: rows)
+    for _ in range(2):
+        stored.merge(1, _misses(spark, sf), ops.upsert_misses)
+    return stored.read()
+
+
 @query("l8_open_misses", """
 SELECT * REPLACE (CASE WHEN coalesce(occurrences, 0) = 0 THEN 1 ELSE occurrences END AS occurrences)
 FROM {miss_log_after} WHERE NOT dismissed""")

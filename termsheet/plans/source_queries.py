@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termsheet import schemas
+from termsheet.functions.text import normalise_accession
 from termsheet.operators import export, htmlrows, quality, runs
 from termsheet.plans import domain
 from termsheet.plans.document_queries import _INDEX
@@ -15,6 +16,7 @@ from termsheet.plans.usage_queries import costed
 from termsheet.plans.workflow_queries import _REPLAY
 from termsheet.session import work_folder
 from termsheet.sources import config_tables, ingest, sinks
+from termsheet.sources.versioned import MergedTable
 from termsheet.streaming import jobs
 
 # Search hits in the newer form, two older forms, and the bare form.
@@ -60,6 +62,21 @@ def s6(spark, sf):
     return ingest.new_filings(table(spark, sf, "ingest_requests"), stored)
 
 
+@query("s6_committed_filings", """
+SELECT accession_number, coalesce(nullif(ltrim(cik, '0'), ''), cik) AS cik, cusip, issuer_name, source_url, accession_raw::bigint * 2 AS request_no,
+  accession_raw AS folder_path, 'ingested' AS status FROM {filings}""")
+def s6_committed(spark, sf):
+    """Requests into the stored table in two overlapping deliveries, the second one twice; each filing is stored once."""
+    requests = table(spark, sf, "ingest_requests")
+    ddl = "accession_number STRING, cik STRING, cusip STRING, issuer_name STRING, source_url STRING, request_no BIGINT, folder_path STRING, status STRING"
+    stored = MergedTable(spark, work_folder(spark, "filings"), "accession_number", ddl, 16).create()
+    early = F.floor(F.col("request_no") / 2) % 3 == 0
+    for batch, delivery in ((0, requests.filter(early)), (1, requests), (1, requests)):
+        keyed = delivery.withColumn("accession_number", normalise_accession(F.col("accession_number")))
+        stored.merge(batch, keyed, lambda old, new: old.unionByName(ingest.new_filings(new, old)))
+    return stored.read()
+
+
 _TYPE = "CASE page_id % 3 WHEN 0 THEN 'application/PDF' WHEN 1 THEN 'text/html' END"
 
 
@@ -273,22 +290,15 @@ def t2(spark, sf):
 @query("t3_action_stream_states", _REPLAY + """
 SELECT filing_id, arg_max(status, n) AS status, arg_max_null(model, n) AS model, arg_max_null(confidence, n) AS confidence FROM r GROUP BY 1""")
 def t3(spark, sf):
-    out = work_folder(spark, "states")
-    columns = ["filing_id", "status", "model", "confidence"]
-    states = lambda: spark.read.parquet(f"{out}/states")
-
-    def write_state(moved, batch_id):
-        moved.select(*columns).write.mode("overwrite").parquet(f"{out}/states/_batch={batch_id}")
-
-    def read_state():
-        return _last_update(states(), "filing_id")
-    write_state(table(spark, sf, "filings"), -1)
-    actions = spark.sql(domain.TABLES["actions"], events=_stream(spark, sf, "events")).drop("reason")
-    stream = jobs.follow_actions(
-        actions, read_state, lambda: states().agg(F.max("_batch")).first()[0], write_state,
-        lambda outcomes, batch_id: outcomes.write.mode("overwrite").parquet(f"{out}/outcomes/_batch={batch_id}"), f"{out}/checkpoint")
-    stream.awaitTermination()
-    return read_state()
+    # Actions arrive in two deliveries; the stream stops in between and goes on from its checkpoint.
+    out = work_folder(spark, "stream")
+    filings, todo = table(spark, sf, "filings"), table(spark, sf, "actions").drop("reason")
+    middle = todo.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    for delivery in (F.col("seq") <= middle, F.col("seq") > middle):
+        todo.filter(delivery).write.mode("append").parquet(f"{out}/actions")
+        actions = spark.readStream.schema(todo.schema).parquet(f"{out}/actions")
+        rows = _run_to_end(spark, jobs.action_outcomes(actions, filings), "append", out)
+    return jobs.latest_states(filings, rows).select("filing_id", "status", "model", "confidence")
 
 
 @query("t4_miss_counts_stream", """

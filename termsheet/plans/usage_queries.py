@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from termsheet.config import STEP_LABELS
 from termsheet.operators import usage as ops
 from termsheet.plans.domain import AS_OF, DEFAULT_MODEL, PRICING, table, usd
 from termsheet.plans.registry import query
@@ -100,6 +101,25 @@ def u8(spark, sf):
     return ops.by_issuer(costed(spark, sf), table(spark, sf, "filings"))
 
 
+def _breakdown(dimension: str, key: str, label: str) -> str:
+    return f"""SELECT '{dimension}' AS dimension, {key} AS key, {label} AS label, count(*) AS calls, sum(prompt_tokens)::bigint AS input_tokens,
+  sum(completion_tokens)::bigint AS output_tokens, sum(coalesce(cache_read_tokens, 0))::bigint AS cache_read_tokens,
+  sum(coalesce(cache_write_tokens, 0))::bigint AS cache_write_tokens, sum(cost) AS c, sum(savings) AS s
+FROM {{priced}} u LEFT JOIN {{filings}} f ON u.filing_id = f.filing_id GROUP BY 2, 3"""
+
+
+_STEP_LABEL = "CASE call_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STEP_LABELS.items()) + " ELSE coalesce(call_type, 'unknown') END"
+
+
+@query("u6_u7_u8_breakdowns", "WITH b AS (" + " UNION ALL ".join((
+    _breakdown("step", "coalesce(call_type, 'unknown')", _STEP_LABEL), _breakdown("model", "coalesce(f.model, 'unknown')", "coalesce(f.model, 'unknown')"),
+    _breakdown("issuer", "coalesce(f.issuer_name, 'Unknown')", "coalesce(f.issuer_name, 'Unknown')"))) + f""")
+SELECT * EXCLUDE (c, s), {usd('c', 6)} AS cost_usd, {usd('s', 6)} AS cache_savings_usd,
+  round({usd('c', 6)} / (sum(c) OVER (PARTITION BY dimension)::double / 1e10::double) * 100, 1) AS pct_of_total, round({usd('c', 6)} / calls, 6) AS avg_cost_per_call FROM b""")
+def u678(spark, sf):
+    return ops.breakdowns(costed(spark, sf), table(spark, sf, "filings"))
+
+
 @query("u9_unit_economics", _SUMMARY + f"""
 SELECT found AS fields_found, round(cost / filings, 6) AS cost_per_filing,
   round(cost / found, 6) AS cost_per_field_found, round(tin / filings, 0) AS avg_input_per_filing,
