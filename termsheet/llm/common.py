@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +121,40 @@ def running(df: DataFrame, group: list[str], at: str, values: dict, back: bool =
     known = df.join(blocks, [*group, cut])
     both = {name: join(F.col(ends[name]), fn(column).over(inside)) for name, (fn, column, join) in values.items()}
     return known.withColumns(both).drop(cut, *ends.values())
+
+
+class Numbers(dict):
+    """64-bit numbers of words, remembered as long as the memory of them stays small."""
+
+    def __missing__(self, word: str) -> int:
+        number = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = number
+        return number
+
+
+def bit_filter(numbers: DataFrame, bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits (a power of two) that holds the one column of ``numbers``, two bits each.
+
+    Its size on the driver is fixed, however many numbers there are: bits are put together in Spark, 64 at a time.  It may take others
+    for held, so an exact join has to follow.
+    """
+    (name,) = numbers.columns
+    at = F.explode(F.array(F.expr(f"`{name}` & {bits - 1}L"), F.expr(f"shiftright(`{name}`, 32) & {bits - 1}L")))
+    words = numbers.select(at.alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set"))
+    rows = words.toArrow()
+    held = np.zeros(bits // 64, "<u8")
+    held[rows["word"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
+    return held.view(np.uint8)
+
+
+def in_filter(held: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which of the numbers (int64) a :func:`bit_filter` holds, or takes for held."""
+    mask = np.int64(len(held) * 8 - 1)
+    known = np.ones(len(numbers), bool)
+    for at in (numbers & mask, (numbers >> 32) & mask):
+        known &= (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return known

@@ -1,4 +1,4 @@
-"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment (operator 1)."""
+"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 1)."""
 
 from __future__ import annotations
 
@@ -13,48 +13,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termsheet.llm import common
+from termsheet.session import reliable_checkpoint
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words in a seed: the shortest that is rare among the items.
+LENGTHS = (3, 5, 8, 13)
 _WORD = re.compile(r"\w+")
-_FIELDS = ("item", "n_seeds", "score", "similarity", "start_word", "end_word")
-_FOUND = "array<struct<item:int,n_seeds:int,score:int,similarity:double,start_word:int,end_word:int>>"
-
-
-class Items:
-    """One block of benchmark items as word numbers (from 1; 0 is any other word) with their n-grams."""
-
-    def __init__(self, texts: list[str | None], n: int):
-        self.n = n
-        split = [_WORD.findall((t or "").lower()) for t in texts]
-        self.numbers = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split for w in ws), 1)}
-        self.words = [np.array([self.numbers[w] for w in ws], np.int64) for ws in split]
-        self.counts = [np.unique(ws, return_counts=True) for ws in self.words]
-        #: Every n-gram of an item is a seed, with the items and places that hold it.
-        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for i, ws in enumerate(self.words):
-            for p in range(len(ws) - n + 1):
-                self.seeds.setdefault(tuple(ws[p:p + n].tolist()), []).append((i, p))
-
-    def numbered(self, text: str | None) -> np.ndarray:
-        get = self.numbers.get
-        return np.array([get(w, 0) for w in _WORD.findall((text or "").lower())], np.int64)
-
-    def hits(self, doc: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
-        """(position, items and places) wherever a document holds an n-gram of an item."""
-        n = self.n
-        if len(doc) < n:
-            return []
-        known = doc > 0
-        whole = reduce(np.logical_and, [known[k:len(doc) - n + 1 + k] for k in range(n)])
-        seeds = self.seeds
-        found = ((int(p), seeds.get(tuple(doc[p:p + n].tolist()))) for p in np.flatnonzero(whole))
-        return [(p, s) for p, s in found if s is not None]
-
-    def common(self, item: int, part: np.ndarray) -> int:
-        """Words that an item and a part of a document share, each as often as both hold it."""
-        words, counts = self.counts[item]
-        at = np.minimum(np.searchsorted(words, part), len(words) - 1)
-        return int(np.minimum(np.bincount(at[words[at] == part], minlength=len(words)), counts).sum())
+_CHUNK = 4096
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2 ** 64))
+_CHUNKS = "array<struct<chunk:int,start:int,words:array<bigint>,places:array<int>,grams:array<bigint>>>"
+_FOUND = "array<struct<key:bigint,score:int,similarity:double,start_word:int,end_word:int,n_seeds:int>>"
+_FIELDS = ("key", "score", "similarity", "start_word", "end_word", "n_seeds")
+
+
+def numbered(text: str | None, numbers: common.Numbers) -> np.ndarray:
+    """The words of a text, lower-cased runs of letters, digits and underscores, as 64-bit numbers."""
+    words = _WORD.findall((text or "").lower())
+    return np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
+
+
+def grams(words: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each length the 64-bit numbers of all runs of so many words, from differences of one running sum."""
+    size = len(words)
+    power = np.full(size + 1, _BASE)
+    back = np.full(size + 1, _INVERSE)
+    power[0] = back[0] = 1
+    np.multiply.accumulate(power, out=power)
+    np.multiply.accumulate(back, out=back)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:size], dtype=np.uint64)])
+    found = []
+    for n in lengths:
+        runs = (sums[n:] - sums[:max(size + 1 - n, 0)]) * back[:max(size + 1 - n, 0)] + np.uint64(n)
+        runs = (runs ^ (runs >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        found.append((runs ^ (runs >> np.uint64(29))).view(np.int64))
+    return found
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
@@ -72,86 +65,181 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _windows(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    merged: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = max(hi, merged[-1][1])
-        else:
-            merged.append([lo, hi])
-    return [(lo, hi) for lo, hi in merged]
-
-
-def matches(items: Items, text: str | None, similarity: float) -> list[tuple]:
-    """The items a text aligns with: (item, n_seeds, score, similarity, start_word, end_word), best place each."""
-    doc = items.numbered(text)
-    near: dict[int, list[tuple[int, int]]] = {}
-    for p, seeds in items.hits(doc):
-        for i, q in seeds:
-            size = len(items.words[i])
-            loose = math.ceil((1 - similarity) * MATCH * size)  # words that an alignment can add at most
-            near.setdefault(i, []).append((max(0, p - q - loose), min(len(doc), p - q + size + loose)))
-    found = []
-    for i, spans in sorted(near.items()):
-        item = items.words[i]
-        need = similarity * MATCH * len(item)
-        best = None
-        for lo, hi in _windows(spans):
-            part = doc[lo:hi]
-            if MATCH * items.common(i, part) < need:              # the score cannot reach the limit here
-                continue
-            score, end = align(item, part)
-            if score >= need and (best is None or score > best[0]):
-                _, back = align(item[::-1], part[:end][::-1])
-                best = (score, lo + end - back, lo + end)
-        if best:
-            found.append((i, len(spans), best[0], best[0] / (MATCH * len(item)), best[1], best[2]))
-    return found
+class Items:
+    """The words of a block of items, one after the other, by their keys in order."""
 
+    def __init__(self, keys: np.ndarray, words: list[np.ndarray]):
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.ends = np.cumsum([len(words[i]) for i in order])
+        self.words = np.concatenate([words[i] for i in order]) if len(words) else np.zeros(0, np.int64)
 
-def _matcher(items, similarity: float):
-    """A column function from texts to their matches with the broadcast ``items``."""
-    @F.pandas_udf(_FOUND)
-    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def __getitem__(self, key: int) -> np.ndarray:
+        at = int(np.searchsorted(self.keys, key))
+        return self.words[self.ends[at - 1] if at else 0:self.ends[at]]
+
+
+def shared(item: tuple[np.ndarray, np.ndarray], part: np.ndarray) -> int:
+    """Words that an item (its different words, and how often it has each) and a part of a document share, each as often as both hold it."""
+    words, counts = item
+    at = np.minimum(np.searchsorted(words, part), len(words) - 1)
+    return int(np.minimum(np.bincount(at[words[at] == part], minlength=len(words)), counts).sum())
+
+
+def item_table(benchmark: DataFrame, least: int) -> DataFrame:
+    """key, item_id, words of every item with ``least`` words or more; items with equal words have one key."""
+    @F.pandas_udf("array<bigint>")
+    def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        numbers = common.Numbers()
         for texts in batches:
-            yield pd.Series([[dict(zip(_FIELDS, m, strict=True)) for m in matches(items.value, t, similarity)] for t in texts])
+            yield pd.Series([numbered(t, numbers).view(np.int64) for t in texts])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words.asNondeterministic()("text").alias("words"))
+    return items.where(F.size("words") >= least).select(F.xxhash64("words").alias("key"), "item_id", "words")
+
 
-    return held
+def seed_table(items: DataFrame, lengths: tuple[int, ...], rare: int) -> DataFrame:
+    """gram, key, first, last, size: the seeds of every item (key, words), with the first and last place that it stands at.
+
+    At every place of an item the shortest n-gram that at most ``rare`` items hold is a seed; an item with none takes all
+    its shortest ones.  How many documents hold an n-gram plays no part, so copies cannot hide each other.
+    """
+    @F.pandas_udf("array<struct<n:int,place:int,gram:bigint>>")
+    def runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield pd.Series([[{"n": n, "place": p, "gram": g} for n, found in zip(lengths, grams(np.asarray(w, np.int64).view(np.uint64), lengths), strict=True)
+                              for p, g in enumerate(found.tolist())] for w in lists])
+
+    held = items.select("key", F.size("words").alias("size"), F.explode(runs.asNondeterministic()("words")).alias("g")).select("key", "size", "g.*")
+    held = reliable_checkpoint(held)
+    holders = held.select("gram", "key").distinct().groupBy("gram").agg(F.count("*").alias("items")).where(F.col("items") <= rare)
+    chosen = held.join(holders, "gram").groupBy("key", "size", "place").agg(F.min(F.struct("n", "gram")).alias("g")).select("key", "size", "place", "g.gram")
+    chosen = reliable_checkpoint(chosen)
+    without = held.where(F.col("n") == lengths[0]).join(chosen.select("key").distinct(), "key", "left_anti").select("key", "size", "place", "gram")
+    return chosen.unionByName(without).groupBy("gram", "key", "size").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+
+
+def _chunker(held, lengths: tuple[int, ...], reach: int):
+    """A column function from texts to their chunks that may hold a seed: the seeds' places and numbers, and the words of
+    the chunk and ``reach`` words around it."""
+    @F.pandas_udf(_CHUNKS)
+    def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        numbers, bits = common.Numbers(), held.value
+        for texts in batches:
+            out = []
+            for text in texts:
+                words = numbered(text, numbers)
+                places, found = [], []
+                for runs in grams(words, lengths):
+                    at = np.flatnonzero(common.in_filter(bits, runs))
+                    places.append(at)
+                    found.append(runs[at])
+                at, of = np.concatenate(places), np.concatenate(found)
+                parts = []
+                for c in np.unique(at // _CHUNK).tolist():
+                    inside = at // _CHUNK == c
+                    start = max(0, c * _CHUNK - reach)
+                    parts.append({"chunk": c, "start": start, "words": words[start:(c + 1) * _CHUNK + reach].view(np.int64),
+                                  "places": at[inside].astype(np.int32), "grams": of[inside]})
+                out.append(parts)
+            yield pd.Series(out)
+
+    return chunks.asNondeterministic()
+
+
+def _aligner(items, similarity: float):
+    """A column function from a chunk (start, words) and bands of items in it (keys, lo, hi, n) to the items that it holds."""
+    @F.pandas_udf(_FOUND)
+    def held(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known, counts = items.value, {}
+        for batch in batches:
+            out = []
+            for start, words, keys, los, his, ns in zip(*batch, strict=True):
+                found = []
+                for key, lo, hi, n in zip(keys.tolist(), los.tolist(), his.tolist(), ns.tolist(), strict=True):
+                    item = known[key]
+                    if key not in counts:
+                        if len(counts) >= 10_000:
+                            counts.clear()
+                        counts[key] = np.unique(item, return_counts=True)
+                    lo = max(0, lo - start)
+                    part, need = words[lo:max(lo, hi - start)], similarity * MATCH * len(item)
+                    if MATCH * shared(counts[key], part) < need:  # the score cannot reach the limit here
+                        continue
+                    score, end = align(item, part)
+                    if score >= need:
+                        _, back = align(item[::-1], part[:end][::-1])
+                        at = start + lo + end
+                        found.append(dict(zip(_FIELDS, (key, score, score / (MATCH * len(item)), at - back, at, n), strict=True)))
+                out.append(found)
+            yield pd.Series(out)
+
+    return held.asNondeterministic()
+
+
+def bands(chunks: DataFrame, seeds: DataFrame, similarity: float) -> DataFrame:
+    """row, chunk, key, lo, hi, n: where a chunk's words may hold an item.
+
+    A seed at place p of the document and q of the item lies on diagonal p - q.  Diagonals are taken together in bands as wide as the item is
+    long, so seeds that repeat give few bands; lo and hi add the item's length and the words that an alignment can add at most.
+    """
+    hits = chunks.select("row", "chunk", F.explode(F.arrays_zip("places", "grams")).alias("h")).select("row", "chunk", F.col("h.places").alias("p"), F.col("h.grams").alias("gram"))
+    near = hits.join(seeds, "gram").withColumn("d1", F.expr("CAST(p - last AS BIGINT)")).withColumn("d2", F.expr("CAST(p - first AS BIGINT)"))
+    near = near.withColumn("band", F.explode(F.expr("sequence(floor(d1 / size), floor(d2 / size))")))
+    found = near.groupBy("row", "chunk", "key", "size", "band").agg(
+        F.min(F.expr("greatest(d1, band * size)")).alias("lo"), F.max(F.expr("least(d2, band * size + size - 1)")).alias("hi"), F.count("*").cast("int").alias("n"))
+    loose = F.ceil(F.lit((1 - similarity) * MATCH) * F.col("size"))
+    return found.select("row", "chunk", "key", (F.col("lo") - loose).alias("lo"), (F.col("hi") + F.col("size") + loose).alias("hi"), "n")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, similarity: float = 0.5,
-         block_bytes: int = 16 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, similarity: float = 0.5, rare: int = 16,
+         block_bytes: int = 32 << 20, filter_bits: int = 1 << 26) -> DataFrame:
     """One row per document and benchmark item that it holds, copied, edited or paraphrased in part.
 
-    Words are lower-cased runs of letters, digits and underscores.  Every word n-gram of an item is a seed:
-    a choice among them by how many documents hold them would drop those that an edited copy still has.
-    Around the seeds of an item a document is aligned with it: +2 for an equal word, -1 for a different, added
-    or missing one; places whose words cannot reach the limit in any order are passed over.  An item counts as
-    held if the score reaches ``similarity`` of its score with itself.  So every alignment that reaches it and has
-    ``n`` equal words in a row is found; one without is not.  Whole texts are searched; they never
-    leave their partition.
+    Words are lower-cased runs of letters, digits and underscores.  Seeds are n-grams of ``n`` words or more that are rare among the items
+    (:func:`seed_table`); items and passages of documents meet where they share one, by a join.  Around its seeds
+    (:func:`bands`) an item is aligned with the passage: +2 for an equal word, -1 for a different, added or missing
+    one; passages whose words cannot reach the limit in any order are passed over.  An item counts as held if
+    the score reaches ``similarity`` of its score with itself.  So every alignment that reaches it and has one of the item's
+    seeds whole is found; one without is not.  An n-gram that many items share is a longer seed or none, so common
+    phrases cost nothing but a look.
 
-    The items are the query set: blocks of about ``block_bytes`` of their text are broadcast in turn.
+    Whole texts are searched where they lie, once, for places that a bit filter of fixed size takes for seeds; only chunks of
+    4,096 words with such a place move, as 64-bit numbers of words.  Items are broadcast for the alignment in blocks of ``block_bytes`` (8 for a word) in turn,
+    each for the bands of its items alone.
 
-    Result: doc_id, item_id, n_seeds, score, similarity, start_word, end_word (of the best place).  Null
+    Result: doc_id, item_id, n_seeds (that led to the place), score, similarity, start_word, end_word (of the best place).  Null
     and empty texts and items of fewer than ``n`` words match nothing.  Rows with null ids are matched like
     others; repeated rows, of documents and of items, each get their own.  Without items or documents the result is empty.
     Extra columns are not looked at.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / block_bytes))
+    lengths = (n, *[x for x in LENGTHS if x > n])
+    items = reliable_checkpoint(item_table(benchmark, n))
+    different = items.dropDuplicates(["key"]).select("key", "words")
+    total, longest = different.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0))).first()
+    seeds = reliable_checkpoint(seed_table(different, lengths, rare))
+    held = spark.sparkContext.broadcast(common.bit_filter(seeds.select("gram"), filter_bits))
+    reach = longest + math.ceil((1 - similarity) * MATCH * longest)
+    chunks = docs.select("doc_id", _chunker(held, lengths, reach)("text").alias("chunks"))
+    chunks = chunks.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.explode("chunks").alias("c")).select("row", "doc_id", "c.*")
+    chunks = reliable_checkpoint(chunks)
+    found = reliable_checkpoint(bands(chunks, seeds, similarity))
+    blocks = max(1, math.ceil(8 * total / block_bytes))
     parts = []
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        known = Items([r["text"] for r in rows], n)
-        held = _matcher(spark.sparkContext.broadcast(known), similarity)
-        ids = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], "item INT, item_id BIGINT")
-        found = docs.select("doc_id", F.explode(held("text")).alias("m")).select("doc_id", "m.*")
-        parts.append(found.join(F.broadcast(ids), "item").drop("item"))
-    return reduce(DataFrame.unionByName, parts).select(
-        "doc_id", "item_id", "n_seeds", "score", "similarity", "start_word", "end_word")
+        here = lambda key: F.pmod(F.col(key), F.lit(blocks)) == block  # noqa: B023, E731
+        rows = different.where(here("key")).toArrow()
+        known = Items(rows["key"].to_numpy(), [np.array(w, np.int64) for w in rows["words"].to_pylist()])
+        aligned = _aligner(spark.sparkContext.broadcast(known), similarity)
+        lists = found.where(here("key")).groupBy("row", "chunk").agg(F.collect_list(F.struct("key", "lo", "hi", "n")).alias("b"))
+        met = chunks.select("row", "doc_id", "chunk", "start", "words").join(lists, ["row", "chunk"])
+        parts.append(met.select("row", "doc_id", F.explode(aligned("start", "words", "b.key", "b.lo", "b.hi", "b.n")).alias("m")).select("row", "doc_id", "m.*"))
+    every = reduce(DataFrame.unionByName, parts)
+    best = every.groupBy("row", "key").agg(
+        F.first("doc_id").alias("doc_id"), F.max_by(F.struct(*_FIELDS[1:]), F.struct("score", -F.col("start_word"), -F.col("end_word"), "n_seeds")).alias("m"))
+    return best.join(items.select("key", "item_id"), "key").select(
+        "doc_id", "item_id", "m.n_seeds", "m.score", "m.similarity", "m.start_word", "m.end_word")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

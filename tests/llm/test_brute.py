@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from termsheet.llm import decontam, langid, mixture, queries, rules, simhash, suffixes, tokens, toxicity
+from termsheet.llm import decontam, langid, mixture, queries, rules, simhash, spans, suffixes, tokens, toxicity
 
 SF = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -88,6 +89,55 @@ def test_finds_copies_with_every_few_words_changed(spark, docs, every, exact_too
     assert len(found) == (20 if exact_too else 8)
 
 
+def test_common_phrases_cost_no_alignment(spark, docs):
+    """Ten phrases in every item and every twelfth place of a text: they are no seeds, however many items there are."""
+    rng = random.Random(13)
+    phrases = [words(rng, 3, 100_000) for _ in range(10)]
+    natural = lambda n: [w for _ in range(n // 3) for w in (rng.choice(phrases) if rng.random() < 0.25 else words(rng, 3, 200_000))]
+    items = [(i, " ".join(natural(60))) for i in range(10_000)]
+    rows = [(k, " ".join(natural(5000))) for k in range(20)]
+    rows.append((99, " ".join([*natural(200), items[77][1], *natural(200)])))
+    table, benchmark = docs(rows), spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    started = time.time()
+    found = decontam.find(table, benchmark).collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in found] == [(99, 77, 1.0)]
+    assert time.time() - started < 60
+
+
+def test_items_with_the_same_phrases_are_still_found(spark, docs):
+    """Forty items that differ in two words: none of their short n-grams is rare, so longer ones are seeds, or all of them."""
+    rng = random.Random(14)
+    frame = words(rng, 40, 5000)
+    items = {i: [*frame[:20], f"x{i}", *frame[20:], f"y{i}"] for i in range(40)}
+    items[40] = frame[:20]
+    texts = [(i, " ".join([*words(rng, 30), *items[i], *words(rng, 30)])) for i in (3, 11, 40)]
+    found = decontam.find(docs(texts), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id BIGINT, text STRING")).collect()
+    scores = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found}
+    assert all(scores[k, k] == 1.0 for k in (3, 11, 40)) and scores[3, 40] == 1.0
+
+
+def test_seeds_over_the_ends_of_chunks_and_repeats(spark, docs, monkeypatch):
+    """Bands of a repeated phrase, copies across chunks, and a copy cut off at the start of its text."""
+    rng = random.Random(15)
+    items = {0: words(rng, 40, 3000), 1: ["again"] * 30 + words(rng, 10, 3000), 2: words(rng, 25, 3000)}
+    monkeypatch.setattr(decontam, "_CHUNK", 16)
+    texts = [words(rng, 50) + items[0] + words(rng, 50), ["again"] * 100 + words(rng, 20), items[0][12:] + words(rng, 60), words(rng, 90) + items[2][:20], items[1]]
+    found = decontam.find(docs([(k, " ".join(t)) for k, t in enumerate(texts)]), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id BIGINT, text STRING")).collect()
+    brute = {(k, i): smith_waterman(w, t) for k, t in enumerate(texts) for i, w in items.items()}
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found} == {p: s for p, s in brute.items() if s >= 0.5 * 2 * len(items[p[1]])}
+
+
+def test_gram_numbers(spark):
+    rng = np.random.default_rng(5)
+    words_ = rng.integers(0, 2 ** 63, 40, dtype=np.uint64)
+    words_[20:33] = words_[3:16]
+    for n, found in zip((3, 5, 13, 50), decontam.grams(words_, (3, 5, 13, 50)), strict=True):
+        assert len(found) == max(0, 40 - n + 1)
+        same = {(i, j) for i in range(len(found)) for j in range(i) if found[i] == found[j]}
+        assert same == {(i, j) for i in range(len(found)) for j in range(i) if (words_[i:i + n] == words_[j:j + n]).all()}
+    assert [len(x) for x in decontam.grams(words_[:2], (3, 5))] == [0, 0]
+
+
 def test_blocks_of_items_change_nothing(spark, docs):
     rng = random.Random(3)
     items = spark.createDataFrame([(i, " ".join(words(rng, 12))) for i in range(20)], "item_id BIGINT, text STRING")
@@ -292,11 +342,56 @@ def test_near_duplicate_query(spark):
 
 # Mixing
 
-def test_targets_share_out_what_small_sources_cannot_give():
-    assert mixture.targets([100, 100, 100]) == [300 * 5 / 8, 300 * 2 / 8, 300 / 8]
-    wanted = mixture.targets([10, 1000, 1000])
+def source_sizes(spark, sizes):
+    return spark.createDataFrame([(False, f"s{i:06}", s) for i, s in enumerate(sizes)], "none BOOLEAN, stratum STRING, size BIGINT")
+
+
+def targets(spark, sizes):
+    return [r["target"] for r in mixture.source_table(source_sizes(spark, sizes)).orderBy("source").collect()]
+
+
+def plain_targets(sizes, weights=(5, 2, 1), cap=3.0):
+    """Shares by weight, again and again among those that are below their cap."""
+    result, left, open_ = [0.0] * len(sizes), float(sum(sizes)), [i for i, s in enumerate(sizes) if s]
+    while open_:
+        weight = sum(weights[i % 3] for i in open_)
+        full = {i for i in open_ if left * weights[i % 3] / weight > cap * sizes[i]}
+        for i in full or open_:
+            result[i] = cap * sizes[i] if full else left * weights[i % 3] / weight
+        if not full:
+            break
+        left -= sum(result[i] for i in full)
+        open_ = [i for i in open_ if i not in full]
+    return result
+
+
+def test_targets_share_out_what_small_sources_cannot_give(spark):
+    assert targets(spark, [100, 100, 100]) == [300 * 5 / 8, 300 * 2 / 8, 300 / 8]
+    wanted = targets(spark, [10, 1000, 1000])
     assert wanted[0] == 30 and wanted[1] == pytest.approx(1980 * 2 / 3) and sum(wanted) == pytest.approx(2010)
-    assert mixture.targets([0, 5]) == [0.0, 5.0] and mixture.targets([]) == []
+    assert targets(spark, [0, 5]) == [0.0, 5.0] and targets(spark, []) == [] and targets(spark, [0, 0]) == [0.0, 0.0]
+    rng = random.Random(3)
+    for n in (7, 300):
+        sizes = [int(rng.paretovariate(0.6)) * rng.choice([0, 1, 1, 5]) for _ in range(n)]
+        assert targets(spark, sizes) == plain_targets(sizes)
+
+
+def test_slots_are_spread_over_tasks(spark):
+    """Fifty million of them: more than a hundred partitions, whatever adaptive execution makes of the few rows they come from."""
+    sources = mixture.source_table(source_sizes(spark, [40_000_000, 2_000_000_000, 1_000_000, 1_159_000_000]))
+    slots = mixture.slot_table(sources, 64, 64, 1)
+    counts = [r["n"] for r in slots.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(counts) == pytest.approx(3_200_000_000 / 64, rel=0.001) and len(counts) > 100 and max(counts) < 3 * sum(counts) / len(counts)
+
+
+def test_many_sources(spark):
+    rng = random.Random(4)
+    sizes = [rng.randrange(1, 400) for _ in range(100_000)]
+    started = time.time()
+    slots = mixture.slot_table(mixture.source_table(source_sizes(spark, sizes)), 64, 64, 1).groupBy("shard").agg(F.count("*").alias("n")).collect()
+    assert time.time() - started < 60 and len(slots) == 64
+    totals = [r["n"] for r in slots]
+    assert max(totals) - min(totals) <= 1
 
 
 def test_permutations_are_permutations():
@@ -442,6 +537,60 @@ def test_penalty_closes_the_gap_between_groups(spark, docs):
     assert fair[2] > 0.5 and fair[1] < plain[1]
 
 
+def loss(rows, weights, offset, size, penalty, ridge):
+    total = sum(math.log1p(math.exp(-(2 * r["toxic"] - 1) * (offset + sum(weights[i] for i in r["ids"])))) for r in rows) / len(rows)
+    swaps = [sum(weights[abs(i) - 1] * (1 if i > 0 else -1) for i in c) for r in rows for c in r["swaps"]]
+    return total + ridge / size / 2 * sum(w * w for w in weights) + penalty * sum(s * s for s in swaps) / max(1, len(swaps))
+
+
+@pytest.mark.parametrize("penalty", [0.0, 1.0])
+def test_fit_against_plain_gradient_descent(penalty):
+    rng, size, ridge = random.Random(12), 6, 0.3
+    rows = [{"toxic": int(rng.random() < (0.8 if 0 in ids else 0.3)), "ids": ids, "swaps": [[1, -2], [3, -1]] if 0 in ids else []}
+            for ids in (sorted(rng.sample(range(size), rng.randrange(4))) for _ in range(60))]
+    weights, offset, step = [0.0] * size, 0.0, 1e-4
+    for _ in range(3000):
+        here = loss(rows, weights, offset, size, penalty, ridge)
+        slopes = [(loss(rows, [w + step * (i == k) for i, w in enumerate(weights)], offset, size, penalty, ridge) - here) / step for k in range(size)]
+        slope = (loss(rows, weights, offset + step, size, penalty, ridge) - here) / step
+        weights, offset = [w - 0.5 * s for w, s in zip(weights, slopes, strict=True)], offset - 0.5 * slope
+        if max(map(abs, [*slopes, slope])) < 2e-4:
+            break
+    fitted, bias = toxicity.fit(rows, size, penalty, ridge)
+    assert loss(rows, fitted, bias, size, penalty, ridge) == pytest.approx(loss(rows, weights, offset, size, penalty, ridge), abs=2e-3)
+    assert np.allclose(fitted, weights, atol=0.1)
+
+
+def test_scores_are_those_of_the_features(spark, docs):
+    weights = {"vile": 2.0, "vilen-": 0.5, "kind": -1.0}
+    texts = ["a vile text", "VILENESS is vile", "kind, kind kind", "", None]
+    want = [2.0, 2.5, -1.0, 0.0, 0.0]
+    for row, z in zip(toxicity.score(docs(list(enumerate(texts))), weights, -0.25).orderBy("doc_id").collect(), want, strict=True):
+        assert row["score"] == pytest.approx(1 / (1 + math.exp(0.25 - z)))
+
+
+# Sentence spans
+
+def test_copies_under_one_id_or_none_lose_their_spans(spark, docs):
+    text = "the first sentence has quite a number of words in it. the second one has rather more than ten words too."
+    other = "something else that nobody repeats, with words enough to be a span of its own. and here goes one more of it all."
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, f"{other} {text}"), (0, other), (0, f"{text} more."), (3, other), (3, other)]
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0, len(r["kept"]), r["n_removed"]) for r in spans.dedup(docs(rows)).collect())
+    gone = [f for f in found if f[3]]
+    assert len(found) == 9 and sum(f[2] > 0 for f in found) == 2 and len(gone) == 7        # the first of either text, with id 0
+    alone = spans.dedup(docs([(7, text), (7, text), (None, other), (None, other)])).collect()
+    assert sorted((r["doc_id"] is None, r["kept"] != "") for r in alone) == [(False, False), (False, True), (True, False), (True, True)]
+
+
+# Letters
+
+def test_signs_that_are_no_letters(spark, docs):
+    assert langid.split("½ ² ① Ⅷ ⒈ ٣") == [] and langid.split("a² ½cup naïve") == ["a", "cup", "naïve"]
+    table = docs([(i, f"the house of {w} and the garden", "en", "a") for i, w in enumerate("abcdefgh" * 4)] + [(100 + i, f"das haus von {w} und der garten", "de", "a") for i, w in enumerate("abcdefgh" * 4)]
+                 + [(900, "½ ² ① Ⅷ", "en", "a")])
+    assert [(r["lang_pred"], r["score"]) for r in langid.classify(table).where("doc_id = 900").collect()] == [("und", 0.0)]
+
+
 # Pipeline
 
 def test_pipeline_stages(spark, tmp_path):
