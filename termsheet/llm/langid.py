@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,9 +21,17 @@ _MOST_WORDS = 400_000
 UNKNOWN = "und"
 
 
+def _parts(word: str) -> list[str]:
+    return "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in word).split()
+
+
 def split(text: str | None) -> list[str]:
-    """The lower-cased words of a text: runs of letters."""
-    return _LETTERS.findall((text or "").lower())
+    """The lower-cased words of a text: runs of letters.
+
+    Numbers that are written with signs of their own, such as fractions or circled digits, are no letters.
+    """
+    found = _LETTERS.findall((text or "").lower())
+    return found if all(map(str.isalpha, found)) else [w for part in found for w in _parts(part)]
 
 
 def features(word: str) -> list[str]:
