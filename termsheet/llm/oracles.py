@@ -101,3 +101,22 @@ last AS (SELECT row, arg_max(h, k) AS folded_root FROM fold GROUP BY row)
 SELECT doc_id, leaf, sub.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
        folded_root = (SELECT h FROM top WHERE n = 1) AS verified
 FROM o JOIN sub ON sub.of = o.tree JOIN last USING (row) LEFT JOIN proof USING (row)"""
+
+
+OP12 = f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+        coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, list(struct_pack(role := role, text := text) ORDER BY i) AS own FROM t GROUP BY c),
+h AS (SELECT c, own, c - c % 5 AS base, {_CRC32.format("c::VARCHAR")} % 9 AS h FROM k, crc_table),
+r AS MATERIALIZED (SELECT h.c, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN k b ON b.c = h.base),
+p AS MATERIALIZED (SELECT c, d, turns[1:d] AS path, len(turns) = d AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT path, d, min(c) AS c, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ended,
+        (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(path[d].text)) END AS saved FROM p GROUP BY path, d),
+e AS MATERIALIZED (SELECT a.path, a.d, a.c, a.n, a.ended, a.saved, b.c AS parent FROM n a LEFT JOIN n b ON a.d > 0 AND b.path = a.path[1:a.d - 1]),
+kids AS MATERIALIZED (SELECT path[1:d - 1] AS path, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+below AS (SELECT path, unnest(range(0, d + 1)) AS up, saved, d, path NOT IN (SELECT path FROM kids) AS leaf FROM n),
+sums AS (SELECT path[1:up] AS path, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves FROM below GROUP BY 1)
+SELECT c::BIGINT AS conv_id, d::BIGINT AS depth, parent::BIGINT AS parent_conv_id, n::BIGINT AS n_convs, coalesce(kids, 0)::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, sums.saved::BIGINT AS saved_tokens, sha256(ended) AS ends_sha256
+FROM e LEFT JOIN kids USING (path) JOIN sums USING (path)"""

@@ -96,6 +96,6 @@ def op11_pii(spark, sf_dir):
                         pii.listed(F.sort_array(F.concat("base", "added"))).alias("spans"))
 
 
-@query("op12_trie")
+@query("op12_trie", oracles.OP12)
 def op12_trie(spark, sf_dir):
     return trie.nodes(common.table(spark, sf_dir, "conversations"))

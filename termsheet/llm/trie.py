@@ -227,10 +227,12 @@ def nodes(conversations: DataFrame, batches: int = 2, growth: int = 8) -> DataFr
         F.expr("saved_here + saved_there - all_saved").alias("saved_tokens"), F.coalesce("ends_sha256", none).alias("ends_sha256"))
     if not total["n"]:
         return found
-    root = whole.agg(F.coalesce(F.sum("all_leaves"), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("all_saved"), F.lit(0)).alias("saved_tokens"))
-    below = trie.where("a = 0").agg(F.count("*").alias("n_children"))
-    at_root = ends.where("b = 0").agg(F.coalesce(F.max("ends_sha256"), none).alias("ends_sha256"))
-    root = reduce(lambda x, y: x.join(y, "one"), [t.withColumn("one", F.lit(1)) for t in (root, below, at_root)]).select(
+    # One row each, put together by an aggregate rather than a join without keys.
+    parts = [whole.agg(F.sum("all_leaves").alias("n_leaves"), F.sum("all_saved").alias("saved_tokens")),
+             trie.where("a = 0").agg(F.count("*").alias("n_children")), ends.where("b = 0").agg(F.max("ends_sha256").alias("ends_sha256"))]
+    root = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).agg(
+        F.coalesce(F.max("n_leaves"), F.lit(1)).alias("n_leaves"), F.coalesce(F.max("saved_tokens"), F.lit(0)).alias("saved_tokens"),
+        F.max("n_children").alias("n_children"), F.coalesce(F.max("ends_sha256"), none).alias("ends_sha256")).select(
         F.lit(total["first"]).alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"),
         F.lit(total["n"]).alias("n_convs"), "n_children", "n_leaves", "saved_tokens", "ends_sha256")
     return found.unionByName(root)
