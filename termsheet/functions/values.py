@@ -12,8 +12,16 @@ from termsheet import config
 from termsheet.functions.text import (
     blank_to_null, first_match, json_string, let, literal_map, strip, strip_footnotes)
 
+# The patterns that values are read by.
 _NUMBER = r"(?U)[\d,]+\.?\d*"
-_PERCENT = r"(?iU)([\d,]+\.?\d*)\s*%"
+_SPELLED_DATE = r"(?U)\b([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})\b"
+_ISO_DATE = r"(?U)^\d{4}-\d{2}-\d{2}$"
+_DIGIT_DATE = r"(?U)\b\d{4}[/\-]\d{2}[/\-]\d{2}\b"
+_YEARLY_RATE = r"(?iU)([\d,]+\.?\d*)\s*%\s*(?:per\s+annum|p\.a\.|per\s+year|annually)\b"
+_ANY_RATE = r"(?iU)[\d,]+\.?\d*\s*%(?:\s*(?:per\s+month|monthly)\b)?"
+_AMOUNT_SIGNS, _NUMBER_SIGNS, _CELL_SIGNS = "[US$£€¥]", "[,$£€¥]", r"(?U)[,$£€¥\s]"
+_CUSIP = r"(?U)\b[A-Z0-9]{9}\b"
+_ISIN = r"(?U)\b[A-Z]{2}[A-Z0-9]{10}\b"
 
 
 def _to_double(text: Column) -> Column:
@@ -26,18 +34,15 @@ def text_value(raw: Column) -> Column:
 
 def date_value(raw: Column) -> Column:
     """ISO text, else the first ``Month D, YYYY``, else ``YYYY/MM/DD``; not calendar-checked."""
-    words = r"(?U)\b([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})\b"
-    digits = r"(?U)\b\d{4}[/\-]\d{2}[/\-]\d{2}\b"
-
     def spelled(phrase: Column) -> Column:           # "March 21, 2029"; null month -> null
-        month = F.try_element_at(literal_map(config.MONTHS), F.lower(F.regexp_extract(phrase, words, 1)))
+        month = F.try_element_at(literal_map(config.MONTHS), F.lower(F.regexp_extract(phrase, _SPELLED_DATE, 1)))
         return F.concat(F.substring(phrase, -4, 4), F.lit("-"), F.lpad(month.cast("string"), 2, "0"),
-                        F.lit("-"), F.lpad(F.regexp_extract(phrase, words, 2), 2, "0"))
+                        F.lit("-"), F.lpad(F.regexp_extract(phrase, _SPELLED_DATE, 2), 2, "0"))
 
     return let(strip_footnotes(raw), lambda text: F.coalesce(
-        F.when(text.rlike(r"(?U)^\d{4}-\d{2}-\d{2}$"), text),
-        let(first_match(text, words), spelled),
-        F.translate(first_match(text, digits), "/", "-")))
+        F.when(text.rlike(_ISO_DATE), text),
+        let(first_match(text, _SPELLED_DATE), spelled),
+        F.translate(first_match(text, _DIGIT_DATE), "/", "-")))
 
 
 def rate_value(raw: Column) -> Column:
@@ -45,10 +50,8 @@ def rate_value(raw: Column) -> Column:
 
     A figure of at most 1 is kept as it stands (``0.875%`` -> 0.875).
     """
-    yearly = _to_double(first_match(
-        raw, _PERCENT + r"\s*(?:per\s+annum|p\.a\.|per\s+year|annually)\b", 1))
-    found = F.regexp_extract_all(
-        raw, F.lit(r"(?iU)[\d,]+\.?\d*\s*%(?:\s*(?:per\s+month|monthly)\b)?"), F.lit(0))
+    yearly = _to_double(first_match(raw, _YEARLY_RATE, 1))
+    found = F.regexp_extract_all(raw, F.lit(_ANY_RATE), F.lit(0))
     last = let(found, lambda all_: F.coalesce(
         F.try_element_at(F.filter(all_, lambda m: m.endswith("%")), F.lit(-1)),
         F.try_element_at(all_, F.lit(-1))))
@@ -58,24 +61,24 @@ def rate_value(raw: Column) -> Column:
 
 def amount_value(raw: Column) -> Column:
     """First number after currency signs and the letters U and S are removed."""
-    return _to_double(F.regexp_extract(F.regexp_replace(raw, "[US$£€¥]", ""), _NUMBER, 0))
+    return _to_double(F.regexp_extract(F.regexp_replace(raw, _AMOUNT_SIGNS, ""), _NUMBER, 0))
 
 
 def number_value(raw: Column) -> Column:
-    return _to_double(F.regexp_extract(F.regexp_replace(strip(raw), "[,$£€¥]", ""), _NUMBER, 0))
+    return _to_double(F.regexp_extract(F.regexp_replace(strip(raw), _NUMBER_SIGNS, ""), _NUMBER, 0))
 
 
 def plain_number(raw: Column) -> Column:
     """Whole cell as a number once currency signs, commas, spaces and percent are gone."""
-    return F.regexp_replace(F.regexp_replace(raw, r"(?U)[,$£€¥\s]", ""), "%+$", "").try_cast("double")
+    return F.regexp_replace(F.regexp_replace(raw, _CELL_SIGNS, ""), "%+$", "").try_cast("double")
 
 
 def cusip_value(raw: Column) -> Column:
-    return first_match(strip_footnotes(raw), r"(?U)\b[A-Z0-9]{9}\b")
+    return first_match(strip_footnotes(raw), _CUSIP)
 
 
 def isin_value(raw: Column) -> Column:
-    return first_match(strip_footnotes(raw), r"(?U)\b[A-Z]{2}[A-Z0-9]{10}\b")
+    return first_match(strip_footnotes(raw), _ISIN)
 
 
 def currency_value(raw: Column) -> Column:

@@ -82,6 +82,12 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a work folder that no later step reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for a written table, in the shared folder the cluster names."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
