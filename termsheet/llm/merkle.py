@@ -98,6 +98,7 @@ def manifest(docs: DataFrame, fanout: int = 8) -> DataFrame:
                        digest(*known, field(F.col("text"))).alias("digest"),
                        F.when(tampering, digest(*known, field(changed))).alias("tampered"))
     keys = ["named", "tree"]
+    rows = reliable_checkpoint(rows)                              # ranges are sampled first; texts are not digested twice for it
     placed = common.ranked(rows, keys, [F.col("doc_id").asc_nulls_first(), F.col("digest")], "lo", "n")
     leaves = reliable_checkpoint(placed.withColumn("hi", F.col("lo") + 1))
     levels = climb(leaves, keys, fanout)
