@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from termsheet.llm import decontam, langid, merkle, mixture, rules, shards, simhash, spans, suffixes, tokens, toxicity
+from termsheet.llm import decontam, langid, merkle, mixture, pii, rules, shards, simhash, spans, suffixes, tokens, toxicity
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,6 +36,7 @@ OPERATORS = {
     "mixture": (lambda s, d: mixture.taken(d, block=4, shards=3), True),
     "remix": (lambda s, d: mixture.remix(d, block=4, shards=3), False),
     "rules": (lambda s, d: rules.risk_controlled(d, _labels(s, LABELS)), True),
+    "pii": (lambda s, d: pii.find(d), True),
     "merkle": (lambda s, d: merkle.manifest(d), True),
     "toxicity": (lambda s, d: toxicity.classify(d, _labels(s, LABELS)), True),
     "keep_harmless": (lambda s, d: toxicity.keep_harmless(d, _labels(s, LABELS)), False),
