@@ -28,7 +28,7 @@ def _plan(spark, name):
 
 
 STREAMS = {"t1_unique_filings_stream", "t2_live_spend_stream", "t3_action_stream_states", "t4_miss_counts_stream"}
-PYTHON = {"e3_answer_parts", "e4_text_answers", "e5_flatten_answers", "e6_clamp_confidence", "h2_key_terms_rows", "h3_label_value_rows", "e2_table_fields_from_html", "s4_index_rows", "s3_primary_document", "d6_rename_suggestions"}
+PYTHON = {"e3_answer_parts", "e4_text_answers", "e5_flatten_answers", "h9_excerpts_of_document", "e6_clamp_confidence", "h2_key_terms_rows", "h3_label_value_rows", "e2_table_fields_from_html", "s4_index_rows", "s3_primary_document", "d6_rename_suggestions"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - STREAMS))
