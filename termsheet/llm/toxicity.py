@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termsheet.llm import common
-from termsheet.session import work_folder
+from termsheet.session import reliable_checkpoint, work_folder
 
 #: Words that name groups of people.  Words of one line can stand for each other.
 IDENTITY_TERMS = [
@@ -137,21 +138,31 @@ def fit(rows: list, size: int, penalty: float = 1.0, ridge: float = 0.02, steps:
     return weights, float(offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, max_rows: int = 20_000, size: int = 4096) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, max_rows: int = 20_000, size: int = 4096,
+          filter_bits: int = 1 << 24) -> tuple[dict[str, float], float]:
     """Word weights and offset, learnt from labelled texts whose crc32(doc_id) mod 5 is not 0.
 
     The vocabulary is chosen by counts over all of these texts; the weights are fitted to a sample of at most
     ``max_rows`` of them, by the hash of the text, which with ``size`` bounds what the driver holds.  Ids with
-    contradicting labels count as not toxic, as do texts; each distinct text counts once.  Texts are moved once, to meet
-    their label by hash, copies within a task as one.
+    contradicting labels count as not toxic, as do texts; each distinct text counts once.  Labels meet hashes of
+    texts; only labelled texts are moved, once, copies within a task as one: others are told by a bit filter of fixed size over the
+    labelled ids, to which only ids' hashes go.
     """
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
              .agg(F.min(F.col("toxic").cast("int")).alias("toxic")))
-    learnt = known.where(common.id_remainder(F.col("doc_id"), 5) != 0)
-    hashed = docs.select("doc_id", common.text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
+    learnt = reliable_checkpoint(known.where(common.id_remainder(F.col("doc_id"), 5) != 0))
+    id_hash = lambda c: F.xxhash64(F.col(c).cast("long"))
+    held = docs.sparkSession.sparkContext.broadcast(common.bit_filter(learnt.select(id_hash("doc_id").alias("h")), filter_bits))
+
+    @F.arrow_udf("boolean")
+    def may_be_known(hashes: pa.Array) -> pa.Array:
+        return pa.array(common.in_filter(held.value, hashes.to_numpy(zero_copy_only=False)))
+
+    hashed = docs.select("doc_id", common.text_or_empty().alias("text")).where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("text"))
     by_text = hashed.select("doc_id", "h").join(learnt, "doc_id").groupBy("h").agg(F.min("toxic").alias("toxic"))
+    near = hashed.withColumn("near", may_be_known.asNondeterministic()(id_hash("doc_id"))).where("near")
     folder = work_folder(docs.sparkSession, "toxicity-labelled")
-    hashed.groupBy("h").agg(F.min("text").alias("text")).join(by_text, "h").write.parquet(folder)
+    near.groupBy("h").agg(F.min("text").alias("text")).join(by_text, "h").write.parquet(folder)
     labelled = docs.sparkSession.read.schema("h BIGINT, text STRING, toxic INT").parquet(folder)
     total, toxic = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     words = vocabulary(labelled, total, toxic, size)
