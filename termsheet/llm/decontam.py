@@ -99,7 +99,7 @@ def item_table(benchmark: DataFrame, least: int) -> DataFrame:
 
 
 def seed_table(items: DataFrame, lengths: tuple[int, ...], rare: int) -> DataFrame:
-    """gram, key, first, last, size: the seeds of every item (key, words), with the first and last place that it stands at.
+    """gram, n, key, first, last, size: the seeds of every item (key, words), with the first and last place that it stands at.
 
     At every place of an item the shortest n-gram that at most ``rare`` items hold is a seed; an item with none takes all
     its shortest ones.  How many documents hold an n-gram plays no part, so copies cannot hide each other.
@@ -113,15 +113,15 @@ def seed_table(items: DataFrame, lengths: tuple[int, ...], rare: int) -> DataFra
     held = items.select("key", F.size("words").alias("size"), F.explode(runs.asNondeterministic()("words")).alias("g")).select("key", "size", "g.*")
     held = reliable_checkpoint(held)
     holders = held.select("gram", "key").distinct().groupBy("gram").agg(F.count("*").alias("items")).where(F.col("items") <= rare)
-    chosen = held.join(holders, "gram").groupBy("key", "size", "place").agg(F.min(F.struct("n", "gram")).alias("g")).select("key", "size", "place", "g.gram")
+    chosen = held.join(holders, "gram").groupBy("key", "size", "place").agg(F.min(F.struct("n", "gram")).alias("g")).select("key", "size", "place", "g.*")
     chosen = reliable_checkpoint(chosen)
-    without = held.where(F.col("n") == lengths[0]).join(chosen.select("key").distinct(), "key", "left_anti").select("key", "size", "place", "gram")
-    return chosen.unionByName(without).groupBy("gram", "key", "size").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    without = held.where(F.col("n") == lengths[0]).join(chosen.select("key").distinct(), "key", "left_anti").select("key", "size", "place", "n", "gram")
+    return chosen.unionByName(without).groupBy("gram", "n", "key", "size").agg(F.min("place").alias("first"), F.max("place").alias("last"))
 
 
 def _chunker(held, lengths: tuple[int, ...], reach: int):
-    """A column function from texts to their chunks that may hold a seed: the seeds' places and numbers, and the words of
-    the chunk and ``reach`` words around it."""
+    """A column function from texts to their chunks that may hold a seed: the seeds' places and numbers, and the words from
+    ``reach`` before the first to ``reach`` after the last."""
     @F.pandas_udf(_CHUNKS)
     def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         numbers, bits = common.Numbers(), held.value
@@ -129,7 +129,7 @@ def _chunker(held, lengths: tuple[int, ...], reach: int):
             out = []
             for text in texts:
                 words = numbered(text, numbers)
-                places, found = [], []
+                places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for runs in grams(words, lengths):
                     at = np.flatnonzero(common.in_filter(bits, runs))
                     places.append(at)
@@ -138,9 +138,10 @@ def _chunker(held, lengths: tuple[int, ...], reach: int):
                 parts = []
                 for c in np.unique(at // _CHUNK).tolist():
                     inside = at // _CHUNK == c
-                    start = max(0, c * _CHUNK - reach)
-                    parts.append({"chunk": c, "start": start, "words": words[start:(c + 1) * _CHUNK + reach].view(np.int64),
-                                  "places": at[inside].astype(np.int32), "grams": of[inside]})
+                    here = at[inside]
+                    start = max(0, int(here.min()) - reach)
+                    parts.append({"chunk": c, "start": start, "words": words[start:int(here.max()) + reach].view(np.int64),
+                                  "places": here.astype(np.int32), "grams": of[inside]})
                 out.append(parts)
             yield pd.Series(out)
 
@@ -204,8 +205,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, similarity: float =
     seeds whole is found; one without is not.  An n-gram that many items share is a longer seed or none, so common
     phrases cost nothing but a look.
 
-    Whole texts are searched where they lie, once, for places that a bit filter of fixed size takes for seeds; only chunks of
-    4,096 words with such a place move, as 64-bit numbers of words.  Items are broadcast for the alignment in blocks of ``block_bytes`` (8 for a word) in turn,
+    Whole texts are searched where they lie, once, for places that a bit filter of fixed size takes for seeds; only the words around such
+    places move, as 64-bit numbers, at most 4,096 places long.  Items are broadcast for the alignment in blocks of ``block_bytes`` (8 for a word) in turn,
     each for the bands of its items alone.
 
     Result: doc_id, item_id, n_seeds (that led to the place), score, similarity, start_word, end_word (of the best place).  Null
@@ -221,7 +222,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, similarity: float =
     seeds = reliable_checkpoint(seed_table(different, lengths, rare))
     held = spark.sparkContext.broadcast(common.bit_filter(seeds.select("gram"), filter_bits))
     reach = longest + math.ceil((1 - similarity) * MATCH * longest)
-    chunks = docs.select("doc_id", _chunker(held, lengths, reach)("text").alias("chunks"))
+    used = tuple(sorted(r["n"] for r in seeds.select("n").distinct().collect()))       # of the few lengths there are
+    chunks = docs.select("doc_id", _chunker(held, used, reach)("text").alias("chunks"))
     chunks = chunks.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.explode("chunks").alias("c")).select("row", "doc_id", "c.*")
     chunks = reliable_checkpoint(chunks)
     found = reliable_checkpoint(bands(chunks, seeds, similarity))
