@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termsheet.llm import common, decontam, mixture, shards, simhash, toxicity
-from termsheet.session import work_folder
+from termsheet.session import drop_folder, work_folder
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the tables between them lie in the folder of ``spark.checkpoint.dir``."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over ``documents``; the tables between them lie in the folder of ``spark.checkpoint.dir``, each until the
+    next is written.  The last of them stays, as the result is read from it."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         folder = work_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before is not None:
+            drop_folder(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
