@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -15,10 +16,12 @@ from termsheet.session import reliable_checkpoint, work_folder
 
 _SPACE = re.compile(common.SPACES)
 _UNIT = "key STRING, unit INT, n INT, left_at ARRAY<BIGINT>, left_n ARRAY<INT>, right_at ARRAY<BIGINT>, right_n ARRAY<INT>, last BOOLEAN"
-_MOST_WORDS = 400_000
+_MOST_BYTES = 16 << 20
 
 
+@functools.cache
 def tokenizer(path: str):
+    """The file's tokenizer, read once by each worker rather than by each task, which would leave its memory in pieces."""
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -39,16 +42,18 @@ def _counter(path: str):
     """
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode, known = tokenizer(path), {}
+        encode, known, held = tokenizer(path), {}, 0
         for texts in batches:
             split = [_pieces(t) for t in texts]
             new = list({w for ws in split for w in ws if w not in known})
-            for at in range(0, len(new), 10_000):
-                part = new[at:at + 10_000]
+            for at in range(0, len(new), 2000):
+                part = new[at:at + 2000]
                 known.update(zip(part, (len(e) for e in encode.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)), strict=True))
             yield pd.Series([sum(map(known.__getitem__, ws)) for ws in split], dtype=np.int64)
-            if len(known) > _MOST_WORDS:
+            held += sum(len(w) + 100 for w in new)                # a key and its place in the table
+            if held > _MOST_BYTES:
                 known.clear()
+                held = 0
 
     return count
 
@@ -118,7 +123,8 @@ def huge_counts(huge: DataFrame, path: str, chunk: int, overlap: int) -> DataFra
     """
     done = None
     while True:
-        units = _encode(_cut(huge, chunk, overlap).repartition("key", "unit"), path, overlap)
+        # Written, as splicing takes every unit and its neighbour: else each would be encoded twice.
+        units = reliable_checkpoint(_encode(_cut(huge, chunk, overlap).repartition("key", "unit"), path, overlap))
         counts = reliable_checkpoint(_splice(units))
         good = counts.where("NOT failed").select("key", "n_tokens")
         done = good if done is None else done.unionByName(good)
