@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 from termsheet.llm import common
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MOST_WORDS = 400_000
+#: Where long texts may be cut: signs that no word holds and that change no letter's lower case beside them.
+_CUT = re.compile(r"[\s\d,;!?，。、！？]")
+_MOST_WORDS, _MOST_LETTERS = 400_000, 16_000_000
+_LONG_WORD = 4096
+_WINDOW = 512
 UNKNOWN = "und"
 
 
@@ -34,13 +38,22 @@ def split(text: str | None) -> list[str]:
     return found if all(map(str.isalpha, found)) else [w for part in found for w in _parts(part)]
 
 
-def features(word: str) -> list[str]:
+def pieces(text: str | None, size: int) -> Iterator[list[str]]:
+    """The words of a text, in lists from about ``size`` characters each; together they are those of ``split``."""
+    text, at = text or "", 0
+    while at < len(text):
+        cut = _CUT.search(text, at + size)
+        end = cut.end() if cut else len(text)
+        yield split(text[at:end])
+        at = end
+
+
+def features(word: str) -> Iterator[str]:
     """Affixes of one to three letters, letter pairs and triples, and the word itself, for the lexicon."""
     edged = f"^{word}$"
-    names = [f"{word[:1]}-", f"{word[:2]}-", f"{word[:3]}-", f"-{word[-1:]}", f"-{word[-2:]}", f"-{word[-3:]}", edged]
-    names += [edged[i:i + 2] for i in range(len(edged) - 1)]
-    names += [edged[i:i + 3] for i in range(len(edged) - 2)]
-    return names
+    yield from (f"{word[:1]}-", f"{word[:2]}-", f"{word[:3]}-", f"-{word[-1:]}", f"-{word[-2:]}", f"-{word[-3:]}", edged)
+    for size in (2, 3):
+        yield from (edged[i:i + size] for i in range(len(edged) - size + 1))
 
 
 @dataclass
@@ -54,6 +67,7 @@ class Crf:
     start: np.ndarray
     _known: dict[str, int] = field(default_factory=dict)
     _scores: list[np.ndarray] = field(default_factory=list)
+    _letters: int = 0
 
     def ids(self, word: str) -> list[int]:
         """The known features of a word; the first row of the weights stands for all others and stays zero."""
@@ -61,38 +75,77 @@ class Crf:
         return [0, *(i for i in map(get, features(word)) if i)]
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """The features' score of every word for every language; equal words are scored once."""
-        if len(self._known) > _MOST_WORDS:
+        """The features' score of every word for every language; equal words are scored once.
+
+        Scores are kept until the words kept are too many or too long; a very long word's features are counted first.
+        """
+        if len(self._known) > _MOST_WORDS or self._letters > _MOST_LETTERS:
             self._known.clear()
             self._scores.clear()
+            self._letters = 0
         known = self._known
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
-            ids = [self.ids(w) for w in new]
+            ids = [self.ids(w) if len(w) <= _LONG_WORD else [0] for w in new]
             starts = np.cumsum([0, *map(len, ids[:-1])])
-            self._scores.append(np.add.reduceat(self.weights[np.array([i for part in ids for i in part])], starts, axis=0))
+            found = np.add.reduceat(self.weights[np.array([i for part in ids for i in part])], starts, axis=0)
+            for at, word in enumerate(new):
+                if len(word) > _LONG_WORD:
+                    counted = Counter(i for i in map(self.index.get, features(word)) if i)
+                    found[at] = sum((n * self.weights[i].astype(float) for i, n in sorted(counted.items())), np.zeros(found.shape[1]))
+            self._scores.append(found)
+            self._letters += sum(map(len, new))
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self._scores = [np.concatenate(self._scores)]
         return self._scores[0][np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
 
-def posteriors(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _laid(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+    """Of runs of words laid end to end, sorted by falling length: each one's first row, how many have a word number t
+    for every t, the factor of every word, and that of every move."""
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    active = [int(n) for n in np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")]
+    return first, active, np.exp(emissions - emissions.max(1, keepdims=True)).astype(np.float64), np.exp(moves - moves.max())
+
+
+def transfers(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """For each run of words the matrix that turns the message entering its first word into that at its last."""
+    first, active, local, step = _laid(emissions, lengths, moves)
+    result = np.tile(np.eye(step.shape[0]), (len(lengths), 1, 1))
+    for t, n in enumerate(active):
+        onward = (result[:n] @ step if t else result[:n]) * local[first[:n] + t][:, None, :]
+        result[:n] = onward / onward.sum((1, 2), keepdims=True)
+    return result
+
+
+def _borders(matrices: list[np.ndarray], step: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages entering every one of a row of runs, and those coming back to its last word, from the runs' matrices."""
+    entering, leaving = [enter], [leave]
+    for matrix in matrices[:-1]:
+        message = entering[-1] @ matrix @ step
+        entering.append(message / message.sum())
+    for matrix in matrices[:0:-1]:
+        message = step @ (matrix @ leaving[-1])
+        leaving.append(message / message.sum())
+    return np.array(entering), np.array(leaving[::-1])
+
+
+def posteriors(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray,
+               enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marginal chance of every language at every word, and the expected moves between neighbours.
 
     Forward-backward over many texts at once: all first words, then all second words, and so on; texts are
     laid end to end in ``emissions`` and sorted by falling length.  Messages are scaled to sum to one.
+    Where the runs are windows of longer texts, ``enter`` and ``leave`` hold the messages of the words around each.
     """
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    local = np.exp(emissions - emissions.max(1, keepdims=True)).astype(np.float64)
-    step = np.exp(moves - moves.max())
-    active = [int(n) for n in np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")]
+    first, active, local, step = _laid(emissions, lengths, moves)
     forward = np.empty_like(local)
     for t, n in enumerate(active):
         at = first[:n] + t
-        message = (forward[at - 1] @ step if t else np.exp(start - start.max())) * local[at]
+        message = (forward[at - 1] @ step if t else np.exp(start - start.max()) if enter is None else enter[:n]) * local[at]
         forward[at] = message / message.sum(1, keepdims=True)
     marginal, expected = np.empty_like(local), np.zeros_like(step)
-    beta = np.ones((active[0] if active else 0, step.shape[0]))
+    beta = np.ones((len(lengths), step.shape[0])) if leave is None else leave.copy()
     for t in range(len(active) - 1, -1, -1):
         n, longer = active[t], active[t + 1] if t + 1 < len(active) else 0
         at = first[:n] + t
@@ -207,27 +260,93 @@ def label(text: str | None, crf: Crf) -> list[tuple[str, str, float]]:
     return [(w, crf.languages[i], float(m[i])) for w, m, i in zip(words, marginal, marginal.argmax(1), strict=True)]
 
 
-def _judge(texts: list[str | None], crf: Crf) -> tuple[list[str], list[float]]:
-    """The language that most words of each text belong to, by the sum of chances, and its share."""
-    split_texts = [split(t) for t in texts]
-    lengths = np.array([len(ws) for ws in split_texts], np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    order = order[: int((lengths > 0).sum())] if crf.languages else order[:0]
+def _windows(words: int) -> list[int]:
+    """The lengths of the windows of a run of words."""
+    return [_WINDOW] * (words // _WINDOW) + ([words % _WINDOW] if words % _WINDOW else [])
+
+
+def _shares(runs: list[list[str]], crf: Crf, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
+    """The sum of the chances of every language over the words of each run; no run is empty.
+
+    Runs are cut into windows, which are worked on side by side: first each window's matrix, then the messages
+    at the borders of windows, then forward-backward inside them.  The result is that of whole runs.
+    """
+    step, emissions = np.exp(crf.moves - crf.moves.max()), crf.emissions([w for run in runs for w in run])
+    cut = [_windows(len(run)) for run in runs]
+    lengths, of = np.array([n for part in cut for n in part]), np.repeat(np.arange(len(runs)), [len(part) for part in cut])
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    if enter is None:
+        enter = np.tile(np.exp(crf.start - crf.start.max()), (len(runs), 1))
+    if leave is None:
+        leave = np.ones((len(runs), len(step)))
+    entering, leaving = enter[of], leave[of]
+
+    def laid(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = which[np.argsort(-lengths[which], kind="stable")]
+        return order, emissions[np.concatenate([np.arange(first[i], first[i] + lengths[i]) for i in order])]
+
+    several = np.flatnonzero(np.array([len(part) for part in cut])[of] > 1)
+    if len(several):
+        order, rows = laid(several)
+        matrices = np.empty((len(lengths), *step.shape))
+        matrices[order] = transfers(rows, lengths[order], crf.moves)
+        at = 0
+        for run, part in enumerate(cut):
+            if len(part) > 1:
+                here = slice(at, at + len(part))
+                entering[here], leaving[here] = _borders(list(matrices[here]), step, enter[run], leave[run])
+            at += len(part)
+    order, rows = laid(np.arange(len(lengths)))
+    marginal, _ = posteriors(rows, lengths[order], crf.moves, crf.start, entering[order], leaving[order])
+    sums = np.zeros((len(runs), len(step)))
+    np.add.at(sums, of[order], np.add.reduceat(marginal, np.concatenate([[0], np.cumsum(lengths[order])[:-1]]), axis=0))
+    return sums
+
+
+def _matrix(words: list[str], crf: Crf) -> np.ndarray:
+    """The matrix of a whole run of words, from those of its windows."""
+    lengths, step = np.array(_windows(len(words))), np.exp(crf.moves - crf.moves.max())
+    result = None
+    for one in transfers(crf.emissions(words), lengths, crf.moves):
+        result = one if result is None else result @ step @ one
+        result = result / result.sum()
+    return result
+
+
+def _share_of_long(text: str, crf: Crf, size: int) -> tuple[np.ndarray, int]:
+    """What ``_shares`` gives for one text, and its words, read piece by piece: once for the pieces' matrices, once for the chances."""
+    matrices = [_matrix(words, crf) for words in pieces(text, size) if words]
+    total, n = np.zeros(len(crf.languages)), 0
+    if matrices:
+        step = np.exp(crf.moves - crf.moves.max())
+        entering, leaving = _borders(matrices, step, np.exp(crf.start - crf.start.max()), np.ones(len(step)))
+        for at, words in enumerate(words for words in pieces(text, size) if words):
+            total += _shares([words], crf, entering[at:at + 1], leaving[at:at + 1])[0]
+            n += len(words)
+    return total, n
+
+
+def _judge(texts: list[str | None], crf: Crf, size: int) -> tuple[list[str], list[float]]:
+    """The language that most words of each text belong to, by the sum of chances, and its share.
+
+    Texts of over ``size`` characters are read in pieces of that size, all others together."""
     found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    if len(order):
-        words = [w for i in order for w in split_texts[i]]
-        marginal, _ = posteriors(crf.emissions(words), lengths[order], crf.moves, crf.start)
-        starts = np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
-        mean = np.add.reduceat(marginal, starts, axis=0) / lengths[order][:, None]
-        for i, m in zip(order, mean, strict=True):
-            found[i], scores[i] = crf.languages[int(m.argmax())], float(min(1.0, m.max()))
+    if not crf.languages:
+        return found, scores
+    short = [(i, words) for i, t in enumerate(texts) if len(t or "") <= size and (words := split(t))]
+    shares = [(i, share, len(words)) for (i, words), share in zip(short, _shares([words for _, words in short], crf), strict=True)] if short else []
+    shares += [(i, *_share_of_long(t, crf, size)) for i, t in enumerate(texts) if len(t or "") > size]
+    for i, share, n in shares:
+        if n:
+            found[i], scores[i] = crf.languages[int(share.argmax())], float(min(1.0, share.max() / n))
     return found, scores
 
 
 def identify(docs: DataFrame, crf: Crf, group_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, lang_pred and score of every row of ``docs``: whole texts, labelled word by word.
 
-    Forward-backward runs over groups of texts of about ``group_bytes`` together, which bounds the memory.
+    Forward-backward runs over groups of texts of about ``group_bytes`` together, longer texts in pieces of that size
+    with the messages carried over, which bounds the memory to the text itself and the arrays of a piece.
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
@@ -236,7 +355,7 @@ def identify(docs: DataFrame, crf: Crf, group_bytes: int = 6 << 20) -> DataFrame
         ids, texts, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            found, scores = _judge(texts, model)
+            found, scores = _judge(texts, model, group_bytes)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
         for batch in batches:
@@ -256,7 +375,7 @@ def classify(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang).
 
     Language, source and id are no inputs of a prediction.  A text that is null or has no letter, or any text if
-    no language can be learnt, is ``und`` with score 0.  Null ids count as empty text in ``held_out``; repeated
+    no language can be learnt, is ``und`` with score 0.  Very long texts are read whole, in pieces.  Null ids count as empty text in ``held_out``; repeated
     rows are labelled alike; extra columns are not looked at; an empty table gives an empty result.
     """
     found = identify(docs, train(docs, **options))

@@ -266,6 +266,61 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(marginal, want, atol=1e-5) and np.allclose(expected, pairs, atol=1e-5)
 
 
+def _random_crf(rng, words, k=3):
+    index = {f: i for i, f in enumerate(sorted({f for w in words for f in langid.features(w)}), 1)}
+    weights = rng.normal(size=(1 + len(index), k)).astype(np.float32) * 0.3
+    weights[0] = 0
+    return langid.Crf([f"l{i}" for i in range(k)], index, weights, rng.normal(size=(k, k)) + 2 * np.eye(k), rng.normal(size=k))
+
+
+def test_windows_of_a_text_give_what_the_whole_text_gives(monkeypatch):
+    rng, source = np.random.default_rng(3), random.Random(3)
+    vocabulary = ["".join(source.choice("abcdeé") for _ in range(source.randrange(1, 7))) for _ in range(200)]
+    crf = _random_crf(rng, vocabulary)
+    runs = [[source.choice(vocabulary) for _ in range(n)] for n in (1, 7, 8, 9, 40, 333)]
+    whole = [langid.posteriors(crf.emissions(r), np.array([len(r)]), crf.moves, crf.start)[0].sum(0) for r in runs]
+    monkeypatch.setattr(langid, "_WINDOW", 8)
+    assert np.allclose(langid._shares(runs, crf), whole)
+    for run, want in zip(runs, whole, strict=True):
+        text = "".join(w + source.choice([" ", ", ", " 12 ", "! ", "\u3000"]) for w in run)
+        for size in (1, 30, 5000):
+            share, n = langid._share_of_long(text, crf, size)
+            assert n == len(run) and np.allclose(share, want)
+    texts = [" ".join(r) for r in runs] + [None, "", "12 -- 3"]
+    for size in (1, 50, 10_000):
+        found, scores = langid._judge(texts, crf, size)
+        assert found == [f"l{int(w.argmax())}" for w in whole] + ["und"] * 3
+        assert np.allclose(scores, [w.max() / len(r) for w, r in zip(whole, runs, strict=True)] + [0, 0, 0])
+
+
+def test_pieces_hold_the_words_of_the_text():
+    text = "ΟΔΟΣ ΣΑΣ'Α, ½cup² naïve\u3000漢字，かな。E\u0301te' l’Été\nİstanbul; x1y2 " * 3
+    for size in (1, 2, 7, 40, 10_000):
+        assert [w for part in langid.pieces(text, size) for w in part] == langid.split(text)
+    assert list(langid.pieces(None, 5)) == list(langid.pieces("", 5)) == []
+
+
+def test_very_long_words_score_like_others(monkeypatch):
+    word = "abcab" * 50
+    crf = _random_crf(np.random.default_rng(4), [word])
+    want = crf.emissions([word])[0]
+    monkeypatch.setattr(langid, "_LONG_WORD", 20)
+    crf._known.clear(), crf._scores.clear()
+    assert np.allclose(crf.emissions(["ab", word, "ab"])[1], want, atol=1e-3)
+
+
+def test_very_long_texts_take_little_time_and_memory(spark, docs, crf):
+    import resource
+    import time
+    words = [w for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'de' AND n_chars > 2000").limit(20).collect() for w in r["text"].split(" ")]
+    text = " ".join(words)
+    text = (text + " ") * (20_000_000 // len(text))
+    before, started = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    found, scores = langid._judge([text, "a" * 5_000_000, None], crf, 1 << 20)
+    assert found[0] == "de" and scores[0] > 0.9 and found[2] == "und"
+    assert time.perf_counter() - started < 90 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
 # SimHash
 
 def plain_fingerprint(text):
