@@ -166,3 +166,15 @@ def test_key_terms_tables(spark):
     rows = htmlrows.label_value_rows(htmlrows.key_terms_rows(df, F.col("heading"))).orderBy("name", "row_no").collect()
     for name, _, _, want in TABLES:
         assert [(r["label_raw"], r["value_raw"]) for r in rows if r["name"] == name] == want, name
+
+
+def test_table_rows_stream_from_a_lateral_table_function(spark):
+    row = "<tr><td>Term {}</td><td>{}</td></tr>"
+    page = "<h2>Key Terms</h2><table>" + "".join(row.format(i, i) for i in range(5_000)) + "</table>"
+    df = spark.createDataFrame([(1, page, "key"), (2, None, None), (3, "", "x"), (4, "<p>no table</p>", "Key Terms")], "id INT, html STRING, heading STRING")
+    rows = htmlrows.key_terms_rows(df, F.concat(F.col("heading"), F.lit(" Terms"))).drop("heading")
+    assert rows.columns == ["id", "row_no", "label_raw", "value_raw"]
+    found = rows.orderBy("row_no").collect()
+    assert [tuple(r) for r in found] == [(1, i, f"Term {i}", str(i)) for i in range(5_000)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" in plan and "Exchange" not in plan and "Join" not in plan
