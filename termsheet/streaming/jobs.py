@@ -5,17 +5,18 @@ A checkpoint location is the caller's: a folder every executor can reach.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from termsheet import config
 from termsheet.functions.text import accession_folder, normalise_accession
 from termsheet.functions.times import wall_clock
 from termsheet.operators.usage import call_cost
-from termsheet.operators.workflow import Rules
+from termsheet.operators.workflow import Rules, apply_actions
 
 
 def unique_filings(requests: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -88,3 +89,26 @@ def latest_states(filings: DataFrame, outcomes: DataFrame) -> DataFrame:
     for column, source in (("status", "new_status"), ("model", "new_model"), ("confidence", "confidence")):
         moved = moved.withColumn(column, F.when(changed, F.col(f"after.{source}")).otherwise(F.col(column)))
     return moved.drop("after")
+
+
+def follow_actions(actions: DataFrame, read_state: Callable[[], DataFrame], last_batch: Callable[[], int],
+                   write_state: Callable[[DataFrame, int], None], write_outcomes: Callable[[DataFrame, int], None],
+                   checkpoint: str, **trigger) -> StreamingQuery:
+    """T3 (W0) for states that others write too: apply each micro-batch of actions to the caller's table.
+
+    ``read_state`` gives the present state of all filings, ``last_batch`` the id of
+    the last batch committed to it (-1 for none), and ``write_state`` commits the filings that a batch
+    touched, and only those, under its id.  A batch that is replayed after it was committed is passed over;
+    outcomes are written first, under the same id, so a replay before that writes them again, not twice.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= last_batch():
+            return
+        batch.persist()
+        touched = batch.select("filing_id").distinct()
+        moved, outcomes = apply_actions(read_state().join(touched, "filing_id", "left_semi"), batch)
+        write_outcomes(outcomes, batch_id)
+        write_state(moved, batch_id)
+        batch.unpersist()
+    return (actions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
