@@ -166,11 +166,53 @@ def anchor_excerpt(text: Column, excerpt: Column) -> Column:
             _exact(text, needle), _flexible(text, needle, r"\s+")))))
 
 
+_GAP = 10
+_HIT = "struct<start:int,back:int,end:int>"
+
+
+def _gapped(text: Column, excerpt: Column) -> Column:
+    """The first place where the words of an excerpt stand with gaps of up to 10 characters, each as long as it can be.
+
+    What a regular expression finds, but in steps: a word has few places, and of each only the best way on to the end is
+    kept, so texts that repeat themselves cost no more than their places.  Words are taken from the last to the first.
+    Signs have four bytes here, so a place is reached at once.
+    """
+    def find(wide: Column, words: Column) -> Column:
+        last = F.get(words, F.size(words) - 1)
+        size = lambda word: F.length(word).cast("int")                             # noqa: E731
+        total = (F.length(wide) / 4).cast("int")
+
+        def stands(word: Column, at: Column) -> Column:
+            return (at >= 1) & (F.substring(wide, at * 4 - 3, size(word)) == word)
+
+        ends = F.transform(F.filter(F.sequence(F.lit(1), total + 1), lambda p: stands(last, p)), lambda p: F.struct(
+            p.alias("start"), (-p).alias("back"), (p + (size(last) / 4).cast("int")).alias("end")))
+
+        def before(found: Column, word: Column) -> Column:
+            chars = (size(word) / 4).cast("int")
+            ways = F.flatten(F.transform(found, lambda f: F.filter(
+                F.transform(F.sequence(F.lit(0), F.lit(_GAP)), lambda gap: F.struct(
+                    (f["start"] - gap - chars).alias("start"), (-f["start"]).alias("back"), f["end"].alias("end"))),
+                lambda way: stands(word, way["start"]))))
+            # Of equal places the first one has the longest gap.
+            return let(F.array_sort(ways), lambda all_: F.filter(all_, lambda way, i: (i == 0) | (
+                way["start"] != F.get(all_, F.greatest(i - 1, F.lit(0)))["start"])))
+
+        first = F.aggregate(F.slice(F.reverse(words), F.lit(2), F.size(words)), ends.cast(f"array<{_HIT}>"),
+                            lambda found, word: F.when(F.size(found) == 0, found).otherwise(before(found, word)))
+        return let(F.get(first, F.lit(0)), lambda hit: F.when(hit.isNotNull(), F.struct(
+            hit["start"].alias("start"), F.nullif(hit["end"] - hit["start"], F.lit(0)).alias("length"))))
+
+    words = F.split(excerpt, r"(?U)\s+", -1)
+    wide = lambda c: F.encode(c, "UTF-32")                                          # noqa: E731
+    return let(words, lambda all_: F.when(F.forall(all_, lambda word: text.contains(word)), let(
+        F.struct(wide(text).alias("text"), F.transform(all_, wide).alias("words")), lambda w: find(w["text"], w["words"]))))
+
+
 def anchor_excerpt_loose(text: Column, excerpt: Column) -> Column:
     """Exact, then white space as any gap of up to 10 characters, then a 40-character prefix."""
     prefix = F.when(F.length(excerpt) > 40, _exact(text, F.substring(excerpt, 1, 40)))
-    return F.when(F.length(excerpt) >= 5, F.coalesce(
-        _exact(text, excerpt), _flexible(text, excerpt, r"[\s\S]{0,10}"), prefix))
+    return F.when(F.length(excerpt) >= 5, F.coalesce(_exact(text, excerpt), _gapped(text, excerpt), prefix))
 
 
 def history_window(turns: DataFrame, current: DataFrame, keep: int = config.HISTORY_TURNS) -> DataFrame:

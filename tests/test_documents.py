@@ -129,6 +129,23 @@ def test_loose_anchor(spark):
     assert [got[i] for i in range(3)] == [w for _, _, w in rows]
 
 
+def test_loose_anchor_in_texts_that_repeat_themselves(spark):
+    """A regular expression tries every way through such a text; the steps find the same place as one does where it ends."""
+    rng = random.Random(3)
+    rows = [("# " * 20_000 + "z", "# " * 30 + "q", (1, 40)), ("# " * 3_000, "#  " * 40 + "#", (1, 401)), ("", " " * 6, (1, None)), ("a", " " * 6, (1, 1))]
+    for _ in range(200):
+        text = "".join(rng.choice("ab \n\tüx") for _ in range(rng.randrange(40)))
+        excerpt = "".join(rng.choice("ab  ü") for _ in range(rng.randrange(5, 12)))
+        at = text.find(excerpt)
+        found = (at + 1, len(excerpt)) if at >= 0 else None
+        if not found and (m := re.search(r"[\s\S]{0,10}".join(map(re.escape, re.split(r"\s+", excerpt))), text)):
+            found = (m.start() + 1, len(m[0]) or None)
+        rows.append((text, excerpt, found))
+    df = spark.createDataFrame([(i, t, e) for i, (t, e, _) in enumerate(rows)], "i INT, t STRING, e STRING")
+    got = {r["i"]: tuple(r["a"]) if r["a"] else None for r in df.select("i", documents.anchor_excerpt_loose(F.col("t"), F.col("e")).alias("a")).collect()}
+    assert [got[i] for i in range(len(rows))] == [w for _, _, w in rows]
+
+
 def test_history_window_starts_with_user(spark):
     turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", str(i)) for i in range(13)] + [(2, 0, "user", "a")],
                                   "conv_id INT, turn INT, role STRING, text STRING")
