@@ -102,7 +102,8 @@ def coupon_schedule(schedules: DataFrame, holidays: DataFrame, frequencies: dict
     ranges = (schedules.filter("start_date < end_date").groupBy(F.coalesce("calendar", F.lit("")).alias("calendar"))
               .agg(F.date_sub(F.min("start_date"), _MARGIN).alias("first"), F.date_add(F.max("end_date"), _MARGIN).alias("last")))
     days = business_days(ranges, holidays).withColumnRenamed("date", "period_end")
-    dated = grid.join(days, ["calendar", "period_end"])
+    # The days are few and bounded by calendars and years; the planner does not see that the grid is many times its schedules.
+    dated = grid.join(F.broadcast(days), ["calendar", "period_end"])
     start, end = F.col("period_start"), F.col("period_end")
     return dated.select("schedule_id", "period_no", "period_start", "period_end",
                         rolled(end, F.col("next_day"), F.col("previous_day"), F.coalesce("rule", F.lit(""))).alias("payment_date"),
@@ -116,11 +117,12 @@ def schedule_mismatches(generated: DataFrame, stated: DataFrame) -> DataFrame:
     ``stated``: schedule_id, stated_date.  ``unrolled`` is a stated period end whose payment date is another; ``unexpected`` any
     other stated date that was not generated; ``missing`` a payment date that is not stated.
     """
-    known = generated.select("schedule_id", F.col("payment_date").alias("date"), F.lit(1).alias("paid"), F.lit(0).alias("ends"), F.lit(0).alias("said"))
-    ends = generated.select("schedule_id", F.col("period_end").alias("date"), F.lit(0).alias("paid"), F.lit(1).alias("ends"), F.lit(0).alias("said"))
+    both = F.inline(F.array(*[F.struct(F.col(date).alias("date"), F.lit(paid).alias("paid"), F.lit(1 - paid).alias("ends"))
+                              for date, paid in (("payment_date", 1), ("period_end", 0))]))
+    known = generated.select("schedule_id", both).withColumn("said", F.lit(0))
     said = stated.select("schedule_id", F.col("stated_date").cast("date").alias("date"), F.lit(0).alias("paid"), F.lit(0).alias("ends"), F.lit(1).alias("said"))
     asked = stated.select("schedule_id").distinct()
-    every = known.unionByName(ends).join(asked, "schedule_id", "left_semi").unionByName(said.filter("date IS NOT NULL"))
+    every = known.join(asked, "schedule_id", "left_semi").unionByName(said.filter("date IS NOT NULL"))
     found = every.groupBy("schedule_id", "date").agg(*[F.max(c).alias(c) for c in ("paid", "ends", "said")]).filter("paid <> said")
     kind = F.when(F.col("paid") == 1, "missing").when(F.col("ends") == 1, "unrolled").otherwise("unexpected")
     return found.select("schedule_id", "date", kind.alias("kind"))

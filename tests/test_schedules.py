@@ -192,3 +192,15 @@ def test_long_log_entries_go_on_in_further_rows(spark):
     assert [g[:3] for g in got] == [(0, 0, "ERROR"), (0, 1, "ERROR"), (0, 2, "ERROR"), (11, 0, "INFO")]
     whole = {r["line_no"]: r["message"] for r in logs.parse_log(df).collect()}
     assert "\n".join(g[3] for g in got[:3]) == whole[0] and got[3][3] == whole[11]
+
+
+def test_the_grid_is_not_held_in_memory(spark):
+    """The planner does not count what a schedule's dates come to; the side kept in memory is that of the calendars' days."""
+    rows = spark.range(100).selectExpr("id AS schedule_id", "date '2020-01-01' AS start_date", "date '2021-01-01' AS end_date", "'daily' AS frequency",
+                                       "'act/360' AS day_count", "'following' AS roll", "'NYC' AS calendar")
+    free = spark.sql("SELECT 'NYC' AS calendar, date '2020-07-03' AS holiday")
+    made = schedules.coupon_schedule(rows, free, config.SCHEDULE_FREQUENCIES, config.SCHEDULE_SPELLINGS)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "period_end" in line.split("Inner")[0]]
+    assert joins and all("BuildRight" in line for line in joins)
+    assert made.count() == 36_600
