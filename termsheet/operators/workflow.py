@@ -172,6 +172,8 @@ def apply_actions(filings: DataFrame, actions: DataFrame, models: list[str] = co
     joined = blocks.join(now, "filing_id", "left")
     if starts is not None:
         joined = joined.join(starts, ["filing_id", "at"], "left").withColumn("now", F.coalesce("start", "now")).drop("start")
+    # Whatever side a join puts in memory, blocks are dealt out by number, or those of neighbouring filings meet in one task.
+    joined = joined.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "filing_id", "at")
     first = F.struct("now", F.array().cast(log_type).alias("log"))
     folded = joined.filter("now IS NOT NULL").select("filing_id", "at", F.aggregate("todo", first, step).alias("r"))
     missing = (joined.filter("now IS NULL").select("filing_id", F.inline("todo"))

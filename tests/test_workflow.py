@@ -78,6 +78,21 @@ def test_levels_of_blocks_give_the_same_result(spark, block, stretch, fan):
         assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(a.columns).collect()), key=str)
 
 
+def test_blocks_are_dealt_out_by_number(spark):
+    """Actions on a few neighbouring filings of many: their replay is not left to the task that reads these filings."""
+    filings = spark.range(4000).coalesce(1).selectExpr("cast(id AS string) AS filing_id", "'classified' AS status", "'index' AS model", "0.9D AS confidence")
+    actions = spark.range(4000).selectExpr("cast(id % 40 AS string) AS filing_id", "id AS seq", "'override' AS action", "'m' AS model")
+    _, outcomes = workflow.apply_actions(filings, actions)
+    assert outcomes.select("seq", F.spark_partition_id().alias("p")).groupBy("p").count().filter("count > 0").count() > 4
+
+
+def test_long_blocks_of_several_filings_replay_alike(spark):
+    """Blocks of many actions end as the whole does, with the model and confidence that each start keeps."""
+    filings, actions = _random_actions(spark, 600)
+    for a, b in zip(workflow.apply_actions(filings, actions), workflow.apply_actions(filings, actions, block=45, fan=2), strict=True):
+        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(a.columns).collect()), key=str)
+
+
 def test_rules_as_a_table_decide_like_the_batch(spark):
     filings, actions = _random_actions(spark, 300)
     _, outcomes = workflow.apply_actions(filings, actions)
