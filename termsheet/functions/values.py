@@ -48,7 +48,8 @@ def date_value(raw: Column) -> Column:
 def rate_value(raw: Column) -> Column:
     """Percent text as a fraction: yearly rate first, else the last rate that is not monthly.
 
-    A figure of at most 1 is kept as it stands (``0.875%`` -> 0.875).
+    A figure of at most 1 is kept as it stands (``0.875%`` -> 0.875).  A text without a percent sign has no rate, which
+    is seen before any pattern is tried.
     """
     yearly = _to_double(first_match(raw, _YEARLY_RATE, 1))
     found = F.regexp_extract_all(raw, F.lit(_ANY_RATE), F.lit(0))
@@ -56,7 +57,8 @@ def rate_value(raw: Column) -> Column:
         F.try_element_at(F.filter(all_, lambda m: m.endswith("%")), F.lit(-1)),
         F.try_element_at(all_, F.lit(-1))))
     number = F.coalesce(yearly, _to_double(F.regexp_extract(last, _NUMBER, 0)))
-    return let(number, lambda n: F.round(F.when(n > 1.0, n / 100.0).otherwise(n), 6))
+    rate = let(number, lambda n: F.round(F.when(n > 1.0, n / 100.0).otherwise(n), 6))
+    return F.when(raw.contains("%"), rate)
 
 
 def amount_value(raw: Column) -> Column:

@@ -1,5 +1,8 @@
 """Literal cases for the typed values and label keys."""
 
+import json
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +77,22 @@ def test_number_text_is_plain(spark):
                0.1 + 0.2, 12345678.901234567, -3e7, 1e7]
     df = spark.createDataFrame([(n,) for n in numbers], "n DOUBLE")
     assert [r[0] for r in df.select(values.number_text(df.n)).collect()] == [repr(n) for n in numbers]
+
+
+def test_a_text_without_percent_sign_is_not_searched_for_rates(one):
+    began = time.monotonic()
+    assert one(values.rate_value, "1" * 5000) is None
+    assert time.monotonic() - began < 30
+
+
+def test_space_of_every_kind_is_stripped_and_collapsed(one):
+    spaces = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    assert one(text.strip, f"{spaces}a{spaces}b\u200b{spaces}") == f"a{spaces}b\u200b"
+    assert one(text.normalise_label, f"{spaces}A{spaces}b c *{spaces}†(12) ::{spaces}") == "a b c * †(12)"
+    assert one(text.strip_footnotes, f" a* (1) [2] b) {spaces}") == "a b)"
+
+
+def test_json_strings_are_those_of_the_json_writer(one):
+    for raw in ("", "plain ~!#[]", 'a"b', "back\\slash", "tab\t", "line\n", "line ", "é", "\x7f", "\x00", "😀"):
+        assert json.loads(one(text.json_string, raw)) == raw
+        assert one(text.json_string, raw) == one(lambda c: F.expr("regexp_replace(to_json(array(raw)), '^.|.$', '')"), raw)
