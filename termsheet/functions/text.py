@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# (?U): \s, \d, \w and \b follow Unicode, so a no-break space counts as white space.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters of (?U)\s, under which \s, \d, \w and \b follow Unicode, so a no-break space counts as white space.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SIGNS = "*†‡§¶"
 
 
 def let(value: Column, use) -> Column:
@@ -18,7 +19,7 @@ def let(value: Column, use) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -32,21 +33,23 @@ def first_match(c: Column, pattern: str, group: int = 0) -> Column:
 
 def strip_footnotes(c: Column) -> Column:
     """Drop footnote signs, ``(1)`` and ``[1]`` marks, and outer white space (V0)."""
-    c = F.regexp_replace(c, r"[*†‡§¶]", "")
-    c = F.regexp_replace(c, r"(?U)\s*\(\d+\)", "")
-    c = F.regexp_replace(c, r"(?U)\s*\[\d+\]", "")
-    return strip(c)
+    bare = F.regexp_replace(c, f"[{_SIGNS}]", "")
+    bare = F.regexp_replace(bare, r"(?U)\s*\(\d+\)", "")
+    bare = F.regexp_replace(bare, r"(?U)\s*\[\d+\]", "")
+    # Most texts hold no sign and no closing bracket, and one look tells.
+    return strip(F.when(c.rlike(rf"[{_SIGNS})\]]"), bare).otherwise(c))
 
 
 def normalise_label(c: Column) -> Column:
     """Lookup key of a table label: case, spacing, tail marks, ``(1)``, colon (L1).
 
     Each tail pattern takes the white space before it along, so one outer strip is enough.
+    Single spaces stay as they are, and only labels that end in ``)`` or ``:`` meet the tail patterns.
     """
-    c = F.regexp_replace(F.lower(strip(c)), r"(?U)\s+", " ")
-    c = F.regexp_replace(c, r"(?U)[\s*†‡§¶]+$", "")
-    c = F.regexp_replace(c, r"(?U)\s*\(\d+\)$", "")
-    return F.regexp_replace(c, r"(?U)\s*:+$", "")
+    c = F.regexp_replace(F.lower(strip(c)), r"(?U)\s{2,}|[\s&&[^ ]]", " ")
+    c = F.rtrim(c, F.lit(" " + _SIGNS))
+    tail = F.regexp_replace(F.regexp_replace(c, r"\s*\((?U:\d+)\)$", ""), r"\s*:+$", "")
+    return F.when(c.endswith(")") | c.endswith(":"), tail).otherwise(c)
 
 
 def normalise_accession(c: Column) -> Column:
@@ -79,9 +82,15 @@ def drop_code_fences(c: Column) -> Column:
 
 
 def json_string(c: Column) -> Column:
-    """A string Column as a JSON string literal; null stays null."""
-    return let(F.to_json(F.array(c)), lambda j: F.when(
-        j != "[null]", F.substring(j, F.lit(2), F.length(j) - 2)))
+    """A string Column as a JSON string literal; null stays null.
+
+    Plain ASCII stands for itself between quotes; only other texts go through the JSON writer.
+    """
+    def quoted(x: Column) -> Column:
+        written = let(F.to_json(F.array(x)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
+        return F.when(x.rlike(r"^[ !#-\[\]-~]*+\z"), F.concat(F.lit('"'), x, F.lit('"'))).when(x.isNotNull(), written)
+
+    return let(c, quoted)
 
 
 def literal_map(pairs: dict) -> Column:

@@ -49,14 +49,14 @@ def issuer_match(name: Column, issuers: list[dict] = config.ISSUERS) -> Column:
     The issuer list is short and fixed, so it becomes a chain of conditions evaluated in the
     scan: no join, no shuffle.
     """
-    lowered = F.lower(name)
+    lowered = F.lower(F.nullif(name, F.lit("")))
     keys = []
     for issuer in issuers:
         hit = F.lit(False)
         for pattern in sorted({p.lower() for p in issuer["patterns"]}):
             hit = hit | lowered.contains(pattern) | F.lit(pattern).contains(lowered)
         keys.append(F.when(hit, F.lit(issuer["issuer_key"])))
-    return F.when(name != "", F.coalesce(*keys))
+    return F.coalesce(*keys)
 
 
 def misses_per_filing(resolved: DataFrame) -> DataFrame:
