@@ -119,26 +119,41 @@ def _write(value) -> str:
         return write_deep(value)
 
 
-def read(text: str) -> tuple[object, Callable[[object], str]]:
+def _batch_writer() -> Callable[[object], str]:
+    """:func:`_write` for many values: ``_dumps`` makes an encoder anew for every value, and an answer has a dozen."""
+    if json.encoder.c_make_encoder is None:
+        return _write
+    chunks = json.encoder.c_make_encoder(None, None, json.encoder.encode_basestring, None, ":", ",", False, False, True)
+
+    def write(value) -> str:
+        try:
+            return "".join(chunks(value, 0))
+        except RecursionError:
+            return write_deep(value)
+
+    return write
+
+
+def read(text: str, write: Callable[[object], str] = _write) -> tuple[object, Callable[[object], str]]:
     """The value of a JSON text, None if it is none, and how its parts are written."""
     try:
-        return json.loads(text), _write
+        return json.loads(text), write
     except json.JSONDecodeError:
-        return None, _write
+        return None, write
     except (RecursionError, ValueError):                          # too deep, or a number of too many digits
         try:
             return read_deep(text), write_deep
         except ValueError:
-            return None, _write
+            return None, write
 
 
 def _object(value) -> dict:
     return value if isinstance(value, dict) else {}
 
 
-def parts(text: str, is_tool: bool, data_key: str) -> tuple[dict, dict, dict, Callable[[object], str]]:
+def parts(text: str, is_tool: bool, data_key: str, write: Callable[[object], str] = _write) -> tuple[dict, dict, dict, Callable[[object], str]]:
     """Data, confidences and excerpts of an answer, each empty where it is no object."""
-    value, write = read(text)
+    value, write = read(text, write)
     body = _object(value)
     data = _object(body.get(data_key)) if is_tool else body
     return data, _object(body.get("_confidence")), _object(body.get("_excerpts")), write
@@ -194,9 +209,10 @@ def answer_parts(text: Column, is_tool: Column, data_key: str) -> Column:
     @F.arrow_udf(f"struct<{','.join(f'{p}:{_MAP}' for p in PARTS)}>")
     def opened(texts: pa.Array, tools: pa.Array) -> pa.Array:
         offsets, keys, values = [[0] for _ in PARTS], [[] for _ in PARTS], [[] for _ in PARTS]
+        writer = _batch_writer()
         for row, is_tool in _rows(texts, tools):
             if row is not None:
-                *maps, write = parts(row, is_tool, data_key)
+                *maps, write = parts(row, is_tool, data_key, writer)
                 starts = [len(k) for k in keys]
                 for k, members in enumerate(maps):
                     keys[k] += members
@@ -221,9 +237,10 @@ def answer_leaves(text: Column, is_tool: Column, data_key: str) -> Column:
     def flat(texts: pa.Array, tools: pa.Array) -> pa.Array:
         offsets, columns = [0], [[], [], [], []]
         paths, values, sures, quotes = columns
+        writer = _batch_writer()
         for row, is_tool in _rows(texts, tools):
             if row is not None:
-                data, sure, quote, write = parts(row, is_tool, data_key)
+                data, sure, quote, write = parts(row, is_tool, data_key, writer)
                 found = leaves(data)
                 at = len(paths)
                 paths += found
