@@ -119,36 +119,44 @@ def unflatten(values: DataFrame, models: DataFrame | None = None) -> DataFrame:
 
     One grouping per filing sorts the leaves by path; each leaf then only has to close the
     objects it does not share with the leaf before it and open its own.  The group is one
-    filing's fields, which its single output row holds anyway.
+    filing's fields, which its single output row holds anyway.  Nulls drop out there, as a filter on the values
+    would be pushed down and read each of them again; filings without a row in ``models`` drop out with them.
     """
-    segments = F.split("field_path", r"\.")
-    rows = values.filter("value_json IS NOT NULL AND value_json <> 'null'").select(
-        "filing_id", segments.alias("path"), F.col("value_json").alias("json"))
+    segments, tagged = F.split("field_path", r"\."), F.lit(models is None)
+    rows = values.select("filing_id", segments.alias("path"), F.col("value_json").alias("json"), tagged.alias("known"))
     if models is not None:
-        tag = models.filter("model IS NOT NULL").select(
-            "filing_id", F.array(F.lit("model")).alias("path"), json_string(F.col("model")).alias("json"))
-        rows = rows.join(models.select("filing_id"), "filing_id", "left_semi").unionByName(tag)
-    grouped = rows.groupBy("filing_id").agg(
-        F.array_sort(F.collect_list(F.struct("path", "json"))).alias("leaves"))
-    return grouped.select("filing_id", nested("leaves").alias("nested_json"))
+        tag = models.select("filing_id", F.array(F.lit("model")).alias("path"),
+                            json_string(F.col("model")).alias("json"), F.lit(True).alias("known"))
+        rows = rows.filter("filing_id IS NOT NULL").unionByName(tag)
+    leaf = F.when(~F.col("json").isin("null"), F.struct("path", "json"))
+    grouped = rows.repartition("filing_id").groupBy("filing_id").agg(
+        F.array_sort(F.collect_list(leaf)).alias("leaves"), F.max("known").alias("known"))
+    return grouped.filter(F.col("known") & (F.size("leaves") > 0)).select("filing_id", nested("leaves").alias("nested_json"))
 
 
 def nested(name: str) -> Column:
     """The JSON object of a column of sorted leaves (path, json)."""
 
-    def piece(leaf: Column, i: Column) -> Column:
-        path = leaf["path"]
-        before = F.when(i > 0, F.get(F.col(name), i - 1)["path"])
+    def shared(before: Column, path: Column) -> Column:
+        """How many parents of a leaf are open already."""
         nested = F.least(F.size(before), F.size(path)) - 1          # parents that could be shared
-        shared = F.when((i > 0) & (nested > 0), F.size(F.filter(
+        return F.when(before.isNotNull() & (nested > 0), F.size(F.filter(
             F.sequence(F.lit(1), F.greatest(nested, F.lit(1))),
             lambda n: F.slice(before, F.lit(1), n) == F.slice(path, F.lit(1), n)))).otherwise(0)
-        opened = F.transform(F.slice(path, shared + 1, F.size(path) - 1 - shared),
-                             lambda s: F.concat(json_string(s), F.lit(":{")))
-        return F.concat(
-            F.when(i > 0, F.concat(F.repeat(F.lit("}"), F.size(before) - 1 - shared), F.lit(",")))
-            .otherwise(F.lit("{")),
-            F.array_join(opened, ""), json_string(F.element_at(path, -1)), F.lit(":"), leaf["json"])
+
+    def piece(leaf: Column, i: Column) -> Column:
+        path = leaf["path"]
+
+        def text(before: Column, kept: Column) -> Column:
+            opened = F.transform(F.slice(path, kept + 1, F.size(path) - 1 - kept),
+                                 lambda s: F.concat(json_string(s), F.lit(":{")))
+            return F.concat(
+                F.when(i > 0, F.concat(F.repeat(F.lit("}"), F.size(before) - 1 - kept), F.lit(",")))
+                .otherwise(F.lit("{")),
+                F.array_join(opened, ""), json_string(F.element_at(path, -1)), F.lit(":"), leaf["json"])
+
+        return let(F.when(i > 0, F.get(F.col(name), i - 1)["path"]),
+                   lambda before: let(shared(before, path), lambda kept: text(before, kept)))
 
     tail = F.repeat(F.lit("}"), F.size(F.element_at(name, -1)["path"]))
     return F.concat(F.array_join(F.transform(name, piece), ""), tail)

@@ -242,9 +242,13 @@ def _latest(spark, sf):
     return export.latest_extraction(table(spark, sf, "extractions"))
 
 
+def _runs(spark, sf):
+    """The latest runs, with no more of them than the nested export reads."""
+    return export.latest_extraction(table(spark, sf, "extractions").select("extraction_id", "filing_id", "extracted_at", "model"))
+
+
 def _current(spark, sf):
-    latest = _latest(spark, sf).select("extraction_id")
-    return export.effective_values(table(spark, sf, "fields")).join(latest, "extraction_id", "left_semi")
+    return export.run_values(table(spark, sf, "fields"), _runs(spark, sf))
 
 
 @query("w3_latest_extraction", "SELECT * FROM {latest}")
@@ -314,7 +318,7 @@ SELECT filing_id, '{{' || string_agg('"' || a || '":' || j, ',' ORDER BY a) || '
 
 @query("x5_unflatten", _NEST)
 def x5(spark, sf):
-    return export.unflatten(_current(spark, sf), _latest(spark, sf).select("filing_id", "model"))
+    return export.unflatten(_current(spark, sf), _runs(spark, sf).select("filing_id", "model"))
 
 
 @query("x6_export_audit", """
