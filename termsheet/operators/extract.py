@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
 from termsheet import config, schemas
 from termsheet.functions.answers import answer_leaves, answer_parts
@@ -35,16 +36,17 @@ def table_fields(resolved: DataFrame, registry: DataFrame) -> DataFrame:
     """Typed fields from resolved label/value rows; the first row that parses wins.
 
     A path without a registry row keeps its stripped text.  The first row is taken with a
-    partial aggregate, so a filing with very many rows is reduced before the shuffle.
+    partial aggregate, so a filing with very many rows is reduced before the shuffle.  Rows that do not parse
+    drop out in the aggregate: a filter on the parsed value would be pushed down and parse every row twice.
     """
     typed = (resolved.filter("field_path IS NOT NULL").join(registry, "field_path", "left")
-             .withColumn("value_json", typed_json(F.col("kind"), F.col("value_raw")))
-             .filter("value_json IS NOT NULL"))
-    first = F.min_by(F.struct("value_json", "label_raw", "value_raw"), "row_no")
+             .withColumn("value_json", typed_json(F.col("kind"), F.col("value_raw"))))
+    parsed = F.col("value_json").isNotNull()
+    first = F.min_by(F.struct("value_json", "label_raw", "value_raw"), F.when(parsed, F.col("row_no")))
     excerpt = F.concat(F.col("f.label_raw"), F.lit(": "),
                        F.substring("f.value_raw", 1, config.SAMPLE_CHARS))
-    return (typed.groupBy("filing_id", "field_path").agg(first.alias("f"))
-            .select("filing_id", "field_path", "f.value_json",
+    return (typed.groupBy("filing_id", "field_path").agg(first.alias("f"), F.count("value_json").alias("n"))
+            .filter("n > 0").select("filing_id", "field_path", "f.value_json",
                     F.lit(config.TABLE_CONFIDENCE).alias("confidence"), excerpt.alias("excerpt"),
                     F.lit("html_table").alias("source")))
 
@@ -122,8 +124,11 @@ def merge_sections(sections: DataFrame, delta: float = config.SECTION_MERGE_DELT
     rows = (sections.filter("value_json IS NOT NULL").withColumn("confidence", conf)
             .withColumn("level", F.when(F.col("confidence") >= 0, F.col("confidence"))))
     row = F.struct("ord", "confidence", "value_json", "excerpt")
-    reduced = rows.groupBy("filing_id", "field_path", "level").agg(
-        F.when(F.col("level").isNull(), F.max_by(row, "ord")).otherwise(F.min_by(row, "ord")).alias("row"))
+    if isinstance(sections.schema["ord"].dataType, IntegralType):  # one state instead of two: ~ord runs the other way
+        kept = F.min_by(row, F.when(F.col("level").isNull(), F.bitwise_not("ord")).otherwise(F.col("ord")))
+    else:
+        kept = F.when(F.col("level").isNull(), F.max_by(row, "ord")).otherwise(F.min_by(row, "ord"))
+    reduced = rows.groupBy("filing_id", "field_path", "level").agg(kept.alias("row"))
     per_field = reduced.groupBy("filing_id", "field_path").agg(
         F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.col("row")))).alias("levels"),
         F.max(F.when(F.col("level").isNull(), F.col("row"))).alias("negative"))
@@ -147,10 +152,15 @@ def _tiers(registry: DataFrame, table: DataFrame, answered: DataFrame) -> DataFr
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _by_path(tiers: DataFrame) -> DataFrame:
+    """Tiers dealt out for their grouping: with a row or two to a key, sorting them first for a partial aggregate gains nothing."""
+    return tiers.repartition("filing_id", "field_path").groupBy("filing_id", "field_path")
+
+
 def merge_tiers(registry: DataFrame, table: DataFrame, answered: DataFrame) -> DataFrame:
     """One value per (filing, path): document table over registry over model answer."""
     best = F.min_by(F.struct(*_FIELD[2:]), "rank").alias("b")
-    return _tiers(registry, table, answered).groupBy("filing_id", "field_path").agg(best).select(
+    return _by_path(_tiers(registry, table, answered)).agg(best).select(
         "filing_id", "field_path", "b.*")
 
 
@@ -158,7 +168,7 @@ def tier_conflicts(registry: DataFrame, table: DataFrame, answered: DataFrame) -
     """Paths where tiers disagree: table against registry, and either against the model."""
     def of(rank: int) -> Column:
         return F.max(F.when(F.col("rank") == rank, F.col("value_json")))
-    values = _tiers(registry, table, answered).groupBy("filing_id", "field_path").agg(
+    values = _by_path(_tiers(registry, table, answered)).agg(
         of(0).alias("table_value"), of(1).alias("registry_value"), of(2).alias("model_value"))
     trusted = F.coalesce("table_value", "registry_value")
     kinds = F.array(

@@ -2,10 +2,12 @@
 
 import json
 import random
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
 
+from termsheet.functions import answers
 from termsheet.operators import export, extract
 
 
@@ -179,3 +181,57 @@ def test_a_path_that_is_value_and_parent_fails_its_filing(spark):
     exported, failed = export.batch_split(filings, runs, fields, rules)
     assert [r[0] for r in exported.collect()] == ["g"]
     assert {tuple(r) for r in failed.collect()} == {("f", "field path holds a value and other fields: a"), ("h", "No extraction results found")}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_values_are_parsed_once(spark):
+    resolved = spark.createDataFrame([("f", 1, "CUSIP", "bad", "p"), ("f", 2, "CUSIP", "06749FWA3", "p"), ("f", 3, "CUSIP", "06749FWA4", "p"),
+                                      ("f", 1, "CUSIP", "bad", "q"), ("g", None, "CUSIP", "06749FWA3", "p")],
+                                     "filing_id STRING, row_no INT, label_raw STRING, value_raw STRING, field_path STRING")
+    registry = spark.createDataFrame([("p", "cusip"), ("q", "cusip")], "field_path STRING, kind STRING")
+    fields = extract.table_fields(resolved, registry)
+    assert _plan(fields).count("isnull(kind") == 1
+    got = {(r["filing_id"], r["field_path"]): r["value_json"] for r in fields.collect()}
+    assert got == {("f", "p"): '"06749FWA3"', ("g", "p"): None}
+
+
+@pytest.mark.parametrize("kind", ["INT", "DOUBLE"])
+def test_section_merge_orders_rows_by_any_number(spark, kind):
+    rows = [("f", "p", 1, -0.2, "a"), ("f", "p", 2, -0.1, "b"), ("f", "q", 1, -0.2, "a"), ("f", "q", 2, 0.5, "b"), ("f", "q", 3, 0.6, "c"), ("f", "q", 4, 0.5, "d")]
+    df = spark.createDataFrame(rows, "filing_id STRING, field_path STRING, ord INT, confidence DOUBLE, value_json STRING").selectExpr(
+        "filing_id", "field_path", f"CAST(ord AS {kind}) AS ord", "confidence", "value_json", "CAST(NULL AS STRING) AS excerpt")
+    merged = extract.merge_sections(df)
+    assert {r["field_path"]: r["value_json"] for r in merged.collect()} == {"p": "b", "q": "b"}
+    assert ("max_by(" in _plan(merged)) == (kind == "DOUBLE")
+
+
+def test_tiers_are_dealt_out_before_they_are_grouped(spark):
+    field = "filing_id STRING, field_path STRING, value_json STRING, confidence DOUBLE, excerpt STRING, source STRING"
+    one = lambda v: spark.createDataFrame([("f", "p", v, 1.0, "", "s")], field)          # noqa: E731
+    for made in (extract.merge_tiers(one("1"), one("2"), one("3")), extract.tier_conflicts(one("1"), one("2"), one("3"))):
+        assert "RepartitionByExpression [filing_id" in _plan(made)
+    assert [r["value_json"] for r in extract.merge_tiers(one("1"), one("2"), one("3")).collect()] == ["2"]
+    assert sorted((r["kept"], r["dropped"]) for r in extract.tier_conflicts(one("1"), one("2"), one("3")).collect()) == [("2", "1"), ("2", "3")]
+
+
+def test_export_reads_a_value_once(spark):
+    fields = spark.createDataFrame([("f", "r", "a.b", "1", None, None), ("f", "r", "a.c.d", "null", None, None), ("f", "r", "c", "x", None, "rejected"),
+                                    ("g", "r", "a", "1", None, None), (None, "r", "a", "1", None, None)],
+                                   "filing_id STRING, extraction_id STRING, field_path STRING, value_json STRING, reviewed_json STRING, review_status STRING")
+    models = spark.createDataFrame([("f", "m"), ("h", None), (None, "n")], "filing_id STRING, model STRING")
+    nested = export.unflatten(export.effective_values(fields), models)
+    assert _plan(nested).count("parseJson") == 1
+    assert {r["filing_id"]: r["nested_json"] for r in nested.collect()} == {"f": '{"a":{"b":1},"model":"m"}', None: '{"model":"n"}'}
+
+
+def test_one_encoder_writes_a_batch():
+    write, deep = answers._batch_writer(), None
+    for _ in range(200_000):
+        deep = [deep]
+    for value in ("é\n\"", 1, 1.5, -5e-05, float("nan"), True, None, [], {}, [2.0, 1000.0], {"a": {"b": ["x"]}}, 10 ** 30, deep):
+        assert write(value) == answers._write(value)
+    with mock.patch.object(answers, "_dumps", side_effect=AssertionError("an encoder for every value")):
+        assert answers.parts('{"data":{"a":[1]}}', True, "data", write)[3]([1]) == "[1]"
