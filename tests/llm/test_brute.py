@@ -210,6 +210,19 @@ def test_long_texts_are_cut_into_segments(spark, docs, monkeypatch):
     assert windows(whole) == windows(cut)
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark, docs, tmp_path):
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    short, long, other = text(60), text(67)[:400], text(67)[:399]   # 359, 400 and 399 bytes
+    assert min(len(t.split()) for t in (short, long, other)) > 50
+    texts = [f"{text(30)}{k}{t}{k}{text(30)}" for t in (short, long, other) for k in (1, 2)] + [text(200)]
+    docs([(i, t) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.QUERIES["op3_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert [found[i]["n_bytes"] for i in range(7)] == [len(t) for t in texts]
+    assert [(found[i]["n_removed"], found[i]["n_spans"]) for i in range(7)] == [(0, 0), (0, 0), (400, 1), (400, 1), (0, 0), (0, 0), (0, 0)]
+    assert [found[i]["kept_sha256"] for i in range(7)] == [hashlib.sha256(t.replace(long, "").encode()).hexdigest() for t in texts]
+
+
 def test_merge_orders_runs_and_knows_prefixes():
     rng = random.Random(7)
     for k in (1, 2, 3, 5, 8):
