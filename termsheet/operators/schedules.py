@@ -97,8 +97,12 @@ def coupon_schedule(schedules: DataFrame, holidays: DataFrame, frequencies: dict
     unrolled dates; payment is on the period's end, rolled in its calendar (none: weekends only).  An unlisted roll leaves
     the date, an unlisted day count no factor.  Grids are made inside the row; business days come from one small table.
     """
-    grid = periods(schedules, frequencies, spellings).withColumns({
-        "calendar": F.coalesce("calendar", F.lit("")), "rule": coded(F.col("roll"), spellings), "basis": coded(F.col("day_count"), spellings)})
+    spelled = schedules.withColumns({
+        "calendar": F.coalesce("calendar", F.lit("")), "rule": F.coalesce(coded(F.col("roll"), spellings), F.lit("")),
+        "basis": F.coalesce(coded(F.col("day_count"), spellings), F.lit(""))}).drop("roll", "day_count")
+    # Few bytes make many periods, so schedules are dealt out by number, not by the splits of their files.
+    tasks = int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = periods(spelled.filter("start_date < end_date").repartition(tasks, "schedule_id", "start_date", "end_date"), frequencies, spellings)
     ranges = (schedules.filter("start_date < end_date").groupBy(F.coalesce("calendar", F.lit("")).alias("calendar"))
               .agg(F.date_sub(F.min("start_date"), _MARGIN).alias("first"), F.date_add(F.max("end_date"), _MARGIN).alias("last")))
     days = business_days(ranges, holidays).withColumnRenamed("date", "period_end")
@@ -106,9 +110,9 @@ def coupon_schedule(schedules: DataFrame, holidays: DataFrame, frequencies: dict
     dated = grid.join(F.broadcast(days), ["calendar", "period_end"])
     start, end = F.col("period_start"), F.col("period_end")
     return dated.select("schedule_id", "period_no", "period_start", "period_end",
-                        rolled(end, F.col("next_day"), F.col("previous_day"), F.coalesce("rule", F.lit(""))).alias("payment_date"),
-                        accrual_days(start, end, F.coalesce("basis", F.lit(""))).cast("int").alias("accrual_days"),
-                        year_fraction(start, end, F.coalesce("basis", F.lit(""))).alias("coupon_factor"))
+                        rolled(end, F.col("next_day"), F.col("previous_day"), F.col("rule")).alias("payment_date"),
+                        accrual_days(start, end, F.col("basis")).cast("int").alias("accrual_days"),
+                        year_fraction(start, end, F.col("basis")).alias("coupon_factor"))
 
 
 def schedule_mismatches(generated: DataFrame, stated: DataFrame) -> DataFrame:

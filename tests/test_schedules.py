@@ -204,3 +204,14 @@ def test_the_grid_is_not_held_in_memory(spark):
     joins = [line for line in plan.splitlines() if "Join" in line and "period_end" in line.split("Inner")[0]]
     assert joins and all("BuildRight" in line for line in joins)
     assert made.count() == 36_600
+
+
+def test_spellings_are_read_once_a_schedule_and_grids_are_spread(spark):
+    """A schedule has thousands of periods: what is the same in all of them is worked out before they are made, and not in the task that read the file."""
+    rows = spark.range(0, 64, 1, 1).selectExpr("id AS schedule_id", "date '2020-01-01' AS start_date", "date '2021-01-01' AS end_date", "' DAILY' AS frequency",
+                                               "'Actual/360' AS day_count", "'Following' AS roll", "'NYC' AS calendar")
+    made = schedules.coupon_schedule(rows, spark.sql("SELECT 'NYC' AS calendar, date '2020-07-03' AS holiday"), config.SCHEDULE_FREQUENCIES, config.SCHEDULE_SPELLINGS)
+    above = made._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0]
+    assert "period_end" in above and "regexp_replace" not in above
+    assert made.groupBy(F.spark_partition_id()).count().count() > 1
+    assert [tuple(r) for r in made.filter("period_end = date '2020-07-03'").select("payment_date", "accrual_days").distinct().collect()] == [(D(2020, 7, 6), 1)]
