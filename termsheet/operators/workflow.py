@@ -10,7 +10,7 @@ from termsheet import config
 from termsheet.functions.ordered import previous_known
 from termsheet.functions.text import let
 from termsheet.operators.export import decode_json, latest_extraction
-from termsheet.session import reliable_checkpoint, small_table
+from termsheet.session import drop_folder, reliable_checkpoint, small_table, written
 
 _STATE_TYPES = {"status": "string", "model": "string", "confidence": "double"}
 _STATE = "struct<" + ",".join(f"{c}:{t}" for c, t in _STATE_TYPES.items()) + ">"
@@ -76,14 +76,64 @@ _HIGH, _LOW = 2.0, -1.0
 _STARTS = [(s, m, c) for s in [*config.FILING_STATES, _OTHER] for m in (_LISTED, _UNLISTED, None) for c in (_HIGH, _LOW)]
 
 
-def _stepped(state: Column, act: Column, models: list[str]) -> Column:
-    return let(_decide(state, act, models), lambda decided: F.struct(*[decided[c].alias(c) for c in _STATE_TYPES]))
+# A table holds a whole number for each of these starts: the place of the end state in the list (6 bits), whether the
+# confidence is kept, null or 1 (2 bits), and whether the model is kept, null, unknown, or which of the given ones.
+_PLACE, _MODEL_BIT, _FIRST_GIVEN = 63, 8, 3
 
 
-def _block_table(todo: Column, models: list[str]) -> Column:
-    """The end state of a block for every state of ``_STARTS``, in that order."""
-    starts = F.from_json(F.lit(json.dumps([dict(zip(("status", "model", "confidence"), s)) for s in _STARTS])), f"array<{_STATE}>")
-    return F.transform(starts, lambda s: F.aggregate(todo, s, lambda state, act: _stepped(state, act, [*models, _LISTED])))
+def _moves(decided: dict, names: list) -> list[list[list[int]]]:
+    """The numbers of one action for every start, by its name and by what model it gives: none, an empty text, a listed or an unlisted one."""
+    def number(start: tuple, end: tuple) -> int:
+        status, model, confidence = end
+        kind = 2 if model is None else 0 if model in (_LISTED, _GIVEN_LISTED, "unknown") else 1
+        sure = 0 if (confidence or 0.0) >= config.GATE_CONFIDENCE else 1
+        place = _STARTS.index((status, (_LISTED, _UNLISTED, None)[kind], (_HIGH, _LOW)[sure]))
+        of_confidence = 0 if confidence == start[2] else 1 if confidence is None else 2
+        of_model = 0 if model == start[1] else 1 if model is None else 2 if model == "unknown" else _FIRST_GIVEN
+        return place | of_confidence << 6 | of_model << _MODEL_BIT
+
+    return [[[number(s, decided[(*s, name, given)][1:]) for s in _STARTS] for given in (None, "", _GIVEN_LISTED, _GIVEN_UNLISTED)] for name in names]
+
+
+def _action_table(act: Column, moves: Column, models: list[str]) -> Column:
+    """The table of a single action."""
+    name = F.when(act["action"].isNull(), len(_NAMES) + 1).otherwise(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, _NAMES)), act["action"]).cast("int"), F.lit(0)), F.lit(len(_NAMES) + 1)) - 1)
+    given = F.when(act["model"].isNull(), 0).when(act["model"] == "", 1).when(act["model"].isin([*models, "unknown"]), 2).otherwise(3)
+    # Only these two name the model they give.
+    named = F.when(act["action"].isin("confirm", "override"), F.array(act["model"])).otherwise(F.array().cast("array<string>"))
+    return F.struct(F.get(F.get(moves, name), given).alias("codes"), named.alias("given"))
+
+
+def _composed(tables: Column) -> Column:
+    """One table for several that follow one another; it names one model for each start at most."""
+    def joined(first: Column, code: Column, before: Column) -> Column:
+        confidence = F.when(code.bitwiseAND(192) == 0, first.bitwiseAND(192)).otherwise(code.bitwiseAND(192))
+        model = (F.when(code < 1 << _MODEL_BIT, first - first.bitwiseAND(255)).when(code < _FIRST_GIVEN << _MODEL_BIT, code - code.bitwiseAND(255))
+                 .otherwise(code - code.bitwiseAND(255) + F.shiftleft(before, _MODEL_BIT)))
+        return F.when(code <= _PLACE, code + first - first.bitwiseAND(_PLACE)).otherwise(code.bitwiseAND(_PLACE) + confidence + model)
+
+    def onward(acc: Column, table: Column) -> Column:
+        after = F.transform(acc["codes"], lambda c: F.get(table["codes"], c.bitwiseAND(_PLACE)).cast("int"))
+        return F.struct(F.zip_with(acc["codes"], after, lambda c, code: joined(c, code, acc["before"])).alias("codes"),
+                        (acc["before"] + F.size(table["given"])).alias("before"))
+
+    def model(code: Column, given: Column) -> Column:
+        return F.when(code >= _FIRST_GIVEN << _MODEL_BIT, F.get(given, F.shiftright(code, _MODEL_BIT) - _FIRST_GIVEN))
+
+    def short(codes: Column, given: Column) -> Column:
+        return let(F.array_compact(F.array_distinct(F.transform(codes, lambda c: model(c, given)))), lambda kept: F.struct(
+            F.transform(codes, lambda c: F.when(c < _FIRST_GIVEN << _MODEL_BIT, c).otherwise(c.bitwiseAND(255) + F.shiftleft(
+                F.array_position(kept, model(c, given)).cast("int") + (_FIRST_GIVEN - 1), _MODEL_BIT))).alias("codes"), kept.alias("given")))
+
+    def several(tables: Column) -> Column:
+        first = F.get(tables, F.lit(0))
+        codes = F.aggregate(F.slice(tables, F.lit(2), F.size(tables)), F.struct(first["codes"].cast("array<int>").alias("codes"), F.size(first["given"]).alias("before")),
+                            onward, lambda acc: acc["codes"])
+        whole = F.struct(codes.alias("codes"), F.flatten(F.transform(tables, lambda t: t["given"])).alias("given"))
+        shortened = let(whole, lambda t: F.when(F.size(t["given"]) > len(_STARTS), short(t["codes"], t["given"])).otherwise(t))
+        return let(shortened, lambda t: F.struct(t["codes"].cast("array<smallint>").alias("codes"), t["given"].alias("given")))
+
+    return let(tables, lambda t: F.when(F.size(t) == 1, F.get(t, F.lit(0))).otherwise(several(t)))
 
 
 def _after_block(table: Column, now: Column, models: list[str]) -> Column:
@@ -92,11 +142,13 @@ def _after_block(table: Column, now: Column, models: list[str]) -> Column:
     at_status = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), now["status"]), F.lit(0)), F.lit(len(known) + 1)) - 1
     at_model = F.when(now["model"].isNull(), 2).when(now["model"].isin([*models, "unknown"]), 0).otherwise(1)
     at_confidence = F.when(F.coalesce(now["confidence"], F.lit(0.0)) >= config.GATE_CONFIDENCE, 0).otherwise(1)
+    of_model = lambda code: F.shiftright(code, _MODEL_BIT)
     return F.when(now["status"].isNull(), now).otherwise(let(
-        F.get(table, (at_status * 6 + at_model * 2 + at_confidence).cast("int")), lambda end: F.struct(
-            F.when(end["status"] == _OTHER, now["status"]).otherwise(end["status"]).alias("status"),
-            F.when(end["model"].isin(_LISTED, _UNLISTED), now["model"]).otherwise(end["model"]).alias("model"),
-            F.when(end["confidence"].isin(_HIGH, _LOW), now["confidence"]).otherwise(end["confidence"]).alias("confidence"))))
+        F.get(table["codes"], (at_status * 6 + at_model * 2 + at_confidence).cast("int")).cast("int"), lambda code: F.struct(
+            F.coalesce(F.get(F.array(*map(F.lit, known)), F.floor(code.bitwiseAND(_PLACE) / 6).cast("int")), now["status"]).alias("status"),
+            F.when(of_model(code) == 0, now["model"]).when(of_model(code) == 2, F.lit("unknown"))
+            .when(of_model(code) >= _FIRST_GIVEN, F.get(table["given"], of_model(code) - _FIRST_GIVEN)).alias("model"),
+            F.when(code.bitwiseAND(192) == 0, now["confidence"]).when(code.bitwiseAND(192) == 128, F.lit(1.0)).alias("confidence"))))
 
 
 def _in_turn(tables: Column, first: Column, models: list[str]) -> Column:
@@ -119,21 +171,24 @@ def _block_starts(blocks: DataFrame, now: DataFrame, models: list[str], fan: int
     """
     several = blocks.groupBy("filing_id").agg(F.count("*").alias("n")).filter("n > 1").select("filing_id")
     tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))       # by number, as few bytes make much work
-    level = reliable_checkpoint(blocks.join(several, "filing_id", "left_semi").repartition(tasks, "filing_id", "at")
-                                .select("filing_id", "at", _block_table(F.col("todo"), models).alias("table")))
+    rules = Rules(blocks.sparkSession, models).decided
+    moves = F.from_json(F.lit(json.dumps(_moves(rules, [*_NAMES, _ODD_NAME, None]))), "array<array<array<smallint>>>")
+    level, folder = written(blocks.join(several, "filing_id", "left_semi").repartition(tasks, "filing_id", "at")
+                            .select("filing_id", "at", _composed(F.transform("todo", lambda act: _action_table(act, moves, models))).alias("table")), "block-tables")
     if level.isEmpty():
         return None
     levels = []
-    then = lambda known: lambda so_far, b: F.transform(so_far, lambda end: _after_block(b["table"], end, known))
     while not level.groupBy("filing_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        inside = level.groupBy("filing_id", F.expr(f"at DIV {fan}").alias("above")).agg(
+        inside = level.withColumn("above", F.expr(f"at DIV {fan}")).repartition(tasks, "filing_id", "above").groupBy("filing_id", "above").agg(
             F.array_sort(F.collect_list(F.struct("at", "table"))).alias("inside"))
-        levels.append(reliable_checkpoint(inside.withColumnRenamed("above", "at").withColumn("table", F.aggregate(
-            F.slice("inside", 2, fan), F.get("inside", F.lit(0))["table"], then([*models, _LISTED])))))
-        level = levels[-1].select("filing_id", "at", "table")
+        upper, further = written(inside.withColumnRenamed("above", "at").withColumn("table", _composed(F.transform("inside", lambda b: b["table"]))), "block-tables")
+        if not levels:
+            drop_folder(blocks.sparkSession, folder)              # the first level's tables are all in the second
+        levels.append(upper)
+        level = upper.select("filing_id", "at", "table")
     starts = level.select("filing_id", "at").join(now.withColumnRenamed("now", "start"), "filing_id")
     for upper in reversed(levels):
-        starts = upper.join(starts, ["filing_id", "at"]).select("filing_id", F.inline(_in_turn(F.col("inside"), F.col("start"), models)))
+        starts = upper.repartition(tasks, "filing_id", "at").join(starts, ["filing_id", "at"]).select("filing_id", F.inline(_in_turn(F.col("inside"), F.col("start"), models)))
     return starts
 
 
@@ -152,11 +207,11 @@ def apply_actions(filings: DataFrame, actions: DataFrame, models: list[str] = co
     """
     number = F.row_number().over(Window.partitionBy("filing_id", "_stretch").orderBy("seq"))
     at = F.col("_stretch") * -(-stretch // block) + F.col("_part")
-    blocks = reliable_checkpoint(
+    blocks, _ = written(
         actions.select("filing_id", "seq", "action", "model", F.floor(F.col("seq") / stretch).alias("_stretch"))
         .withColumn("_part", F.floor((number - 1) / block)).groupBy("filing_id", "_stretch", "_part")
         .agg(F.array_sort(F.collect_list(F.struct("seq", "action", "model"))).alias("todo"))
-        .select("filing_id", at.alias("at"), "todo"))
+        .select("filing_id", at.alias("at"), "todo"), "blocks")
     now = filings.select("filing_id", F.struct(*[F.col(c).cast(t).alias(c) for c, t in _STATE_TYPES.items()]).alias("now"))
     starts = _block_starts(blocks, now, models, fan)
 

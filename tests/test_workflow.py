@@ -1,6 +1,7 @@
 """Filing actions, reviews, ordered lookups, logs."""
 
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,30 @@ def test_long_blocks_of_several_filings_replay_alike(spark):
         assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(a.columns).collect()), key=str)
 
 
+def test_tables_of_blocks_take_little_disk(spark, tmp_path, monkeypatch):
+    """A table has 54 starts; what is kept of it and of the actions is a few hundred bytes a block, not thousands."""
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    filings = spark.createDataFrame([(str(i), "classified", "index", 0.9) for i in range(300)], "filing_id STRING, status STRING, model STRING, confidence DOUBLE")
+    names = F.array(*map(F.lit, ["extract", "finish", "override", "approve", "confirm", "reset", "reextract"]))
+    actions = spark.range(9000).select((F.col("id") % 300).cast("string").alias("filing_id"), F.col("id").alias("seq"),
+                                       F.get(names, (F.hash("id") % 7 + 6).cast("int") % 7).alias("action"), F.concat(F.lit("model "), F.col("id") % 11).alias("model"))
+    moved, _ = workflow.apply_actions(filings, actions, block=3)
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()) < 3000 * 400
+    whole, _ = workflow.apply_actions(filings, actions)
+    assert sorted(map(tuple, moved.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
+def test_a_table_names_no_more_models_than_it_has_starts(spark):
+    """Long blocks that give many models keep those that some start ends with."""
+    filings, _ = _random_actions(spark)
+    names = F.array(*map(F.lit, ["override", "extract", "finish", "approve", "unapprove", "reset", "confirm"]))
+    actions = spark.range(900).select((F.col("id") % 5).cast("string").alias("filing_id"), F.col("id").alias("seq"),
+                                      F.get(names, F.abs(F.hash("id")) % 7).alias("action"), F.concat(F.lit("given "), "id").alias("model"))
+    for a, b in zip(workflow.apply_actions(filings, actions), workflow.apply_actions(filings, actions, block=80, fan=2), strict=True):
+        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(a.columns).collect()), key=str)
+
+
 def test_rules_as_a_table_decide_like_the_batch(spark):
     filings, actions = _random_actions(spark, 300)
     _, outcomes = workflow.apply_actions(filings, actions)
