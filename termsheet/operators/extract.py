@@ -188,45 +188,75 @@ def extractable(filings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return filings.filter(ok), filings.filter(~ok | F.col("model").isNull()).withColumn("reason", reason)
 
 
-_EXPECTED = 9                                                     # ranks after every tier
-
-
 def covered_fields(filings: DataFrame, descriptors: DataFrame, registry: DataFrame, table: DataFrame,
                    answered: DataFrame) -> DataFrame:
     """E8 and E10 in one grouping: a row for every path described for the filing's model or found.
 
-    Described paths join the tiers as the last rank and bring their allowed values along (``enum_values``, for E11), so
-    the best tier, the coverage and the rule come from one pass over (filing, path).  ``descriptors``
-    is small and is broadcast by its size.
+    ``enum_values`` holds the allowed values of a path, for E11; looked up once the rows are made, and not at all where nobody reads them.
     """
-    return _covered(_tiers(registry, table, answered), filings, descriptors)
+    rows = _covered(_tiers(registry, table, answered), filings, descriptors)
+    return _with_rules(rows, descriptors).withColumn("enum_values", _allowed()).drop("models", "_rules")
 
 
 def complete_fields(filings: DataFrame, descriptors: DataFrame, registry: DataFrame, table: DataFrame,
                     answered: DataFrame) -> DataFrame:
-    """Covered and checked fields."""
-    return _checked(covered_fields(filings, descriptors, registry, table, answered)).drop("enum_values")
+    """Covered and checked fields; where there is no value, no rule is asked for."""
+    rows = _covered(_tiers(registry, table, answered), filings, descriptors)
+    rule = F.when(F.col("value_json").isNotNull(), _allowed())
+    return _checked(_with_rules(rows, descriptors).withColumn("enum_values", rule)).drop("enum_values", "models", "_rules")
 
 
 def cover_all(filings: DataFrame, descriptors: DataFrame, values: DataFrame) -> DataFrame:
     """A row for every described path of the filing's model and every path found."""
-    return _covered(values.select(*_FIELD).withColumn("rank", F.lit(0)), filings, descriptors).drop("enum_values")
+    return _covered(values.select(*_FIELD).withColumn("rank", F.lit(0)), filings, descriptors).drop("models")
 
 
 def _covered(found: DataFrame, filings: DataFrame, descriptors: DataFrame) -> DataFrame:
-    rows = found.unionByName(_expected(filings, descriptors), allowMissingColumns=True)
-    # One shuffle by filing serves the join and the grouping; a semi-join would be pushed into every tier.
-    rows = rows.join(filings.select("filing_id"), "filing_id")
-    best = F.min_by(F.struct(*_FIELD[2:]), "rank").alias("b")
-    return rows.groupBy("filing_id", "field_path").agg(best, F.max("enum_values").alias("enum_values")).select(
-        "filing_id", "field_path", "b.value_json", F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"),
-        F.coalesce("b.excerpt", F.lit("")).alias("excerpt"), F.coalesce("b.source", F.lit("llm")).alias("source"),
-        F.col("b.value_json").isNull().alias("not_found"), "enum_values")
+    """The covered fields and ``models``, the models of their filing.
 
-
-def _expected(filings: DataFrame, descriptors: DataFrame) -> DataFrame:
-    return (filings.select("filing_id", "model").join(descriptors.select("model", "field_path", "enum_values"), "model")
-            .select("filing_id", "field_path", "enum_values", F.lit(_EXPECTED).alias("rank")))
+    Described paths are many times the values found, so they never move: a filing's values and models meet in one row, which then
+    unfolds into its paths.  That row holds a value for each path found and each tier.  What models
+    describe is configuration, looked up in one map.
+    """
+    marks = filings.select("filing_id", F.lit(True).alias("wanted"), "model")
+    rows = found.unionByName(marks, allowMissingColumns=True).filter("filing_id IS NOT NULL").repartition("filing_id")
+    value = F.struct("field_path", "rank", *_FIELD[2:])
+    whole = rows.groupBy("filing_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("wanted").isNull(), value))).alias("found"),
+        F.collect_set("model").alias("models"), F.max("wanted").alias("wanted")).filter("wanted").drop("wanted")
+    paths = (descriptors.filter("model IS NOT NULL").groupBy("model").agg(F.collect_list(F.struct("field_path")).alias("p"))
+             .select("model", F.array_distinct(F.transform("p", lambda p: p["field_path"])).alias("paths")))
+    by_model = paths.select(F.map_from_entries(F.collect_list(F.struct("model", "paths")))).scalar()
+    # Of a path's values the first one stands, as they are in order of path and rank.
+    best = F.filter("found", lambda v, i: (i == 0) | ~v["field_path"].eqNullSafe(F.get(F.col("found"), i - 1)["field_path"]))
+    whole = whole.withColumns({"best": best, "_by_model": by_model}).withColumn("described", F.array_distinct(F.flatten(F.transform(
+        "models", lambda m: F.coalesce(F.try_element_at("_by_model", m), F.array().cast("array<string>"))))))
+    missing = F.array_except("described", F.transform("best", lambda v: v["field_path"]))
+    nothing = F.lit(None)
+    both = F.concat(
+        F.transform("best", lambda v: F.struct(v["field_path"].alias("field_path"), *[v[c].alias(c) for c in _FIELD[2:]])),
+        F.transform(missing, lambda p: F.struct(p.alias("field_path"), *[nothing.cast(found.schema[c].dataType).alias(c) for c in _FIELD[2:]])))
+    return whole.select("filing_id", "models", F.inline(both)).select(
+        "filing_id", "field_path", "value_json", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("excerpt", F.lit("")).alias("excerpt"), F.coalesce("source", F.lit("llm")).alias("source"),
+        F.col("value_json").isNull().alias("not_found"), "models")
+
+
+def _rule_key(path: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), path), F.lit(""))                      # keys of a map cannot be null
+
+
+def _with_rules(rows: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """Covered rows with the allowed values of all models and paths."""
+    rules = (descriptors.filter("model IS NOT NULL").groupBy("model", "field_path").agg(F.max("enum_values").alias("allowed")).filter("allowed IS NOT NULL")
+             .groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct(_rule_key(F.col("field_path")), "allowed"))).alias("rules")))
+    return rows.withColumn("_rules", rules.select(F.map_from_entries(F.collect_list(F.struct("model", "rules")))).scalar())
+
+
+def _allowed() -> Column:
+    """The allowed values of a covered field, from its ``models`` and ``field_path``."""
+    of = lambda model: F.try_element_at(F.try_element_at("_rules", model), _rule_key(F.col("field_path")))
+    return F.when(F.size("models") == 1, of(F.get("models", F.lit(0)))).otherwise(F.array_max(F.transform("models", of)))
 
 
 def check_enums(fields: DataFrame, filings: DataFrame, descriptors: DataFrame) -> DataFrame:

@@ -235,3 +235,33 @@ def test_one_encoder_writes_a_batch():
         assert write(value) == answers._write(value)
     with mock.patch.object(answers, "_dumps", side_effect=AssertionError("an encoder for every value")):
         assert answers.parts('{"data":{"a":[1]}}', True, "data", write)[3]([1]) == "[1]"
+
+
+def test_described_paths_are_not_shuffled(spark):
+    """A filing has many more described paths than values: they are made from its row, after it has met its values."""
+    filings = spark.createDataFrame([(str(i), "m") for i in range(20)], "filing_id STRING, model STRING")
+    rules = spark.createDataFrame([("m", f"p{i}", None) for i in range(50)], "model STRING, field_path STRING, enum_values ARRAY<STRING>")
+    values = spark.createDataFrame([(str(i % 20), f"p{i % 60}", '"v"', 0.5, "e", "llm") for i in range(60)],
+                                   "filing_id STRING, field_path STRING, value_json STRING, confidence DOUBLE, excerpt STRING, source STRING")
+    covered = extract.cover_all(filings, rules, values)
+    plan = covered._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline" in plan.split("Exchange hashpartitioning(filing_id")[0]
+    assert covered.count() == 20 * 50 + 10 and covered.filter("NOT not_found").count() == 60
+
+
+def test_coverage_of_filings_with_several_models_and_paths_without_name(spark):
+    """Repeated filings count once with the paths of all their models; unnamed paths are paths; a filing without a model keeps what was found."""
+    filings = spark.createDataFrame([("a", "m"), ("a", "n"), ("a", "m"), ("b", None), ("c", "x"), (None, "m")], "filing_id STRING, model STRING")
+    rules = spark.createDataFrame([("m", "p", ["A"]), ("m", None, ["N"]), ("m", "q", None), ("n", "p", ["B"]), ("n", "r", ["A"]), ("n", "r", ["C"]), (None, "s", ["A"])],
+                                  "model STRING, field_path STRING, enum_values ARRAY<STRING>")
+    ddl = "filing_id STRING, field_path STRING, value_json STRING, confidence DOUBLE, excerpt STRING, source STRING"
+    table = spark.createDataFrame([("a", "p", '"B"', 0.97, "t", "html_table"), ("b", "z", "1", 0.97, "t", "html_table"), ("d", "p", "1", 0.97, "t", "html_table")], ddl)
+    registry = spark.createDataFrame([("a", "p", '"A"', 1.0, "r", "registry"), ("a", "r", '"B"', 1.0, "r", "registry")], ddl)
+    answered = spark.createDataFrame([("a", None, '"x"', 0.6, "l", "llm"), ("c", "u", "2", None, None, "llm")], ddl).drop("source")
+    covered = extract.covered_fields(filings, rules, registry, table, answered)
+    got = {(r["filing_id"], r["field_path"]): (r["value_json"], r["source"], r["not_found"], r["enum_values"]) for r in covered.collect()}
+    assert got == {("a", "p"): ('"B"', "html_table", False, ["B"]), ("a", "q"): (None, "llm", True, None), ("a", "r"): ('"B"', "registry", False, ["C"]),
+                   ("a", None): ('"x"', "llm", False, ["N"]), ("b", "z"): ("1", "html_table", False, None), ("c", "u"): ("2", "llm", False, None)}
+    checked = {(r["filing_id"], r["field_path"]): (r["review_status"], r["confidence"]) for r in extract.complete_fields(filings, rules, registry, table, answered).collect()}
+    assert checked == {("a", "p"): ("pending", 0.97), ("a", "q"): ("pending", 0.0), ("a", "r"): ("schema_error", 0.0), ("a", None): ("schema_error", 0.0),
+                       ("b", "z"): ("pending", 0.97), ("c", "u"): ("pending", 0.0)}
